@@ -55,9 +55,9 @@ def distance(a: Vec, b: Vec) -> Column:
 
 def angle_deg(a: Vec, b: Vec) -> Column:
     """Angle in degrees; NULL when a vector has no length, cosine clamped to [-1, 1]."""
-    length = F.sqrt(dot(a, a) * dot(b, b))
-    cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b) / length))
-    return F.when(length > 0, F.degrees(F.acos(cosine)))
+    aa, bb = dot(a, a), dot(b, b)
+    cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(dot(a, b), F.sqrt(aa * bb))))
+    return F.when((aa > 1e-12) & (bb > 1e-12), F.degrees(F.acos(cosine)))
 
 
 def rotate_plane(u: Column, v: Column, degree: Column) -> tuple[Column, Column]:
@@ -84,7 +84,7 @@ def rotate_onto(v: Vec, source: Vec, target: Vec) -> Vec:
     axis, cosine = cross(source, target), dot(source, target)
     turned = add(
         add(scale(v, cosine), cross(axis, v)),
-        scale(axis, dot(axis, v) / (1 + cosine)),
+        scale(axis, F.try_divide(dot(axis, v), 1 + cosine)),
     )
     on_x = F.abs(source[0]) < 0.9
     flip = tuple(
@@ -94,7 +94,7 @@ def rotate_onto(v: Vec, source: Vec, target: Vec) -> Vec:
             cross(source, (F.lit(0.0), F.lit(1.0), F.lit(0.0))),
         )
     )
-    half = sub(scale(flip, 2 * dot(flip, v) / dot(flip, flip)), v)
+    half = sub(scale(flip, F.try_divide(2 * dot(flip, v), dot(flip, flip))), v)
     opposite = cosine < -1 + 1e-12
     return tuple(F.when(opposite, h).otherwise(t) for h, t in zip(half, turned))
 

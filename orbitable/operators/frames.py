@@ -136,30 +136,31 @@ def local_frames(atoms: DataFrame, frames: Sequence[dict]) -> DataFrame:
 
 
 def frames_from_points(points: DataFrame) -> DataFrame:
-    """Add ex, ey, ez, degenerate to rows with the structs origin, py, pp. Rows with py = origin drop."""
+    """Add ex, ey, ez, degenerate to rows with the structs origin, py, pp. Rows with py = origin drop.
+
+    With d = py - origin and p = pp - origin: ey = d/|d|, ez = p x d / |p x d|, ex = ey x ez, the
+    same axes as taking the part of p orthogonal to ey. The filters stay small polynomials, which
+    matters because Catalyst inlines what a filter names.
+    """
+    d, p = v.vec("dy"), v.vec("dp")
     step = points.withColumn("dy", v.pack(v.sub(v.vec("py"), v.vec("origin"))))
-    step = step.withColumn("dp", v.pack(v.sub(v.vec("pp"), v.vec("origin"))))
-    step = step.withColumn("ly", v.norm(v.vec("dy"))).where(F.col("ly") > 1e-12)
-    step = step.withColumn("ey", v.pack(tuple(c / F.col("ly") for c in v.vec("dy"))))
-    ey, dp = v.vec("ey"), v.vec("dp")
-    step = step.withColumn("lp", v.norm(dp))
-    unit_p = tuple(F.when(F.col("lp") > 1e-12, c / F.col("lp")).otherwise(0.0) for c in dp)
-    step = step.withColumn("up", v.pack(unit_p))
-    step = step.withColumn("along", v.dot(v.vec("up"), ey))
-    step = step.withColumn("rx", v.pack(v.sub(v.vec("up"), v.scale(ey, F.col("along")))))
-    step = step.withColumn("degenerate", v.norm(v.vec("rx")) < 1e-9)
-    on_x = F.abs(F.col("ey.x")) < 0.9
+    step = step.withColumn("dp", v.pack(v.sub(v.vec("pp"), v.vec("origin")))).where(v.dot(d, d) > 1e-24)
+    normal = v.cross(p, d)
+    step = step.withColumn("degenerate", v.dot(normal, normal) <= 1e-18 * v.dot(d, d) * v.dot(p, p))
+    # On a line, the plane vector is a fixed axis crossed with y.
+    on_x = F.col("dy.x") * F.col("dy.x") < 0.81 * v.dot(d, d)
     fixed = tuple(
         F.when(on_x, a).otherwise(b)
         for a, b in zip(
-            v.cross((F.lit(1.0), F.lit(0.0), F.lit(0.0)), ey), v.cross((F.lit(0.0), F.lit(1.0), F.lit(0.0)), ey)
+            v.cross((F.lit(1.0), F.lit(0.0), F.lit(0.0)), d), v.cross((F.lit(0.0), F.lit(1.0), F.lit(0.0)), d)
         )
     )
-    raw = tuple(F.when(F.col("degenerate"), f).otherwise(r) for f, r in zip(fixed, v.vec("rx")))
-    step = step.withColumn("rx", v.pack(raw)).withColumn("lx", v.norm(v.vec("rx")))
-    step = step.withColumn("ex", v.pack(tuple(c / F.col("lx") for c in v.vec("rx"))))
-    step = step.withColumn("ez", v.pack(v.cross(v.vec("ex"), v.vec("ey"))))
-    return step.drop("dy", "dp", "ly", "lp", "up", "along", "rx", "lx")
+    plane = tuple(F.when(F.col("degenerate"), f).otherwise(q) for f, q in zip(fixed, p))
+    step = step.withColumn("plane", v.pack(plane)).withColumn("normal", v.pack(v.cross(v.vec("plane"), d)))
+    unit = lambda c: v.pack(tuple(F.try_divide(q, v.norm(v.vec(c))) for q in v.vec(c)))
+    step = step.withColumn("ey", unit("dy")).withColumn("ez", unit("normal"))
+    step = step.withColumn("ex", v.pack(v.cross(v.vec("ey"), v.vec("ez"))))
+    return step.drop("dy", "dp", "plane", "normal")
 
 
 def into_frame(rows: DataFrame, x="x", y="y", z="z", digits: int | None = 4) -> DataFrame:
@@ -171,18 +172,25 @@ def into_frame(rows: DataFrame, x="x", y="y", z="z", digits: int | None = 4) ->
     return moved.withColumns(new).drop("_d")
 
 
-def frame_coordinates(atoms: DataFrame, frames: Sequence[dict], only: Sequence[int] | None = None) -> DataFrame:
-    """Atoms in each local frame, rounded to 4 decimals."""
+def frame_coordinates(
+    atoms: DataFrame, frames: Sequence[dict], only: Sequence[int] | None = None, digits: int | None = 4
+) -> DataFrame:
+    """Atoms in each local frame, rounded to `digits` decimals (None: not rounded)."""
     basis = local_frames(atoms, frames)
     chosen = atoms.where(F.col("atom_idx").isin(*only)) if only else atoms
-    return into_frame(chosen.join(basis, "mol_id")).select("mol_id", "spec_id", "atom_idx", "element", "x", "y", "z")
+    return into_frame(chosen.join(basis, "mol_id"), digits=digits).select("mol_id", "spec_id", "atom_idx", "element", "x", "y", "z")
 
 
 def charge_dipoles(
-    atoms: DataFrame, charges: DataFrame, frames: Sequence[dict], scheme: str = "nbo", only: Sequence[int] | None = None
+    atoms: DataFrame,
+    charges: DataFrame,
+    frames: Sequence[dict],
+    scheme: str = "nbo",
+    only: Sequence[int] | None = None,
+    digits: int | None = 4,
 ) -> DataFrame:
     """Sum of charge times frame position per axis, and its norm (A3)."""
-    placed = frame_coordinates(atoms, frames, only)
+    placed = frame_coordinates(atoms, frames, only, digits)
     q = charges.where(F.col("scheme") == scheme).select("mol_id", "atom_idx", "charge")
     return (
         placed.join(q, ["mol_id", "atom_idx"])

@@ -173,7 +173,7 @@ def separate_overlaps(atoms: DataFrame, threshold: float = 0.5, shift: float = 0
     anchor = atoms.select("mol_id", F.col("atom_idx").alias("a"), *[F.col(c).alias(f"{c}0") for c in "xyz"])
     moved = first.join(anchor, ["mol_id", "a"]).withColumnRenamed("b", "atom_idx").drop("a")
     gap = F.sqrt(sum((F.col(c) - F.col(f"{c}0")) * (F.col(c) - F.col(f"{c}0")) for c in "xyz"))
-    new = {c: F.coalesce(F.col(f"{c}0") + shift * (F.col(c) - F.col(f"{c}0")) / gap, F.col(c)) for c in "xyz"}
+    new = {c: F.coalesce(F.col(f"{c}0") + F.try_divide(shift * (F.col(c) - F.col(f"{c}0")), gap), F.col(c)) for c in "xyz"}
     return atoms.join(moved, ["mol_id", "atom_idx"], "left").withColumns(new).drop("x0", "y0", "z0")
 
 
@@ -198,7 +198,7 @@ def nearest_within(points: DataFrame, atoms: DataFrame, cutoff: float, mismatch:
         .withColumn("dist", F.sqrt(square))
         .where(F.col("dist") <= cutoff)
         .groupBy("mol_id", "point_id")
-        .agg(F.min(F.struct("dist", "atom_idx")).alias("best"))
+        .agg(F.min(F.struct(F.round("dist", 9).alias("dist"), F.col("atom_idx"))).alias("best"))
         .select("mol_id", "point_id", "best.atom_idx", "best.dist")
     )
 

@@ -6,7 +6,7 @@ import importlib
 
 from orbitable.queries.registry import ORACLES, QUERIES
 
-_MODULES = ("molecules",)
+_MODULES = ("molecules", "sterics", "modes", "models")
 
 
 def load() -> None:

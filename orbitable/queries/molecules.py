@@ -295,7 +295,7 @@ def bond_length_matrix(t):
     return of.bond_length_table(t.bonds).select("mol_id", "a", "b", _r("dist"))
 
 
-_ANGLE = """CASE WHEN nu * nv > 0 THEN degrees(acos(least(1.0, greatest(-1.0, d / sqrt(nu * nv))))) END"""
+_ANGLE = """CASE WHEN nu > 1e-12 AND nv > 1e-12 THEN degrees(acos(least(1.0, greatest(-1.0, d / sqrt(nu * nv))))) END"""
 
 
 @query("angle_features", oracle(f"""
@@ -310,7 +310,7 @@ _ANGLE = """CASE WHEN nu * nv > 0 THEN degrees(acos(least(1.0, greatest(-1.0, d
     u AS (SELECT mol_id, 'angle_1-2-3' AS feature, ux*vx+uy*vy+uz*vz AS d, ux*ux+uy*uy+uz*uz AS nu, vx*vx+vy*vy+vz*vz AS nv FROM v
           UNION ALL
           SELECT mol_id, 'dihedral_1-2-3-4', ux*vx+uy*vy+uz*vz, ux*ux+uy*uy+uz*uz, vx*vx+vy*vy+vz*vz FROM n)
-    SELECT mol_id, feature, round(CASE WHEN nu > 1e-12 AND nv > 1e-12 THEN {_ANGLE} END, 4) + 0.0 AS value FROM u""", "atoms_v"))
+    SELECT mol_id, feature, round({_ANGLE}, 4) + 0.0 AS value FROM u""", "atoms_v"))
 def angle_features(t):
     return of.angles(t.atoms, [(1, 2, 3), (1, 2, 3, 4)]).select("mol_id", "feature", _r("value", 4))
 
@@ -371,8 +371,8 @@ FRAME_SQL = f"""
 
 PLACED_SQL = """,
     placed AS (SELECT a.mol_id, spec_id, atom_idx, element,
-        round(xx*(x-ox)+xy*(y-oy)+xz*(z-oz), 4) + 0.0 AS x, round(yx*(x-ox)+yy*(y-oy)+yz*(z-oz), 4) + 0.0 AS y,
-        round(zx*(x-ox)+zy*(y-oy)+zz*(z-oz), 4) + 0.0 AS z FROM atoms_v a JOIN frames f ON a.mol_id = f.mol_id)"""
+        xx*(x-ox)+xy*(y-oy)+xz*(z-oz) AS x, yx*(x-ox)+yy*(y-oy)+yz*(z-oz) AS y,
+        zx*(x-ox)+zy*(y-oy)+zz*(z-oz) AS z FROM atoms_v a JOIN frames f ON a.mol_id = f.mol_id)"""
 
 
 @query("frame_axes", oracle(FRAME_SQL + """
@@ -385,21 +385,21 @@ def frame_axes(t):
 
 
 @query("frame_coordinates", oracle(FRAME_SQL + PLACED_SQL + """
-    SELECT mol_id, spec_id, atom_idx, element, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM placed""",
+    SELECT mol_id, spec_id, atom_idx, element, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM placed""",
     "atoms_v"))
 def frame_coordinates(t):
-    return of.frame_coordinates(t.atoms, FRAMES).select(
-        "mol_id", "spec_id", "atom_idx", "element", _r("x", 3), _r("y", 3), _r("z", 3))
+    return of.frame_coordinates(t.atoms, FRAMES, digits=None).select(
+        "mol_id", "spec_id", "atom_idx", "element", _r("x", 5), _r("y", 5), _r("z", 5))
 
 
 @query("charge_dipole", oracle(FRAME_SQL + PLACED_SQL + """
     , d AS (SELECT p.mol_id, spec_id, sum(c.charge * x) AS dx, sum(c.charge * y) AS dy, sum(c.charge * z) AS dz
             FROM placed p JOIN charges_v c ON c.mol_id = p.mol_id AND c.atom_idx = p.atom_idx AND c.scheme = 'nbo' GROUP BY 1, 2)
-    SELECT mol_id, spec_id, round(dx, 4) + 0.0 AS dip_x, round(dy, 4) + 0.0 AS dip_y, round(dz, 4) + 0.0 AS dip_z,
-           round(sqrt(dx*dx+dy*dy+dz*dz), 4) AS total FROM d""", "atoms_v", "charges_v"))
+    SELECT mol_id, spec_id, round(dx, 6) + 0.0 AS dip_x, round(dy, 6) + 0.0 AS dip_y, round(dz, 6) + 0.0 AS dip_z,
+           round(sqrt(dx*dx+dy*dy+dz*dz), 6) AS total FROM d""", "atoms_v", "charges_v"))
 def charge_dipole(t):
-    return of.charge_dipoles(t.atoms, t.charges, FRAMES).select(
-        "mol_id", "spec_id", _r("dip_x", 4), _r("dip_y", 4), _r("dip_z", 4), _r("total", 4))
+    return of.charge_dipoles(t.atoms, t.charges, FRAMES, digits=None).select(
+        "mol_id", "spec_id", _r("dip_x"), _r("dip_y"), _r("dip_z"), _r("total"))
 
 
 @query("dipole_in_frame", oracle(FRAME_SQL + """
