@@ -6,7 +6,7 @@ import importlib
 
 from orbitable.queries.registry import ORACLES, QUERIES
 
-_MODULES = ("molecules", "sterics", "modes", "models")
+_MODULES = ("molecules", "sterics", "modes", "tables", "selection", "models")
 
 
 def load() -> None:

@@ -69,14 +69,17 @@ def model_gate_loo(t):
     return out.select("combo_key", _r("r2"), _r("q2"), _r("mae", 3))
 
 
-@query("feature_combinations", f"""
-    WITH f AS (SELECT unnest([{', '.join(repr(c) for c in FEATURES)}]) AS c, n FROM (SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem)))
-    SELECT c AS combo_key, 1 AS k FROM f UNION ALL
-    SELECT a.c || '|' || b.c, 2 FROM f a JOIN f b ON a.c < b.c UNION ALL
-    SELECT a.c || '|' || b.c || '|' || d.c, 3 FROM f a JOIN f b ON a.c < b.c JOIN f d ON b.c < d.c""")
+@query("feature_combinations", oracle(f"""
+    WITH n AS (SELECT count(*) AS n FROM samples_v WHERE {" AND ".join(f + " IS NOT NULL" for f in FEATURES)}),
+    f AS (SELECT unnest([{', '.join(repr(c) for c in FEATURES)}]) AS c)
+    SELECT c AS combo_key, 1 AS k, n AS n_rows FROM f, n UNION ALL
+    SELECT a.c || '|' || b.c, 2, n FROM f a JOIN f b ON a.c < b.c, n UNION ALL
+    SELECT a.c || '|' || b.c || '|' || d.c, 3, n FROM f a JOIN f b ON a.c < b.c JOIN f d ON b.c < d.c, n""", "samples_v"))
 def feature_combinations(t):
-    names = [c for c in t.samples.columns if c not in ("id", "y")]
-    return rg.combinations(t.spark, names, 1, 3).select("combo_key", "k")
+    rows = t.samples
+    names = clean.numeric_columns(rows, [c for c in rows.columns if c not in ("id", "y")])
+    n = moments(rows, names).n
+    return rg.combinations(t.spark, names, 1, 3).select("combo_key", "k", F.lit(n).cast("bigint").alias("n_rows"))
 
 
 @query("required_feature_models", oracle(_Z + """
