@@ -1,3 +1,10 @@
 """Molecular descriptor extraction and model search as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to executors travel by value, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -103,3 +103,42 @@ def search_models(
             relaxed = results.drop("q2", "mae", "rmsd").join(loo, "combo_key")
             top = top_models(relaxed, top_n, at_least)
     return top
+
+
+def search_classifiers(
+    rows: DataFrame,
+    features: Sequence[str],
+    target: str,
+    *,
+    smallest: int = 1,
+    largest: int = 2,
+    threshold: float = 0.5,
+    required: Sequence[str] = (),
+    folds: int = 5,
+    top_n: int = 50,
+    kind: str = "logit",
+    key: str = "id",
+    seed: int | None = 42,
+    store: str | None = None,
+) -> DataFrame:
+    """Fit classifiers for all subsets, gate on McFadden R2 (accuracy when there is none), cross-validate, rank."""
+    from orbitable.operators import classify as oc
+    from orbitable.operators import sampling as osm
+
+    spark = rows.sparkSession
+    rows = clean.standardise(rows, features)
+    combos = clean.has_required(rg.combinations(spark, features, smallest, largest), required)
+    old = load_results(spark, store) if store else None
+    fits = cut_lineage(oc.fit_classifiers(rows, skip_finished(combos, old), features, target, kind))
+    passed = fits.where(F.coalesce(F.col("mcfadden_r2"), F.col("accuracy")) > threshold)
+    results = fits.withColumn("threshold", F.lit(float(threshold)))
+    if passed.isEmpty():
+        scores = {c: F.lit(None).cast("double") for c in ("avg_accuracy", "avg_f1_score", "avg_mcfadden_r2")}
+        results = results.withColumns(scores)
+    else:
+        folded = osm.stratified_folds(rows, folds, target, key, seed)
+        results = results.join(oc.cross_validate_classifiers(folded, passed, features, target, kind=kind), "combo_key", "left")
+    if store:
+        append_results(results, store)
+        results = spark.read.parquet(store)
+    return rank_models(results, ["mcfadden_r2"]).limit(top_n)

@@ -181,11 +181,11 @@ def excess_classes(t):
 
 
 @query("name_differences", """
-    SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 25)""")
+    SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 4)""")
 def name_differences(t):
     li = t.table("lineitem")
     return li.select(F.col("l_partkey").alias("k")).distinct().join(
-        li.where("l_quantity < 25").select(F.col("l_partkey").alias("k")), "k", "left_anti")
+        li.where("l_quantity < 4").select(F.col("l_partkey").alias("k")), "k", "left_anti")
 
 
 # --- folds and samples --------------------------------------------------------------------------
