@@ -84,21 +84,34 @@ def shared_centres(bonds: DataFrame, pairs: Sequence[Sequence[int]]) -> DataFram
     )
 
 
-def direction_atoms(bonds: DataFrame, bases: Sequence[Sequence[int]]) -> DataFrame:
+def base_roles(spark, bases) -> tuple[DataFrame, list[str]]:
+    """Base atoms as rows (spec_id, origin, direction, wish, atom_idx), and the columns to join atoms on.
+
+    `bases` is a list [origin, direction(, third)] that holds for every molecule, or a table
+    mol_id, spec_id, origin, direction with the atoms of each molecule.
+    """
+    ends = F.explode(F.array("origin", "direction")).alias("atom_idx")
+    if isinstance(bases, DataFrame):
+        wish = F.lit(None).cast("int").alias("wish")
+        return bases.select("mol_id", "spec_id", "origin", "direction", wish, ends), ["mol_id", "atom_idx"]
+    rows = [(i, int(b[0]), int(b[1]), int(b[2]) if len(b) > 2 else None) for i, b in enumerate(bases, 1)]
+    table = spark.createDataFrame(rows, "spec_id int, origin int, direction int, wish int")
+    return broadcast_rows(table.select("spec_id", "origin", "direction", "wish", ends), 2 * len(rows)), ["atom_idx"]
+
+
+def direction_atoms(bonds: DataFrame, bases) -> DataFrame:
     """[origin, direction, third] per molecule for each base [origin, direction(, third)].
 
     The given third atom is kept when bonded to the direction atom; otherwise the lowest other
     neighbour of the direction atom, otherwise the lowest other neighbour of the origin.
     """
-    rows = [(i, int(b[0]), int(b[1]), int(b[2]) if len(b) > 2 else None) for i, b in enumerate(bases, 1)]
-    table = bonds.sparkSession.createDataFrame(rows, "spec_id int, origin int, direction int, wish int")
-    ends = both_ways(bonds)
-    roles = table.select("spec_id", "origin", "direction", "wish", F.explode(F.array("origin", "direction")).alias("atom_idx"))
+    roles, on = base_roles(bonds.sparkSession, bases)
     from_direction = F.col("atom_idx") == F.col("direction")
     usable = F.col("partner") != F.when(from_direction, F.col("origin")).otherwise(F.col("direction"))
     rank = F.when(from_direction & (F.col("partner") == F.col("wish")), 0).when(from_direction, 1).otherwise(2)
     return (
-        ends.join(broadcast_rows(roles, 2 * len(rows)), "atom_idx")
+        both_ways(bonds)
+        .join(roles, on)
         .where(usable)
         .groupBy("mol_id", "spec_id", "origin", "direction")
         .agg(F.min(F.struct(rank.alias("rank"), F.col("partner").alias("third"))).alias("pick"))

@@ -13,31 +13,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.operators.bonds import both_ways
+from orbitable.operators.bonds import base_roles, both_ways
 from orbitable.session import broadcast_rows, cut_lineage
 
 STATE = ["mol_id", "spec_id", "atom_idx"]
 
 
-def reachable(atoms: DataFrame, bonds: DataFrame, bases: Sequence[Sequence[int]]) -> DataFrame:
+def reachable(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
     """Atoms on simple paths source -> direction -> ...: mol_id, spec_id, atom_idx, depth.
 
     This is the source plus the component of the direction atom in the graph without the source.
     The pair (source, direction) need not be bonded. Molecules without both atoms drop out.
+    `bases` is a list of (source, direction) or a table mol_id, spec_id, origin, direction.
     """
-    rows = [(i, int(b[0]), int(b[1])) for i, b in enumerate(bases, 1)]
-    table = atoms.sparkSession.createDataFrame(rows, "spec_id int, source int, direction int")
-    roles = table.select("spec_id", "source", "direction", F.explode(F.array("source", "direction")).alias("atom_idx"))
+    roles, on = base_roles(atoms.sparkSession, bases)
     start = (
         atoms.select("mol_id", "atom_idx")
-        .join(broadcast_rows(roles, 2 * len(rows)), "atom_idx")
-        .groupBy("mol_id", "spec_id", "source", "direction")
+        .join(roles, on)
+        .groupBy("mol_id", "spec_id", F.col("origin").alias("source"), "direction")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") == 2)
     )
-    sources = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-    zero = start.select(*STATE[:2], F.col("source").alias("atom_idx"), F.lit(0).alias("depth"))
-    first = start.select(*STATE[:2], F.col("direction").alias("atom_idx"), F.lit(1).alias("depth"))
+    keys = ["mol_id", "spec_id", "source"]
+    zero = start.select(*keys, F.col("source").alias("atom_idx"), F.lit(0).alias("depth"))
+    first = start.select(*keys, F.col("direction").alias("atom_idx"), F.lit(1).alias("depth"))
     steps = cut_lineage(both_ways(bonds))
     levels, previous, frontier = [zero, first], zero, cut_lineage(first)
     depth = 1
@@ -46,8 +45,8 @@ def reachable(atoms: DataFrame, bonds: DataFrame, bases: Sequence[Sequence[int]]
         seen = previous.select(*STATE).unionByName(frontier.select(*STATE))
         new = (
             frontier.join(steps, ["mol_id", "atom_idx"])
-            .select("mol_id", "spec_id", F.col("partner").alias("atom_idx"))
-            .where(F.col("atom_idx") != sources[F.col("spec_id")])
+            .where(F.col("partner") != F.col("source"))
+            .select(*keys, F.col("partner").alias("atom_idx"))
             .distinct()
             .join(seen, STATE, "left_anti")
             .withColumn("depth", F.lit(depth))
@@ -60,7 +59,7 @@ def reachable(atoms: DataFrame, bonds: DataFrame, bases: Sequence[Sequence[int]]
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out
+    return out.drop("source")
 
 
 def hop_distances(bonds: DataFrame, atoms: DataFrame) -> DataFrame:

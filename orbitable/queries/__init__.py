@@ -6,7 +6,7 @@ import importlib
 
 from orbitable.queries.registry import ORACLES, QUERIES
 
-_MODULES = ("molecules", "sterics", "modes", "tables", "selection", "models", "classes", "texts")
+_MODULES = ("molecules", "sterics", "modes", "tables", "selection", "models", "classes", "texts", "checks")
 
 
 def load() -> None:
