@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from orbitable.operators.bonds import base_roles, both_ways
 from orbitable.session import broadcast_rows, cut_lineage
 
-STATE = ["mol_id", "spec_id", "atom_idx"]
+
+def _unseen(reached: DataFrame, seen: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """Distinct reached rows that no seen level holds, in one aggregation instead of distinct + anti-join."""
+    rows = reached.select(*key, F.lit(0).alias("_old"))
+    for level in seen:
+        rows = rows.unionByName(level.select(*key, F.lit(1).alias("_old")))
+    return rows.groupBy(*key).agg(F.max("_old").alias("_old")).where("_old = 0").drop("_old")
 
 
 def reachable(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
@@ -42,16 +48,12 @@ def reachable(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
     depth = 1
     while True:
         depth += 1
-        seen = previous.select(*STATE).unionByName(frontier.select(*STATE))
-        new = (
+        reached = (
             frontier.join(steps, ["mol_id", "atom_idx"])
             .where(F.col("partner") != F.col("source"))
             .select(*keys, F.col("partner").alias("atom_idx"))
-            .distinct()
-            .join(seen, STATE, "left_anti")
-            .withColumn("depth", F.lit(depth))
         )
-        new = cut_lineage(new)
+        new = cut_lineage(_unseen(reached, [previous, frontier], [*keys, "atom_idx"]).withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         levels.append(new)
@@ -77,15 +79,9 @@ def hop_distances(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     levels, depth = [frontier], 0
     while True:
         depth += 1
-        seen = frontier.select(*key) if previous is None else frontier.select(*key).unionByName(previous.select(*key))
-        new = (
-            frontier.join(steps, ["mol_id", "atom_idx"])
-            .select("mol_id", "source", F.col("partner").alias("atom_idx"))
-            .distinct()
-            .join(seen, key, "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        new = cut_lineage(new)
+        reached = frontier.join(steps, ["mol_id", "atom_idx"]).select("mol_id", "source", F.col("partner").alias("atom_idx"))
+        seen = [frontier] if previous is None else [frontier, previous]
+        new = cut_lineage(_unseen(reached, seen, key).withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         levels.append(new)

@@ -18,6 +18,7 @@ from orbitable.functions import vectors as v
 from orbitable.operators import bonds as ob
 from orbitable.operators import graph as og
 from orbitable.operators.frames import frames_from_points, into_frame
+from orbitable.session import cut_lineage
 
 STEP = 2 * math.pi / 99  # 100 samples from 0 to a full turn, both ends included
 COARSE = 18
@@ -105,6 +106,7 @@ def _scan(points: DataFrame, keys: list[str]) -> DataFrame:
 def extents(points: DataFrame, keys: Sequence[str] = ("mol_id", "spec_id"), digits: int = 4) -> DataFrame:
     """B1, B5, L, loc_B5, B1_B5_angle per key from placed atoms with radius."""
     keys = list(keys)
+    points = cut_lineage(points)  # read by the size, coarse and fine scans
     reach = F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")) + F.col("radius")
     far = outline_norm(F.col("x"), F.col("z"), F.col("radius"))
     ray = F.round(F.atan2(F.col("z"), F.col("x")) / STEP) * STEP

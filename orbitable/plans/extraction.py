@@ -67,7 +67,11 @@ def long_features(
     tables: dict[str, DataFrame], spec: dict, *, schemes: Sequence[str] = ("nbo", "hirshfeld", "cm5"), radii: str = "CPK",
     stretch: float = 1600.0, upper_stretch: float = 3500.0, bend: float = 1300.0,
 ) -> DataFrame:
-    """mol_id, feature, value for everything the spec asks for; missing values give no row."""
+    """mol_id, feature, value for everything the spec asks for; missing values give no row.
+
+    The tables are read once per kind of feature, so they should be stored tables (see
+    `sources.records`), not views with a long plan behind them.
+    """
     spec = spec if all(isinstance(v, list) for v in spec.values()) else parse_spec(spec)
     first = lambda key, default: float(spec[key][0][0]) if spec.get(key) else default
     stretch, upper_stretch, bend = first("stretch", stretch), first("upper_stretch", upper_stretch), first("bend", bend)

@@ -180,9 +180,9 @@ def feature_quality(t):
 
 
 @query("molecule_summary", oracle("""
-    SELECT mol_id, round(homo_lumo_gap_ev, 4) AS gap, round(dip_x, 6) + 0.0 AS dip_x FROM scalars_v""", "scalars_v"))
+    SELECT mol_id, round(homo_lumo_gap_ev, 7) AS gap, round(dip_x, 6) + 0.0 AS dip_x FROM scalars_v""", "scalars_v"))
 def molecule_summary(t):
-    return pe.molecule_summary(_tables(t)).select("mol_id", F.round("homo_lumo_gap_ev", 4).alias("gap"), _r("dip_x"))
+    return pe.molecule_summary(_tables(t)).select("mol_id", F.round("homo_lumo_gap_ev", 7).alias("gap"), _r("dip_x"))
 
 
 @query("model_report", oracle(_LINE + """

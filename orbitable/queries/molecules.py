@@ -30,7 +30,7 @@ def atom_pairs_within(t):
 
 @query("bond_table", oracle("SELECT mol_id, a, b, round(dist, 6) AS dist FROM bonds_v", "bonds_v"))
 def bond_table(t):
-    return t.bonds.select("mol_id", "a", "b", _r("dist"))
+    return on.connectivity(t.atoms).select("mol_id", "a", "b", _r("dist"))
 
 
 @query("bonds_by_cutoff", oracle(

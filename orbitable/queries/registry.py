@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitable.session import cut_lineage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -124,7 +126,7 @@ class Inputs:
     """Lazy DataFrames over one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._bonds = spark, folder, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -171,9 +173,12 @@ class Inputs:
 
     @property
     def bonds(self) -> DataFrame:
+        """The bond table, stored once per query: most users of bonds read them several times."""
         from orbitable.operators.neighbours import connectivity
 
-        return connectivity(self.atoms)
+        if self._bonds is None:
+            self._bonds = cut_lineage(connectivity(self.atoms))
+        return self._bonds
 
 
 def query(name: str, sql: str | None = None):

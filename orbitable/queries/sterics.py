@@ -102,7 +102,7 @@ def contact_score(t):
 
 
 @query("nearest_carbon", oracle("""
-    SELECT mol_id, point_id, atom_idx, round(dist, 6) AS dist FROM (
+    SELECT mol_id, point_id, atom_idx, round(round(dist, 9), 6) AS dist FROM (
         SELECT p.mol_id, p.atom_idx AS point_id, q.atom_idx, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS dist,
                row_number() OVER (PARTITION BY p.mol_id, p.atom_idx ORDER BY round((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z), 9), q.atom_idx) AS k
         FROM atoms_v p JOIN atoms_v q ON p.mol_id = q.mol_id WHERE p.element <> 'C' AND q.element = 'C') WHERE k = 1""", "atoms_v"))
@@ -116,7 +116,7 @@ def nearest_carbon(t):
                FROM atoms_v p JOIN atoms_v q ON p.mol_id = q.mol_id WHERE p.element IN ('C', 'H') AND q.element IN ('N', 'O')),
     k AS (SELECT *, row_number() OVER (PARTITION BY mol_id, l ORDER BY round(dist, 9), r) AS a,
                  row_number() OVER (PARTITION BY mol_id, r ORDER BY round(dist, 9), l) AS b FROM d WHERE dist <= 1.2)
-    SELECT mol_id, l AS left_idx, r AS right_idx, round(dist, 6) AS dist FROM k WHERE a = 1 AND b = 1""", "atoms_v"))
+    SELECT mol_id, l AS left_idx, r AS right_idx, round(round(dist, 9), 6) AS dist FROM k WHERE a = 1 AND b = 1""", "atoms_v"))
 def mutual_nearest(t):
     left, right = t.atoms.where("element IN ('C', 'H')"), t.atoms.where("element IN ('N', 'O')")
     return on.mutual_nearest(left, right, 1.2).select("mol_id", "left_idx", "right_idx", _r("dist", 6))

@@ -107,13 +107,13 @@ def log_displacements(t):
 
 
 @query("log_frontier_gap", """
-    SELECT o_orderkey AS mol_id, round((round(o_totalprice / 1000000, 5) + 0.25) * 27.2114, 4) AS homo_lumo_gap_ev FROM orders""")
+    SELECT o_orderkey AS mol_id, round((o_totalprice / 1000000 + 0.25) * 27.2114, 6) AS homo_lumo_gap_ev FROM orders""")
 def log_frontier_gap(t):
-    gap = _num(F.round(F.col("o_totalprice") / 1000000, 5), 5)
+    gap = _num(F.col("o_totalprice") / 1000000, 10)
     text = t.table("orders").select(F.col("o_orderkey").alias("mol_id"), F.concat(
         F.lit("Alpha  occ. eigenvalues -- -9.0 -8.0\nAlpha virt. eigenvalues -- 5.0\nAlpha  occ. eigenvalues -- -0.90 -0.25000\nAlpha virt. eigenvalues -- "),
         gap, F.lit(" 3.0\n")).alias("text"))
-    return sl.frontier_gaps(text).select("mol_id", _r("homo_lumo_gap_ev", 4))
+    return sl.frontier_gaps(text).select("mol_id", _r("homo_lumo_gap_ev"))
 
 
 @query("log_listed_bonds", oracle("""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +28,27 @@ def build_session(app: str = "orbitable", master: str | None = None, conf: dict
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session may fall back to a scratch folder."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; only a local session may fall back to its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        sc.setCheckpointDir(configured)
-        return
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="orbitable-checkpoint-"))
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="orbitable-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to a table in the checkpoint folder and read it back.
+
+    Lineage ends there, so a lost executor costs no recomputation; unlike an RDD checkpoint the
+    table keeps column pruning, filters and size statistics for the plans that follow.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/orbitable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_rows(df: DataFrame, n_rows: int) -> DataFrame:
