@@ -24,11 +24,15 @@ PASS_LIMIT = 60  # Newton passes before a model counts as not converged
 
 @dataclass
 class Job:
-    """One model to fit: a feature list and the fold left out (None: fit on all rows)."""
+    """One model to fit: a feature list, the fold left out (None: fit on all rows) and the L2 penalty.
+
+    ridge is 0 for maximum likelihood, 1 for the usual penalty on standardised features.
+    """
 
     key: str
     features: list[str]
     fold: int | None = None
+    ridge: float = 0.0
     theta: np.ndarray | None = None
     done: bool = False
     converged: bool = False
@@ -105,12 +109,11 @@ def _design(batch: pd.DataFrame, features: list[str], kind: str) -> np.ndarray:
 class LogisticFitter:
     """Fits many subsets over the same rows.
 
-    ridge: 0 for maximum likelihood, 1 for the usual L2 penalty on standardised features.
     kind: "logit" (binary or multinomial) or "ordinal" (proportional odds).
     """
 
-    def __init__(self, rows: DataFrame, features: Sequence[str], target: str, ridge: float = 0.0, kind: str = "logit", fold: str | None = None):
-        self.features, self.target, self.ridge, self.kind = list(features), target, ridge, kind
+    def __init__(self, rows: DataFrame, features: Sequence[str], target: str, kind: str = "logit", fold: str | None = None):
+        self.features, self.target, self.kind = list(features), target, kind
         good = complete_rows(rows, self.features).where(F.col(target).isNotNull())
         self.labels = class_labels(good, target)
         if len(self.labels) < 2:
@@ -122,23 +125,26 @@ class LogisticFitter:
         self.rows = cut_lineage(
             good.select(*[F.col(c).cast("double").alias(c) for c in self.features], code.cast("int").alias("_code"), fold_column.alias("_fold"))
         )
-        self.full = kind == "logit" and ridge > 0 and len(self.labels) > 2
+
+    def full(self, job: Job) -> bool:
+        """With a penalty and several classes every class has its own weights."""
+        return self.kind == "logit" and job.ridge > 0 and len(self.labels) > 2
 
     def _start(self, job: Job) -> np.ndarray:
         k, d = len(self.labels), len(job.features)
         if self.kind == "ordinal":
             return np.concatenate([np.linspace(-1, 1, k - 1) if k > 2 else np.zeros(1), np.zeros(d)])
-        return np.zeros((k if self.full else k - 1) * (d + 1))
+        return np.zeros((k if self.full(job) else k - 1) * (d + 1))
 
     def _pass(self, jobs: list[Job]) -> dict[int, tuple]:
-        kind, full, n_classes = self.kind, self.full, len(self.labels)
-        spec = [(i, j.features, j.fold, j.theta) for i, j in enumerate(jobs)]
+        kind, n_classes = self.kind, len(self.labels)
+        spec = [(i, j.features, j.fold, j.theta, self.full(j)) for i, j in enumerate(jobs)]
 
         def partial(batches):
             sums: dict = {}
             for batch in batches:
                 code, fold = batch["_code"].to_numpy(), batch["_fold"].to_numpy()
-                for i, names, out_fold, theta in spec:
+                for i, names, out_fold, theta, full in spec:
                     keep = slice(None) if out_fold is None else fold != out_fold
                     z, c = _design(batch, names, kind)[keep], code[keep]
                     if not len(c):
@@ -169,7 +175,7 @@ class LogisticFitter:
         return out
 
     def _penalty(self, job: Job) -> np.ndarray:
-        weights = np.full(len(job.theta), self.ridge)
+        weights = np.full(len(job.theta), job.ridge)
         if self.kind == "ordinal":
             weights[: len(self.labels) - 1] = 0.0
         else:
@@ -215,14 +221,14 @@ class LogisticFitter:
 
     def evaluate(self, jobs: list[Job]) -> pd.DataFrame:
         """Confusion counts and log-likelihood per job on its own rows (the left-out fold, or all)."""
-        kind, full, n_classes = self.kind, self.full, len(self.labels)
-        spec = [(i, j.features, j.fold, j.theta) for i, j in enumerate(jobs)]
+        kind, n_classes = self.kind, len(self.labels)
+        spec = [(i, j.features, j.fold, j.theta, self.full(j)) for i, j in enumerate(jobs)]
 
         def partial(batches):
             counts: dict = {}
             for batch in batches:
                 code, fold = batch["_code"].to_numpy(), batch["_fold"].to_numpy()
-                for i, names, in_fold, theta in spec:
+                for i, names, in_fold, theta, full in spec:
                     keep = slice(None) if in_fold is None else fold == in_fold
                     z, c = _design(batch, names, kind)[keep], code[keep]
                     if not len(c):
@@ -280,19 +286,18 @@ def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str],
     """Scores per combination (M13): class scores of the penalised model, McFadden R2 of the unpenalised one."""
     from orbitable.operators.regress import model_chunks
 
-    hard = LogisticFitter(rows, features, target, 0.0, kind)
-    soft = LogisticFitter(rows, features, target, 0.0 if kind == "ordinal" else 1.0, kind)
-    spark, k, out = rows.sparkSession, len(hard.labels), None
+    fitter = LogisticFitter(rows, features, target, kind)
+    soft = 0.0 if kind == "ordinal" else 1.0
+    spark, k, out = rows.sparkSession, len(fitter.labels), None
     for models in model_chunks(combos.select("combo_key", "combo")):
         for at in range(0, len(models), chunk):
             part = models[at: at + chunk]
-            plain = hard.fit([Job(r["combo_key"], list(r["combo"])) for r in part])
-            ridge = soft.fit([Job(r["combo_key"], list(r["combo"])) for r in part])
-            ll, table = hard.evaluate(plain), soft.evaluate(ridge)
-            data = []
-            for i, j in enumerate(plain):
-                s = scores(table[table["job"] == i], k)
-                s["mcfadden_r2"] = scores(ll[ll["job"] == i], k)["mcfadden_r2"]
+            # Both fits of every model share the passes.
+            jobs = fitter.fit([Job(r["combo_key"], list(r["combo"]), ridge=x) for x in (0.0, soft) for r in part])
+            table, n, data = fitter.evaluate(jobs), len(part), []
+            for i, j in enumerate(jobs[:n]):
+                s = scores(table[table["job"] == n + i], k)
+                s["mcfadden_r2"] = scores(table[table["job"] == i], k)["mcfadden_r2"]
                 data.append((j.key, j.features, len(j.features), *[None if s[c] is None else float(s[c]) for c in ("accuracy", "precision", "recall", "f1_score", "mcfadden_r2")], j.converged))
             new = spark.createDataFrame(data, RESULT_SCHEMA)
             out = new if out is None else out.unionByName(new)
@@ -305,14 +310,15 @@ def cross_validate_classifiers(
     """Mean accuracy, weighted F1 and McFadden R2 over the folds (M16); folds of one class have no R2."""
     from orbitable.operators.regress import model_chunks
 
-    fitter = LogisticFitter(folded, features, target, 0.0 if kind == "ordinal" else 1.0, kind, fold)
+    fitter = LogisticFitter(folded, features, target, kind, fold)
+    ridge = 0.0 if kind == "ordinal" else 1.0
     folds = [r[0] for r in fitter.rows.select("_fold").distinct().orderBy("_fold").collect()]
     spark, k, out = folded.sparkSession, len(fitter.labels), None
     per_pass = max(1, chunk // len(folds))
     for models in model_chunks(combos.select("combo_key", "combo")):
         for at in range(0, len(models), per_pass):
             part = models[at: at + per_pass]
-            jobs = fitter.fit([Job(r["combo_key"], list(r["combo"]), f) for r in part for f in folds])
+            jobs = fitter.fit([Job(r["combo_key"], list(r["combo"]), f, ridge) for r in part for f in folds])
             table = fitter.evaluate(jobs)
             data = []
             for m, r in enumerate(part):
@@ -327,8 +333,8 @@ def cross_validate_classifiers(
 
 def probability_table(rows: DataFrame, features: Sequence[str], target: str, key: str = "id", ridge: float = 1.0, kind: str = "logit") -> DataFrame:
     """key, y, p_<class> and the predicted class as column expressions."""
-    fitter = LogisticFitter(rows, features, target, ridge if kind == "logit" else 0.0, kind)
-    job = fitter.fit([Job("all", list(features))])[0]
+    fitter = LogisticFitter(rows, features, target, kind)
+    job = fitter.fit([Job("all", list(features), ridge=ridge if kind == "logit" else 0.0)])[0]
     k, labels = len(fitter.labels), fitter.labels
     x = [F.col(c).cast("double") for c in features]
     if kind == "ordinal":
@@ -339,7 +345,7 @@ def probability_table(rows: DataFrame, features: Sequence[str], target: str, key
         out = rows.select(key, F.col(target).alias("y"), *[c.alias(f"p_{v}") for c, v in zip(p, labels)])
     else:
         theta = job.theta.reshape(-1, len(features) + 1)
-        logits = [] if fitter.full else [F.lit(0.0)]
+        logits = [] if fitter.full(job) else [F.lit(0.0)]
         logits += [sum((float(b) * c for b, c in zip(t[1:], x)), F.lit(float(t[0]))) for t in theta]
         step = rows.select(key, F.col(target).alias("y"), *[c.alias(f"_s{i}") for i, c in enumerate(logits)])
         top = F.greatest(*[F.col(f"_s{i}") for i in range(k)])
@@ -354,10 +360,10 @@ def probability_table(rows: DataFrame, features: Sequence[str], target: str, key
 
 def classify_left_out(rows: DataFrame, left_out: DataFrame, features: Sequence[str], target: str, key: str = "id") -> DataFrame:
     """Train on `rows`, classify `left_out` (M14): key, y, predicted."""
-    fitter = LogisticFitter(rows, features, target, 1.0)
-    job = fitter.fit([Job("all", list(features))])[0]
+    fitter = LogisticFitter(rows, features, target)
+    job = fitter.fit([Job("all", list(features), ridge=1.0)])[0]
     theta = job.theta.reshape(-1, len(features) + 1)
-    logits = [] if fitter.full else [F.lit(0.0)]
+    logits = [] if fitter.full(job) else [F.lit(0.0)]
     logits += [sum((float(b) * F.col(c) for b, c in zip(t[1:], features)), F.lit(float(t[0]))) for t in theta]
     filled = left_out.fillna(0.0, list(features))
     step = filled.select(key, F.col(target).alias("y"), *[c.alias(f"_s{i}") for i, c in enumerate(logits)])

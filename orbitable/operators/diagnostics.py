@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from orbitable.functions.distributions import chi2_upper, f_upper
 from orbitable.operators.moments import complete_rows, moment_rows, moments, unpack
@@ -18,7 +19,7 @@ from orbitable.operators.sampling import k_folds
 from orbitable.session import cut_lineage
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _log_normal_cdf(z: pd.Series) -> pd.Series:
     root = math.sqrt(2)
     return z.map(lambda x: math.log(max(0.5 * math.erfc(-x / root), 1e-300)))

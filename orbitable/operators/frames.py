@@ -189,9 +189,23 @@ def charge_dipoles(
     only: Sequence[int] | None = None,
     digits: int | None = 4,
 ) -> DataFrame:
-    """Sum of charge times frame position per axis, and its norm (A3)."""
-    placed = frame_coordinates(atoms, frames, only, digits)
+    """Sum of charge times frame position per axis, and its norm (A3).
+
+    With unrounded coordinates the sum is linear: the charge moments of a molecule are summed first
+    (partial sums, whatever the size of the molecule) and only they are turned into the frame.
+    """
     q = charges.where(F.col("scheme") == scheme).select("mol_id", "atom_idx", "charge")
+    if digits is None:
+        chosen = atoms.where(F.col("atom_idx").isin(*only)) if only else atoms
+        sums = chosen.join(q, ["mol_id", "atom_idx"]).groupBy("mol_id").agg(
+            F.sum("charge").alias("_q"), *[F.sum(F.col("charge") * F.col(c)).alias(f"_{c}") for c in "xyz"]
+        )
+        rows = sums.join(local_frames(atoms, frames), "mol_id")
+        shifted = tuple(F.col(f"_{c}") - F.col("_q") * F.col(f"origin.{c}") for c in "xyz")
+        rows = rows.withColumn("_m", v.pack(shifted))
+        axes = [v.dot(v.vec(e), v.vec("_m")).alias(f"dip_{c}") for c, e in zip("xyz", ("ex", "ey", "ez"))]
+        return rows.select("mol_id", "spec_id", *axes).withColumn("total", v.norm(v.cols("dip_x", "dip_y", "dip_z")))
+    placed = frame_coordinates(atoms, frames, only, digits)
     return (
         placed.join(q, ["mol_id", "atom_idx"])
         .groupBy("mol_id", "spec_id")

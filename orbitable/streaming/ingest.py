@@ -10,7 +10,7 @@ from orbitable.sources.xyz import molecule_name, xyz_rows
 
 def stream_texts(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """New files of a folder as (mol_id, text), at most `max_files` per micro-batch."""
-    raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(folder)
+    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
     return raw.select(molecule_name(F.input_file_name()).alias("mol_id"), F.col("value").alias("text"))
 
 
