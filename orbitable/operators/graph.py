@@ -101,6 +101,46 @@ def graph_diameters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     )
 
 
+def longest_paths(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Atoms along a longest shortest path, from its lower end: mol_id, position, atom_idx.
+
+    A breadth-first walk from the lower end notes the lowest parent of every atom; the path is read
+    back from the upper end.
+    """
+    ends = cut_lineage(graph_diameters(bonds, atoms))
+    steps = cut_lineage(both_ways(bonds))
+    level = ends.select("mol_id", F.col("first").alias("atom_idx"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("depth"))
+    levels, previous, depth = [level], None, 0
+    while True:
+        depth += 1
+        seen = level.select("mol_id", "atom_idx")
+        seen = seen if previous is None else seen.unionByName(previous.select("mol_id", "atom_idx"))
+        new = cut_lineage(
+            level.select("mol_id", "atom_idx").join(steps, ["mol_id", "atom_idx"])
+            .groupBy("mol_id", F.col("partner").alias("_next")).agg(F.min("atom_idx").alias("parent"))
+            .withColumnRenamed("_next", "atom_idx")
+            .join(seen, ["mol_id", "atom_idx"], "left_anti")
+            .select("mol_id", "atom_idx", "parent", F.lit(depth).alias("depth"))
+        )
+        if new.isEmpty():
+            break
+        levels.append(new)
+        previous, level = level, new
+    at = ends.select("mol_id", F.col("last").alias("atom_idx"), F.col("diameter").alias("position"))
+    path = at.where("position = 0")
+    for d in range(len(levels) - 1, 0, -1):
+        # Paths of length d start here; longer ones arrive from the level above.
+        here = at.where(F.col("position") == d)
+        if d < len(levels) - 1:
+            here = here.unionByName(came)  # noqa: F821
+        here = cut_lineage(here)
+        path = path.unionByName(here)
+        came = here.join(levels[d].drop("depth"), ["mol_id", "atom_idx"]).select(
+            "mol_id", F.col("parent").alias("atom_idx"), F.lit(d - 1).alias("position")
+        )
+    return path.unionByName(came) if len(levels) > 1 else path
+
+
 def six_rings(bonds: DataFrame, seeds: Sequence[int]) -> DataFrame:
     """The six-membered ring through each seed atom: mol_id, seed, r0..r5 in ring order.
 

@@ -9,6 +9,8 @@ share of all atoms is spread over its cells, hence over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -255,3 +257,24 @@ def clash_score(candidates: DataFrame, hosts: DataFrame, slack: float = 0.2) ->
         .groupBy("mol_id", "candidate_id")
         .agg((-F.coalesce(F.sum(overlap * overlap), F.lit(0.0))).alias("score"))
     )
+
+
+def alignment_loss(points: DataFrame, targets: DataFrame, sigma: float = 20.0) -> DataFrame:
+    """Per molecule, the sum over points of the least 1 - 2 / (1 + exp(sigma d)) + 5 d to a target.
+
+    The term grows with the distance, so the least one belongs to the nearest target.
+    """
+    d = F.col("dist")
+    term = 1 - 2 / (1 + F.exp(F.least(sigma * d, F.lit(700.0)))) + 5 * d
+    return nearest_atom(points, targets).groupBy("mol_id").agg(F.sum(term).alias("loss"))
+
+
+def sphere_directions(spark, n: int) -> DataFrame:
+    """n evenly spread unit vectors on a Fibonacci sphere: direction_id, x, y, z."""
+    i = F.col("id") + 0.5
+    height = 1 - 2 * i / n
+    ring = F.sqrt(1 - height * height)
+    turn = F.lit(math.pi * (1 + math.sqrt(5))) * i
+    return spark.range(n).select(
+        F.col("id").alias("direction_id"), (F.cos(turn) * ring).alias("x"), (F.sin(turn) * ring).alias("y"), height.alias("z")
+    )

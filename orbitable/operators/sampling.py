@@ -59,6 +59,17 @@ def weighted_draw(df: DataFrame, n: int, weight: str | None = None, key: str = "
     return df.where(p > 0).withColumn("_k", F.try_divide(-F.log(u), p)).orderBy("_k", key).limit(n).drop("_k")
 
 
+def draw_with_replacement(df: DataFrame, n: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """n uniform draws with replacement; a row drawn twice appears twice, with its draw number."""
+    total = df.count()
+    rows, order, bucket = _order(df, key, seed)
+    ranked = numbered(rows, [], order, bucket, "_r").drop("_o")
+    draws = df.sparkSession.range(1, n + 1).select(
+        F.col("id").alias("draw"), (F.pmod(hash_order(F.col("id"), seed=seed + 1), F.lit(total)) + 1).alias("_r")
+    )
+    return draws.join(ranked, "_r").drop("_r")
+
+
 def class_sizes(df: DataFrame, group: str = "y") -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n"))
 

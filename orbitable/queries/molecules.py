@@ -497,3 +497,31 @@ def six_rings(t):
     "ends_v"))
 def motif_match(t):
     return og.match_motif(t.atoms, t.bonds, ["C", "N", "O"], [(1, 2), (2, 3)])
+
+
+@query("motif_reordered", oracle("""
+    WITH m AS (SELECT x.mol_id, x.atom_idx AS m1, y.atom_idx AS m2, row_number() OVER (PARTITION BY x.mol_id ORDER BY x.atom_idx, y.atom_idx) AS k
+               FROM atoms_v x JOIN ends_v e ON e.mol_id = x.mol_id AND e.atom_idx = x.atom_idx
+               JOIN atoms_v y ON y.mol_id = e.mol_id AND y.atom_idx = e.partner WHERE x.element = 'C' AND y.element = 'O')
+    SELECT m.mol_id, 1 AS atom_idx, element, round(x, 6) AS x FROM m JOIN atoms_v a ON a.mol_id = m.mol_id AND a.atom_idx = m1 WHERE k = 1
+    UNION ALL SELECT m.mol_id, 2, element, round(x, 6) FROM m JOIN atoms_v a ON a.mol_id = m.mol_id AND a.atom_idx = m2 WHERE k = 1""", "ends_v"))
+def motif_reordered(t):
+    found = og.match_motif(t.atoms, t.bonds, ["C", "O"], [(1, 2)])
+    return og.reorder_by_motif(t.atoms, found, 2).select("mol_id", "atom_idx", "element", _r("x"))
+
+
+@query("ring_opposite_pairs", oracle(_RINGS + """
+    SELECT mol_id, pair_no, a, b FROM rings, LATERAL (VALUES (1, r3, 1), (2, r1, r5), (3, r2, r4)) p(pair_no, a, b)""", "ends_v"))
+def ring_opposite_pairs(t):
+    return og.opposite_pairs(og.six_rings(t.bonds, [1])).select("mol_id", "pair_no", "a", "b")
+
+
+@query("longest_path", oracle("""
+    WITH h AS (SELECT mol_id, atom_idx AS s, atom_idx AS t, 0 AS depth FROM atoms_v
+               UNION SELECT h.mol_id, h.s, e.partner, h.depth + 1 FROM h JOIN ends_v e
+                 ON e.mol_id = h.mol_id AND e.atom_idx = h.t WHERE h.depth < 12),
+    d AS (SELECT mol_id, s, t, min(depth) AS depth FROM h GROUP BY 1, 2, 3)
+    SELECT mol_id, max(depth) + 1 AS n_atoms FROM d GROUP BY mol_id""", "ends_v", recursive=True))
+def longest_path(t):
+    path = og.longest_paths(t.bonds, t.atoms)
+    return path.groupBy("mol_id").agg(F.count("*").cast("int").alias("n_atoms"))

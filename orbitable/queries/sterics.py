@@ -120,3 +120,21 @@ def nearest_carbon(t):
 def mutual_nearest(t):
     left, right = t.atoms.where("element IN ('C', 'H')"), t.atoms.where("element IN ('N', 'O')")
     return on.mutual_nearest(left, right, 1.2).select("mol_id", "left_idx", "right_idx", _r("dist", 6))
+
+
+@query("alignment_loss", oracle("""
+    WITH d AS (SELECT p.mol_id, p.atom_idx, min(sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))) AS d
+               FROM atoms_v p JOIN atoms_v q ON p.mol_id = q.mol_id WHERE p.element <> 'C' AND q.element = 'C' GROUP BY 1, 2)
+    SELECT mol_id, round(sum(1 - 2 / (1 + exp(20 * d)) + 5 * d), 5) AS loss FROM d GROUP BY mol_id""", "atoms_v"))
+def alignment_loss(t):
+    points = t.atoms.where("element <> 'C'").withColumnRenamed("atom_idx", "point_id")
+    return on.alignment_loss(points, t.atoms.where("element = 'C'")).select("mol_id", _r("loss", 5))
+
+
+@query("cube_extents", None)
+def cube_extents(t):
+    from orbitable.queries.texts import _cube_text
+    from orbitable.sources import grid as sg
+
+    points = sg.surface_points(sg.cube_grid(_cube_text(t)), 0.0031)
+    return ost.cube_sterimol(points, t.atoms, t.bonds, [(1, 2)])

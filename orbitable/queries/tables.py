@@ -221,6 +221,11 @@ def weighted_draw(t):
         F.count("*").cast("int").alias("n"), F.count_distinct("id").cast("int").alias("ids"))
 
 
+@query("draws_with_replacement", oracle("SELECT 300 AS n FROM (SELECT count(*) AS c FROM samples_v) WHERE c > 0", "samples_v"))
+def draws_with_replacement(t):
+    return osm.draw_with_replacement(t.samples, 300).agg(F.count("*").cast("int").alias("n"))
+
+
 @query("stratified_sample", """
     SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders)
     WHERE r <= 40""")

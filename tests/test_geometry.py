@@ -165,3 +165,19 @@ def test_buried_volume_equals_brute_force(spark):
             n, k = want.get(o, (0, 0))
             want[o] = (n + 1, k + inside)
     assert got == want
+
+
+def test_longest_path_is_a_walk(spark):
+    a, b = chain(spark, [(1, 5), (5, 2), (2, 6), (6, 3), (2, 4)])
+    path = [r["atom_idx"] for r in og.longest_paths(b, a).orderBy("position").collect()]
+    assert path == [1, 5, 2, 6, 3]
+
+
+def test_alignment_loss_and_directions(spark):
+    host = atoms(spark, "m", [("C", (0, 0, 0)), ("C", (9, 0, 0))])
+    points = spark.createDataFrame([("m", 1, 0.5, 0.0, 0.0), ("m", 2, 9.0, 0.0, 0.0)], "mol_id string, point_id int, x double, y double, z double")
+    want = 1 - 2 / (1 + math.exp(20 * 0.5)) + 2.5
+    assert math.isclose(on.alignment_loss(points, host).first()["loss"], want, rel_tol=1e-12)
+    d = on.sphere_directions(spark, 50).collect()
+    assert all(math.isclose(r["x"] ** 2 + r["y"] ** 2 + r["z"] ** 2, 1) for r in d)
+    assert np.linalg.norm([sum(r[c] for r in d) for c in "xyz"]) < 1.5
