@@ -17,6 +17,9 @@ from orbitable.operators.bonds import base_roles, both_ways
 from orbitable.session import broadcast_rows, cut_lineage
 
 
+SMALL = 64  # atoms; walks from all of them stay a bounded amount of work per molecule
+
+
 def _unseen(reached: DataFrame, seen: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Distinct reached rows that no seen level holds, in one aggregation instead of distinct + anti-join."""
     rows = reached.select(*key, F.lit(0).alias("_old"))
@@ -64,18 +67,15 @@ def reachable(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
     return out.drop("source")
 
 
-def hop_distances(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Shortest hop counts between bonded-connected atoms: mol_id, source, atom_idx, depth.
+def hop_distances(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hop counts from given sources (mol_id, source): mol_id, source, atom_idx, depth.
 
-    The result holds every connected pair, so it is meant for molecules, not for huge networks;
-    `longest_shortest_path` only keeps what it needs.
+    `steps` is the bond table from both ends, stored. The result has a row per source and atom it
+    reaches, so the caller keeps the sources few.
     """
-    steps = cut_lineage(both_ways(bonds))
     key = ["mol_id", "source", "atom_idx"]
     previous = None
-    frontier = cut_lineage(
-        atoms.select("mol_id", F.col("atom_idx").alias("source"), "atom_idx", F.lit(0).alias("depth"))
-    )
+    frontier = cut_lineage(sources.select("mol_id", "source", F.col("source").alias("atom_idx"), F.lit(0).alias("depth")))
     levels, depth = [frontier], 0
     while True:
         depth += 1
@@ -92,10 +92,71 @@ def hop_distances(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     return out
 
 
+def components(steps: DataFrame) -> DataFrame:
+    """Connected components of bonded atoms: mol_id, atom_idx, component (its lowest atom).
+
+    Only atoms whose label changed send it on.
+    """
+    state = cut_lineage(steps.select("mol_id", "atom_idx").distinct().withColumn("component", F.col("atom_idx")))
+    changed = state
+    while True:
+        sent = changed.join(steps, ["mol_id", "atom_idx"]).select(
+            "mol_id", F.col("partner").alias("atom_idx"), "component", F.lit(None).cast("int").alias("own")
+        )
+        state = cut_lineage(
+            state.select("mol_id", "atom_idx", "component", F.col("component").cast("int").alias("own")).unionByName(sent)
+            .groupBy("mol_id", "atom_idx").agg(F.min("component").alias("component"), F.max("own").alias("own"))
+        )
+        changed = state.where(F.col("component") < F.col("own")).drop("own")
+        state = state.drop("own")
+        if changed.isEmpty():
+            return state
+
+
+def _far_sources(steps: DataFrame) -> DataFrame:
+    """Atoms one of which ends a longest shortest path of each component: mol_id, source.
+
+    Two sweeps give a long path a..b of length L; u is its middle. Two atoms within L / 2 of u are at
+    most L apart, so a longer path must end in an atom further than L / 2 from u. Those, and a, are
+    enough, and in molecule-like graphs they are few.
+    """
+    def ends(hops: DataFrame) -> DataFrame:
+        best = F.min(F.struct((-F.col("depth")).alias("d"), F.col("atom_idx").alias("end")))
+        return hops.groupBy("mol_id", "source").agg(best.alias("b")).select(
+            "mol_id", "source", F.col("b.end").alias("end"), (-F.col("b.d")).alias("length"))
+
+    first = cut_lineage(ends(hop_distances(steps, components(steps).select("mol_id", F.col("component").alias("source")).distinct())))
+    from_a = hop_distances(steps, first.select("mol_id", F.col("end").alias("source")))
+    second = cut_lineage(ends(from_a))
+    from_b = hop_distances(steps, second.select("mol_id", F.col("end").alias("source")))
+    both = from_a.select("mol_id", F.col("source").alias("a"), "atom_idx", F.col("depth").alias("da")).join(
+        from_b.select("mol_id", "atom_idx", F.col("depth").alias("db")), ["mol_id", "atom_idx"])
+    middle = both.groupBy("mol_id", "a").agg(
+        F.min(F.struct(F.greatest("da", "db").alias("r"), F.col("atom_idx").alias("u"))).alias("m")
+    ).join(second.select("mol_id", F.col("source").alias("a"), "length"), ["mol_id", "a"])
+    middle = cut_lineage(middle.select("mol_id", "a", "length", F.col("m.u").alias("source")))
+    levels = hop_distances(steps, middle.select("mol_id", "source"))
+    outer = levels.join(middle, ["mol_id", "source"]).where(2 * F.col("depth") > F.col("length")).select("mol_id", F.col("atom_idx").alias("source"))
+    return outer.unionByName(middle.select("mol_id", F.col("a").alias("source"))).distinct()
+
+
 def graph_diameters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Longest shortest path per molecule: mol_id, diameter and its lowest end pair."""
-    hops = hop_distances(bonds, atoms).where(F.col("source") <= F.col("atom_idx"))
-    best = F.min(F.struct((-F.col("depth")).alias("d"), F.col("source").alias("s"), F.col("atom_idx").alias("t")))
+    """Longest shortest path per molecule: mol_id, diameter and an end pair.
+
+    Walks start at every atom of molecules of at most SMALL atoms, and in larger ones only at the
+    atoms that can end a longest path. The lowest end pair met is reported.
+    """
+    steps = cut_lineage(both_ways(bonds))
+    sizes = cut_lineage(atoms.groupBy("mol_id").agg(F.count("*").alias("n")))
+    small, large = sizes.where(F.col("n") <= SMALL), sizes.where(F.col("n") > SMALL)
+    sources = atoms.join(small, "mol_id", "left_semi").select("mol_id", F.col("atom_idx").alias("source"))
+    if not large.isEmpty():
+        far = _far_sources(cut_lineage(steps.join(large, "mol_id", "left_semi")))
+        alone = atoms.join(large, "mol_id", "left_semi").groupBy("mol_id").agg(F.min("atom_idx").alias("source"))
+        sources = sources.unionByName(far.unionByName(alone).distinct())
+    hops = hop_distances(steps, sources)
+    low, high = F.least("source", "atom_idx"), F.greatest("source", "atom_idx")
+    best = F.min(F.struct((-F.col("depth")).alias("d"), low.alias("s"), high.alias("t")))
     return hops.groupBy("mol_id").agg(best.alias("best")).select(
         "mol_id", (-F.col("best.d")).alias("diameter"), F.col("best.s").alias("first"), F.col("best.t").alias("last")
     )

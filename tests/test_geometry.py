@@ -181,3 +181,27 @@ def test_alignment_loss_and_directions(spark):
     d = on.sphere_directions(spark, 50).collect()
     assert all(math.isclose(r["x"] ** 2 + r["y"] ** 2 + r["z"] ** 2, 1) for r in d)
     assert np.linalg.norm([sum(r[c] for r in d) for c in "xyz"]) < 1.5
+
+
+def test_large_molecule_diameter_without_all_pairs(spark):
+    rng = random.Random(11)
+    n = 90
+    edges = {(rng.randrange(max(1, i - 40), i), i) for i in range(2, n + 1)} | {(5, 40), (60, 88)}
+    edges |= {(91, 92), (92, 93)}
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+
+    def far(s):
+        seen, level, d = {s}, {s}, 0
+        while level:
+            level = {q for p in level for q in near[p]} - seen
+            seen |= level
+            d += bool(level)
+        return d
+
+    a, b = chain(spark, sorted(edges))
+    got = og.graph_diameters(b, a).first()
+    assert got["diameter"] == max(far(s) for s in near)
+    assert far(got["first"]) == far(got["last"]) == got["diameter"]
