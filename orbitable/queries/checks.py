@@ -58,7 +58,7 @@ def renumber_map_check(t):
 
 
 @query("renumbering_check", oracle("""
-    SELECT c AS "column", n AS rows, 0 AS mismatches, d AS largest, true AS equal FROM (SELECT count(*) AS n FROM atoms_v),
+    SELECT c AS "column", n AS rows, 0 AS mismatches, CAST(d AS DOUBLE) AS largest, true AS equal FROM (SELECT count(*) AS n FROM atoms_v),
     (VALUES ('element', NULL), ('x', 0.0), ('y', 0.0), ('z', 0.0)) v(c, d)""", "atoms_v"))
 def renumbering_check(t):
     mapping = _reverse(t)

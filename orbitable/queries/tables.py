@@ -110,7 +110,7 @@ def standardised_continuous(t):
 
 
 @query("column_profile", oracle(" UNION ALL ".join(f"""
-    SELECT '{f}' AS "column", 0.0 AS missing_percent, round(min({f}), 4) AS low, round(max({f}), 4) AS high,
+    SELECT '{f}' AS "column", CAST(0 AS DOUBLE) AS missing_percent, round(min({f}), 4) AS low, round(max({f}), 4) AS high,
            max(abs({f} - round({f}))) = 0 AS whole, min({f}) = max({f}) AS "constant" FROM samples_v""" for f in FEATURES), "samples_v"))
 def column_profile(t):
     return clean.column_profile(t.samples, FEATURES).select("column", "missing_percent", _r("low", 4), _r("high", 4), "whole", "constant")
@@ -154,8 +154,8 @@ def finite_metrics(t):
 
 
 @query("one_hot", oracle("""
-    SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS "s_O",
-           CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS "s_P" FROM orders"""))
+    SELECT o_orderkey AS id, CAST(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS DOUBLE) AS "s_O",
+           CAST(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS DOUBLE) AS "s_P" FROM orders"""))
 def one_hot(t):
     rows = t.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"))
     out, names = clean.one_hot(rows, "s")

@@ -192,8 +192,8 @@ def _cube_text(t):
 @query("cube_surface", oracle("""
     WITH g AS (SELECT mol_id, p // 4 AS ix, (p // 2) % 2 AS iy, p % 2 AS iz, round(((mol_id + p) % 5) * 0.0011, 5) AS d
                FROM (SELECT DISTINCT mol_id FROM atoms_v), range(12) r(p))
-    SELECT mol_id, round((-1.0 + (ix + 1) * 0.5) * 0.529177249, 5) + 0.0 AS x, round((-2.0 + (iy + 1) * 0.25) * 0.529177249, 5) AS y,
-           round((-3.0 + (iz + 1) * 0.125) * 0.529177249, 5) AS z FROM g WHERE d >= 0.003 AND d <= 0.0034""", "atoms_v"))
+    SELECT mol_id, round(CAST(-1.0 + (ix + 1) * 0.5 AS DOUBLE) * 0.529177249, 5) + 0.0 AS x, round(CAST(-2.0 + (iy + 1) * 0.25 AS DOUBLE) * 0.529177249, 5) AS y,
+           round(CAST(-3.0 + (iz + 1) * 0.125 AS DOUBLE) * 0.529177249, 5) AS z FROM g WHERE d >= 0.003 AND d <= 0.0034""", "atoms_v"))
 def cube_surface(t):
     grid = sg.cube_grid(_cube_text(t))
     return sg.surface_points(grid, 0.0031).select("mol_id", _r("x", 5), _r("y", 5), _r("z", 5))
