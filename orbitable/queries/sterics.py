@@ -82,7 +82,17 @@ def steric_length(t):
         F.count("*").alias("n_atoms"), F.round(F.max(F.col("y") + F.col("radius")), 3).alias("L"))
 
 
-@query("buried_volume", None)
+@query("buried_volume", oracle("""
+    WITH ax AS (SELECT (CAST(i AS DOUBLE) + 0.5) * 0.5 AS v FROM range(-7, 8) r(i)),
+    grid AS (SELECT a.v AS dx, b.v AS dy, c.v AS dz, CASE WHEN a.v > 0 THEN 1 ELSE 0 END + CASE WHEN b.v > 0 THEN 2 ELSE 0 END
+                    + CASE WHEN c.v > 0 THEN 4 ELSE 0 END AS octant
+             FROM ax a, ax b, ax c WHERE a.v * a.v + b.v * b.v + c.v * c.v <= 12.25),
+    p AS (SELECT mol_id, octant, x + dx AS x, y + dy AS y, z + dz AS z, row_number() OVER () AS k FROM atoms_v, grid WHERE atom_idx = 1),
+    s AS (SELECT mol_id, x, y, z, r * CAST(1.17 AS DOUBLE) AS r FROM atoms_v
+          JOIN (SELECT e, CAST(r AS DOUBLE) AS r FROM (VALUES ('C', 1.70), ('N', 1.55), ('O', 1.52), ('Cl', 1.75)) v(e, r)) ON e = element WHERE atom_idx <> 1),
+    hit AS (SELECT DISTINCT p.k FROM p JOIN s ON p.mol_id = s.mol_id AND (p.x-s.x)*(p.x-s.x) + (p.y-s.y)*(p.y-s.y) + (p.z-s.z)*(p.z-s.z) <= s.r * s.r)
+    SELECT mol_id, octant, count(*) AS points, count(hit.k) AS buried, round(100 * count(hit.k) / count(*), 4) + 0.0 AS percent
+    FROM p LEFT JOIN hit ON p.k = hit.k GROUP BY mol_id, octant""", "atoms_v"))
 def buried_volume(t):
     return ost.buried_volume(t.atoms, [1], radius=3.5, step=0.5).select(
         "mol_id", "octant", "points", "buried", _r("percent"))
