@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitable.llm.minhash import near_duplicates
+from orbitable.llm.packing import pack
+from orbitable.llm.token_counts import count_tokens
+from orbitable.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +21,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str, sql: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
@@ -29,3 +37,15 @@ def query(name: str, sql: str | None = None):
 @query("op9_minhash_near_dedup")
 def _minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_token_counts")
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts with a cache of this run's own; a corpus that keeps its cache passes the same folder each time."""
+    cache = f"{scratch_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(table(spark, folder, "documents"), BYTE_BPE, cache)
+
+
+@query("op5_packing")
+def _packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), BYTE_BPE)
