@@ -8,6 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitable.llm import decontaminate, langid, line_dedup
 from orbitable.llm.minhash import near_duplicates
 from orbitable.llm.packing import pack
 from orbitable.llm.token_counts import count_tokens
@@ -49,3 +50,19 @@ def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_packing")
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), BYTE_BPE)
+
+
+@query("op6_language_id")
+def _language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+@query("op10_decontamination", decontaminate.ORACLE)
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_line_dedup")
+def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
