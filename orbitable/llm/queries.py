@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orbitable.llm import decontaminate, langid, line_dedup
+from orbitable.llm import decontaminate, embedding_dedup, langid, line_dedup, quality
 from orbitable.llm.minhash import near_duplicates
 from orbitable.llm.packing import pack
+from orbitable.llm.substring_dedup import remove_repeats
+from orbitable.llm.suffix_dedup import remove_copied_bytes
 from orbitable.llm.token_counts import count_tokens
 from orbitable.session import scratch_folder
 
@@ -66,3 +69,25 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_line_dedup")
 def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
+
+
+@query("op3_substring_dedup")
+def _substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
+@query("op1_suffix_array_dedup")
+def _suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_copied_bytes(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op4_embedding_near_dedup", embedding_dedup.ORACLE)
+def _embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_quality_classifier")
+def _quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The source stands for the host, a language section of it for the path."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.score_quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
