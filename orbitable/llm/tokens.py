@@ -1,7 +1,7 @@
 """Token ids and counts of texts inside tasks, by the library that belongs to a vocabulary file.
 
 A byte-level vocabulary without normaliser cuts a text before every single space that stands between
-two visible characters, whatever surrounds it. Such stretches are encoded by the library once per task
+two visible characters, whatever surrounds it, and before a single line break there. Such stretches are encoded by the library once per task
 and remembered (up to a bound, then anew), which saves most of the work on prose.
 """
 
@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 REMEMBERED = 600_000
+MARKS = ".,!?;:"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -58,17 +59,26 @@ class Encoder:
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        """Stretches of the text; all but the first start with the space that is left out here."""
-        plain = text.split(" ")
-        return plain if len(text.split()) == len(text.replace("\n", " ").split(" ")) else _SAFE_CUT.split(text)
+        """Stretches of the text. All but the first start with a line break or with the space left out here."""
+        if len(text.split()) == len(text.replace("\n", " ").split(" ")):  # no other white space, none doubled
+            return text.replace("\n", " \n").split(" ")
+        return _SAFE_CUT.split(text)
 
     def _known(self, texts: list[str], value) -> list[list]:
         """Remembered values of the stretches of each text, the missing ones encoded first."""
         cut, known = [self._cut(t) for t in texts], self.stretches
         if len(known) > REMEMBERED:
             known.clear()
-        new = [" " + s for s in {s for c in cut for s in c[1:]}.difference(known)]
-        known.update((t[1:], value(ids)) for t, ids in zip(new, self._library(new), strict=True))
+        new = {s for c in cut for s in c[1:]}.difference(known)
+        # A mark behind a letter is a piece of its own.
+        ended = [s for s in new if s[-1:] in MARKS and s[-2:-1].isalpha()]
+        new.difference_update(ended)
+        new.update(s[:-1] for s in ended)
+        listed = list(new.difference(known))
+        known.update((s, value(ids)) for s, ids in zip(
+            listed, self._library([s if s[:1] == "\n" else " " + s for s in listed]), strict=True))
+        marks = {m: value(ids) for m, ids in zip(MARKS, self._library(list(MARKS)), strict=True)} if ended else {}
+        known.update((s, known[s[:-1]] + marks[s[-1]]) for s in ended)
         heads = self._library([c[0] for c in cut])
         return [[value(h), *map(known.__getitem__, c[1:])] for h, c in zip(heads, cut, strict=True)]
 
