@@ -69,13 +69,13 @@ def _empty(schema: str) -> pa.Table:
 
 
 def _seeds(window: int, seed: int, buckets: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         return deal(key[0].as_py(), *_distinct(_Words(table, window, seed).seeds), buckets)
     return run
 
 
 def _extend(window: int, seed: int, buckets: int):
-    def run(key, table: pa.Table, known: pa.Table) -> pa.Table:
+    def run(key, table, known):
         if not len(table) or not len(known):
             return _empty(DEALT)
         words = _Words(table, window, seed)
@@ -84,7 +84,7 @@ def _extend(window: int, seed: int, buckets: int):
 
 
 def _remove(window: int, seed: int):
-    def run(key, table: pa.Table, known: pa.Table) -> pa.Table:
+    def run(key, table, known):
         words = _Words(table, window, seed)
         hit = np.flatnonzero(among(words.windows, gathered(known)) & valid_windows(words.bounds, window, len(words.windows)))
         gone = covered(hit, hit + window, words.n)

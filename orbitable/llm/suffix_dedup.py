@@ -72,7 +72,7 @@ def _least(keys: np.ndarray, docs: np.ndarray):
 
 
 def _anchors(buckets: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         s = _Stretches(table)
         found, low, high, _, _ = _least(s.anchors, s.doc)
         return deal(key[0].as_py(), found, low != high, buckets)
@@ -88,7 +88,7 @@ def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _send(buckets: int):
-    def run(key, table: pa.Table, known: pa.Table) -> pa.Table:
+    def run(key, table, known):
         if not len(table) or not len(known):
             return _empty(STRETCHES)
         s = _Stretches(table)
@@ -189,7 +189,7 @@ def _match(table: pa.Table) -> pa.Table:
                      "doc": binaries(doc[run], bounds)})
 
 
-def _cut(key, table: pa.Table, found: pa.Table) -> pa.Table:
+def _cut(key, table, found):
     s = _Stretches(table)
     _, low, _, _, back = _least(s.digests, s.doc)
     mine = np.flatnonzero(s.doc > low[back])
