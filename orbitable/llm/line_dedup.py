@@ -182,7 +182,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     linked = linked.join(heads, "component").select("h1", "h2", "first", "head")
     known = cut_lineage(alone.unionByName(linked).select("h1", "h2", "head", (F.col("first") != F.col("head")).alias("near")))
     met = rows.join(known, ["h1", "h2"]).filter(F.struct("doc_id", "th", "pos") != F.col("head"))
-    return cut_lineage(met.select("doc_id", "th", "pos", "near"))
+    return cut_lineage(met.select("doc_id", "th", "pos", "near").distinct())
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -190,16 +190,15 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
     Rows whose lines are all removed are left out, null texts and null ids stay as they are.
     """
-    gone = repeated_lines(docs, edits, min_chars)
-    gone = gone.groupBy(F.col("doc_id").alias("_line_doc"), F.col("th").alias("_line_th")).agg(F.collect_set("pos").alias("_line_gone"))
-    text_hash = F.xxhash64("text")
-    met = docs.join(gone, (docs["doc_id"] == gone["_line_doc"]) & (text_hash == gone["_line_th"]), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_line_parts") - 1), F.col("_line_gone")),
-                       lambda i: F.get("_line_parts", i))
-    out = met.withColumn("_line_parts", F.split("text", "\n")).withColumn("_line_kept", F.when(F.col("_line_gone").isNotNull(), kept))
-    out = out.filter("_line_kept is null or size(_line_kept) > 0")
-    out = out.withColumn("text", F.when(F.col("_line_kept").isNull(), F.col("text")).otherwise(F.array_join("_line_kept", "\n")))
-    return out.select(*docs.columns)
+    gone = repeated_lines(docs, edits, min_chars).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"),
+                       F.split("text", "\n").alias("parts"))
+    rows = rows.join(gone, ["doc_id", "th"], "left")
+    # Positions are subtracted as sets, which stays linear in the lines of a document.
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get("parts", i))
+    rows = rows.select("row", F.when(F.col("gone").isNotNull(), left).alias("left")).filter("left is null or size(left) > 0")
+    text = F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
