@@ -20,6 +20,7 @@ from orbitable.session import cut_lineage
 
 MAX_CLASSES = 100
 PASS_LIMIT = 60  # Newton passes before a model counts as not converged
+FALLBACK_RIDGE = 1e-6  # on standardised coefficients, where classes are separated
 
 
 @dataclass
@@ -36,6 +37,7 @@ class Job:
     theta: np.ndarray | None = None
     done: bool = False
     converged: bool = False
+    separated: bool = False
     best: tuple | None = field(default=None, repr=False)
 
 
@@ -101,8 +103,8 @@ def _ordinal_sums(x, code, theta, n_classes):
     return np.log(own).sum(), grad, info
 
 
-def _design(batch: pd.DataFrame, features: list[str], kind: str) -> np.ndarray:
-    x = batch[features].to_numpy(dtype=float)
+def _design(batch: pd.DataFrame, features: list[str], kind: str, center=0.0, scale=1.0) -> np.ndarray:
+    x = (batch[features].to_numpy(dtype=float) - center) / scale
     return x if kind == "ordinal" else np.hstack([np.ones((len(x), 1)), x])
 
 
@@ -126,6 +128,24 @@ class LogisticFitter:
             good.select(*[F.col(c).cast("double").alias(c) for c in self.features], code.cast("int").alias("_code"), fold_column.alias("_fold"))
         )
 
+        spread = self.rows.agg(F.array(*[F.avg(c) for c in self.features]).alias("m"), F.array(*[F.stddev_pop(c) for c in self.features]).alias("s")).first()
+        self.center = dict(zip(self.features, spread["m"], strict=True))
+        self.scale = {c: s or 1.0 for c, s in zip(self.features, spread["s"], strict=True)}
+
+    def _scaling(self, job: Job) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([self.center[c] for c in job.features]), np.array([self.scale[c] for c in job.features])
+
+    def _unscaled(self, job: Job) -> np.ndarray:
+        """Parameters on the columns as they are; fitting works on standardised ones."""
+        center, scale = self._scaling(job)
+        if self.kind == "ordinal":
+            cuts, beta = np.split(job.theta, [len(self.labels) - 1])
+            return np.concatenate([cuts + (beta / scale) @ center, beta / scale])
+        table = job.theta.reshape(-1, len(job.features) + 1).copy()
+        table[:, 1:] /= scale
+        table[:, 0] -= table[:, 1:] @ center
+        return table.ravel()
+
     def full(self, job: Job) -> bool:
         """With a penalty and several classes every class has its own weights."""
         return self.kind == "logit" and job.ridge > 0 and len(self.labels) > 2
@@ -138,15 +158,15 @@ class LogisticFitter:
 
     def _pass(self, jobs: list[Job]) -> dict[int, tuple]:
         kind, n_classes = self.kind, len(self.labels)
-        spec = [(i, j.features, j.fold, j.theta, self.full(j)) for i, j in enumerate(jobs)]
+        spec = [(i, j.features, j.fold, j.theta, self.full(j), *self._scaling(j)) for i, j in enumerate(jobs)]
 
         def partial(batches):
             sums: dict = {}
             for batch in batches:
                 code, fold = batch["_code"].to_numpy(), batch["_fold"].to_numpy()
-                for i, names, out_fold, theta, full in spec:
+                for i, names, out_fold, theta, full, center, scale in spec:
                     keep = slice(None) if out_fold is None else fold != out_fold
-                    z, c = _design(batch, names, kind)[keep], code[keep]
+                    z, c = _design(batch, names, kind, center, scale)[keep], code[keep]
                     if not len(c):
                         continue
                     if kind == "ordinal":
@@ -175,12 +195,11 @@ class LogisticFitter:
         return out
 
     def _penalty(self, job: Job) -> np.ndarray:
-        weights = np.full(len(job.theta), job.ridge)
+        """Ridge weights: the penalty is on the unscaled coefficients, the fallback on the scaled ones."""
+        each = job.ridge / self._scaling(job)[1] ** 2 + (FALLBACK_RIDGE if job.separated else 0.0)
         if self.kind == "ordinal":
-            weights[: len(self.labels) - 1] = 0.0
-        else:
-            weights[:: len(job.features) + 1] = 0.0
-        return weights
+            return np.concatenate([np.zeros(len(self.labels) - 1), each])
+        return np.tile(np.concatenate([[0.0], each]), len(job.theta) // (len(job.features) + 1))
 
     def fit(self, jobs: list[Job], tolerance: float = 1e-9) -> list[Job]:
         for j in jobs:
@@ -209,14 +228,18 @@ class LogisticFitter:
                 step = np.linalg.pinv(hess + np.diag(weights), rcond=1e-11, hermitian=True) @ slope
                 if np.abs(step).max() < tolerance:
                     j.done = j.converged = True
-                elif np.abs(j.theta).max() > 50:
-                    j.done = True  # separated classes: the likelihood has no maximum
+                elif j.best is not None and not j.separated and value - j.best[0] < 1e-7 * (1 + abs(value)) and np.abs(step).max() > 0.1:
+                    # Steps stay large and gain nothing: the classes are separated and the likelihood has
+                    # no maximum. A small ridge gives one.
+                    j.separated, j.best = True, None
+                    continue
                 j.best = (value, j.theta.copy(), step)
                 if not j.done:
                     j.theta = j.theta + step
         for j in jobs:
             if not j.done and j.best is not None:
                 j.theta = j.best[1]
+            j.theta = self._unscaled(j)
         return jobs
 
     def evaluate(self, jobs: list[Job]) -> pd.DataFrame:
@@ -282,6 +305,9 @@ RESULT_SCHEMA = (
 )
 
 
+CV_SCHEMA = "combo_key string, avg_accuracy double, avg_f1_score double, avg_mcfadden_r2 double"
+
+
 def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, kind: str = "logit", chunk: int = 256) -> DataFrame:
     """Scores per combination (M13): class scores of the penalised model, McFadden R2 of the unpenalised one."""
     from orbitable.operators.regress import model_chunks
@@ -301,7 +327,7 @@ def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str],
                 data.append((j.key, j.features, len(j.features), *[None if s[c] is None else float(s[c]) for c in ("accuracy", "precision", "recall", "f1_score", "mcfadden_r2")], j.converged))
             new = spark.createDataFrame(data, RESULT_SCHEMA)
             out = new if out is None else out.unionByName(new)
-    return out
+    return spark.createDataFrame([], RESULT_SCHEMA) if out is None else out
 
 
 def cross_validate_classifiers(
@@ -326,9 +352,9 @@ def cross_validate_classifiers(
                 r2 = [s["mcfadden_r2"] for s in each if s["mcfadden_r2"] is not None]
                 data.append((r["combo_key"], float(np.mean([s["accuracy"] for s in each])), float(np.mean([s["f1_score"] for s in each])),
                              float(np.mean(r2)) if r2 else None))
-            new = spark.createDataFrame(data, "combo_key string, avg_accuracy double, avg_f1_score double, avg_mcfadden_r2 double")
+            new = spark.createDataFrame(data, CV_SCHEMA)
             out = new if out is None else out.unionByName(new)
-    return out
+    return spark.createDataFrame([], CV_SCHEMA) if out is None else out
 
 
 def probability_table(rows: DataFrame, features: Sequence[str], target: str, key: str = "id", ridge: float = 1.0, kind: str = "logit") -> DataFrame:

@@ -13,11 +13,16 @@ def confusion_counts(df: DataFrame, actual: str = "y", predicted: str = "predict
 
 
 def confusion_table(df: DataFrame, actual: str = "y", predicted: str = "predicted") -> DataFrame:
-    """Counts with row and column totals (NULL = total) and row percentages."""
+    """Counts with row and column totals (NULL = total) and row percentages.
+
+    A total is told from the row of a NULL label by its grouping flags, so it is matched only once.
+    """
     counts = confusion_counts(df, actual, predicted)
-    cube = counts.cube("actual", "predicted").agg(F.sum("n").alias("n"))
-    totals = cube.where("predicted IS NULL").select(F.col("actual").alias("_a"), F.col("n").alias("total"))
-    return cube.join(totals, cube["actual"].eqNullSafe(totals["_a"])).select(
+    cube = counts.cube("actual", "predicted").agg(
+        F.sum("n").alias("n"), F.grouping("actual").alias("_ga"), F.grouping("predicted").alias("_gp")
+    )
+    totals = cube.where("_gp = 1").select(F.col("actual").alias("_a"), F.col("_ga").alias("_g"), F.col("n").alias("total"))
+    return cube.join(totals, cube["actual"].eqNullSafe(totals["_a"]) & (cube["_ga"] == totals["_g"])).select(
         "actual", "predicted", "n", (100 * F.col("n") / F.col("total")).alias("row_percent")
     )
 
@@ -71,13 +76,17 @@ def log_likelihood(df: DataFrame, probability: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Counts in equal bins from min to max; the last bin is closed: bin, low, high, n."""
+    """Counts in equal bins from min to max, empty ones included; the last bin is closed: bin, low, high, n."""
     low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
     low, high = float(low), float(high)
     width = (high - low) / bins or 1.0
     which = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width)).cast("int")
+    counts = df.where(F.col(column).isNotNull()).groupBy(which.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
-        df.where(F.col(column).isNotNull()).groupBy(which.alias("bin")).agg(F.count("*").alias("n"))
+        every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         .select("bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "n")
     )
 

@@ -2,7 +2,7 @@
 
 Narrow tables use Catalyst's `covar_pop`, which merges partial aggregates stably and stays in
 generated code. Wide ones sum block products per Arrow batch in a task: each task emits one row
-per group, whatever its number of rows, so no group is ever collected.
+per group and feature, whatever its number of rows, so no group is ever collected.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NARROW = 16
+SHIFT_ROWS = 256
+STATE_BYTES = 256 << 20
 
 
 @dataclass
@@ -41,10 +43,9 @@ class Moments:
 
 def complete_rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows in which every named column is present and finite (PF20)."""
-    keep = F.lit(True)
-    for c in names:
-        keep = keep & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
-    return df.where(keep)
+    values = F.array(*[F.col(c).cast("double") for c in names])
+    usable = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return df.where(F.forall(values, usable)) if names else df
 
 
 def moment_rows(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -62,71 +63,73 @@ def moment_rows(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -
     return _wide_moment_rows(df, names, keys)
 
 
+def _shift(df: DataFrame) -> np.ndarray:
+    """Means of the finite values of a bounded number of rows: a common origin that keeps sums well conditioned."""
+    got = [[np.nan if v is None else v for v in r[0]] for r in df.select("_x").limit(SHIFT_ROWS).collect()]
+    x = np.array(got, dtype=float)
+    x[~np.isfinite(x)] = np.nan
+    seen = np.isfinite(x).sum(axis=0) if len(got) else 0
+    return np.where(seen > 0, np.nansum(x, axis=0) / np.maximum(seen, 1), 0.0) if len(got) else np.zeros(1)
+
+
+def _summed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, i, n, v) added up over the tasks, one row of the triangle at a time."""
+    types = dict(parts.dtypes)
+
+    def add(pdf):
+        import pandas as pd
+
+        total = np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0)
+        head = {k: [pdf[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**head, "i": [pdf["i"].iloc[0]], "n": [int(pdf["n"].sum())], "v": [total]})
+
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["i int, n long, v array<double>"])
+    return parts.groupBy(*keys, "i").applyInPandas(add, schema)
+
+
 def _wide_moment_rows(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    upper = np.triu_indices(len(names))
+    """Sums and products around a common origin; tasks send one row per feature, which are added up apart.
+
+    A task holds at most STATE_BYTES of groups x p x p sums; beyond that it sends what it has.
+    """
+    p = len(names)
+    data = df.select(*keys, F.array(*[F.col(c).cast("double") for c in names]).alias("_x"))
+    origin = _shift(data)
 
     def partials(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        def flush(state):
+            rows = [
+                [*(key if isinstance(key, tuple) else (key,)), i, n, np.append(total[i], cross[i, i:]).tobytes()]
+                for key, (n, total, cross) in state.items() for i in range(p)
+            ]
+            return pd.DataFrame(rows, columns=[*keys, "i", "n", "v"])
+
         state: dict = {}
         for batch in batches:
             groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
             for key, part in groups:
-                x = part[names].to_numpy(dtype=float)
-                n, mean = len(x), x.mean(axis=0)
-                centred = x - mean
-                cross = centred.T @ centred
-                if key in state:
-                    n0, mean0, cross0 = state[key]
-                    delta = mean - mean0
-                    total = n0 + n
-                    cross = cross0 + cross + np.outer(delta, delta) * (n0 * n / total)
-                    n, mean = total, mean0 + delta * (n / total)
-                state[key] = (n, mean, cross)
-        rows = [
-            [*(key if isinstance(key, tuple) else (key,)), n, mean, cross[upper]]
-            for key, (n, mean, cross) in state.items()
-        ]
-        if rows:
-            yield pd.DataFrame(rows, columns=[*keys, "n", "mean", "cross"])
-
-    types = dict(df.select(*keys, *names).dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n long, mean array<double>, cross array<double>"])
-    doubles = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
-    parts = doubles.mapInPandas(partials, schema)
-    # Merge: sum n, then means, then cross products plus the between-task part; element by element,
-    # so the merge is spread over the cluster too.
-    total = parts.select(*keys, "n", F.posexplode("mean").alias("i", "m")).groupBy(*keys, "i").agg(
-        (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")
-    )
-    rows_i, rows_j = [int(a) for a in upper[0]], [int(b) for b in upper[1]]
-    pair = F.struct(
-        F.get(F.lit(rows_i), F.col("pos")).alias("i"), F.get(F.lit(rows_j), F.col("pos")).alias("j")
-    )
-    cells = (
-        parts.select(*keys, "n", "mean", F.posexplode("cross").alias("pos", "c"))
-        .withColumn("ij", pair)
-        .select(*keys, "n", "pos", "c", F.get("mean", F.col("ij.i")).alias("mi"), F.get("mean", F.col("ij.j")).alias("mj"))
-        .groupBy(*keys, "pos")
-        .agg(
-            F.sum("c").alias("within"),
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("mi")).alias("si"),
-            F.sum(F.col("n") * F.col("mj")).alias("sj"),
-            F.sum(F.col("n") * F.col("mi") * F.col("mj")).alias("sij"),
-        )
-        .select(*keys, "pos", (F.col("within") + F.col("sij") - F.col("si") * F.col("sj") / F.col("n")).alias("c"))
-    )
-    means = total.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"]).alias("mean")
-    )
-    cross = cells.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]).alias("cross")
-    )
-    if keys:
-        return means.join(cross, keys)
-    one = F.lit(1).alias("one")
-    return means.select("*", one).join(cross.select("*", one), "one").drop("one")
+                x = np.stack(part["_x"].to_numpy()) - origin
+                n, total, cross = state.get(key, (0, 0.0, 0.0))
+                state[key] = (n + len(x), total + x.sum(axis=0), cross + x.T @ x)
+                if len(state) * p * p * 8 > STATE_BYTES:
+                    yield flush(state)
+                    state = {}
+        if state:
+            yield flush(state)
+
+    types = dict(data.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["i int, n long, v binary"])
+    rows = _summed(data.mapInPandas(partials, schema), keys)
+    listed = F.sort_array(F.collect_list(F.struct("i", "v")))
+    triangle = rows.groupBy(*keys).agg(F.max("n").alias("n"), listed.alias("t"))
+    offset = F.transform(F.col("t"), lambda s: F.element_at(s["v"], 1) / F.col("n"))
+    centred = F.transform(F.col("t"), lambda s: F.transform(
+        F.slice(s["v"], 2, p), lambda v, k: v - F.col("n") * F.get(F.col("d"), s["i"]) * F.get(F.col("d"), s["i"] + k)))
+    start = F.array(*[F.lit(float(m)) for m in origin])
+    return triangle.withColumn("d", offset).select(
+        *keys, "n", F.zip_with("d", start, lambda d, m: d + m).alias("mean"), F.flatten(centred).alias("cross"))
 
 
 def unpack(row, names: Sequence[str]) -> Moments:
@@ -147,13 +150,46 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
 
 
 def correlation_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations of all i < j as rows: f1, f2, r (one pass)."""
+    """Pairwise-complete Pearson correlations of all i < j as rows: f1, f2, r (one pass).
+
+    Beyond NARROW columns tasks add up masked block products: for every pair the number of rows that
+    have both values, their sums, squares and products.
+    """
     names = list(names)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    cells = [
-        F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.corr(F.col(a), F.col(b)).alias("r")) for a, b in pairs
-    ]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    if len(names) <= NARROW:
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+        cells = [
+            F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.corr(F.col(a), F.col(b)).alias("r")) for a, b in pairs
+        ]
+        return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    p = len(names)
+    data = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("_x"))
+    origin = _shift(data)
+
+    def partials(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        state, n = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.array([[np.nan if v is None else v for v in row] for row in batch["_x"]], dtype=float) - origin
+            has = np.isfinite(x)
+            x, m = np.where(has, x, 0.0), has.astype(float)
+            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            state, n = sums if state is None else state + sums, n + len(x)
+        if state is not None:
+            yield pd.DataFrame({"i": range(p - 1), "n": n, "v": [state[:, i, i + 1:].tobytes() for i in range(p - 1)]})
+
+    rows = _summed(data.mapInPandas(partials, "i int, n long, v binary"), [])
+    width = F.lit(p - 1) - F.col("i")
+    at = lambda k: F.get(F.col("v"), k * width + F.col("pos"))
+    each = rows.select("i", "v", F.explode(F.sequence(F.lit(0), width - 1)).alias("pos")).select(
+        "i", "pos", *[at(k).alias(c) for k, c in enumerate(("n", "sx", "sy", "xx", "yy", "xy"))])
+    spread = F.sqrt((F.col("xx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")))
+    r = F.when((F.col("n") > 1) & (spread > 0), (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / spread)
+    listed = F.array(*[F.lit(c) for c in names])
+    return each.select(F.get(listed, F.col("i")).alias("f1"), F.get(listed, F.col("i") + 1 + F.col("pos")).alias("f2"), r.alias("r"))
 
 
 def correlated_pairs(df: DataFrame, names: Sequence[str], threshold: float = 0.8) -> DataFrame:

@@ -8,6 +8,7 @@ absolute errors look at rows again; each task then emits one partial sum per mod
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from orbitable.functions.distributions import t_quantile, t_two_sided
 from orbitable.operators.moments import Moments, complete_rows, moment_rows, moments, unpack
-from orbitable.operators.ranking import hash_buckets, hash_order, numbered
-from orbitable.operators.sampling import k_folds
+from orbitable.operators.ranking import hash_buckets, hash_order, numbered, value_buckets
+from orbitable.operators.sampling import fold_count, k_folds
 from orbitable.session import cut_lineage
 
 MODEL_CHUNK = 4096  # models sent to the tasks at a time
@@ -246,6 +247,7 @@ def cross_validate(
     """
     cols = [*features, target]
     base = complete_rows(rows, cols)
+    k = fold_count(base.count(), k)
     repeats = 1 if seed is None else repeats
     parts = None
     for r in range(repeats):
@@ -268,18 +270,28 @@ def cross_validate(
 
 def repeated_holdout(
     rows: DataFrame, models: DataFrame, features: Sequence[str], target: str, test_share: float = 0.1, repeats: int = 5,
-    key: str = "id", seed: int = 42,
+    key: str = "id", seed: int | None = 42,
 ) -> DataFrame:
-    """combo_key, q2, mae, rmsd: mean over repeated random test sets (M7); q2 NULL below two test rows."""
+    """combo_key, q2, mae, rmsd: mean over repeated random test sets of ceil(test_share * n) rows (M7).
+
+    q2 is NULL below two test rows. seed None tests the first rows by key (one repeat).
+    """
     cols = [*features, target]
     base = complete_rows(rows, cols)
     parts = None
-    for r in range(repeats):
-        flag = F.pmod(hash_order(F.col(key), seed=seed + r), F.lit(10_000)) < int(test_share * 10_000)
-        flagged = base.withColumn("_test", F.when(flag, "test").otherwise("train"))
+    size = math.ceil(round(test_share * base.count(), 9))
+    for r in range(1 if seed is None else repeats):
+        # Folds of the row order: the first `size` rows are the test set.
+        if seed is None:
+            ordered, by, bucket = base, [key], value_buckets(base, key)
+        else:
+            ordered = base.withColumn("_h", hash_order(F.col(key), seed=seed + r))
+            by, bucket = ["_h", key], hash_buckets(base, "_h")
+        ranked = numbered(ordered, [], by, bucket, "_rank")
+        flagged = ranked.withColumn("_test", F.when(F.col("_rank") <= size, "test").otherwise("train"))
         table = {x["_test"]: unpack(x, cols) for x in moment_rows(flagged, cols, ["_test"]).collect()}
-        if "test" not in table:
-            continue
+        if "test" not in table or "train" not in table:
+            raise ValueError("a holdout needs rows on both sides")
         errors = cut_lineage(split_errors(models, {"test": (table["train"], table["test"])}, target))
         test = table["test"]
         sst = float(test.cross[test.at([target])[0], test.at([target])[0]])
@@ -468,11 +480,11 @@ def permuted_target(rows: DataFrame, target: str, runs: int, key: str = "id", se
     """
     copies = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     by_row = numbered(copies.withColumn("_h", hash_order(F.col(key), F.col("run"), seed=seed)), ["run"], ["_h", key],
-                      hash_buckets("_h"), "_rank").drop("_h")
+                      hash_buckets(rows, "_h"), "_rank").drop("_h")
     values = copies.select("run", key, F.col(target).alias("y_perm")).withColumn(
         "_h", hash_order(F.col(key), F.col("run"), seed=seed + 1)
     )
-    by_value = numbered(values, ["run"], ["_h", key], hash_buckets("_h"), "_rank").select("run", "_rank", "y_perm")
+    by_value = numbered(values, ["run"], ["_h", key], hash_buckets(rows, "_h"), "_rank").select("run", "_rank", "y_perm")
     return by_row.join(by_value, ["run", "_rank"]).drop("_rank")
 
 

@@ -82,7 +82,7 @@ def is_permutation(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("mol_id").agg(
         (
             (F.count("*") == F.count_distinct("old")) & (F.count("*") == F.count_distinct("new"))
-            & (F.sum(F.xxhash64("old").cast("decimal(38,0)")) == F.sum(F.xxhash64("new").cast("decimal(38,0)")))
+            & (F.sum(F.xxhash64(F.col("old").cast("long")).cast("decimal(38,0)")) == F.sum(F.xxhash64(F.col("new").cast("long")).cast("decimal(38,0)")))
         ).alias("bijective")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.operators.ranking import hash_buckets, hash_order, numbered, value_buckets
+from orbitable.operators.ranking import hash_buckets, hash_order, join_null_safe, numbered, value_buckets
 from orbitable.session import broadcast_checked, cut_lineage
 
 ROUND = 256
@@ -18,7 +18,7 @@ def _order(df: DataFrame, key: str, seed: int | None) -> tuple[DataFrame, list,
     if seed is None:
         return df.withColumn("_o", F.col(key)), ["_o"], value_buckets(df, key)
     hashed = df.withColumn("_o", hash_order(F.col(key), seed=seed))
-    return hashed, ["_o", key], hash_buckets("_o")
+    return hashed, ["_o", key], hash_buckets(df, "_o")
 
 
 def k_folds(df: DataFrame, k: int, key: str = "id", seed: int | None = 42, name: str = "fold") -> DataFrame:
@@ -92,7 +92,7 @@ def stratified_sample(
         target = F.greatest(F.lit(1), F.floor(F.lit(size) * F.col("n")))
     else:
         target = F.least(F.lit(int(size)), F.col("n"))
-    return ranked.join(sizes, group).where(F.col("_r") <= target).drop("_r", "_o", "n")
+    return join_null_safe(ranked, sizes, [group]).where(F.col("_r") <= target).drop("_r", "_o", "n")
 
 
 def centroid_similarity(

@@ -93,16 +93,26 @@ def search_models(
     if store:
         append_results(results, store)
         results = spark.read.parquet(store)
-    top = top_models(results, top_n, at_least)
+    passed = validated(results, rows, features, target, threshold)
     if relax:
-        while top.isEmpty() and threshold - step >= lowest:
+        # The gate is lowered on the fits alone; models are validated once a gate lets one through.
+        best = results.agg(F.max("r2")).first()[0]
+        while rank_models(passed).isEmpty() and threshold - step >= lowest:
             threshold -= step
-            m = moments(rows, [*features, target])
-            passed = results.where(F.col("r2") > threshold)
-            loo = rg.leave_one_out(rows, passed, m, target)
-            relaxed = results.drop("q2", "mae", "rmsd").join(loo, "combo_key")
-            top = top_models(relaxed, top_n, at_least)
-    return top
+            if best is not None and best > threshold:
+                passed = validated(results, rows, features, target, threshold)
+    return top_models(passed, top_n, at_least)
+
+
+def validated(results: DataFrame, rows: DataFrame, features: Sequence[str], target: str, threshold: float) -> DataFrame:
+    """Results above the gate; those that were stored without leave-one-out metrics get them now."""
+    passed = cut_lineage(results.where(F.col("r2") > threshold))
+    lacking = passed.where("q2 IS NULL")
+    if lacking.isEmpty():
+        return passed
+    loo = rg.leave_one_out(rows, lacking, moments(rows, [*features, target]), target)
+    added = lacking.drop("q2", "mae", "rmsd").join(loo, "combo_key").select(*passed.columns)
+    return cut_lineage(passed.where("q2 IS NOT NULL").unionByName(added))
 
 
 def search_classifiers(

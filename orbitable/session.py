@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,11 @@ def build_session(app: str = "orbitable", master: str | None = None, conf: dict
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; only a local session may fall back to its own."""
+    """The checkpoint folder the session names; only a single-process session may fall back to its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not configured and not sc.master.startswith("local"):
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="orbitable-checkpoint-"))
     return sc.getCheckpointDir()

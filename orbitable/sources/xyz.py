@@ -37,19 +37,37 @@ def xyz_rows(texts: DataFrame) -> DataFrame:
     )
 
 
+def frame_fault(text: str):
+    """What is wrong with the line counts of an XYZ text, NULL for whole frames of the first frame's size.
+
+    Every frame starts with the same atom count; its lines are counted in the text's one row, so the
+    check is the same on a stream.
+    """
+    lines = F.split(F.regexp_replace(F.rtrim(F.regexp_replace(text, r"\s+$", "")), "\r", ""), "\n")
+    count = lambda line: F.trim(line).try_cast("int")
+    n = F.when(count(lines[0]) >= 0, count(lines[0]))
+    starts = F.filter(lines, lambda line, i: F.pmod(i, n + 2) == 0)
+    return F.when(n.isNull(), "no atom count").when(
+        F.pmod(F.size(lines), n + 2) != 0, "atom count differs").when(
+        F.exists(starts, lambda line: ~F.coalesce(count(line) == n, F.lit(False))), "atom count differs")
+
+
 def parse_xyz(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(atoms, rejected): molecules whose atom lines do not match the declared count are rejected.
+    """(atoms, rejected) of the first frame: molecules whose lines do not match the declared count are rejected.
 
-    rejected: mol_id, status, error.
+    rejected: mol_id, status, error. Further frames must be whole; surplus or missing lines reject the molecule.
     """
-    rows = xyz_rows(texts).where("frame = 0")
+    texts = texts.withColumn("_fault", frame_fault("text"))
+    faults = texts.where("_fault IS NOT NULL").select("mol_id", "_fault")
+    rows = xyz_rows(texts.where("_fault IS NULL")).where("frame = 0")
     good = F.sum(F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), 1).otherwise(0))
     check = rows.groupBy("mol_id").agg(F.count("*").alias("n"), F.max("n_declared").alias("n_declared"), good.alias("n_good"))
     ok = check.where((F.col("n") == F.col("n_declared")) & (F.col("n_good") == F.col("n"))).select("mol_id")
     atoms = rows.join(ok, "mol_id", "left_semi").select("mol_id", "atom_idx", "element", "x", "y", "z")
-    error = F.when(F.col("n").isNull(), "no atom count").when(F.col("n") != F.col("n_declared"), "atom count differs").otherwise("bad coordinate")
+    error = F.coalesce("_fault", F.when(F.col("n").isNull(), "no atom count").when(
+        F.col("n") != F.col("n_declared"), "atom count differs").otherwise("bad coordinate"))
     rejected = (
-        texts.select("mol_id").join(ok, "mol_id", "left_anti").join(check, "mol_id", "left")
+        texts.select("mol_id").join(ok, "mol_id", "left_anti").join(check, "mol_id", "left").join(faults, "mol_id", "left")
         .select("mol_id", F.lit("failed").alias("status"), error.alias("error"))
     )
     return atoms, rejected
