@@ -33,11 +33,6 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data, offsets - offsets[0]
 
 
-def numbers(column) -> np.ndarray:
-    """int64 values of an integer column without nulls."""
-    return column.to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(column, pa.Array) else column.to_numpy().astype(np.int64)
-
-
 def chunks(batches, limit: int = CHUNK_BYTES, column: str = "text"):
     """Cut record batches into slices of at most `limit` text bytes, a longer text alone."""
     for batch in batches:

@@ -32,14 +32,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     links = cut_lineage(links.filter("u is not null and v is not null and u <> v").distinct())
-    state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         links = cut_lineage(_star(both, small=False))
         links = cut_lineage(_star(links, small=True))
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == state:
+        # Done when every node has one parent and no parent has one itself.
+        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")),
+                                              F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("lo")).filter("up > 1 or up > lo").isEmpty():
             break
-        state = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -4,15 +4,17 @@ Every shingle draws one random permutation of the signature slots; its j-th valu
 fraction and goes to the j-th slot of the permutation. Ranks of one shingle are thus correlated
 (no slot gets two of them), which lowers the variance, and a document stops as soon as no slot can
 still be lowered. 32 bands of 4 slots bring documents of similarity 0.75 together with probability
-1 - 5e-6. Candidates are confirmed on the full shingle sets. Only links between different sets are
-searched: equal sets form a class beforehand. Three passes keep large groups linear:
+1 - 5e-6. Equal sets form a class beforehand; classes that are connected through their bands form a candidate
+group, and only links inside a group are searched:
 
-1. each class with the smallest partner of its bands,
-2. with the other band leaders, where they are in another component by then,
-3. all pairs of a band that are still in different components and whose signatures are not clearly
-   apart (below 0.5; six standard deviations under 0.75).
+1. Each class is confirmed against the smallest partner of its bands, on the full sets. Most of a group of
+   copies is one component after this.
+2. What is left are pairs of one group in different components. Groups are cut into blocks, a large component
+   into blocks of its own, and each pair of blocks that are not both of one component is compared completely:
+   sets become bit rows over the shingles that several of them hold, and intersections are counted bits.
 
-Links inside one component need no check, so no pair that matters is left out.
+Links inside one component need no check, so no link that matters is left out. Tasks emit one link per
+pair of components, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.llm.arrays import U, binaries, chunks, document_sets, mix, numbers
+from orbitable.llm.arrays import U, binaries, chunks, document_sets, mix
 from orbitable.llm.components import components
 from orbitable.session import cut_lineage
 
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-BLOCK = 256
-APART = 0.5
+BLOCK = 2048
 
 
 def superminhash(values: np.ndarray, docs: np.ndarray, n_docs: int, slots: int = SLOTS) -> np.ndarray:
@@ -80,13 +81,11 @@ def _sign(batches):
         key = mix(key + np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0xD6E8FEB86659FD93))
         has = size > 0
         bounds = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
-        short = mix(signature).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)),
              pa.array(digest[1].view(np.int64)),
-             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key[has].ravel().view(np.int64))),
-             binaries(short.ravel(), np.arange(n + 1) * SLOTS)],
-            names=["doc_id", "n", "d1", "d2", "bands", "sig"])
+             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key[has].ravel().view(np.int64)))],
+            names=["doc_id", "n", "d1", "d2", "bands"])
 
 
 def _sets(batches):
@@ -112,24 +111,38 @@ def _confirm(percent: int):
     return run
 
 
-def _near(signatures: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Matrix of rows whose 8-bit signatures agree in APART of the slots or more."""
-    same = np.zeros((len(signatures), len(others)), np.int16)
-    for s in range(SLOTS):
-        same += signatures[:, s: s + 1] == others[None, :, s]
-    return same >= APART * SLOTS
-
-
-def _cross(table: pa.Table) -> pa.Table:
-    """Pairs of two blocks of one band (or of one block) in different components."""
-    ids, comp = numbers(table["node"]), numbers(table["comp"])
-    left = table["part"].to_numpy()
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-    one, two = np.flatnonzero(left < 2), np.flatnonzero(left > 0)
-    hit = _near(sig[one], sig[two]) & (comp[one][:, None] != comp[two][None, :])
-    i, j = np.nonzero(hit)
-    a, b = ids[one][i], ids[two][j]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits per set, over the values that at least two of the sets hold."""
+    values = np.concatenate(sets) if sets else np.zeros(0, U)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    found, back, counts = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    kept = counts[back] > 1
+    owner, place = owner[kept], place[back[kept]]
+    rows = np.zeros((len(sets), (int((counts > 1).sum()) + 63) // 64), U)
+    np.bitwise_or.at(rows.reshape(-1), owner * rows.shape[1] + place // 64, U(1) << (place % 64).astype(U))
+    return rows
+
+
+def _cross(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between two blocks of one group (or inside one), at most one per pair of components."""
+        ids, comp, part = (table[c].to_numpy() for c in ("node", "comp", "part"))
+        sets = [np.frombuffer(x, U) for x in table["items"].to_pylist()]
+        size, rows = np.array([len(x) for x in sets]), bit_rows(sets)
+        one, two = np.flatnonzero(part < 2), np.flatnonzero(part > 0)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in one:
+            both = np.bitwise_count(rows[i][None, :] & rows[two]).sum(axis=1, dtype=np.int64)
+            hit = two[(100 * both >= percent * (size[i] + size[two] - both)) & (comp[two] != comp[i])]
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+        a, b = np.concatenate(a), np.concatenate(b)
+        pair = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1)
+        _, first = np.unique(pair, axis=0, return_index=True)
+        a, b = ids[a[first]], ids[b[first]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,40 +167,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut_lineage(docs.mapInArrow(
-        _sign, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary"))
+        _sign, "doc_id long, n long, d1 long, d2 long, bands array<long>"))
     real = signed.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(real.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     same = real.select("doc_id", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).select("doc_id", "rep")
     members = real.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select(
-        F.col("doc_id").alias("node"), "sig", F.explode("bands").alias("band"))
+        F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     members = cut_lineage(members)
     leaders = members.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    leaders = cut_lineage(leaders.select("band", "lead"))
-    shared = cut_lineage(members.join(leaders, "band"))
-    pairs = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary"))
+    pairs = members.join(leaders, "band").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    pairs = cut_lineage(pairs.distinct())
+    groups = components(pairs).withColumnRenamed("component", "grp")
+    grouped = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = cut_lineage(grouped.mapInArrow(_sets, "doc_id long, items binary"))
 
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _links(first, sets, percent)
     comps = components(links)
-    apart = _placed(pairs.select(F.col("b").alias("node"), "a"), comps).select(
-        F.col("a").alias("node"), F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    second = _placed(apart, comps).filter("comp <> comp_b").select(F.col("node").alias("a"), "b")
-    links = links.unionByName(_links(second.join(first, ["a", "b"], "left_anti"), sets, percent))
-    comps = components(links)
 
-    placed = cut_lineage(_placed(shared.select("node", "band", "sig"), comps))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    mixed = mixed.filter("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    tried = cut_lineage(placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    dealt = tried.select("node", "comp", "sig", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", "comp", "sig", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                         F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("part"))
-    third = dealt.groupBy("band", "i", "j").applyInArrow(_cross, "a long, b long").distinct()
-    links = cut_lineage(links.unionByName(_links(third, sets, percent)))
-    comps = components(links)
+    placed = cut_lineage(_placed(groups, comps))
+    mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("grp")
+    units = placed.join(mixed, "grp", "left_semi")
+    large = units.groupBy("grp", "comp").agg(F.count("*").alias("size")).filter(F.col("size") >= BLOCK).select("grp", "comp", F.col("comp").alias("own"))
+    units = units.join(large, ["grp", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    sizes = units.groupBy("grp", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    units = units.join(sizes, ["grp", "own"]).select(
+        "node", "comp", "grp", "own", F.xxhash64("grp", "own", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    units = cut_lineage(units)
+    blocks = units.select("grp", "own", "block").distinct()
+    other = blocks.select("grp", F.col("own").alias("own_j"), F.col("block").alias("j"))
+    met = blocks.withColumnRenamed("block", "i").join(other, "grp").filter("i <= j and (own <> own_j or own = -1)").select("i", "j")
+    met = cut_lineage(met)
+    ends = met.select("i", "j", F.col("i").alias("block"), F.when(F.col("i") == F.col("j"), 1).otherwise(0).alias("part")).unionByName(
+        met.filter("i < j").select("i", "j", F.col("j").alias("block"), F.lit(2).alias("part")))
+    dealt = units.select("node", "comp", "block").join(sets.select(F.col("doc_id").alias("node"), "items"), "node").join(ends, "block")
+    dealt = dealt.select("i", "j", "part", "node", "comp", "items")
+    found = dealt.groupBy("i", "j").applyInArrow(_cross(percent), "a long, b long")
+    comps = components(links.unionByName(cut_lineage(found)))
 
     whole = _placed(same.distinct().select("doc_id", F.col("rep").alias("node")), comps).select(
         "doc_id", F.col("comp").alias("component_id"))
