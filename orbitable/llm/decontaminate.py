@@ -79,20 +79,20 @@ ORACLE = """
 WITH d AS (
     SELECT doc_id, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'),
-        x -> x <> '') AS w FROM documents),
+        lambda x: x <> '') AS w FROM documents),
 b AS (
     SELECT item_id, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'),
-        x -> x <> '') AS w FROM benchmark),
+        lambda x: x <> '') AS w FROM benchmark),
 ds AS (
     SELECT DISTINCT doc_id, s FROM (
         SELECT doc_id, unnest(CASE WHEN len(w) >= 5
-            THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
 bs AS (
     SELECT DISTINCT item_id, s FROM (
         SELECT item_id, unnest(CASE WHEN len(w) >= 5
-            THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b)),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
 hit AS (

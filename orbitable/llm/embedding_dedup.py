@@ -235,11 +235,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE v AS (
-    SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL),
 good AS (
-    SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
-    WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, x -> x * x)) > 0),
+    SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+    WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
 link AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
     WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitable.llm import decontaminate, embedding_dedup, langid, line_dedup, quality
+from orbitable.llm import decontaminate, embedding_dedup, langid, line_dedup, minhash, quality, substring_dedup, suffix_dedup
 from orbitable.llm.minhash import near_duplicates
 from orbitable.llm.packing import pack
 from orbitable.llm.substring_dedup import remove_repeats
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("op9_minhash_near_dedup")
+@query("op9_minhash_near_dedup", minhash.ORACLE)
 def _minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -71,12 +71,12 @@ def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", substring_dedup.ORACLE)
 def _substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents")).drop("kept_text")
 
 
-@query("op1_suffix_array_dedup")
+@query("op1_suffix_array_dedup", suffix_dedup.ORACLE)
 def _suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_copied_bytes(table(spark, folder, "documents")).drop("spans")
 

@@ -243,3 +243,30 @@ def remove_copied_bytes(docs: DataFrame) -> DataFrame:
     found = sent.groupBy("bucket").applyInArrow(_match, FOUND)
     return rows.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+part AS (
+    SELECT doc_id, k, substring(hx, k * 2000 + 1, 2098) AS s
+    FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2000 + 1)) AS k FROM d)),
+win AS (
+    SELECT doc_id, k * 1000 + j AS i, md5(substring(s, 2 * j - 1, 100)) AS h
+    FROM (SELECT doc_id, k, s, unnest(range(1, least(1000, len(s) // 2 - 49) + 1)) AS j FROM part)),
+least_doc AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+hit AS (SELECT doc_id, i FROM win JOIN least_doc USING (h) WHERE m < doc_id),
+numbered AS (
+    SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+        SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM numbered GROUP BY doc_id, g),
+piece AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS lo, a - 1 AS hi FROM span
+    UNION ALL SELECT doc_id, max(b) + 1, 1000000000 FROM span GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, string_agg(substring(hx, 2 * lo - 1, 2 * greatest(0, least(hi, len(hx) // 2) - lo + 1)), '' ORDER BY lo) AS t
+    FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a + 1) AS k, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, len(hx) // 2 AS n_bytes, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t, hx))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id
+"""
