@@ -9,7 +9,7 @@ within EDITS edits, some segment i is untouched and has at most i - 1 edits befo
 whose edits so far are at most i - 1), so it stands there shifted by at most i - 1; the last one stands at
 the end. The longer line probes those places for the bands of its own and of shorter lengths.
 
-*Filters inside the join*: lengths, and the counts of eight frequent letters, of which an edit changes two.
+*Filters inside the join*: lengths, and the counts of fourteen letters, of which an edit changes two by one.
 
 *Verification.* Common ends are cut off, the rest goes through a banded bit-parallel edit distance: one
 number holds the vertical differences of a diagonal band of 2 * EDITS + 1 cells and is updated per character.
@@ -26,7 +26,8 @@ from orbitable.session import broadcast_checked, cut_lineage
 EDITS = 2
 MIN_CHARS = 20
 BAND = 8
-LETTERS = "etanirso"
+LETTERS = "etanirsohldcum"
+HOT_COPIES, HOT_LINES = 64, 100_000
 
 
 def _let(value: Column, use) -> Column:
@@ -117,48 +118,70 @@ def _keys(edits: int, indexed: bool) -> Column:
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
-def _letters() -> Column:
-    """Counts of eight letters, one byte each."""
-    def count(c: str) -> Column:
+def _shape() -> Column:
+    """The length modulo 256 and the counts of the letters modulo 16, packed into one number."""
+    packed = F.pmod(F.col("len"), F.lit(256)).cast("long")
+    for c in LETTERS:
         times = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
-        return F.least(times, F.lit(127)).cast("long")
-    packed = count(LETTERS[0])
-    for c in LETTERS[1:]:
-        packed = F.shiftleft(packed, 7).bitwiseOR(count(c))
+        packed = F.shiftleft(packed, 4).bitwiseOR(F.pmod(times, F.lit(16)).cast("long"))
     return packed
 
 
-def _letter_gap(a: str, b: str) -> Column:
+def _shapes_fit(long: str, short: str, edits: int) -> Column:
+    """Lengths and letter counts that `edits` edits can explain; both differences are least ones of their residues.
+
+    Lines that meet on a key differ by less than two bands in length, so the residue decides.
+    """
     def part(x: str, k: int) -> Column:
-        return F.shiftright(F.col(x), 7 * k).bitwiseAND(F.lit(127).cast("long"))
-    return sum((F.abs(part(a, k) - part(b, k)) for k in range(1, len(LETTERS))), F.abs(part(a, 0) - part(b, 0)))
+        return F.shiftright(F.col(x), 4 * k).bitwiseAND(F.lit(15).cast("long"))
+
+    def gap(k: int) -> Column:
+        apart = F.abs(part(long, k) - part(short, k))
+        return F.least(apart, 16 - apart)
+
+    longer = F.pmod(F.shiftrightunsigned(F.col(long), 4 * len(LETTERS)) - F.shiftrightunsigned(F.col(short), 4 * len(LETTERS)), F.lit(256))
+    return (longer <= edits) & (sum((gap(k) for k in range(1, len(LETTERS))), gap(0)) <= 2 * edits)
+
 
+def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1, h2, first, n): every distinct line, its first place and its number of occurrences."""
+    rows = _lines(docs).filter(F.col("len") >= min_chars)
+    return cut_lineage(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")))
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of digests of different lines within `edits` edits of each other."""
+
+def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, lines: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of digests of different lines within `edits` edits of each other.
+
+    Of a line with many copies only the first place is keyed. A line counts as such from HOT_LINES-th of all
+    occurrences on, so there are at most HOT_LINES of them and they can be broadcast; copies of other
+    lines meet and merge in the task of their key.
+    """
+    lines = distinct_lines(docs, min_chars) if lines is None else lines
     long_lines = _lines(docs).filter(F.col("len") >= min_chars)
-    name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2")).alias("id")
-    shape = long_lines.select("line", "len", "h1", "h2", _letters().alias("letters"))
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    hot = lines.filter(F.col("n") >= max(HOT_COPIES, total / HOT_LINES)).select("h1", "h2", "first")
+    once = long_lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(
+        F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "th", "pos")))
+    shape = once.select("line", "len", "h1", _shape().alias("shape"))
 
     def side(indexed: bool) -> DataFrame:
         tag = "s" if indexed else "l"
-        keyed = shape.select(F.explode(_keys(edits, indexed)).alias("key"), "h1", "h2", "len", "letters").distinct()
-        return keyed.select("key", *[F.col(c).alias(f"{c}_{tag}") for c in ("h1", "h2", "len", "letters")])
-
-    fit = ((F.col("len_l") - F.col("len_s")).between(0, edits)
-           & ((F.col("h1_l") != F.col("h1_s")) | (F.col("h2_l") != F.col("h2_s")))
-           & ((F.col("len_l") > F.col("len_s")) | (F.col("h1_l") > F.col("h1_s")) | (F.col("h1_l") == F.col("h1_s")))
-           & (_letter_gap("letters_l", "letters_s") <= 2 * edits))
-    met = side(True).join(side(False), "key").filter(fit).select("h1_s", "h2_s", "h1_l", "h2_l").distinct()
-    pairs = cut_lineage(met)
-    ids = pairs.select(F.explode(F.array(F.struct(F.col("h1_s").alias("h1"), F.col("h2_s").alias("h2")),
-                                         F.struct(F.col("h1_l").alias("h1"), F.col("h2_l").alias("h2")))).alias("x"))
-    ids = cut_lineage(ids.select("x.*").distinct())
-    texts = long_lines.select("h1", "h2", "line").join(broadcast_checked(ids), ["h1", "h2"], "left_semi")
-    texts = cut_lineage(texts.dropDuplicates(["h1", "h2"]).select("h1", "h2", "line", name))
+        keyed = shape.select(F.explode(_keys(edits, indexed)).alias("key"), F.col("h1").alias(f"h1_{tag}"), F.col("shape").alias(f"shape_{tag}"))
+        return keyed.repartition("key").distinct()
+
+    # Of two lines of one length either may probe the other; one does.
+    fit = _shapes_fit("shape_l", "shape_s", edits) & (F.col("h1_l") != F.col("h1_s")) & (
+        (F.col("h1_l") > F.col("h1_s")) | (F.shiftrightunsigned("shape_l", 4 * len(LETTERS)) != F.shiftrightunsigned("shape_s", 4 * len(LETTERS))))
+    pairs = cut_lineage(side(True).join(side(False), "key").filter(fit).select("h1_s", "h1_l").distinct())
+    ids = cut_lineage(pairs.select(F.explode(F.array("h1_s", "h1_l")).alias("h1")).distinct())
+    # Digests only name candidates here; should two lines share h1, both are verified.
+    texts = long_lines.select("h1", "h2", "line").join(broadcast_checked(ids), "h1", "left_semi")
+    name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
+    texts = cut_lineage(texts.dropDuplicates(["h1", "h2"]).select("h1", "line", name.alias("id")))
     for tag in ("s", "l"):
-        named = texts.select(F.col("h1").alias(f"h1_{tag}"), F.col("h2").alias(f"h2_{tag}"), F.col("line").alias(f"line_{tag}"), F.col("id").alias(f"id_{tag}"))
-        pairs = pairs.join(named, [f"h1_{tag}", f"h2_{tag}"])
+        named = texts.select(F.col("h1").alias(f"h1_{tag}"), F.col("line").alias(f"line_{tag}"), F.col("id").alias(f"id_{tag}"))
+        pairs = pairs.join(named, f"h1_{tag}")
+    pairs = pairs.filter(F.abs(F.char_length("line_l") - F.char_length("line_s")) <= edits)
     close = pairs.filter(edit_distance(F.col("line_l"), F.col("line_s"), edits) <= edits)
     return cut_lineage(close.select(F.col("id_s").alias("a"), F.col("id_l").alias("b")))
 
@@ -171,9 +194,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     alone, and so are rows with a null doc_id or text.
     """
     rows = _lines(docs).filter(F.col("len") >= min_chars).drop("line")
-    place = F.struct("doc_id", "th", "pos")
-    lines = cut_lineage(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    comps = components(line_links(docs, edits, min_chars))
+    lines = distinct_lines(docs, min_chars)
+    comps = components(line_links(docs, edits, min_chars, lines))
     name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
     classed = lines.withColumn("node", name).join(comps, "node", "left")
     alone = classed.filter("component is null and n > 1").select("h1", "h2", "first", F.col("first").alias("head"))
