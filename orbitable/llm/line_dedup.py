@@ -9,7 +9,7 @@ within EDITS edits, some segment i is untouched and has at most i - 1 edits befo
 whose edits so far are at most i - 1), so it stands there shifted by at most i - 1; the last one stands at
 the end. The longer line probes those places for the bands of its own and of shorter lengths.
 
-*Filters inside the join*: lengths, and the counts of fourteen letters, of which an edit changes two by one.
+*Filters inside the join*: lengths, and the counts of ten letters, of which an edit changes two by one.
 
 *Verification.* Common ends are cut off, the rest goes through a banded bit-parallel edit distance: one
 number holds the vertical differences of a diagonal band of 2 * EDITS + 1 cells and is updated per character.
@@ -26,7 +26,7 @@ from orbitable.session import broadcast_checked, cut_lineage
 EDITS = 2
 MIN_CHARS = 20
 BAND = 8
-LETTERS = "etanirsohldcum"
+LETTERS = "etanirsohl"
 HOT_COPIES, HOT_LINES = 64, 100_000
 
 
@@ -143,9 +143,13 @@ def _shapes_fit(long: str, short: str, edits: int) -> Column:
     return (longer <= edits) & (sum((gap(k) for k in range(1, len(LETTERS))), gap(0)) <= 2 * edits)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def stored_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, th, pos, h1, h2) of the lines of at least `min_chars` characters, written once."""
+    return cut_lineage(_lines(docs).filter(F.col("len") >= min_chars).select("doc_id", "th", "pos", "h1", "h2"))
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
     """(h1, h2, first, n): every distinct line, its first place and its number of occurrences."""
-    rows = _lines(docs).filter(F.col("len") >= min_chars)
     return cut_lineage(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")))
 
 
@@ -156,18 +160,19 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     occurrences on, so there are at most HOT_LINES of them and they can be broadcast; copies of other
     lines meet and merge in the task of their key.
     """
-    lines = distinct_lines(docs, min_chars) if lines is None else lines
+    lines = distinct_lines(stored_lines(docs, min_chars)) if lines is None else lines
     long_lines = _lines(docs).filter(F.col("len") >= min_chars)
     total = lines.agg(F.sum("n")).first()[0] or 0
     hot = lines.filter(F.col("n") >= max(HOT_COPIES, total / HOT_LINES)).select("h1", "h2", "first")
     once = long_lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(
         F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "th", "pos")))
-    shape = once.select("line", "len", "h1", _shape().alias("shape"))
+    # Keys and filters of a line are made once and written; both sides of the join read them.
+    keyed = cut_lineage(once.select("h1", _shape().alias("shape"), _keys(edits, True).alias("k_s"), _keys(edits, False).alias("k_l")))
 
     def side(indexed: bool) -> DataFrame:
         tag = "s" if indexed else "l"
-        keyed = shape.select(F.explode(_keys(edits, indexed)).alias("key"), F.col("h1").alias(f"h1_{tag}"), F.col("shape").alias(f"shape_{tag}"))
-        return keyed.repartition("key").distinct()
+        rows = keyed.select(F.explode(f"k_{tag}").alias("key"), F.col("h1").alias(f"h1_{tag}"), F.col("shape").alias(f"shape_{tag}"))
+        return rows.repartition("key").distinct()
 
     # Of two lines of one length either may probe the other; one does.
     fit = _shapes_fit("shape_l", "shape_s", edits) & (F.col("h1_l") != F.col("h1_s")) & (
@@ -193,8 +198,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     first occurrence of the class has another wording. Lines under `min_chars` characters are left
     alone, and so are rows with a null doc_id or text.
     """
-    rows = _lines(docs).filter(F.col("len") >= min_chars).drop("line")
-    lines = distinct_lines(docs, min_chars)
+    rows = stored_lines(docs, min_chars)
+    lines = distinct_lines(rows)
     comps = components(line_links(docs, edits, min_chars, lines))
     name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
     classed = lines.withColumn("node", name).join(comps, "node", "left")
