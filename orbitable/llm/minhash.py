@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = members.join(leaders, "band").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     pairs = cut_lineage(pairs.distinct())
     groups = components(pairs).withColumnRenamed("component", "grp")
-    grouped = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    # Merged at every size: which side is small depends on how much of the corpus is copied.
+    grouped = docs.join(groups.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = cut_lineage(grouped.mapInArrow(_sets, "doc_id long, items binary"))
 
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -212,3 +213,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+        THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+    SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(node, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM reach JOIN link ON other = a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept
+FROM documents JOIN comp ON node = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
