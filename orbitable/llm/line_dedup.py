@@ -2,6 +2,8 @@
 
 Lines within EDITS insertions, deletions and substitutions of each other are linked; of each
 component of linked lines the first occurrence stays. Copies of a line are one line beforehand.
+Two edits are a tenth of a line of MIN_CHARS characters; if the shorter of two lines has fewer, they are linked
+within one edit, and below NEAR_CHARS characters only copies are one line.
 
 *Segments.* A line of n characters belongs to the length band of n and has EDITS + 1 disjoint segments of one
 length that the band fixes: EDITS of them from its start on, the last one at its end. If a longer line is
@@ -9,6 +11,9 @@ within EDITS edits, some segment i is untouched and has at most i - 1 edits befo
 whose edits so far are at most i - 1), so it stands there shifted by at most i - 1; the last one stands at
 the end. The longer line probes those places for the bands of its own and of shorter lengths.
 
+*Short lines.* Lines one edit apart share a text with one character cut out, or the longer one without a character is the
+shorter one. Such a text has few lines, however many begin or end alike.
+
 *Filters inside the join*: lengths, and the counts of ten letters, of which an edit changes two by one.
 
 *Verification.* Common ends are cut off, the rest goes through a banded bit-parallel edit distance: one
@@ -25,6 +30,8 @@ from orbitable.session import broadcast_checked, cut_lineage
 
 EDITS = 2
 MIN_CHARS = 20
+NEAR_CHARS = 8
+ANY_LENGTH = 1
 BAND = 8
 LETTERS = "etanirsohl"
 HOT_COPIES, HOT_LINES = 64, 100_000
@@ -114,10 +121,23 @@ def _keys(edits: int, indexed: bool) -> Column:
         fresh = F.lit(True) if k == 0 else band != F.floor(bands[k - 1] / BAND)
         for i, at in places:
             at = at if isinstance(at, Column) else F.lit(at)
-            found.append(F.when(fresh & (size > 0) & (at >= 0), F.xxhash64(F.lit(i), band, F.substring(line, at + 1, size))))
+            found.append(F.when(fresh & (size > 0) & (at >= 0) & (n >= MIN_CHARS), F.xxhash64(F.lit(i), band, F.substring(line, at + 1, size))))
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
+def _cut_keys(indexed: bool) -> Column:
+    """Hashes of a short line without each of its characters; an indexed line also has its own."""
+    line, n = F.col("line"), F.col("len")
+
+    def key(text: Column) -> Column:
+        return F.xxhash64(F.lit("cut"), text)
+
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: key(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))))
+    # A line of MIN_CHARS characters may be the longer one of a pair.
+    short = n < (MIN_CHARS if indexed else MIN_CHARS + 1)
+    return F.when(short, F.array_distinct(F.concat(cut, F.array(key(line))) if indexed else cut)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _shape() -> Column:
     """The length modulo 256 and the counts of the letters modulo 16, packed into one number."""
     packed = F.pmod(F.col("len"), F.lit(256)).cast("long")
@@ -154,20 +174,22 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, lines: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of digests of different lines within `edits` edits of each other.
+    """Pairs (a, b) of digests of different lines within `edits` edits of each other, or one if the shorter has under MIN_CHARS characters.
 
     Of a line with many copies only the first place is keyed. A line counts as such from HOT_LINES-th of all
     occurrences on, so there are at most HOT_LINES of them and they can be broadcast; copies of other
     lines meet and merge in the task of their key.
     """
     lines = distinct_lines(stored_lines(docs, min_chars)) if lines is None else lines
-    long_lines = _lines(docs).filter(F.col("len") >= min_chars)
+    long_lines = _lines(docs).filter(F.col("len") >= max(min_chars, NEAR_CHARS))
     total = lines.agg(F.sum("n")).first()[0] or 0
     hot = lines.filter(F.col("n") >= max(HOT_COPIES, total / HOT_LINES)).select("h1", "h2", "first")
     once = long_lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(
         F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "th", "pos")))
     # Keys and filters of a line are made once and written; both sides of the join read them.
-    keyed = cut_lineage(once.select("h1", _shape().alias("shape"), _keys(edits, True).alias("k_s"), _keys(edits, False).alias("k_l")))
+    keys = {tag: _keys(edits, indexed) if min_chars >= MIN_CHARS else F.concat(_keys(edits, indexed), _cut_keys(indexed))
+            for tag, indexed in (("s", True), ("l", False))}
+    keyed = cut_lineage(once.select("h1", _shape().alias("shape"), *[k.alias(f"k_{tag}") for tag, k in keys.items()]))
 
     def side(indexed: bool) -> DataFrame:
         tag = "s" if indexed else "l"
@@ -187,7 +209,8 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         named = texts.select(F.col("h1").alias(f"h1_{tag}"), F.col("line").alias(f"line_{tag}"), F.col("id").alias(f"id_{tag}"))
         pairs = pairs.join(named, f"h1_{tag}")
     pairs = pairs.filter(F.abs(F.char_length("line_l") - F.char_length("line_s")) <= edits)
-    close = pairs.filter(edit_distance(F.col("line_l"), F.col("line_s"), edits) <= edits)
+    allowed = F.when(F.char_length("line_s") < MIN_CHARS, min(1, edits)).otherwise(edits)
+    close = pairs.filter(edit_distance(F.col("line_l"), F.col("line_s"), edits) <= allowed)
     return cut_lineage(close.select(F.col("id_s").alias("a"), F.col("id_l").alias("b")))
 
 

@@ -68,7 +68,7 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, folder, "documents"))
+    return line_dedup.line_report(table(spark, folder, "documents"), min_chars=line_dedup.ANY_LENGTH)
 
 
 @query("op3_substring_dedup", substring_dedup.ORACLE)

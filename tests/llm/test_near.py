@@ -137,6 +137,38 @@ def test_lines_against_plain(spark):
     assert {r.doc_id for r in kept.collect()} >= {90, 91, 92, None}
 
 
+def test_lines_of_any_length(spark, tmp_path):
+    import corpus_pipeline
+    from orbitable.llm.queries import QUERIES
+
+    rng, rows = random.Random(12), []
+    lines = ["Les.", "x", "abcdefg", "abcdefgh", "All rights reserved", "aaaaaaaaaaaa", *["".join(rng.choice("abé ") for _ in range(n)) for n in range(5, 24)]]
+    for i in range(150):
+        s = rng.choice(lines)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            at = rng.randrange(len(s))
+            s = s[:at] + rng.choice(["", "z", "q"]) + s[at + rng.randrange(2):] or "y"
+        rows.append((i, f"\n{s}\n{rng.choice(lines)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = sorted((d, p, s) for d, t in rows for p, s in enumerate(t.split("\n")) if s)
+    texts = sorted({s for *_, s in places})
+    near = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i]
+            if min(len(a), len(b)) >= 8 and edit(a, b) <= (2 if min(len(a), len(b)) >= 20 else 1)}
+    assert len({s for x in near for s in x if len(s) < 20}) > 20 and any({len(s) for s in x} == {19, 20} for x in near)
+    links = [frozenset(x) for x in line_dedup.line_links(docs, min_chars=line_dedup.ANY_LENGTH).collect()]
+    assert len(links) == len(set(links)) == len(near)
+    reach, seen, gone = least_reachable(texts, [tuple(x) for x in near]), set(), {}
+    for d, p, s in places:
+        if reach[s] in seen:
+            gone.setdefault(d, []).append(p)
+        seen.add(reach[s])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    report = {r.doc_id: r.removed for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert report == {d: gone.get(d, []) for d, _ in rows}
+    kept = dict(map(tuple, corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()))
+    assert kept == {d: "\n".join(s for p, s in enumerate(t.split("\n")) if p not in gone.get(d, [])) for d, t in rows}
+
+
 def test_lines_of_messy_and_empty(spark):
     assert line_dedup.line_report(messy(spark)).count() == len(messy_texts())
     assert line_dedup.line_report(nothing(spark)).count() == 0
