@@ -2,9 +2,14 @@
 
 A text is the average of the vectors of its byte 1- to 4-grams (A-Z folded, hashed into 2**15 buckets)
 and the label a softmax over a linear map of that average. Both are learned by stochastic gradient
-descent in numpy from a bounded sample of labelled rows (TRAIN_ROWS, drawn by a hash of the id). A
-fifth of the sample calibrates the temperature and the score below which a prediction counts as
-rejected. For prediction the two matrices are multiplied out, so a gram costs one table row.
+descent in numpy from a bounded sample of labelled rows (TRAIN_ROWS, shared among the labels and drawn by a
+hash of the id). For prediction the two matrices are multiplied out, so a gram costs one table row.
+
+A softmax is sure of any text, also in a language it never saw. What is rejected follows from the surprise of a text, the mean of
+-log p over its grams, p being the frequency of the gram in the label where it is most frequent (mixed languages surprise
+little). Every fifth row of a label is held out of the training; they calibrate the temperature and the surprise
+above which a text is rejected: what 99 in 100 held texts stay below, and a quarter of its distance from their median beyond
+(more, the fewer are held). Few grams are weak evidence, so PRIOR_GRAMS of median surprise are added to each text.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitable.llm.arrays import U, byte_values, chunks, mix, text_buffer
@@ -24,6 +29,7 @@ GRAMS = (1, 2, 3, 4)
 WIDTH = 16
 EPOCHS = 8
 UNDETERMINED = "und"
+LEVEL, MARGIN, PRIOR_GRAMS = 0.99, 0.25, 64
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS):
@@ -51,30 +57,52 @@ def gram_counts(column, buckets: int = BUCKETS):
 
 @dataclass
 class Model:
-    """`table` holds the score of every bucket for every label; rejection is score < `least`."""
+    """`table` holds the score of every bucket for every label; rejected is what surprises more than `most`."""
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    least: float
+    surprise: np.ndarray
+    usual: float
+    most: float
 
-    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the probabilities of the labels, and whether it is rejected."""
         n, k = len(offsets) - 1, len(self.labels)
-        total, grams = np.zeros((n, k)), np.zeros(n)
+        total, grams = np.zeros((n, k + 1)), np.zeros(n)
+        columns = [*self.table.T, self.surprise]
         for bucket, ok in gram_buckets(data, offsets, len(self.table)):
             inside = np.minimum(offsets, len(bucket))
-            for c in range(k + 1):
-                seen = np.where(ok, self.table[:, c][bucket], 0.0) if c < k else ok.astype(np.float64)
+            for c in range(k + 2):
+                seen = np.where(ok, columns[c][bucket], 0.0) if c <= k else ok.astype(np.float64)
                 sums = np.concatenate([[0.0], np.cumsum(seen)])
                 change = sums[inside[1:]] - sums[inside[:-1]]
-                if c < k:
+                if c <= k:
                     total[:, c] += change
                 else:
                     grams += change
-        scores = (total / np.maximum(grams, 1)[:, None] + self.bias) / self.temperature
+        scores = (total[:, :k] / np.maximum(grams, 1)[:, None] + self.bias) / self.temperature
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return scores / scores.sum(axis=1, keepdims=True)
+        rejected = _damped(total[:, k], grams, self.usual) > self.most
+        return scores / scores.sum(axis=1, keepdims=True), rejected
+
+
+def _damped(total: np.ndarray, grams: np.ndarray, usual: float) -> np.ndarray:
+    """Mean surprise with PRIOR_GRAMS grams of `usual` surprise added."""
+    return (total + PRIOR_GRAMS * usual) / (grams + PRIOR_GRAMS)
+
+
+def _surprise(rows: list[tuple[str, np.ndarray, np.ndarray]], labels: list[str], buckets: int) -> np.ndarray:
+    """-log of the share of every bucket in the label where it is largest; all texts of a label weigh the same."""
+    best = np.zeros(buckets)
+    for label in labels:
+        share = np.zeros(buckets)
+        for found, counts in (x[1:] for x in rows if x[0] == label and len(x[1])):
+            share[found] += counts / counts.sum()
+        # A hundredth goes to all buckets alike, so no gram is impossible.
+        best = np.maximum(best, 0.99 * share / max(share.sum(), 1e-12) + 0.01 / buckets)
+    return -np.log(best)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -83,12 +111,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], labels: list[str], buckets: int = BUCKETS, seed: int = 7) -> Model:
-    """Stochastic gradient descent over (label, buckets, counts) rows; every fifth row calibrates."""
+    """Stochastic gradient descent over (label, buckets, counts) rows; every fifth row of a label calibrates."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (buckets, WIDTH))
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(labels))), np.zeros(len(labels))
-    held = [i for i in range(len(rows)) if i % 5 == 4]
-    train = [i for i in range(len(rows)) if i % 5 != 4]
+    of_label = {x: [i for i in range(len(rows)) if rows[i][0] == x] for x in labels}
+    held = sorted(i for found in of_label.values() for i in found[4::5])
+    train = sorted(set(range(len(rows))) - set(held))
     number = {x: i for i, x in enumerate(labels)}
     steps, total = 0, max(1, EPOCHS * len(train))
     for _ in range(EPOCHS):
@@ -108,18 +137,20 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], labels: list[str], bucke
             # A shared step for all buckets of the text, larger for frequent ones.
             vectors[found] -= (20 * rate) * np.outer(share, back)
     table = vectors @ weights
+    surprise = _surprise([rows[i] for i in train], labels, buckets)
     use = [i for i in held if len(rows[i][1])]
     if not use:
-        return Model(labels, table, bias, 1.0, 0.0)
+        return Model(labels, table, bias, 1.0, surprise, 0.0, np.inf)
     z = np.array([(rows[i][2] / rows[i][2].sum()) @ table[rows[i][1]] + bias for i in use])
     y = np.array([number[rows[i][0]] for i in use])
     loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in np.geomspace(0.05, 5, 40)}
     temperature = min(loss, key=loss.get)
-    p = _softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
-    # Below half of the lowest score in a thousand right answers, and never above an even guess.
-    least = min(0.5, float(np.quantile(right, 0.001)) / 2) if len(right) else 0.0
-    return Model(labels, table, bias, float(temperature), least)
+    grams = np.array([rows[i][2].sum() for i in use])
+    total = np.array([rows[i][2] @ surprise[rows[i][1]] for i in use])
+    usual = float(np.median(total / grams))
+    level = float(np.quantile(_damped(total, grams, usual), LEVEL))
+    most = level + (MARGIN + 10 / len(use)) * max(level - usual, 0.25)
+    return Model(labels, table, bias, float(temperature), surprise, usual, most)
 
 
 def _features(batches):
@@ -131,10 +162,30 @@ def _features(batches):
              pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int32()))], names=["label", "found", "counts"])
 
 
+def _shares(counts: dict[str, int], rows: int) -> list[tuple[str, int, float]]:
+    """(label, rows to draw, part of the hashes that holds them)."""
+    out, left = [], rows
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        share = min(n, max(1, left // (len(counts) - k)))
+        left -= share
+        out.append((label, share, min(1.0, (share + 8 * share ** 0.5 + 30) / n)))
+    return out
+
+
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most `rows` rows of (id, text, label), the first by a hash of id and text; None without any."""
-    usable = labelled.filter("text is not null and label is not null and text rlike '\\\\p{L}'")
-    sample = usable.orderBy(F.xxhash64("id", "text"), "label").limit(rows)
+    """Fit on about `rows` rows of (id, text, label), of each label the first by a hash of id and text; None without any.
+
+    Every label has the same share; what small labels leave goes to the larger ones, and one row is the least.
+    """
+    usable = labelled.filter("text is not null and label is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("id", "text"))
+    shares = _shares({r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}, rows)
+    if not shares:
+        return None
+    shares = usable.sparkSession.createDataFrame(shares, "label string, share long, within double")
+    # Hashes are even, so the first rows of a label lie within this part of them; only those are sorted.
+    drawn = usable.join(F.broadcast(shares), "label").withColumn("draw", F.pmod("h", F.lit(1 << 40))).filter(F.col("draw") <= F.col("within") * (1 << 40))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "h", "text"))
+    sample = drawn.withColumn("place", place).filter("place <= share").orderBy("draw", "h", "label", "text")
     got = sample.select("label", "text").mapInArrow(_features, "label string, found array<int>, counts array<int>").toArrow()
     data = [(label.as_py(), np.asarray(found.values), np.asarray(counts.values).astype(np.float64))
             for label, found, counts in zip(got["label"], got["found"], got["counts"], strict=True)]
@@ -149,12 +200,12 @@ def _predict(model: Model | None):
             label, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             rejected = np.ones(batch.num_rows, bool)
             if model is not None:
-                p = model.probabilities(data, offsets)
+                p, novel = model.probabilities(data, offsets)
                 letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
                 best = p.argmax(axis=1)
                 label = [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, p.max(axis=1), 0.0)
-                rejected = ~letters | (score < model.least)
+                rejected = ~letters | novel
             kept = [c for c in batch.schema.names if c not in ("text", "letters")]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(label), pa.array(score, pa.float64()), pa.array(rejected)],

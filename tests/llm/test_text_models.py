@@ -142,6 +142,32 @@ def test_language_held_out_accuracy(spark):
     assert langid.identify(nothing(spark), langid.learn(nothing(spark))).count() == 0
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    rng = random.Random(9)
+
+    def text(alphabet, n):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    fresh = [(1000 + i, text("ghjkltuvw", rng.randrange(15, 60)), None) for i in range(40)] + [(1100 + i, text("жзиклмнопр", 20), None) for i in range(20)]
+    mixed = [(1200 + i, text("abcdei", 12) + " " + text("nopqrs", 12), None) for i in range(20)]
+    docs = spark.createDataFrame(languages(spark) + fresh + mixed, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in langid.identify(docs, langid.learn(docs)).collect()}
+    assert all(got[i] for i, *_ in fresh)
+    assert not any(got[i] for i, *_ in mixed)
+
+
+def test_language_sample_has_every_label(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(8)), "aa") for i in range(3000)]
+    rows += [(5000 + i, " ".join(rng.choice(["xy", "zw", "uv"]) for _ in range(8)), "zz") for i in range(12)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string")
+    model = langid.train(docs, 100)
+    assert model.labels == ["aa", "zz"]
+    got = langid.identify(docs.select(F.col("id").alias("doc_id"), "text"), model).collect()
+    assert np.mean([r.lang_pred == ("zz" if r.doc_id >= 5000 else "aa") for r in got]) > 0.99
+    assert sum(x[1] for x in langid._shares({"a": 5, "b": 5000, "c": 90, "d": 7000}, 400)) == 400
+
+
 def test_quality(spark):
     rng, rows, marks = random.Random(7), [], []
     for i in range(1500):
