@@ -152,10 +152,13 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
 def correlation_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations of all i < j as rows: f1, f2, r (one pass).
 
+    NaN and infinities count as missing, at every width.
     Beyond NARROW columns tasks add up masked block products: for every pair the number of rows that
     have both values, their sums, squares and products.
     """
     names = list(names)
+    finite = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in names]
+    df = df.select(*finite)
     if len(names) <= NARROW:
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
         cells = [
@@ -163,7 +166,7 @@ def correlation_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
         ]
         return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
     p = len(names)
-    data = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("_x"))
+    data = df.select(F.array(*names).alias("_x"))
     origin = _shift(data)
 
     def partials(batches: Iterator) -> Iterator:

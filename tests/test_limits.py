@@ -134,3 +134,25 @@ def test_exact_holdout_and_mixed_types(spark):
     assert row.mae == pytest.approx(np.abs(e).mean()) and row.rmsd == pytest.approx(np.sqrt((e ** 2).mean()))
     mapping = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "mol_id long, old int, new long")
     assert renumber.is_permutation(mapping).first().bijective
+
+
+def test_correlation_is_the_same_at_every_width(spark):
+    from orbitable.operators.moments import correlated_pairs, correlation_long, correlation_order
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 17))
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]
+    x[4, 0], x[7, 1], x[9, 2], x[11, 3] = np.nan, np.inf, -np.inf, np.nan
+    names = [f"c{i}" for i in range(17)]
+    df = spark.createDataFrame([[float(v) for v in row] for row in x], ", ".join(f"{c} double" for c in names))
+    want = {}
+    for i in range(17):
+        for j in range(i + 1, 17):
+            ok = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+            want[names[i], names[j]] = np.corrcoef(x[ok, i], x[ok, j])[0, 1]
+    for width in (16, 17):
+        got = {(r.f1, r.f2): r.r for r in correlation_long(df, names[:width]).collect()}
+        assert len(got) == width * (width - 1) // 2
+        assert all(abs(r - want[k]) < 1e-9 for k, r in got.items())
+        assert [(r.f1, r.f2) for r in correlated_pairs(df, names[:width]).collect()] == [("c0", "c1")]
+        assert {r.feature for r in correlation_order(df, names[:width]).collect() if r.starred} == {"c0", "c1"}
