@@ -114,11 +114,11 @@ def components(steps: DataFrame) -> DataFrame:
 
 
 def _far_sources(steps: DataFrame) -> DataFrame:
-    """Atoms one of which ends a longest shortest path of each component: mol_id, source.
+    """Atoms one of which ends every longest shortest path of each component: mol_id, source.
 
-    Two sweeps give a long path a..b of length L; u is its middle. Two atoms within L / 2 of u are at
-    most L apart, so a longer path must end in an atom further than L / 2 from u. Those, and a, are
-    enough, and in molecule-like graphs they are few.
+    Two sweeps give a long path a..b of length L; u is its middle. Two atoms nearer than L / 2 to u are
+    less than L apart, so every path of length L or more ends in an atom at least L / 2 from u. Those
+    are enough, also for ties, and in molecule-like graphs they are few.
     """
     def ends(hops: DataFrame) -> DataFrame:
         best = F.min(F.struct((-F.col("depth")).alias("d"), F.col("atom_idx").alias("end")))
@@ -136,7 +136,7 @@ def _far_sources(steps: DataFrame) -> DataFrame:
     ).join(second.select("mol_id", F.col("source").alias("a"), "length"), ["mol_id", "a"])
     middle = cut_lineage(middle.select("mol_id", "a", "length", F.col("m.u").alias("source")))
     levels = hop_distances(steps, middle.select("mol_id", "source"))
-    outer = levels.join(middle, ["mol_id", "source"]).where(2 * F.col("depth") > F.col("length")).select("mol_id", F.col("atom_idx").alias("source"))
+    outer = levels.join(middle, ["mol_id", "source"]).where(2 * F.col("depth") >= F.col("length")).select("mol_id", F.col("atom_idx").alias("source"))
     return outer.unionByName(middle.select("mol_id", F.col("a").alias("source"))).distinct()
 
 
@@ -144,7 +144,7 @@ def graph_diameters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     """Longest shortest path per molecule: mol_id, diameter and an end pair.
 
     Walks start at every atom of molecules of at most SMALL atoms, and in larger ones only at the
-    atoms that can end a longest path. The lowest end pair met is reported.
+    atoms one of which ends every longest path, so all of them are met either way. The lowest end pair is reported.
     """
     steps = cut_lineage(both_ways(bonds))
     sizes = cut_lineage(atoms.groupBy("mol_id").agg(F.count("*").alias("n")))

@@ -156,3 +156,34 @@ def test_correlation_is_the_same_at_every_width(spark):
         assert all(abs(r - want[k]) < 1e-9 for k, r in got.items())
         assert [(r.f1, r.f2) for r in correlated_pairs(df, names[:width]).collect()] == [("c0", "c1")]
         assert {r.feature for r in correlation_order(df, names[:width]).collect() if r.starred} == {"c0", "c1"}
+
+
+def test_ends_of_longest_paths_do_not_depend_on_size(spark):
+    from orbitable.operators import graph
+
+    rng, mols = random.Random(4), {}
+    # Arms of equal length meet in one atom, so there are many longest paths; the numbers are shuffled.
+    for mol, (arms, length) in enumerate([(70, 1), (35, 2)]):
+        names = list(range(1, arms * length + 2))
+        rng.shuffle(names)
+        mols[f"m{mol}"] = (names, [(names[0 if j == 0 else i * length + j], names[i * length + j + 1]) for i in range(arms) for j in range(length)])
+    # Two pairs of opposite corners of a grid with leaves at its centre; atom 1 is nearer to the lowest pair.
+    grid = [(3, 1), (1, 6), (7, 2), (2, 8), (4, 9), (9, 5), (3, 7), (7, 4), (1, 2), (2, 9), (6, 8), (8, 5)]
+    mols["grid"] = (list(range(1, 75)), grid + [(2, k) for k in range(10, 75)])
+    atoms = spark.createDataFrame([(m, a) for m, (names, _) in mols.items() for a in names], "mol_id string, atom_idx int")
+    bonds = spark.createDataFrame([(m, min(e), max(e)) for m, (_, edges) in mols.items() for e in edges], "mol_id string, a int, b int")
+    want = {}
+    for m, (names, edges) in mols.items():
+        near, best = {a: [] for a in names}, (0, 0, 0)
+        for a, b in edges:
+            near[a].append(b)
+            near[b].append(a)
+        for a in names:
+            depth, layer = {a: 0}, [a]
+            while layer:
+                layer = {b: depth[x] + 1 for x in layer for b in near[x] if b not in depth}
+                depth |= layer
+            best = min(best, *((-d, a, b) for b, d in depth.items() if a <= b))
+        want[m] = (-best[0], best[1], best[2])
+    got = {r.mol_id: (r.diameter, r["first"], r["last"]) for r in graph.graph_diameters(bonds, atoms).collect()}
+    assert got == want
