@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from orbitable.llm.arrays import chunks
-from orbitable.llm.tokens import encoder
+from orbitable.llm.tokens import CHUNK_BYTES, encoder
 
 TIERS = (256, 512, 1024, 2048)
 BLOCK_TOKENS = 1 << 19
@@ -50,7 +50,7 @@ class _Packer:
         step = self.in_tier[tier] // (STEP_TOKENS // tier)
         offset, group = 0, self.first + (step * len(TIERS) + TIERS.index(tier))
         for length, _, doc_id, start, ids in window:
-            crc = zlib.crc32(ids[start: start + length].astype("<u4").tobytes())
+            crc = zlib.crc32(ids[start: start + length])
             self.rows.append((doc_id, start, length, crc, len(ids), self.first + self.sequences, offset, tier, group))
             offset += length
         self.in_tier[tier] += 1
@@ -110,10 +110,12 @@ def _pack(path: str):
             names = [field.split()[0] for field in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in chunks(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, "encode").encode(texts), strict=True):
-                packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
+        for batch in chunks(batches, CHUNK_BYTES):
+            ids, bounds = encoder(path).encode(batch.column("text"))
+            # One end id behind every document: its bounds move by one per document before it.
+            ids, bounds = np.insert(ids, bounds[1:], END_ID), (bounds + np.arange(len(bounds))).tolist()
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                packer.add(doc_id, ids[bounds[k]: bounds[k + 1]])
             if packer.tokens >= BLOCK_TOKENS:
                 packer.pack(last=False)
             yield rows()

@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitable.llm.arrays import chunks
-from orbitable.llm.tokens import encoder, version
+from orbitable.llm.tokens import CHUNK_BYTES, encoder, version
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
 def _count(path: str, tokenizer: str):
     def run(batches):
-        for batch in chunks(batches):
-            counts = encoder(path, "count").count(batch.column("text").to_pylist())
+        for batch in chunks(batches, CHUNK_BYTES):
+            counts = encoder(path).count(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([tokenizer] * len(counts)), pa.array(counts, pa.int64())],
                 names=["digest", "tokenizer", "n_tokens"])
