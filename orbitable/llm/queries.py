@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitable.llm import decontaminate, embedding_dedup, langid, line_dedup, minhash, quality, substring_dedup, suffix_dedup
+from orbitable.llm import best_fit, collocations, decontaminate, embedding_dedup, importance, langid, line_dedup
+from orbitable.llm import minhash, quality, substring_dedup, suffix_dedup
 from orbitable.llm.minhash import near_duplicates
 from orbitable.llm.packing import pack
 from orbitable.llm.substring_dedup import remove_repeats
@@ -91,3 +92,18 @@ def _quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """The source stands for the host, a language section of it for the path."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.score_quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+@query("op11_importance_resampling", importance.ORACLE)
+def _importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_phrase_collocations", collocations.ORACLE)
+def _phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_best_fit_packing")
+def _best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, folder, "documents"), BYTE_BPE)
