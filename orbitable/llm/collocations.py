@@ -1,6 +1,10 @@
 """Phrase mining with counts from burstable tries.
 
-A task numbers the words it meets and keeps, per language, a shallow trie over word numbers whose leaves are
+A first pass counts hashes of words and of adjacent words in a table of fixed size. A bucket that stays below the least
+count holds no frequent word or pair, so the second pass leaves those out of its windows. The filter only saves work:
+hashes that meet make a bucket heavier, never lighter, and on a corpus that fills all buckets every window is kept.
+
+In the second pass a task numbers the words it meets and keeps, per language, a shallow trie over word numbers whose leaves are
 containers: bags of word windows (a word and up to three that follow it in its piece) with their counts. A container
 takes unsorted batches, is compacted when they outgrow it, and bursts in two at a word of its prefix when it holds
 too many distinct windows. When a task's windows pass SPILL, its subtrees are spilled as runs: sorted windows of one
@@ -25,19 +29,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orbitable.llm.arrays import U, chunks, mix, text_buffer
-from orbitable.session import cut_lineage
+from orbitable.session import broadcast_checked, cut_lineage
 
 LONGEST = 4
 LEAST = 30
 TOP = 2000
 COVERED = 80
 SALTS = 16
+CHUNK_BYTES = 4 << 20
 BURST = 1 << 16
-SPILL = 3 << 20
+SPILL = 5 << 18
 VOCABULARY = 1 << 19
-CELL_BYTES = 8 << 20
-CELL_WINDOWS = 4 << 20
+CELL_BYTES = 4 << 20
+CELL_WINDOWS = 2 << 20
 NO_LANGUAGE = "und"
+PAIR_BUCKETS = 1 << 24
+WORD_BUCKETS = 1 << 22
+SEGMENT = 1 << 12
 RUNS = "lang string, part long, n long, words binary, ids binary, counts binary"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -65,6 +73,68 @@ def piece_words(column) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(flat)]), text, follows
 
 
+class _Words:
+    """Words of some texts with hashes of each word and of each word with the one that follows it."""
+
+    def __init__(self, langs: list, column):
+        words, text, self.follows = piece_words(column)
+        coded = words.dictionary_encode()
+        self.distinct, self.code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        self.langs, by_text = np.unique(np.array(langs, object).astype(str), return_inverse=True)
+        self.lang = by_text[text] if len(text) else text
+        hashes = np.fromiter(map(zlib.crc32, self.distinct), np.uint32, len(self.distinct)).astype(U)[self.code]
+        own = np.array([zlib.crc32(x.encode()) for x in self.langs], U)[self.lang] if len(text) else np.zeros(0, U)
+        self.words = (mix(hashes + own * U(0xD6E8FEB86659FD93)) % U(WORD_BUCKETS)).astype(np.int64) + PAIR_BUCKETS
+        mixed = hashes[:-1] * U(0x9E3779B97F4A7C15) + hashes[1:] + (own[1:] << U(32))
+        self.pairs = (mix(mixed) % U(PAIR_BUCKETS)).astype(np.int64)
+
+
+def _bucket_sums(least: int):
+    """Occupied buckets of a task by segment; counts stop at `least`, which decides the same."""
+    kind = np.min_scalar_type(2 * least)
+
+    def run(batches):
+        total = np.zeros(PAIR_BUCKETS + WORD_BUCKETS, kind)
+        for batch in chunks(batches, CHUNK_BYTES):
+            words = _Words(batch.column("lang").to_pylist(), batch.column("text"))
+            found, n = np.unique(np.concatenate([words.words, words.pairs[words.follows[:-1]]]), return_counts=True)
+            total[found] = np.minimum(total[found] + np.minimum(n, least), least)
+        at = np.flatnonzero(total)
+        segment = at // SEGMENT
+        found, first = np.unique(segment, return_index=True)
+        places, counts = (at % SEGMENT).astype(np.uint16), total[at]
+        edges = [*first.tolist(), len(at)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int64()), pa.array([places[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+             pa.array([counts[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["segment", "places", "counts"])
+    return run
+
+
+def _heavy_bits(least: int):
+    """One bit per bucket of a segment: whether it reaches `least`. Streams over the rows of a partition."""
+    kind = np.min_scalar_type(2 * least)
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, places, counts in zip(*(batch.column(c).to_pylist() for c in ("segment", "places", "counts")), strict=True):
+                mine = total.setdefault(segment, np.zeros(SEGMENT, np.int64))
+                mine[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(
+            [np.packbits(x >= least).tobytes() for x in total.values()], pa.binary())], names=["segment", "bits"])
+    return run
+
+
+def heavy_buckets(rows: DataFrame, least: int) -> np.ndarray:
+    """Which hash buckets reach `least`, as packed bits: (PAIR_BUCKETS + WORD_BUCKETS) / 8 bytes whatever the size of the corpus."""
+    sums = rows.mapInArrow(_bucket_sums(least), "segment long, places binary, counts binary")
+    found = sums.repartition("segment").mapInArrow(_heavy_bits(least), "segment long, bits binary")
+    out = np.zeros((PAIR_BUCKETS + WORD_BUCKETS) // SEGMENT * SEGMENT // 8, np.uint8).reshape(-1, SEGMENT // 8)
+    for row in found.collect():  # one short row per segment
+        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct windows (first two words, last two words, count), sorted."""
     high, low, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -154,7 +224,7 @@ def _run(lang: str, part: int, columns: list[np.ndarray], counts: np.ndarray, wo
     """A row of RUNS: windows over the run's own word numbers (from 1; 0 is no word)."""
     used, codes = np.unique(np.concatenate(columns), return_inverse=True)
     codes = codes + 1 if not len(used) or used[0] else codes
-    listed = b" ".join(words[i] for i in used.tolist() if i)
+    listed = b" ".join(map(words.__getitem__, used[used > 0].tolist()))
     return lang, part, len(counts), listed, _small(codes).tobytes(), _small(counts).tobytes()
 
 
@@ -163,51 +233,64 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
 
 
 class _Counter:
-    """Words and tries of one task."""
+    """Words and tries of one task; `heavy` has the bits of `heavy_buckets`."""
 
-    def __init__(self, parts: int):
-        self.parts, self.rows = parts, []
-        self._clear()
+    def __init__(self, parts: int, heavy: np.ndarray):
+        self.parts, self.heavy, self.rows = parts, heavy, []
+        self.tries: dict[str, Trie] = {}
+        self._renumber()
 
-    def _clear(self):
+    def _renumber(self):
         self.number: dict[bytes, int] = {}
         self.words: list[bytes] = [b""]
-        self.tries: dict[str, Trie] = {}
         self.seen: dict[str, np.ndarray] = {}
+        self.total: dict[str, int] = {}
+
+    def _reach(self, buckets: np.ndarray) -> np.ndarray:
+        return (self.heavy[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def _ids(self, words: _Words) -> np.ndarray:
+        """Numbers of the words that may be frequent, 0 for others."""
+        often = self._reach(words.words)
+        used = np.zeros(len(words.distinct), bool)
+        used[words.code[often]] = True
+        kept = np.flatnonzero(used)
+        listed = [words.distinct[k] for k in kept.tolist()]
+        new = [w for w in listed if w not in self.number]
+        self.number.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.words += new
+        ids = np.zeros(len(words.distinct), U)
+        ids[kept] = np.fromiter(map(self.number.__getitem__, listed), U, len(listed))
+        return np.where(often, ids[words.code], U(0))
 
     def add(self, langs: list[str], column) -> None:
-        words, text, follows = piece_words(column)
-        if not len(words):
-            return
-        coded = words.dictionary_encode()
-        ids = []
-        for word in coded.dictionary.to_pylist():
-            k = self.number.get(word)
-            if k is None:
-                k = self.number[word] = len(self.words)
-                self.words.append(word)
-            ids.append(k)
-        ids = np.array(ids, U)[coded.indices.to_numpy(zero_copy_only=False)]
-        window, more = [ids], np.ones(len(ids), bool)
+        words = _Words(langs, column)
+        ids, n = self._ids(words), len(words.code)
+        more = words.follows.copy()
+        more[:-1] &= self._reach(words.pairs) & (ids[:-1] > 0) & (ids[1:] > 0)
+        window, open_ = [ids], np.ones(n, bool)
         for k in range(1, LONGEST):
-            more = more & np.append(follows, np.zeros(k, bool))[k - 1: k - 1 + len(ids)]
-            window.append(np.where(more, np.append(ids, np.zeros(k, U))[k:], U(0)))
+            open_ = open_ & np.append(more, np.zeros(k, bool))[k - 1: k - 1 + n]
+            window.append(np.where(open_, np.append(ids, np.zeros(k, U))[k:], U(0)))
         high, low = (window[0] << U(32)) | window[1], (window[2] << U(32)) | window[3]
-        found, code = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-        by_word = code[text]
-        for c, lang in enumerate(found.tolist()):
-            mine = by_word == c
+        for c, lang in enumerate(words.langs.tolist()):
+            mine = words.lang == c
+            self.total[lang] = self.total.get(lang, 0) + int(mine.sum())
+            counts = np.bincount(ids[mine].astype(np.int64), minlength=len(self.words))
+            before = self.seen.get(lang, np.zeros(0, np.int64))
+            counts[: len(before)] += before
+            counts[0] = 0
+            self.seen[lang] = counts
+            mine &= more
             if mine.any():
                 self.tries.setdefault(lang, Trie()).add(high[mine], low[mine])
-                counts = np.bincount(ids[mine].astype(np.int64), minlength=len(self.words))
-                before = self.seen.get(lang, np.zeros(0, np.int64))
-                counts[: len(before)] += before
-                self.seen[lang] = counts
-        if sum(t.size for t in self.tries.values()) > SPILL or len(self.words) > VOCABULARY:
+        if len(self.words) > VOCABULARY:
+            self.finish()
+        elif sum(t.size for t in self.tries.values()) > SPILL:
             self.spill()
 
     def spill(self) -> None:
-        """All subtrees become runs, and numbering starts anew."""
+        """All subtrees become runs; words keep their numbers."""
         hashes = np.fromiter(map(zlib.crc32, self.words), np.uint32, len(self.words)).astype(U)
         for lang, trie in self.tries.items():
             high, low, counts = trie.subtrees()
@@ -217,11 +300,17 @@ class _Counter:
             found, first = np.unique(part[order], return_index=True)
             for p, rows in zip(found.tolist(), np.split(order, first[1:]), strict=True):
                 self.rows.append(_run(lang, p, [x[rows] for x in columns], counts[rows], self.words))
+        self.tries = {}
+
+    def finish(self) -> None:
+        """Spill the tries and the word counts, and number words anew."""
+        self.spill()
+        self.rows += [(lang, -2, n, b"", b"", b"") for lang, n in self.total.items()]
         for lang, counts in self.seen.items():
             hit = np.flatnonzero(counts)
-            words = b" ".join(self.words[k] for k in hit.tolist())
+            words = b" ".join(map(self.words.__getitem__, hit.tolist()))
             self.rows.append((lang, -1, len(hit), words, b"", _small(counts[hit]).tobytes()))
-        self._clear()
+        self._renumber()
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -231,14 +320,14 @@ class _Counter:
                                           names=[f.split()[0] for f in RUNS.split(", ")])
 
 
-def _runs(parts: int):
+def _runs(parts: int, heavy: np.ndarray):
     def run(batches):
-        counter = _Counter(parts)
-        for batch in chunks(batches):
+        counter = _Counter(parts, heavy)
+        for batch in chunks(batches, CHUNK_BYTES):
             counter.add(batch.column("lang").to_pylist(), batch.column("text"))
             if counter.rows:
                 yield counter.take()
-        counter.spill()
+        counter.finish()
         yield counter.take()
     return run
 
@@ -256,9 +345,6 @@ def _dealt_further(batches):
         rows = []
         for lang, part, n, words, ids, counts, cuts in zip(
                 *(batch.column(c).to_pylist() for c in ("lang", "part", "n", "words", "ids", "counts", "cuts")), strict=True):
-            if cuts <= 1:
-                rows.append((lang, part, 0, n, words, ids, counts))
-                continue
             listed = [b"", *words.split(b" ")]
             columns, number = list(_numbers(ids, 4 * n).reshape(4, n)), _numbers(counts, n)
             hashes = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)).astype(U)
@@ -266,11 +352,11 @@ def _dealt_further(batches):
             for c in np.unique(cut).tolist():
                 at = np.flatnonzero(cut == c)
                 _, _, *row = _run(lang, part, [x[at] for x in columns], number[at], listed)
-                rows.append((lang, part, c, *row))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
+                rows.append((lang, part, *row, cuts, c))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                         names=["lang", "part", "cut", "n", "words", "ids", "counts"])
+                                         names=["lang", "part", "n", "words", "ids", "counts", "cuts", "cut"])
 
 
 def _merge(least: int):
@@ -314,18 +400,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, cell_bytes: int = CELL_BY
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / cell_bytes))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    runs = cut_lineage(rows.mapInArrow(_runs(parts), RUNS))
+    runs = cut_lineage(rows.mapInArrow(_runs(parts, heavy_buckets(rows, least)), RUNS))
     words = runs.filter("part = -1").select("lang", "n", "words", "counts").mapInArrow(_word_counts, "lang string, phrase string, f long")
-    words = cut_lineage(words.groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
+    words = words.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     windows = runs.filter("part >= 0")
     cuts = windows.groupBy("lang", "part").agg(F.ceil(F.sum("n") / cell_windows).alias("cuts")).filter("cuts > 1")
-    dealt = windows.join(cuts, ["lang", "part"], "left").na.fill(1, ["cuts"])
-    dealt = dealt.mapInArrow(_dealt_further, "lang string, part long, cut long, n long, words binary, ids binary, counts binary")
-    dealt = dealt.join(cuts, ["lang", "part"], "left").na.fill(1, ["cuts"])
+    large = broadcast_checked(cut_lineage(cuts))
+    one, none = F.lit(1).cast("long").alias("cuts"), F.lit(0).cast("long").alias("cut")
+    dealt = windows.join(large, ["lang", "part"], "left_anti").select("*", one, none).unionByName(
+        windows.join(large, ["lang", "part"]).mapInArrow(_dealt_further, f"{RUNS}, cuts long, cut long"))
     longer = dealt.groupBy("lang", "part", "cut").applyInArrow(_merge(least), "lang string, phrase string, f long")
     longer = longer.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     frequent = longer.unionByName(words).filter(F.col("f") >= least)
-    return cut_lineage(frequent), words.groupBy("lang").agg(F.sum("f").alias("n"))
+    return cut_lineage(frequent), runs.filter("part = -2").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _salted(part: Column, phrase: Column) -> Column:

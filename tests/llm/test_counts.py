@@ -133,15 +133,16 @@ def test_trie_bursts_and_spills(monkeypatch):
     monkeypatch.setattr(collocations, "SPILL", 500)
     rng = random.Random(8)
     texts = ["x y " + prose(rng, 1, 3000) + " " + prose(rng, rng.randrange(0, 12), 3000) for _ in range(600)] + ["x y z w " * 300]
-    counter, rows = collocations._Counter(3), []
+    counter, rows = collocations._Counter(3, np.full((collocations.PAIR_BUCKETS + collocations.WORD_BUCKETS) // 8, 255, np.uint8)), []
     trie = collocations.Trie()
     for k in range(0, len(texts), 20):
         counter.add(["en"] * len(texts[k: k + 20]), pa.array(texts[k: k + 20]))
         rows += counter.rows
         counter.rows = []
-    counter.spill()
+    counter.finish()
     rows += counter.rows
-    assert len({r[1] for r in rows}) == 4 and len(rows) > 12
+    assert len({r[1] for r in rows}) == 5 and len(rows) > 12
+    assert sum(r[2] for r in rows if r[1] == -2) == sum(len(t.split()) for t in texts)
     high = np.array([rng.randrange(3) << 32 | rng.randrange(5) for _ in range(3000)], np.uint64)
     low = np.array([rng.randrange(50) for _ in range(3000)], np.uint64)
     for k in range(0, 3000, 100):
@@ -156,10 +157,10 @@ def test_trie_bursts_and_spills(monkeypatch):
         for piece in " ".join(w).split("\n"):
             p = piece.split()
             words.update(p)
-            want.update(tuple(p[i: i + 4]) for i in range(len(p)))
-    for _, part, n, listed, ids, counts in rows:
+            want.update(tuple(p[i: i + 4]) for i in range(len(p) - 1))
+    for _, part, n, listed, ids, counts in (r for r in rows if r[1] > -2):
         listed, counts = listed.split(b" "), collocations._numbers(counts, n)
-        if part < 0:
+        if part == -1:
             sums.update({w.decode(): c for w, c in zip(listed, counts.tolist())})
         else:
             for window, c in zip(collocations._numbers(ids, 4 * n).reshape(4, n).T.tolist(), counts.tolist()):
