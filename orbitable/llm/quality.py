@@ -1,14 +1,14 @@
 """Quality classification by hierarchical empirical Bayes.
 
-*Document evidence*: a naive Bayes score over hashed byte 3- and 4-grams of the whole text. Its counts come from every
-labelled training text (grouped sums by gram and class), the mean log ratio per gram is calibrated by
+*Document evidence*: a naive Bayes score over hashed byte 3- and 4-grams of the whole text. Its counts come from at most
+TRAIN_ROWS labelled training texts of each class, drawn by a hash of the id (grouped sums by gram and class), the mean log ratio per gram is calibrated by
 a two-parameter logistic fit on the rows of another fold.
 *Site evidence*: labelled shares by host and by path. Hosts share a beta prior whose mean is the global share and
 whose strength comes from how much the host shares differ beyond chance; a path's prior is its host's
 posterior, with a strength found the same way. Sparse sites thus stay near what is known above them.
 *Combination*: log odds of the document plus the shift of the path's posterior against the global share.
 
-Counting, calibration and site sums are grouped aggregations over all labelled rows; only tables of fixed
+Calibration and site sums are grouped aggregations over all labelled rows; the drawn ids (2 x TRAIN_ROWS numbers) are broadcast, and only tables of fixed
 size (BUCKETS grams, CELLS score cells, a dozen sums) reach the driver.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitable.llm.arrays import chunks, text_buffer
@@ -25,6 +25,7 @@ from orbitable.session import cut_lineage
 
 BUCKETS = 1 << 15
 CELLS = 200
+TRAIN_ROWS = 20_000  # labelled texts per class that the gram counts are learned from
 SIZES = slice(2, 4)  # of the gram lengths 1 to 4
 
 
@@ -104,7 +105,18 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4, F.lit(0))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
+def _drawn(marks: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` ids of each label, the first by a hash of the id."""
+    counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    # Hashes are even: the first rows of a class lie within this part of them, so only those are sorted.
+    within = {k: min(1.0, (rows + 8 * rows ** 0.5 + 30) / n) for k, n in counts.items()}
+    near = marks.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40))).filter(
+        F.col("h") <= F.when(F.col("label") == 1, within.get(1, 1.0)).otherwise(within.get(0, 1.0)) * float(1 << 40))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    return near.withColumn("place", place).filter(F.col("place") <= rows).select("doc_id", "label")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, host_rate, path_rate, doc_score, score, keep) per row of `docs`.
 
     `labels` has doc_id and quality 0/1 (others are ignored; of several labels of an id the greatest counts). `host`
@@ -114,8 +126,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     """
     docs = docs.select("doc_id", "text", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    known = docs.join(marks, "doc_id").withColumn("fold", _fold(F.col("doc_id"))).filter("fold <> 2")
-    counted = known.filter("fold < 2").select("text", "label").mapInArrow(_count, "bucket int, low long, high long")
+    # The drawn ids are few at every size, so they go to the texts and no text is shuffled.
+    known = docs.join(F.broadcast(_drawn(marks.filter(_fold(F.col("doc_id")) < 2), rows)), "doc_id")
+    counted = known.select("text", "label").mapInArrow(_count, "bucket int, low long, high long")
     table = counted.groupBy("bucket").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).toArrow()
     grams = np.ones((2, BUCKETS))
     if len(table):
