@@ -14,6 +14,7 @@ above which a text is rejected: what 99 in 100 held texts stay below, and a quar
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,13 @@ class Model:
     usual: float
     most: float
 
+    def stored(self) -> bytes:
+        return pickle.dumps(self.__dict__)
+
+    @classmethod
+    def loaded(cls, raw: bytes) -> Model:
+        return cls(**pickle.loads(raw))
+
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text the probabilities of the labels, and whether it is rejected."""
         n, k = len(offsets) - 1, len(self.labels)
@@ -153,15 +161,6 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], labels: list[str], bucke
     return Model(labels, table, bias, float(temperature), surprise, usual, most)
 
 
-def _features(batches):
-    for batch in chunks(batches):
-        rows, found, counts = gram_counts(batch.column("text"))
-        bounds = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.ListArray.from_arrays(bounds, pa.array(found, pa.int32())),
-             pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int32()))], names=["label", "found", "counts"])
-
-
 def _shares(counts: dict[str, int], rows: int) -> list[tuple[str, int, float]]:
     """(label, rows to draw, part of the hashes that holds them)."""
     out, left = [], rows
@@ -185,12 +184,25 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     # Hashes are even, so the first rows of a label lie within this part of them; only those are sorted.
     drawn = usable.join(F.broadcast(shares), "label").withColumn("draw", F.pmod("h", F.lit(1 << 40))).filter(F.col("draw") <= F.col("within") * (1 << 40))
     place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "h", "text"))
-    sample = drawn.withColumn("place", place).filter("place <= share").orderBy("draw", "h", "label", "text")
-    got = sample.select("label", "text").mapInArrow(_features, "label string, found array<int>, counts array<int>").toArrow()
-    data = [(label.as_py(), np.asarray(found.values), np.asarray(counts.values).astype(np.float64))
-            for label, found, counts in zip(got["label"], got["found"], got["counts"], strict=True)]
-    labels = sorted({x[0] for x in data})
-    return fit(data, labels) if labels else None
+    sample = drawn.withColumn("place", place).filter("place <= share").select("label", "text", "draw", "h")
+    # The bounded sample is fitted in one task; the driver gets a table of buckets x labels.
+    found = sample.coalesce(1).mapInArrow(_fitted, "model binary").collect()
+    return Model.loaded(found[0]["model"]) if found else None
+
+
+def _fitted(batches):
+    rows = [(draw, h, label, text) for batch in batches
+            for draw, h, label, text in zip(*(batch.column(c).to_pylist() for c in ("draw", "h", "label", "text")), strict=True)]
+    if not rows:
+        return
+    rows.sort()
+    data = []
+    for batch in chunks([pa.RecordBatch.from_pydict({"text": pa.array([r[3] for r in rows], pa.large_string())})]):
+        owner, found, counts = gram_counts(batch.column("text"))
+        bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+        data += [(rows[len(data) + k][2], found[x:y], counts[x:y].astype(np.float64)) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+    model = fit(data, sorted({r[2] for r in rows}))
+    yield pa.RecordBatch.from_arrays([pa.array([model.stored()], pa.binary())], names=["model"])
 
 
 def _predict(model: Model | None):
@@ -224,18 +236,16 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")), rows)
 
 
-def identify(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, whole_rows: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) per row of `docs`, from the whole text alone.
 
     A text that is null or has no letter is `und` with score 0 and rejected, and so is every text
-    where there was nothing to learn from. With `keep_text` all columns of `docs` come along.
+    where there was nothing to learn from. Texts of any length are read whole; repeated rows get the same answer each. With
+    `whole_rows` the first column is `row`, a struct of all columns of `docs`, whatever their names, instead of doc_id.
     """
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    carried = docs.columns if keep_text else ["doc_id", "text"]
-    rows = docs.select(F.struct(*carried).alias("row"), held_out(F.col("doc_id")).alias("held_out"),
+    rows = docs.select(F.struct(*(docs.columns if whole_rows else ["doc_id"])).alias("row"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").alias("text"), letters.alias("letters"))
-    if not keep_text:
-        rows = rows.withColumn("row", F.struct("row.doc_id"))
     inner = rows.schema["row"].dataType.simpleString()
     found = rows.mapInArrow(_predict(model), f"row {inner}, held_out boolean, lang_pred string, score double, rejected boolean")
-    return found.select("row.*", "held_out", "lang_pred", "score", "rejected")
+    return found.select("row" if whole_rows else "row.*", "held_out", "lang_pred", "score", "rejected")
