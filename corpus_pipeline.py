@@ -18,8 +18,7 @@ from orbitable.session import scratch_folder
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model learns from the labelled rows of `docs`."""
-    kept = langid.identify(docs, langid.learn(docs), keep_text=True).filter("not rejected")
-    return kept.select(*docs.columns)
+    return langid.identify(docs, langid.learn(docs), whole_rows=True).filter("not rejected").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
