@@ -299,6 +299,16 @@ def scores(cells: pd.DataFrame, n_classes: int) -> dict:
     }
 
 
+def model_chunks(models: DataFrame):
+    """The models in lists of at most a few thousand rows."""
+    models = cut_lineage(models)
+    parts = -(-models.count() // 4096)
+    for i in range(parts):
+        rows = models.where(F.pmod(F.xxhash64("combo_key"), F.lit(parts)) == i).collect()
+        if rows:
+            yield rows
+
+
 RESULT_SCHEMA = (
     "combo_key string, combo array<string>, k int, accuracy double, precision double, recall double, f1_score double, "
     "mcfadden_r2 double, converged boolean"
@@ -310,8 +320,6 @@ CV_SCHEMA = "combo_key string, avg_accuracy double, avg_f1_score double, avg_mcf
 
 def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, kind: str = "logit", chunk: int = 256) -> DataFrame:
     """Scores per combination (M13): class scores of the penalised model, McFadden R2 of the unpenalised one."""
-    from orbitable.operators.regress import model_chunks
-
     fitter = LogisticFitter(rows, features, target, kind)
     soft = 0.0 if kind == "ordinal" else 1.0
     spark, k, out = rows.sparkSession, len(fitter.labels), None
@@ -334,8 +342,6 @@ def cross_validate_classifiers(
     folded: DataFrame, combos: DataFrame, features: Sequence[str], target: str, fold: str = "fold", kind: str = "logit", chunk: int = 256
 ) -> DataFrame:
     """Mean accuracy, weighted F1 and McFadden R2 over the folds (M16); folds of one class have no R2."""
-    from orbitable.operators.regress import model_chunks
-
     fitter = LogisticFitter(folded, features, target, kind, fold)
     ridge = 0.0 if kind == "ordinal" else 1.0
     folds = [r[0] for r in fitter.rows.select("_fold").distinct().orderBy("_fold").collect()]

@@ -13,16 +13,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitable.functions.distributions import t_quantile, t_two_sided
+from orbitable.operators.blocks import matrix, meet
 from orbitable.operators.moments import Moments, complete_rows, moment_rows, moments, unpack
 from orbitable.operators.ranking import hash_buckets, hash_order, numbered, value_buckets
 from orbitable.operators.sampling import fold_count, k_folds
 from orbitable.session import cut_lineage
 
-MODEL_CHUNK = 4096  # models sent to the tasks at a time
+PASS_VALUES = 1 << 22  # numbers a task works on at once when many models meet a batch of rows
+MODELS_AT_ONCE, ROWS_AT_ONCE = 256, 1 << 13
 MAX_FEATURES = 4000  # p x p moments of this many doubles are 128 MB
 CONDITION_LIMIT = 1e12
 
@@ -100,60 +104,67 @@ def fit_subsets(combos: DataFrame, m: Moments, target: str) -> DataFrame:
     return combos.select("combo_key", "combo", "k").mapInPandas(fit, FIT_SCHEMA)
 
 
-def model_chunks(models: DataFrame):
-    """The models in lists of at most a few thousand rows; nothing larger reaches the driver."""
-    models = cut_lineage(models)
-    n = models.count()
-    if not n:
-        return
-    parts = -(-n // MODEL_CHUNK)
-    if parts == 1:
-        yield models.collect()
-        return
-    slot = F.pmod(F.xxhash64("combo_key"), F.lit(parts))
-    for i in range(parts):
-        rows = models.where(slot == i).collect()
-        if rows:
-            yield rows
+class _LeaveOneOut:
+    """Sums of squared and absolute leave-one-out errors of a block of models; `at` is the place of the target."""
+
+    def __init__(self, models: pa.Table, mean: np.ndarray, n: int):
+        self.mean, self.n, self.keys, self.groups = mean, n, models["combo_key"].to_pylist(), []
+        at, numbers = models["at"].combine_chunks(), models["numbers"].combine_chunks()
+        sizes = pc.list_value_length(at).to_numpy(zero_copy_only=False)
+        self.sums = np.zeros((len(sizes), 2))
+        for k in np.unique(sizes).tolist():
+            which = np.flatnonzero(sizes == k)
+            values = matrix(numbers.take(pa.array(which)))
+            self.groups.append((which, matrix(at.take(pa.array(which)), np.int64), values[:, :k], values[:, k:].reshape(-1, k, k)))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        x = matrix(batch.column("x")) - self.mean
+        for which, at, beta, inverse in self.groups:
+            step = max(1, PASS_VALUES // (len(x) * at.shape[1]))
+            for i in range(0, len(which), step):
+                part = slice(i, i + step)
+                z = x[:, at[part]].transpose(1, 0, 2)  # models, rows, features
+                h = 1.0 / self.n + ((z @ inverse[part]) * z).sum(axis=2)
+                e = (x[None, :, -1] - (z @ beta[part][:, :, None])[:, :, 0]) / np.maximum(1.0 - h, 1e-12)
+                self.sums[which[part], 0] += (e * e).sum(axis=1)
+                self.sums[which[part], 1] += np.abs(e).sum(axis=1)
+
+    def result(self):
+        yield pa.RecordBatch.from_arrays([pa.array(self.keys, pa.string()), pa.array(self.sums[:, 0]), pa.array(self.sums[:, 1])],
+                                         names=["combo_key", "sq", "ab"])
+
+
+def row_vectors(rows: DataFrame, names: Sequence[str], splits: Sequence[str] = ()) -> DataFrame:
+    """The complete rows as vectors: x, the named columns, and s, integer columns that say how a row is used."""
+    return complete_rows(rows, names).select(
+        F.array(*[F.col(c).cast("double") for c in names]).alias("x"), F.array(*[F.col(c).cast("int") for c in splits]).cast("array<int>").alias("s"))
 
 
 def leave_one_out(rows: DataFrame, models: DataFrame, m: Moments, target: str) -> DataFrame:
-    """combo_key, q2, mae, rmsd by leave-one-out (M5), exact: the held-out error is e / (1 - h)."""
+    """combo_key, q2, mae, rmsd by leave-one-out (M5), exact: the held-out error is e / (1 - h).
+
+    One scan of the rows, whatever the number of models; neither rows nor models pass through the driver.
+    """
     where = {c: i for i, c in enumerate(m.names)}
-    t, cols = where[target], [*m.names]
-    data = complete_rows(rows, cols).select(*[F.col(c).cast("double").alias(c) for c in cols])
-    sst, n = float(m.cross[t, t]), m.n
-    out = None
-    for chunk in model_chunks(models.select("combo_key", "combo")):
-        specs = []
-        for r in chunk:
-            i = np.array([where[c] for c in r["combo"]])
-            inverse = np.linalg.pinv(m.cross[np.ix_(i, i)], rcond=1e-12, hermitian=True)
-            specs.append((r["combo_key"], i, inverse @ m.cross[i, t], inverse))
-        mean = m.mean
-
-        def partial(batches, specs=specs):
-            sums = np.zeros((len(specs), 2))
-            seen = False
-            for batch in batches:
-                x = batch.to_numpy(dtype=float) - mean
-                if not len(x):
-                    continue
-                seen = True
-                for s, (_, i, beta, inverse) in enumerate(specs):
-                    z = x[:, i]
-                    h = 1.0 / n + np.einsum("ij,jk,ik->i", z, inverse, z)
-                    e = (x[:, t] - z @ beta) / np.maximum(1.0 - h, 1e-12)
-                    sums[s, 0] += e @ e
-                    sums[s, 1] += np.abs(e).sum()
-            if seen:
-                yield pd.DataFrame({"combo_key": [s[0] for s in specs], "sq": sums[:, 0], "ab": sums[:, 1]})
-
-        part = data.mapInPandas(partial, "combo_key string, sq double, ab double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "combo_key string, sq double, ab double")
-    return out.groupBy("combo_key").agg(
+    t, sst, n, cross = where[target], float(m.cross[where[target], where[target]]), m.n, m.cross
+    names = [c for c in m.names if c != target]
+    place = {c: i for i, c in enumerate(names)}
+
+    def solved(batches):
+        for batch in batches:
+            at, numbers = [], []
+            for combo in batch["combo"]:
+                i = [where[c] for c in combo]
+                inverse = np.linalg.pinv(cross[np.ix_(i, i)], rcond=1e-12, hermitian=True)
+                at.append([place[c] for c in combo])
+                numbers.append(np.concatenate([inverse @ cross[i, t], inverse.ravel()]))
+            yield pd.DataFrame({"combo_key": batch["combo_key"], "at": at, "numbers": numbers})
+
+    prepared = cut_lineage(models.select("combo_key", "combo").mapInPandas(solved, "combo_key string, at array<int>, numbers array<double>"))
+    mean = np.append(m.mean[[where[c] for c in names]], m.mean[t])
+    parts = meet(cut_lineage(row_vectors(rows, [*names, target])), n, len(mean), prepared, prepared.count(), F.col("combo_key"),
+                 lambda block: _LeaveOneOut(block, mean, n), "combo_key string, sq double, ab double")
+    return parts.groupBy("combo_key").agg(
         (1 - F.sum("sq") / sst).alias("q2"), (F.sum("ab") / n).alias("mae"), F.sqrt(F.sum("sq") / n).alias("rmsd")
     )
 
@@ -167,11 +178,6 @@ def _rest(total: Moments, part: Moments) -> Moments:
     return Moments(total.names, n, mean, cross)
 
 
-def _train_tables(total: Moments, parts: dict, target: str) -> dict:
-    """Per fold: training means and cross products, and the moments of the fold itself."""
-    return {f: (_rest(total, p), p) for f, p in parts.items()}
-
-
 def split_errors(models: DataFrame, splits: dict, target: str, y_total: tuple[int, float] | None = None) -> DataFrame:
     """combo_key, split, sse, n from moments only: train on the rest, test on the part.
 
@@ -206,35 +212,71 @@ def split_errors(models: DataFrame, splits: dict, target: str, y_total: tuple[in
     )
 
 
-def absolute_errors(rows: DataFrame, split_column: str, fits: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """combo_key, sum of |error| of each split's model on its own test rows, one pass per chunk."""
-    cols = [*features, target]
-    where = {c: i for i, c in enumerate(cols)}
-    data = complete_rows(rows, cols).select(
-        *[F.col(c).cast("double").alias(c) for c in cols], F.col(split_column).cast("string").alias("_split")
-    )
-    out = None
-    for chunk in model_chunks(fits.select("combo_key", "combo", "split", "intercept", "coefficients")):
-        by_split: dict = {}
-        for r in chunk:
-            i = np.array([where[c] for c in r["combo"]])
-            by_split.setdefault(r["split"], []).append((r["combo_key"], i, r["intercept"], np.array(r["coefficients"])))
-
-        def partial(batches, by_split=by_split):
-            sums: dict = {}
-            for batch in batches:
-                for label, part in batch.groupby("_split", sort=False):
-                    x = part[cols].to_numpy(dtype=float)
-                    for key, i, a, beta in by_split.get(label, []):
-                        sums[key] = sums.get(key, 0.0) + np.abs(x[:, -1] - a - x[:, i] @ beta).sum()
-            if sums:
-                yield pd.DataFrame({"combo_key": list(sums), "ab": list(sums.values())})
-
-        part = data.mapInPandas(partial, "combo_key string, ab double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "combo_key string, ab double")
-    return out.groupBy("combo_key").agg(F.sum("ab").alias("ab"))
+class _Absolute:
+    """Sums of absolute errors of a block of models, each on the rows of its own split.
+
+    `split` numbers (column of s, value there): a model with (r, f) reads the rows whose s[r] is f.
+    """
+
+    def __init__(self, models: pa.Table, width: int):
+        self.keys, self.splits = models["combo_key"].to_pylist(), []
+        self.sums = np.zeros(len(self.keys))
+        column, value = (models[c].to_numpy() for c in ("column", "value"))
+        at, slopes, intercept = models["at"].to_pylist(), models["slopes"].to_pylist(), models["intercept"].to_numpy()
+        order = np.lexsort((np.array(self.keys, object).astype(str), value, column)) if self.keys else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.append(True, (column[order][1:] != column[order][:-1]) | (value[order][1:] != value[order][:-1])))
+        for group in np.split(order, cut[1:]):
+            blocks = []
+            for i in range(0, len(group), MODELS_AT_ONCE):
+                which = group[i: i + MODELS_AT_ONCE]
+                used = np.unique(np.concatenate([np.asarray(at[j], np.int64) for j in which]))
+                weights = np.zeros((len(used), len(which)))
+                for c, j in enumerate(which):
+                    weights[np.searchsorted(used, at[j]), c] = slopes[j]
+                blocks.append((which, used, weights, intercept[which]))
+            self.splits.append((int(column[group[0]]), int(value[group[0]]), blocks))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        x, s = matrix(batch.column("x")), matrix(batch.column("s"), np.int64)
+        for column, value, blocks in self.splits:
+            own = x[s[:, column] == value]
+            for i in range(0, len(own) if blocks else 0, ROWS_AT_ONCE):
+                part = own[i: i + ROWS_AT_ONCE]
+                for which, used, weights, intercept in blocks:
+                    self.sums[which] += np.abs(part[:, -1:] - intercept - part[:, used] @ weights).sum(axis=0)
+
+    def result(self):
+        # Splits of one model are added up here, so a cell yields one row per model.
+        found, back = np.unique(np.array(self.keys, object).astype(str), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.string()), pa.array(np.bincount(back, weights=self.sums, minlength=len(found)))],
+                                         names=["combo_key", "ab"])
+
+
+def absolute_errors(vectors: DataFrame, n_rows: int, fits: DataFrame, features: Sequence[str]) -> DataFrame:
+    """combo_key, ab: sum of |error| of each fit on the rows of its split, in one scan of the rows for all splits.
+
+    `vectors` comes from row_vectors over [*features, target] of a stored table, as `fits`, which has combo_key, combo, column and value (which rows: s[column] =
+    value), intercept, coefficients.
+    """
+    listed = F.array(*[F.lit(c) for c in features])
+    models = fits.select(
+        "combo_key", F.transform("combo", lambda c: (F.array_position(listed, c) - 1).cast("int")).alias("at"), "column", "value", "intercept",
+        F.col("coefficients").alias("slopes"))
+    width = len(features) + 1
+    parts = meet(vectors, n_rows, width, models, fits.count(), F.col("combo_key"), lambda block: _Absolute(block, width), "combo_key string, ab double")
+    return parts.groupBy("combo_key").agg(F.sum("ab").alias("ab"))
+
+
+def _moments_by_split(rows: DataFrame, cols: list[str], columns: Sequence[str]) -> dict[tuple[int, int], Moments]:
+    """Moments of the rows of every value of every split column, in one pass: {(column, value): moments}."""
+    copies = rows.select(*cols, F.posexplode(F.array(*[F.col(c).cast("int") for c in columns])).alias("_column", "_value"))
+    return {(r["_column"], r["_value"]): unpack(r, cols) for r in moment_rows(copies, cols, ["_column", "_value"]).collect()}
+
+
+def _placed(errors: DataFrame) -> DataFrame:
+    """Split labels `column:value` of split_errors as two numbers."""
+    part = F.split("split", ":")
+    return errors.withColumn("column", F.get(part, F.lit(0)).cast("int")).withColumn("value", F.get(part, F.lit(1)).cast("int"))
 
 
 def cross_validate(
@@ -243,29 +285,27 @@ def cross_validate(
 ) -> DataFrame:
     """combo_key, q2, mae, rmsd: pooled held-out errors per repeat, averaged over repeats (M6).
 
-    seed None orders by the key itself (one repeat), otherwise by hashes seeded seed + repeat.
+    seed None orders by the key itself (one repeat), otherwise by hashes seeded seed + repeat. Moments of all folds of all repeats come
+    from one scan, absolute errors from another one.
     """
     cols = [*features, target]
     base = complete_rows(rows, cols)
     k = fold_count(base.count(), k)
     repeats = 1 if seed is None else repeats
-    parts = None
-    for r in range(repeats):
-        folded = k_folds(base, k, key, None if seed is None else seed + r, "fold")
-        table = {str(x["fold"]): unpack(x, cols) for x in moment_rows(folded, cols, ["fold"]).collect()}
-        total = _merge_moments(list(table.values()))
-        splits = {f: (_rest(total, p), p) for f, p in table.items()}
-        errors = cut_lineage(split_errors(models, splits, target))
-        t = total.at([target])[0]
-        squared = errors.groupBy("combo_key").agg(F.sum("sse").alias("sse"))
-        score = squared.join(absolute_errors(folded, "fold", errors, features, target), "combo_key").select(
-            "combo_key",
-            (1 - F.col("sse") / float(total.cross[t, t])).alias("q2"),
-            (F.col("ab") / total.n).alias("mae"),
-            F.sqrt(F.col("sse") / total.n).alias("rmsd"),
-        )
-        parts = score if parts is None else parts.unionByName(score)
-    return parts.groupBy("combo_key").agg(*[F.avg(c).alias(c) for c in ("q2", "mae", "rmsd")])
+    folded, names = base, [f"_fold{r}" for r in range(repeats)]
+    for r, name in enumerate(names):
+        folded = k_folds(folded, k, key, None if seed is None else seed + r, name)
+    folded = cut_lineage(folded.select(*cols, *names))
+    table = _moments_by_split(folded, cols, names)
+    total = _merge_moments([p for (column, _), p in table.items() if column == 0])
+    splits = {f"{column}:{value}": (_rest(total, p), p) for (column, value), p in table.items()}
+    errors = cut_lineage(_placed(split_errors(models, splits, target)))
+    t = total.at([target])[0]
+    absolute = absolute_errors(row_vectors(folded, cols, names), total.n, errors, features)
+    sst, n = float(total.cross[t, t]), total.n
+    squared = errors.groupBy("combo_key", "column").agg(F.sum("sse").alias("sse")).groupBy("combo_key").agg(
+        F.avg(1 - F.col("sse") / sst).alias("q2"), F.avg(F.sqrt(F.col("sse") / n)).alias("rmsd"))
+    return squared.join(absolute, "combo_key").select("combo_key", "q2", (F.col("ab") / (n * repeats)).alias("mae"), "rmsd")
 
 
 def repeated_holdout(
@@ -278,29 +318,29 @@ def repeated_holdout(
     """
     cols = [*features, target]
     base = complete_rows(rows, cols)
-    parts = None
     size = math.ceil(round(test_share * base.count(), 9))
-    for r in range(1 if seed is None else repeats):
-        # Folds of the row order: the first `size` rows are the test set.
+    repeats = 1 if seed is None else repeats
+    flagged, names = base, [f"_test{r}" for r in range(repeats)]
+    for r, name in enumerate(names):
+        # The first `size` rows of the order are the test set.
         if seed is None:
-            ordered, by, bucket = base, [key], value_buckets(base, key)
+            ordered, by, bucket = flagged, [key], value_buckets(flagged, key)
         else:
-            ordered = base.withColumn("_h", hash_order(F.col(key), seed=seed + r))
-            by, bucket = ["_h", key], hash_buckets(base, "_h")
+            ordered = flagged.withColumn("_h", hash_order(F.col(key), seed=seed + r))
+            by, bucket = ["_h", key], hash_buckets(ordered, "_h")
         ranked = numbered(ordered, [], by, bucket, "_rank")
-        flagged = ranked.withColumn("_test", F.when(F.col("_rank") <= size, "test").otherwise("train"))
-        table = {x["_test"]: unpack(x, cols) for x in moment_rows(flagged, cols, ["_test"]).collect()}
-        if "test" not in table or "train" not in table:
-            raise ValueError("a holdout needs rows on both sides")
-        errors = cut_lineage(split_errors(models, {"test": (table["train"], table["test"])}, target))
-        test = table["test"]
-        sst = float(test.cross[test.at([target])[0], test.at([target])[0]])
-        q2 = (1 - F.col("sse") / sst) if test.n >= 2 and sst > 0 else F.lit(None).cast("double")
-        score = errors.join(
-            absolute_errors(flagged, "_test", errors, features, target), "combo_key"
-        ).select("combo_key", q2.alias("q2"), (F.col("ab") / test.n).alias("mae"), F.sqrt(F.col("sse") / test.n).alias("rmsd"))
-        parts = score if parts is None else parts.unionByName(score)
-    return parts.groupBy("combo_key").agg(*[F.avg(c).alias(c) for c in ("q2", "mae", "rmsd")])
+        flagged = ranked.withColumn(name, (F.col("_rank") <= size).cast("int")).drop("_rank", "_h")
+    flagged = cut_lineage(flagged.select(*cols, *names))
+    table = _moments_by_split(flagged, cols, names)
+    if len(table) < 2 * repeats:
+        raise ValueError("a holdout needs rows on both sides")
+    t = table[0, 1].at([target])[0]
+    errors = cut_lineage(_placed(split_errors(models, {f"{r}:1": (table[r, 0], table[r, 1]) for r in range(repeats)}, target)))
+    spread = F.element_at(F.array(*[F.lit(float(table[r, 1].cross[t, t])) for r in range(repeats)]), F.col("column") + 1)
+    q2 = F.when((spread > 0) & F.lit(size >= 2), 1 - F.col("sse") / spread)
+    squared = errors.groupBy("combo_key").agg(F.avg(q2).alias("q2"), F.avg(F.sqrt(F.col("sse") / size)).alias("rmsd"))
+    absolute = absolute_errors(row_vectors(flagged, cols, names), table[0, 0].n + size, errors, features)
+    return squared.join(absolute, "combo_key").select("combo_key", "q2", (F.col("ab") / (size * repeats)).alias("mae"), "rmsd")
 
 
 def _merge_moments(parts: list[Moments]) -> Moments:

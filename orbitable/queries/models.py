@@ -147,19 +147,19 @@ def kfold_cross_validation(t):
 @query("repeated_kfold", None)
 def repeated_kfold(t):
     models = rg.combinations(t.spark, FEATURES, 1, 2)
-    return rg.cross_validate(t.samples, models, FEATURES, "y", 5, 3).select("combo_key", _r("q2"), _r("mae", 3), _r("rmsd", 3))
+    return rg.cross_validate(t.samples, models, FEATURES, "y").select("combo_key", _r("q2"), _r("mae", 3), _r("rmsd", 3))
 
 
 @query("repeated_holdout", None)
 def repeated_holdout(t):
-    models = rg.combinations(t.spark, FEATURES, 1, 1)
+    models = rg.combinations(t.spark, FEATURES, 1, 2)
     return rg.repeated_holdout(t.samples, models, FEATURES, "y").select("combo_key", _r("q2"), _r("mae", 3), _r("rmsd", 3))
 
 
 @query("cv_summary", None)
 def cv_summary(t):
-    models = rg.combinations(t.spark, PAIR, 1, 2)
-    return rg.cv_summary(t.samples, models, PAIR, "y", repeats=2)
+    models = rg.combinations(t.spark, FEATURES, 1, 2)
+    return rg.cv_summary(t.samples, models, FEATURES, "y")
 
 
 # Two-feature model n_lines + sum_qty in closed form.
