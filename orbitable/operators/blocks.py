@@ -59,14 +59,14 @@ def _cells(kernel: Callable[[pa.Table], object], names: list[str]) -> Callable[[
 
 
 def meet(rows: DataFrame, n_rows: int, width: int, models: DataFrame, n_models: int, block_key: Column,
-         kernel: Callable[[pa.Table], object], schema: str) -> DataFrame:
+         kernel: Callable[[pa.Table], object], schema: str, block: int | None = None) -> DataFrame:
     """What kernel(models).result() yields for every cell, as rows of `schema`.
 
     `rows` has columns x (array<double>) and s (array<int>), `width` numbers each. `kernel` is built in the task from
     the models of a block and gets the rows in Arrow batches. Rows are dealt by their place, so `rows` must read a stored
-    table: a task that runs again then deals them the same way.
+    table: a task that runs again then deals them the same way. `block` is a smaller number of models per block for large ones.
     """
-    blocks = max(1, math.ceil(n_models / MODEL_BLOCK))
+    blocks = max(1, math.ceil(n_models / min(MODEL_BLOCK, block or MODEL_BLOCK)))
     groups = row_groups(n_rows, width, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     model_type = models.schema.simpleString()
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -79,3 +79,17 @@ def meet(rows: DataFrame, n_rows: int, width: int, models: DataFrame, n_models:
         F.lit(None).cast("array<int>").alias("s"), "_model")
     met = left.unionByName(right).repartition(groups * blocks, "_cell").sortWithinPartitions("_cell", "_kind")
     return met.mapInArrow(_cells(kernel, models.columns), schema)
+
+
+def added_up(parts: DataFrame, key: str) -> DataFrame:
+    """Sums of equally long packed double vectors `v` per key. Rows are streamed, so a key may have any number of them."""
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, raw in zip(batch.column(key).to_pylist(), batch.column("v").to_pylist(), strict=True):
+                v = np.frombuffer(raw)
+                total[name] = total[name] + v if name in total else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+                                         names=[key, "v"])
+
+    return parts.select(key, "v").repartition(key).mapInArrow(run, f"{key} string, v binary")

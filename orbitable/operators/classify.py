@@ -1,8 +1,9 @@
 """Logistic and ordinal models over feature subsets.
 
-Newton steps run on the driver for a few hundred models at a time; each step is one pass over the
-rows in which every task adds up log-likelihood, gradient and Hessian per model. Rows are never
-grouped by model, so neither the number of models nor the class sizes decide what one task holds.
+All models of a search are rows of one state table: parameters, best value so far, next step, and whether the model
+is done. A Newton step meets the unfinished models with the rows (see blocks), adds up log-likelihood, gradient and Hessian
+per model over the tasks, and writes the moved state as the next table. So no model, sum or score passes through the driver, a
+lost executor costs one step, and neither the number of models nor the class sizes decide what one task holds.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.operators.moments import complete_rows
+from orbitable.operators.blocks import added_up, matrix, meet
+from orbitable.operators.moments import complete_rows, independent, moments
 from orbitable.session import cut_lineage
 
 MAX_CLASSES = 100
@@ -25,9 +28,10 @@ FALLBACK_RIDGE = 1e-6  # on standardised coefficients, where classes are separat
 
 @dataclass
 class Job:
-    """One model to fit: a feature list, the fold left out (None: fit on all rows) and the L2 penalty.
+    """One named model to fit: a feature list, the fold left out (None: fit on all rows) and the L2 penalty.
 
-    ridge is 0 for maximum likelihood, 1 for the usual penalty on standardised features.
+    ridge is 0 for maximum likelihood, 1 for the usual penalty on standardised features. `theta` has no entries for columns
+    that a fit without penalty leaves out as constant or dependent (see `used`).
     """
 
     key: str
@@ -35,10 +39,9 @@ class Job:
     fold: int | None = None
     ridge: float = 0.0
     theta: np.ndarray | None = None
-    done: bool = False
     converged: bool = False
     separated: bool = False
-    best: tuple | None = field(default=None, repr=False)
+    used: list[str] = field(default_factory=list)
 
 
 def class_labels(rows: DataFrame, target: str) -> list:
@@ -103,15 +106,64 @@ def _ordinal_sums(x, code, theta, n_classes):
     return np.log(own).sum(), grad, info
 
 
-def _design(batch: pd.DataFrame, features: list[str], kind: str, center=0.0, scale=1.0) -> np.ndarray:
-    x = (batch[features].to_numpy(dtype=float) - center) / scale
+def _design(x: np.ndarray, kind: str) -> np.ndarray:
     return x if kind == "ordinal" else np.hstack([np.ones((len(x), 1)), x])
 
 
+JOBS = "job string, combo_key string, combo array<string>, fold int, ridge double, at array<int>"
+STATE = f"{JOBS}, theta array<double>, value double, best array<double>, step array<double>, done boolean, converged boolean, separated boolean"
+
+
+class _Sums:
+    """Log-likelihood, gradient and Hessian of a block of models over the rows they learn from."""
+
+    def __init__(self, models: pa.Table, fitter: LogisticFitter):
+        self.fitter, self.models = fitter, models.select(["job", "fold", "ridge", "at", "theta"]).to_pylist()
+        self.sums: list[np.ndarray | None] = [None] * len(self.models)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        f = self.fitter
+        x, (code, fold) = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).T
+        for i, m in enumerate(self.models):
+            keep = slice(None) if m["fold"] < 0 else fold != m["fold"]
+            z, c, theta = _design(x[keep][:, m["at"]], f.kind), code[keep], np.array(m["theta"])
+            if not len(c):
+                continue
+            if f.kind == "ordinal":
+                ll, grad, hess = _ordinal_sums(z, c, theta, len(f.labels))
+            else:
+                ll, grad, hess = _softmax_sums(z, c, theta.reshape(-1, z.shape[1]), f.full(m["ridge"]))
+            flat = np.concatenate([[ll], grad, hess.ravel()])
+            self.sums[i] = flat if self.sums[i] is None else self.sums[i] + flat
+
+    def result(self):
+        found = [(m["job"], v.tobytes()) for m, v in zip(self.models, self.sums, strict=True) if v is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], names=["job", "v"])
+
+
+class _Confusion(_Sums):
+    """Confusion counts and log-likelihoods of a block of models on the rows they are judged on: the left-out fold, or all."""
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        f = self.fitter
+        n = len(f.labels)
+        x, (code, fold) = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).T
+        for i, m in enumerate(self.models):
+            keep = slice(None) if m["fold"] < 0 else fold == m["fold"]
+            z, c, theta = _design(x[keep][:, m["at"]], f.kind), code[keep], np.array(m["theta"])
+            if not len(c):
+                continue
+            p = _ordinal_probabilities(z, theta, n)[0] if f.kind == "ordinal" else _softmax(z, theta.reshape(-1, z.shape[1]), f.full(m["ridge"]))
+            own = np.log(np.clip(p[np.arange(len(c)), c], 1e-15, 1 - 1e-15))
+            cell = c * n + p.argmax(axis=1)
+            flat = np.concatenate([np.bincount(cell, minlength=n * n), np.bincount(cell, weights=own, minlength=n * n)]).astype(float)
+            self.sums[i] = flat if self.sums[i] is None else self.sums[i] + flat
+
+
 class LogisticFitter:
-    """Fits many subsets over the same rows.
+    """Fits many subsets over the same rows, standardised and stored once.
 
-    kind: "logit" (binary or multinomial) or "ordinal" (proportional odds).
+    kind: "logit" (binary or multinomial) or "ordinal" (proportional odds). Rows with a missing feature or class are left out.
     """
 
     def __init__(self, rows: DataFrame, features: Sequence[str], target: str, kind: str = "logit", fold: str | None = None):
@@ -123,159 +175,155 @@ class LogisticFitter:
         code = F.lit(0)
         for i, label in enumerate(self.labels):
             code = F.when(F.col(target) == label, i).otherwise(code)
+        m = moments(good, self.features)
+        sd = m.sd()
+        self.n, self.center, self.scale, self.corr = m.n, m.mean, np.where(sd > 0, sd, 1.0), m.correlation()
+        scaled = [(F.col(c).cast("double") - float(mu)) / float(s) for c, mu, s in zip(self.features, self.center, self.scale)]
         fold_column = F.col(fold).cast("int") if fold else F.lit(-1)
-        self.rows = cut_lineage(
-            good.select(*[F.col(c).cast("double").alias(c) for c in self.features], code.cast("int").alias("_code"), fold_column.alias("_fold"))
-        )
+        self.rows = cut_lineage(good.select(F.array(*scaled).alias("x"), F.array(code.cast("int"), fold_column).alias("s")))
+
+    def __getstate__(self):
+        """What tasks need: no table."""
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
+
+    def full(self, ridge: float) -> bool:
+        """With a penalty and several classes every class has its own weights."""
+        return self.kind == "logit" and ridge > 0 and len(self.labels) > 2
 
-        spread = self.rows.agg(F.array(*[F.avg(c) for c in self.features]).alias("m"), F.array(*[F.stddev_pop(c) for c in self.features]).alias("s")).first()
-        self.center = dict(zip(self.features, spread["m"], strict=True))
-        self.scale = {c: s or 1.0 for c, s in zip(self.features, spread["s"], strict=True)}
+    def folds(self) -> list[int]:
+        return [r[0] for r in self.rows.select(F.get("s", F.lit(1)).alias("f")).distinct().orderBy("f").collect()]
 
-    def _scaling(self, job: Job) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([self.center[c] for c in job.features]), np.array([self.scale[c] for c in job.features])
+    def _start(self, ridge: float, d: int) -> np.ndarray:
+        k = len(self.labels)
+        if self.kind == "ordinal":
+            return np.concatenate([np.linspace(-1, 1, k - 1) if k > 2 else np.zeros(1), np.zeros(d)])
+        return np.zeros((k if self.full(ridge) else k - 1) * (d + 1))
 
-    def _unscaled(self, job: Job) -> np.ndarray:
+    def _penalty(self, m: dict) -> np.ndarray:
+        """Ridge weights: the penalty is on the unscaled coefficients, the fallback on the scaled ones."""
+        each = m["ridge"] / self.scale[m["at"]] ** 2 + (FALLBACK_RIDGE if m["separated"] else 0.0)
+        if self.kind == "ordinal":
+            return np.concatenate([np.zeros(len(self.labels) - 1), each])
+        return np.tile(np.concatenate([[0.0], each]), len(m["theta"]) // (len(m["at"]) + 1))
+
+    def started(self, jobs: DataFrame) -> DataFrame:
+        """State of models (combo_key, combo, fold, ridge) before the first step.
+
+        A fit without penalty leaves out columns that are constant or that earlier columns of the subset determine.
+        """
+        place = {c: i for i, c in enumerate(self.features)}
+
+        def run(batches):
+            for batch in batches:
+                at = [[place[c] for c in combo] for combo in batch["combo"]]
+                at = [independent(self.corr, i) if ridge == 0 else i for i, ridge in zip(at, batch["ridge"])]
+                theta = [self._start(ridge, len(i)) for i, ridge in zip(at, batch["ridge"])]
+                yield batch.assign(at=at, theta=theta, value=None, best=None, step=None, done=False, converged=False, separated=False)
+
+        named = jobs.select(F.concat_ws("\x01", "combo_key", "fold", "ridge").alias("job"), "combo_key", "combo", "fold", "ridge")
+        return cut_lineage(named.mapInPandas(run, STATE))
+
+    def _moved(self, m: dict, raw: bytes | None, tolerance: float) -> dict:
+        """A model after a Newton step with its sums at theta."""
+        if raw is None:
+            return {**m, "done": True}
+        flat, theta = np.frombuffer(raw), np.array(m["theta"])
+        d = len(theta)
+        ll, grad, hess = flat[0], flat[1: 1 + d], flat[1 + d:].reshape(d, d)
+        weights = self._penalty(m)
+        value = ll - 0.5 * float(weights @ (theta * theta))
+        ordered = self.kind != "ordinal" or len(self.labels) == 2 or (np.diff(theta[: len(self.labels) - 1]) > 0).all()
+        if m["value"] is not None and (not np.isfinite(value) or value < m["value"] - 1e-9 or not ordered):
+            best, step = np.array(m["best"]), np.array(m["step"]) / 2  # went too far: half the step
+            if np.abs(step).max(initial=0.0) < tolerance:
+                return {**m, "theta": best, "done": True, "converged": True}
+            return {**m, "theta": best + step, "step": step}
+        step = np.linalg.pinv(hess + np.diag(weights), rcond=1e-11, hermitian=True) @ (grad - weights * theta)
+        largest = np.abs(step).max(initial=0.0)
+        if largest < tolerance:
+            return {**m, "done": True, "converged": True}
+        if m["value"] is not None and not m["separated"] and value - m["value"] < 1e-7 * (1 + abs(value)) and largest > 0.1:
+            # Steps stay large and gain nothing: the classes are separated and the likelihood has
+            # no maximum. A small ridge gives one.
+            return {**m, "separated": True, "value": None, "best": None}
+        return {**m, "value": float(value), "best": theta, "step": step, "theta": theta + step}
+
+    def _unscaled(self, at: list[int], theta: np.ndarray) -> np.ndarray:
         """Parameters on the columns as they are; fitting works on standardised ones."""
-        center, scale = self._scaling(job)
+        center, scale = self.center[at], self.scale[at]
         if self.kind == "ordinal":
-            cuts, beta = np.split(job.theta, [len(self.labels) - 1])
+            cuts, beta = np.split(theta, [len(self.labels) - 1])
             return np.concatenate([cuts + (beta / scale) @ center, beta / scale])
-        table = job.theta.reshape(-1, len(job.features) + 1).copy()
+        table = theta.reshape(-1, len(at) + 1).copy()
         table[:, 1:] /= scale
         table[:, 0] -= table[:, 1:] @ center
         return table.ravel()
 
-    def full(self, job: Job) -> bool:
-        """With a penalty and several classes every class has its own weights."""
-        return self.kind == "logit" and job.ridge > 0 and len(self.labels) > 2
+    def _met(self, state: DataFrame, n: int, kernel) -> DataFrame:
+        """(job, v): sums of the kernel's vectors per model."""
+        k, width = len(self.labels), len(self.features)
+        block = max(1, (1 << 23) // ((k * (min(width, 64) + 1)) ** 2))
+        models = state.select("job", "fold", "ridge", "at", "theta")
+        return added_up(meet(self.rows, self.n, width + 2, models, n, F.col("job"), lambda block: kernel(block, self), "job string, v binary", block), "job")
 
-    def _start(self, job: Job) -> np.ndarray:
-        k, d = len(self.labels), len(job.features)
-        if self.kind == "ordinal":
-            return np.concatenate([np.linspace(-1, 1, k - 1) if k > 2 else np.zeros(1), np.zeros(d)])
-        return np.zeros((k if self.full(job) else k - 1) * (d + 1))
+    def fit_table(self, jobs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+        """Fitted state of models (combo_key, combo, fold, ridge): STATE, theta on the standardised columns.
 
-    def _pass(self, jobs: list[Job]) -> dict[int, tuple]:
-        kind, n_classes = self.kind, len(self.labels)
-        spec = [(i, j.features, j.fold, j.theta, self.full(j), *self._scaling(j)) for i, j in enumerate(jobs)]
+        A model that PASS_LIMIT steps do not finish keeps its best parameters with converged = false.
+        """
+        names = [c.split()[0] for c in STATE.split(", ")]
 
-        def partial(batches):
-            sums: dict = {}
+        def moved(batches):
             for batch in batches:
-                code, fold = batch["_code"].to_numpy(), batch["_fold"].to_numpy()
-                for i, names, out_fold, theta, full, center, scale in spec:
-                    keep = slice(None) if out_fold is None else fold != out_fold
-                    z, c = _design(batch, names, kind, center, scale)[keep], code[keep]
-                    if not len(c):
-                        continue
-                    if kind == "ordinal":
-                        ll, grad, hess = _ordinal_sums(z, c, theta, n_classes)
-                    else:
-                        ll, grad, hess = _softmax_sums(z, c, theta.reshape(-1, z.shape[1]), full)
-                    flat = np.concatenate([[ll], grad, hess.ravel()])
-                    sums[i] = sums[i] + flat if i in sums else flat
-            if sums:
-                yield pd.DataFrame({"job": list(sums), "v": list(sums.values())})
-
-        added = (
-            self.rows.mapInPandas(partial, "job int, v array<double>")
-            .select("job", F.posexplode("v").alias("pos", "v"))
-            .groupBy("job", "pos")
-            .agg(F.sum("v").alias("v"))
-        )
-        table: dict[int, dict] = {}
-        for r in added.collect():  # one number per model parameter pair
-            table.setdefault(r["job"], {})[r["pos"]] = r["v"]
-        out = {}
-        for i, cells in table.items():
-            d = len(jobs[i].theta)
-            flat = np.array([cells[p] for p in range(1 + d + d * d)])
-            out[i] = (flat[0], flat[1: 1 + d], flat[1 + d:].reshape(d, d))
-        return out
-
-    def _penalty(self, job: Job) -> np.ndarray:
-        """Ridge weights: the penalty is on the unscaled coefficients, the fallback on the scaled ones."""
-        each = job.ridge / self._scaling(job)[1] ** 2 + (FALLBACK_RIDGE if job.separated else 0.0)
-        if self.kind == "ordinal":
-            return np.concatenate([np.zeros(len(self.labels) - 1), each])
-        return np.tile(np.concatenate([[0.0], each]), len(job.theta) // (len(job.features) + 1))
+                rows = [self._moved({c: r[c] for c in names}, r["v"], tolerance) for r in batch.to_pylist()]
+                yield pa.RecordBatch.from_pylist([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows], schema=batch.select(names).schema)
 
-    def fit(self, jobs: list[Job], tolerance: float = 1e-9) -> list[Job]:
-        for j in jobs:
-            j.theta = self._start(j)
+        state, finished = self.started(jobs), None
         for _ in range(PASS_LIMIT):
-            active = [j for j in jobs if not j.done]
-            if not active:
+            n = state.count()
+            if not n:
                 break
-            sums = self._pass(active)
-            for i, j in enumerate(active):
-                if i not in sums:
-                    j.done = True
-                    continue
-                ll, grad, hess = sums[i]
-                weights = self._penalty(j)
-                value = ll - 0.5 * float(weights @ (j.theta * j.theta))
-                ordered = self.kind != "ordinal" or len(self.labels) == 2 or (np.diff(j.theta[: len(self.labels) - 1]) > 0).all()
-                if j.best is not None and (not np.isfinite(value) or value < j.best[0] - 1e-9 or not ordered):
-                    j.best = (j.best[0], j.best[1], j.best[2] / 2)  # went too far: half the step
-                    if np.abs(j.best[2]).max() < tolerance:
-                        j.theta, j.done, j.converged = j.best[1], True, True
-                    else:
-                        j.theta = j.best[1] + j.best[2]
-                    continue
-                slope = grad - weights * j.theta
-                step = np.linalg.pinv(hess + np.diag(weights), rcond=1e-11, hermitian=True) @ slope
-                if np.abs(step).max() < tolerance:
-                    j.done = j.converged = True
-                elif j.best is not None and not j.separated and value - j.best[0] < 1e-7 * (1 + abs(value)) and np.abs(step).max() > 0.1:
-                    # Steps stay large and gain nothing: the classes are separated and the likelihood has
-                    # no maximum. A small ridge gives one.
-                    j.separated, j.best = True, None
-                    continue
-                j.best = (value, j.theta.copy(), step)
-                if not j.done:
-                    j.theta = j.theta + step
-        for j in jobs:
-            if not j.done and j.best is not None:
-                j.theta = j.best[1]
-            j.theta = self._unscaled(j)
+            sums = self._met(state, n, _Sums)
+            stepped = cut_lineage(state.join(sums, "job", "left").select(*names, "v").mapInArrow(moved, STATE))
+            done = stepped.where("done")
+            finished = done if finished is None else finished.unionByName(done)
+            state = stepped.where("not done")
+        # Some models may be left: their best parameters so far.
+        rest = state.withColumn("theta", F.coalesce("best", "theta"))
+        return rest if finished is None else finished.unionByName(rest)
+
+    def scored(self, state: DataFrame) -> DataFrame:
+        """Class scores and McFadden R2 of fitted models on the rows they are judged on, beside combo_key, combo, fold, ridge, converged."""
+        n_classes = len(self.labels)
+        cells = n_classes * n_classes
+
+        def run(batches):
+            for batch in batches:
+                each = []
+                for raw in batch["v"]:
+                    flat = np.zeros(2 * cells) if raw is None else np.frombuffer(raw)
+                    each.append(scores(pd.DataFrame({"cell": range(cells), "n": flat[:cells], "ll": flat[cells:]}), n_classes))
+                yield batch.drop(columns="v").assign(**{c: [s[c] for s in each] for c in METRICS})
+
+        state = cut_lineage(state)
+        sums = self._met(state, state.count(), _Confusion)
+        rows = state.join(sums, "job", "left").select("combo_key", "combo", "fold", "ridge", "converged", "v")
+        types = "combo_key string, combo array<string>, fold int, ridge double, converged boolean"
+        return rows.mapInPandas(run, types + "".join(f", {c} double" for c in METRICS))
+
+    def fit(self, jobs: list[Job], tolerance: float = 1e-9) -> list[Job]:
+        """Fit a few named models whose parameters the caller needs."""
+        spark = self.rows.sparkSession
+        table = spark.createDataFrame([(f"{i}", j.features, -1 if j.fold is None else j.fold, float(j.ridge)) for i, j in enumerate(jobs)],
+                                      "combo_key string, combo array<string>, fold int, ridge double")
+        for r in self.fit_table(table, tolerance).collect():
+            j = jobs[int(r["combo_key"])]
+            j.theta, j.converged, j.separated = self._unscaled(r["at"], np.array(r["theta"])), r["converged"], r["separated"]
+            j.used = [self.features[i] for i in r["at"]]
         return jobs
 
-    def evaluate(self, jobs: list[Job]) -> pd.DataFrame:
-        """Confusion counts and log-likelihood per job on its own rows (the left-out fold, or all)."""
-        kind, n_classes = self.kind, len(self.labels)
-        spec = [(i, j.features, j.fold, j.theta, self.full(j)) for i, j in enumerate(jobs)]
 
-        def partial(batches):
-            counts: dict = {}
-            for batch in batches:
-                code, fold = batch["_code"].to_numpy(), batch["_fold"].to_numpy()
-                for i, names, in_fold, theta, full in spec:
-                    keep = slice(None) if in_fold is None else fold == in_fold
-                    z, c = _design(batch, names, kind)[keep], code[keep]
-                    if not len(c):
-                        continue
-                    if kind == "ordinal":
-                        p = _ordinal_probabilities(z, theta, n_classes)[0]
-                    else:
-                        p = _softmax(z, theta.reshape(-1, z.shape[1]), full)
-                    own = np.log(np.clip(p[np.arange(len(c)), c], 1e-15, 1 - 1e-15))
-                    said = p.argmax(axis=1)
-                    flat = np.bincount(c * n_classes + said, minlength=n_classes * n_classes)
-                    lls = np.bincount(c * n_classes + said, weights=own, minlength=n_classes * n_classes)
-                    for cell in np.flatnonzero(flat):
-                        n0, l0 = counts.get((i, cell), (0, 0.0))
-                        counts[(i, cell)] = (n0 + int(flat[cell]), l0 + float(lls[cell]))
-            if counts:
-                yield pd.DataFrame([(i, int(c), n, ll) for (i, c), (n, ll) in counts.items()], columns=["job", "cell", "n", "ll"])
-
-        return (
-            self.rows.mapInPandas(partial, "job int, cell int, n long, ll double")
-            .groupBy("job", "cell")
-            .agg(F.sum("n").alias("n"), F.sum("ll").alias("ll"))
-            .toPandas()  # models x classes^2 rows
-        )
+METRICS = ("accuracy", "precision", "recall", "f1_score", "mcfadden_r2")
 
 
 def scores(cells: pd.DataFrame, n_classes: int) -> dict:
@@ -299,68 +347,61 @@ def scores(cells: pd.DataFrame, n_classes: int) -> dict:
     }
 
 
-def model_chunks(models: DataFrame):
-    """The models in lists of at most a few thousand rows."""
-    models = cut_lineage(models)
-    parts = -(-models.count() // 4096)
-    for i in range(parts):
-        rows = models.where(F.pmod(F.xxhash64("combo_key"), F.lit(parts)) == i).collect()
-        if rows:
-            yield rows
-
-
 RESULT_SCHEMA = (
     "combo_key string, combo array<string>, k int, accuracy double, precision double, recall double, f1_score double, "
     "mcfadden_r2 double, converged boolean"
 )
 
 
-CV_SCHEMA = "combo_key string, avg_accuracy double, avg_f1_score double, avg_mcfadden_r2 double"
-
+def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, kind: str = "logit") -> DataFrame:
+    """Scores per combination (M13): class scores of the penalised model, McFadden R2 of the unpenalised one.
 
-def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, kind: str = "logit", chunk: int = 256) -> DataFrame:
-    """Scores per combination (M13): class scores of the penalised model, McFadden R2 of the unpenalised one."""
+    `converged` says whether both fits ended; ordinal models have one fit without penalty.
+    """
     fitter = LogisticFitter(rows, features, target, kind)
-    soft = 0.0 if kind == "ordinal" else 1.0
-    spark, k, out = rows.sparkSession, len(fitter.labels), None
-    for models in model_chunks(combos.select("combo_key", "combo")):
-        for at in range(0, len(models), chunk):
-            part = models[at: at + chunk]
-            # Both fits of every model share the passes.
-            jobs = fitter.fit([Job(r["combo_key"], list(r["combo"]), ridge=x) for x in (0.0, soft) for r in part])
-            table, n, data = fitter.evaluate(jobs), len(part), []
-            for i, j in enumerate(jobs[:n]):
-                s = scores(table[table["job"] == n + i], k)
-                s["mcfadden_r2"] = scores(table[table["job"] == i], k)["mcfadden_r2"]
-                data.append((j.key, j.features, len(j.features), *[None if s[c] is None else float(s[c]) for c in ("accuracy", "precision", "recall", "f1_score", "mcfadden_r2")], j.converged))
-            new = spark.createDataFrame(data, RESULT_SCHEMA)
-            out = new if out is None else out.unionByName(new)
-    return spark.createDataFrame([], RESULT_SCHEMA) if out is None else out
+    ridges = [0.0] if kind == "ordinal" else [0.0, 1.0]
+    jobs = combos.select("combo_key", "combo", F.lit(-1).alias("fold"), F.explode(F.array(*[F.lit(r) for r in ridges])).alias("ridge"))
+    found = cut_lineage(fitter.scored(fitter.fit_table(jobs)))
+    plain = found.where("ridge = 0").select("combo_key", "mcfadden_r2", F.col("converged").alias("_plain"))
+    soft = found.where(F.col("ridge") == ridges[-1]).drop("mcfadden_r2")
+    return soft.join(plain, "combo_key").select(
+        "combo_key", "combo", F.size("combo").alias("k"), *METRICS, (F.col("converged") & F.col("_plain")).alias("converged"))
 
 
 def cross_validate_classifiers(
-    folded: DataFrame, combos: DataFrame, features: Sequence[str], target: str, fold: str = "fold", kind: str = "logit", chunk: int = 256
+    folded: DataFrame, combos: DataFrame, features: Sequence[str], target: str, fold: str = "fold", kind: str = "logit"
 ) -> DataFrame:
-    """Mean accuracy, weighted F1 and McFadden R2 over the folds (M16); folds of one class have no R2."""
+    """combo_key, avg_accuracy, avg_f1_score, avg_mcfadden_r2, cv_converged: means over the folds.
+
+    Folds of one class have no R2. cv_converged is false where a fold's fit did not end.
+    """
     fitter = LogisticFitter(folded, features, target, kind, fold)
-    ridge = 0.0 if kind == "ordinal" else 1.0
-    folds = [r[0] for r in fitter.rows.select("_fold").distinct().orderBy("_fold").collect()]
-    spark, k, out = folded.sparkSession, len(fitter.labels), None
-    per_pass = max(1, chunk // len(folds))
-    for models in model_chunks(combos.select("combo_key", "combo")):
-        for at in range(0, len(models), per_pass):
-            part = models[at: at + per_pass]
-            jobs = fitter.fit([Job(r["combo_key"], list(r["combo"]), f, ridge) for r in part for f in folds])
-            table = fitter.evaluate(jobs)
-            data = []
-            for m, r in enumerate(part):
-                each = [scores(table[table["job"] == m * len(folds) + f], k) for f in range(len(folds))]
-                r2 = [s["mcfadden_r2"] for s in each if s["mcfadden_r2"] is not None]
-                data.append((r["combo_key"], float(np.mean([s["accuracy"] for s in each])), float(np.mean([s["f1_score"] for s in each])),
-                             float(np.mean(r2)) if r2 else None))
-            new = spark.createDataFrame(data, CV_SCHEMA)
-            out = new if out is None else out.unionByName(new)
-    return spark.createDataFrame([], CV_SCHEMA) if out is None else out
+    ridge = F.lit(0.0 if kind == "ordinal" else 1.0)
+    jobs = combos.select("combo_key", "combo", F.explode(F.array(*[F.lit(f) for f in fitter.folds()])).alias("fold"), ridge.alias("ridge"))
+    found = fitter.scored(fitter.fit_table(jobs))
+    return found.groupBy("combo_key").agg(
+        F.avg("accuracy").alias("avg_accuracy"), F.avg("f1_score").alias("avg_f1_score"), F.avg("mcfadden_r2").alias("avg_mcfadden_r2"),
+        F.min("converged").alias("cv_converged"))
+
+
+def repeated_classifier_cv(
+    rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, runs: int = 10, folds: int = 5, kind: str = "logit",
+    key: str = "id", seed: int = 42,
+) -> DataFrame:
+    """combo_key, iteration, avg_accuracy, avg_f1_score, avg_mcfadden_r2, cv_converged.
+
+    One row per repeat (random folds, seeded seed + repeat) and one with iteration NULL for the means over the repeats.
+    """
+    from orbitable.operators.sampling import k_folds
+
+    parts = None
+    for run in range(runs):
+        part = cross_validate_classifiers(k_folds(rows, folds, key, seed + run), combos, features, target, kind=kind)
+        part = cut_lineage(part.withColumn("iteration", F.lit(run + 1)))
+        parts = part if parts is None else parts.unionByName(part)
+    names = ["avg_accuracy", "avg_f1_score", "avg_mcfadden_r2"]
+    overall = parts.groupBy("combo_key").agg(*[F.avg(c).alias(c) for c in names], F.min("cv_converged").alias("cv_converged"))
+    return parts.unionByName(overall.withColumn("iteration", F.lit(None).cast("int"))).select("combo_key", "iteration", *names, "cv_converged")
 
 
 def probability_table(rows: DataFrame, features: Sequence[str], target: str, key: str = "id", ridge: float = 1.0, kind: str = "logit") -> DataFrame:
@@ -368,7 +409,7 @@ def probability_table(rows: DataFrame, features: Sequence[str], target: str, key
     fitter = LogisticFitter(rows, features, target, kind)
     job = fitter.fit([Job("all", list(features), ridge=ridge if kind == "logit" else 0.0)])[0]
     k, labels = len(fitter.labels), fitter.labels
-    x = [F.col(c).cast("double") for c in features]
+    x = [F.col(c).cast("double") for c in job.used]
     if kind == "ordinal":
         cuts, beta = job.theta[: k - 1], job.theta[k - 1:]
         score = sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
@@ -376,8 +417,8 @@ def probability_table(rows: DataFrame, features: Sequence[str], target: str, key
         p = [cum[0]] + [cum[i] - cum[i - 1] for i in range(1, k)]
         out = rows.select(key, F.col(target).alias("y"), *[c.alias(f"p_{v}") for c, v in zip(p, labels)])
     else:
-        theta = job.theta.reshape(-1, len(features) + 1)
-        logits = [] if fitter.full(job) else [F.lit(0.0)]
+        theta = job.theta.reshape(-1, len(job.used) + 1)
+        logits = [] if fitter.full(job.ridge) else [F.lit(0.0)]
         logits += [sum((float(b) * c for b, c in zip(t[1:], x)), F.lit(float(t[0]))) for t in theta]
         step = rows.select(key, F.col(target).alias("y"), *[c.alias(f"_s{i}") for i, c in enumerate(logits)])
         top = F.greatest(*[F.col(f"_s{i}") for i in range(k)])
@@ -395,7 +436,7 @@ def classify_left_out(rows: DataFrame, left_out: DataFrame, features: Sequence[s
     fitter = LogisticFitter(rows, features, target)
     job = fitter.fit([Job("all", list(features), ridge=1.0)])[0]
     theta = job.theta.reshape(-1, len(features) + 1)
-    logits = [] if fitter.full(job) else [F.lit(0.0)]
+    logits = [] if fitter.full(job.ridge) else [F.lit(0.0)]
     logits += [sum((float(b) * F.col(c) for b, c in zip(t[1:], features)), F.lit(float(t[0]))) for t in theta]
     filled = left_out.fillna(0.0, list(features))
     step = filled.select(key, F.col(target).alias("y"), *[c.alias(f"_s{i}") for i, c in enumerate(logits)])

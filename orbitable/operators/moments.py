@@ -149,6 +149,23 @@ def moments(df: DataFrame, names: Sequence[str]) -> Moments:
     return unpack(row, names)
 
 
+def independent(corr: np.ndarray, index: Sequence[int], least: float = 2e-8) -> list[int]:
+    """The columns of `index`, in order, that are no linear combination of the ones kept before.
+
+    One Cholesky sweep over the correlations: constant columns (no correlation with themselves), copies and exact
+    combinations have no variance left; `least` is the share that has to be left, so of two columns with |r| > 1 - 1e-8 the later goes.
+    """
+    kept: list[int] = []
+    rows = np.zeros((0, len(index)))
+    block = np.nan_to_num(corr[np.ix_(index, index)])
+    for j in range(len(index)):
+        left = block[j, j] - rows[:, j] @ rows[:, j]
+        if left > least:
+            rows = np.vstack([rows, (block[j] - rows[:, j] @ rows) / np.sqrt(left)])
+            kept.append(index[j])
+    return kept
+
+
 def correlation_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations of all i < j as rows: f1, f2, r (one pass).
 

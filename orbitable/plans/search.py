@@ -140,15 +140,22 @@ def search_classifiers(
     combos = clean.has_required(rg.combinations(spark, features, smallest, largest), required)
     old = load_results(spark, store) if store else None
     fits = cut_lineage(oc.fit_classifiers(rows, skip_finished(combos, old), features, target, kind))
-    passed = fits.where(F.coalesce(F.col("mcfadden_r2"), F.col("accuracy")) > threshold)
-    results = fits.withColumn("threshold", F.lit(float(threshold)))
-    if passed.isEmpty():
-        scores = {c: F.lit(None).cast("double") for c in ("avg_accuracy", "avg_f1_score", "avg_mcfadden_r2")}
-        results = results.withColumns(scores)
-    else:
-        folded = osm.stratified_folds(rows, folds, target, key, seed)
-        results = results.join(oc.cross_validate_classifiers(folded, passed, features, target, kind=kind), "combo_key", "left")
+    gate = F.coalesce(F.col("mcfadden_r2"), F.col("accuracy")) > threshold
+    folded = osm.stratified_folds(rows, folds, target, key, seed)
+    scored = ("avg_accuracy", "avg_f1_score", "avg_mcfadden_r2", "cv_converged")
+
+    def validated_fits(found: DataFrame) -> DataFrame:
+        passed = found.where(gate).select("combo_key", "combo")
+        if passed.isEmpty():
+            return found.withColumns({c: F.lit(None).cast("boolean" if c == "cv_converged" else "double") for c in scored})
+        return found.join(oc.cross_validate_classifiers(folded, passed, features, target, kind=kind), "combo_key", "left")
+
+    results = validated_fits(fits.withColumn("threshold", F.lit(float(threshold))))
     if store:
         append_results(results, store)
         results = spark.read.parquet(store)
+        # Fits stored under a higher gate have no cross-validation yet.
+        lacking = cut_lineage(results.where(gate & F.col("avg_accuracy").isNull()).drop(*scored))
+        if not lacking.isEmpty():
+            results = results.where(~(gate & F.col("avg_accuracy").isNull())).unionByName(validated_fits(lacking))
     return rank_models(results, ["mcfadden_r2"]).limit(top_n)

@@ -185,10 +185,4 @@ def classified_left_out(t):
 @query("repeated_classifier_cv", None)
 def repeated_classifier_cv(t):
     rows = clean.standardise(t.classes, NAMES)
-    combos = rg.combinations(t.spark, NAMES, 1, 1)
-    parts = None
-    for run in range(2):
-        folded = osm.k_folds(rows, 3, seed=42 + run)
-        part = oc.cross_validate_classifiers(folded, combos, NAMES, "y").withColumn("iteration", F.lit(run + 1))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return oc.repeated_classifier_cv(rows, rg.combinations(t.spark, NAMES, 1, 2), NAMES, "y")
