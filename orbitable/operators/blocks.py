@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 MODEL_BLOCK = 1 << 16  # models a task holds
 GROUP_VALUES = 1 << 27  # numbers in the rows of one group: 1 GB
@@ -81,15 +83,28 @@ def meet(rows: DataFrame, n_rows: int, width: int, models: DataFrame, n_models:
     return met.mapInArrow(_cells(kernel, models.columns), schema)
 
 
-def added_up(parts: DataFrame, key: str) -> DataFrame:
-    """Sums of equally long packed double vectors `v` per key. Rows are streamed, so a key may have any number of them."""
+def summed_into(models: DataFrame, parts: DataFrame, key: str, fn: Callable[[dict, np.ndarray | None], dict], schema: str) -> DataFrame:
+    """fn(model, sum of its packed double vectors `v`, or None) per model, as rows of `schema`.
+
+    Models and parts meet by key in one shuffle. Parts are added up as they stream by, so a key may have any number of them;
+    a task holds one vector per model.
+    """
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        found, total = {}, {}
         for batch in batches:
-            for name, raw in zip(batch.column(key).to_pylist(), batch.column("v").to_pylist(), strict=True):
-                v = np.frombuffer(raw)
-                total[name] = total[name] + v if name in total else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
-                                         names=[key, "v"])
-
-    return parts.select(key, "v").repartition(key).mapInArrow(run, f"{key} string, v binary")
+            for name, model, raw in zip(*(batch.column(c).to_pylist() for c in (key, "_model", "v")), strict=True):
+                if model is not None:
+                    found[name] = model
+                else:
+                    v = np.frombuffer(raw)
+                    total[name] = total[name] + v if name in total else v
+        rows = [fn(model, total.get(name)) for name, model in found.items()]
+        for at in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_pylist([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows[at: at + 10_000]],
+                                             schema=arrow)
+
+    arrow = to_arrow_schema(DataType.fromDDL(schema))
+    inner = models.schema.simpleString()
+    left = models.select(key, F.struct(*models.columns).alias("_model"), F.lit(None).cast("binary").alias("v"))
+    right = parts.select(key, F.lit(None).cast(inner).alias("_model"), "v")
+    return left.unionByName(right).repartition(key).mapInArrow(run, schema)

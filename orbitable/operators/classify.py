@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.operators.blocks import added_up, matrix, meet
+from orbitable.operators.blocks import matrix, meet, summed_into
 from orbitable.operators.moments import complete_rows, independent, moments
 from orbitable.session import cut_lineage
 
@@ -110,7 +110,7 @@ def _design(x: np.ndarray, kind: str) -> np.ndarray:
     return x if kind == "ordinal" else np.hstack([np.ones((len(x), 1)), x])
 
 
-JOBS = "job string, combo_key string, combo array<string>, fold int, ridge double, at array<int>"
+JOBS = "job string, combo_key string, combo array<string>, column int, fold int, ridge double, at array<int>"
 STATE = f"{JOBS}, theta array<double>, value double, best array<double>, step array<double>, done boolean, converged boolean, separated boolean"
 
 
@@ -118,14 +118,14 @@ class _Sums:
     """Log-likelihood, gradient and Hessian of a block of models over the rows they learn from."""
 
     def __init__(self, models: pa.Table, fitter: LogisticFitter):
-        self.fitter, self.models = fitter, models.select(["job", "fold", "ridge", "at", "theta"]).to_pylist()
+        self.fitter, self.models = fitter, models.select(["job", "column", "fold", "ridge", "at", "theta"]).to_pylist()
         self.sums: list[np.ndarray | None] = [None] * len(self.models)
 
     def add(self, batch: pa.RecordBatch) -> None:
         f = self.fitter
-        x, (code, fold) = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).T
+        x, (code, *folds) = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).T
         for i, m in enumerate(self.models):
-            keep = slice(None) if m["fold"] < 0 else fold != m["fold"]
+            keep = slice(None) if m["fold"] < 0 else folds[m["column"]] != m["fold"]
             z, c, theta = _design(x[keep][:, m["at"]], f.kind), code[keep], np.array(m["theta"])
             if not len(c):
                 continue
@@ -147,9 +147,9 @@ class _Confusion(_Sums):
     def add(self, batch: pa.RecordBatch) -> None:
         f = self.fitter
         n = len(f.labels)
-        x, (code, fold) = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).T
+        x, (code, *folds) = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).T
         for i, m in enumerate(self.models):
-            keep = slice(None) if m["fold"] < 0 else fold == m["fold"]
+            keep = slice(None) if m["fold"] < 0 else folds[m["column"]] == m["fold"]
             z, c, theta = _design(x[keep][:, m["at"]], f.kind), code[keep], np.array(m["theta"])
             if not len(c):
                 continue
@@ -163,10 +163,11 @@ class _Confusion(_Sums):
 class LogisticFitter:
     """Fits many subsets over the same rows, standardised and stored once.
 
-    kind: "logit" (binary or multinomial) or "ordinal" (proportional odds). Rows with a missing feature or class are left out.
+    kind: "logit" (binary or multinomial) or "ordinal" (proportional odds). `folds` names integer columns; a model may
+    leave out the rows of one value (not negative) of one of them. Rows with a missing feature or class are left out.
     """
 
-    def __init__(self, rows: DataFrame, features: Sequence[str], target: str, kind: str = "logit", fold: str | None = None):
+    def __init__(self, rows: DataFrame, features: Sequence[str], target: str, kind: str = "logit", folds: Sequence[str] = ()):
         self.features, self.target, self.kind = list(features), target, kind
         good = complete_rows(rows, self.features).where(F.col(target).isNotNull())
         self.labels = class_labels(good, target)
@@ -179,8 +180,8 @@ class LogisticFitter:
         sd = m.sd()
         self.n, self.center, self.scale, self.corr = m.n, m.mean, np.where(sd > 0, sd, 1.0), m.correlation()
         scaled = [(F.col(c).cast("double") - float(mu)) / float(s) for c, mu, s in zip(self.features, self.center, self.scale)]
-        fold_column = F.col(fold).cast("int") if fold else F.lit(-1)
-        self.rows = cut_lineage(good.select(F.array(*scaled).alias("x"), F.array(code.cast("int"), fold_column).alias("s")))
+        uses = [code.cast("int"), *[F.col(c).cast("int") for c in folds]]
+        self.rows = cut_lineage(good.select(F.array(*scaled).alias("x"), F.array(*uses).alias("s")))
 
     def __getstate__(self):
         """What tasks need: no table."""
@@ -190,8 +191,10 @@ class LogisticFitter:
         """With a penalty and several classes every class has its own weights."""
         return self.kind == "logit" and ridge > 0 and len(self.labels) > 2
 
-    def folds(self) -> list[int]:
-        return [r[0] for r in self.rows.select(F.get("s", F.lit(1)).alias("f")).distinct().orderBy("f").collect()]
+    def fold_values(self) -> list[tuple[int, int]]:
+        """(fold column, value) of every fold."""
+        each = self.rows.select(F.posexplode(F.slice("s", 2, 1 << 20)).alias("column", "fold")).distinct()
+        return [tuple(r) for r in each.orderBy("column", "fold").collect()]
 
     def _start(self, ridge: float, d: int) -> np.ndarray:
         k = len(self.labels)
@@ -207,7 +210,7 @@ class LogisticFitter:
         return np.tile(np.concatenate([[0.0], each]), len(m["theta"]) // (len(m["at"]) + 1))
 
     def started(self, jobs: DataFrame) -> DataFrame:
-        """State of models (combo_key, combo, fold, ridge) before the first step.
+        """State of models (combo_key, combo, column, fold, ridge) before the first step.
 
         A fit without penalty leaves out columns that are constant or that earlier columns of the subset determine.
         """
@@ -220,14 +223,14 @@ class LogisticFitter:
                 theta = [self._start(ridge, len(i)) for i, ridge in zip(at, batch["ridge"])]
                 yield batch.assign(at=at, theta=theta, value=None, best=None, step=None, done=False, converged=False, separated=False)
 
-        named = jobs.select(F.concat_ws("\x01", "combo_key", "fold", "ridge").alias("job"), "combo_key", "combo", "fold", "ridge")
+        named = jobs.select(F.concat_ws("\x01", "combo_key", "column", "fold", "ridge").alias("job"), "combo_key", "combo", "column", "fold", "ridge")
         return cut_lineage(named.mapInPandas(run, STATE))
 
-    def _moved(self, m: dict, raw: bytes | None, tolerance: float) -> dict:
+    def _moved(self, m: dict, flat: np.ndarray | None, tolerance: float) -> dict:
         """A model after a Newton step with its sums at theta."""
-        if raw is None:
+        if flat is None:
             return {**m, "done": True}
-        flat, theta = np.frombuffer(raw), np.array(m["theta"])
+        theta = np.array(m["theta"])
         d = len(theta)
         ll, grad, hess = flat[0], flat[1: 1 + d], flat[1 + d:].reshape(d, d)
         weights = self._penalty(m)
@@ -259,32 +262,23 @@ class LogisticFitter:
         table[:, 0] -= table[:, 1:] @ center
         return table.ravel()
 
-    def _met(self, state: DataFrame, n: int, kernel) -> DataFrame:
-        """(job, v): sums of the kernel's vectors per model."""
+    def _met(self, state: DataFrame, kernel) -> DataFrame:
+        """(job, v): vectors of the kernel per model and cell."""
         k, width = len(self.labels), len(self.features)
-        block = max(1, (1 << 23) // ((k * (min(width, 64) + 1)) ** 2))
-        models = state.select("job", "fold", "ridge", "at", "theta")
-        return added_up(meet(self.rows, self.n, width + 2, models, n, F.col("job"), lambda block: kernel(block, self), "job string, v binary", block), "job")
+        size = max(1, (1 << 23) // ((k * (min(width, 64) + 1)) ** 2))
+        models = state.select("job", "column", "fold", "ridge", "at", "theta")
+        return meet(self.rows, self.n, width + 2, models, state.count(), F.col("job"), lambda block: kernel(block, self), "job string, v binary", size)
 
     def fit_table(self, jobs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-        """Fitted state of models (combo_key, combo, fold, ridge): STATE, theta on the standardised columns.
+        """Fitted state of models (combo_key, combo, column, fold, ridge): STATE, theta on the standardised columns.
 
         A model that PASS_LIMIT steps do not finish keeps its best parameters with converged = false.
         """
-        names = [c.split()[0] for c in STATE.split(", ")]
-
-        def moved(batches):
-            for batch in batches:
-                rows = [self._moved({c: r[c] for c in names}, r["v"], tolerance) for r in batch.to_pylist()]
-                yield pa.RecordBatch.from_pylist([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows], schema=batch.select(names).schema)
-
         state, finished = self.started(jobs), None
         for _ in range(PASS_LIMIT):
-            n = state.count()
-            if not n:
+            if state.isEmpty():
                 break
-            sums = self._met(state, n, _Sums)
-            stepped = cut_lineage(state.join(sums, "job", "left").select(*names, "v").mapInArrow(moved, STATE))
+            stepped = cut_lineage(summed_into(state, self._met(state, _Sums), "job", lambda m, v: self._moved(m, v, tolerance), STATE))
             done = stepped.where("done")
             finished = done if finished is None else finished.unionByName(done)
             state = stepped.where("not done")
@@ -293,29 +287,24 @@ class LogisticFitter:
         return rest if finished is None else finished.unionByName(rest)
 
     def scored(self, state: DataFrame) -> DataFrame:
-        """Class scores and McFadden R2 of fitted models on the rows they are judged on, beside combo_key, combo, fold, ridge, converged."""
+        """Class scores and McFadden R2 of fitted models on the rows they are judged on, beside combo_key, combo, column, fold, ridge, converged."""
         n_classes = len(self.labels)
-        cells = n_classes * n_classes
+        cells, kept = n_classes * n_classes, ("combo_key", "combo", "column", "fold", "ridge", "converged")
 
-        def run(batches):
-            for batch in batches:
-                each = []
-                for raw in batch["v"]:
-                    flat = np.zeros(2 * cells) if raw is None else np.frombuffer(raw)
-                    each.append(scores(pd.DataFrame({"cell": range(cells), "n": flat[:cells], "ll": flat[cells:]}), n_classes))
-                yield batch.drop(columns="v").assign(**{c: [s[c] for s in each] for c in METRICS})
+        def score(m: dict, flat: np.ndarray | None) -> dict:
+            flat = np.zeros(2 * cells) if flat is None else flat
+            found = scores(pd.DataFrame({"cell": range(cells), "n": flat[:cells], "ll": flat[cells:]}), n_classes)
+            return {**{c: m[c] for c in kept}, **{c: found[c] for c in METRICS}}
 
         state = cut_lineage(state)
-        sums = self._met(state, state.count(), _Confusion)
-        rows = state.join(sums, "job", "left").select("combo_key", "combo", "fold", "ridge", "converged", "v")
-        types = "combo_key string, combo array<string>, fold int, ridge double, converged boolean"
-        return rows.mapInPandas(run, types + "".join(f", {c} double" for c in METRICS))
+        types = "combo_key string, combo array<string>, column int, fold int, ridge double, converged boolean"
+        return summed_into(state, self._met(state, _Confusion), "job", score, types + "".join(f", {c} double" for c in METRICS))
 
     def fit(self, jobs: list[Job], tolerance: float = 1e-9) -> list[Job]:
         """Fit a few named models whose parameters the caller needs."""
         spark = self.rows.sparkSession
-        table = spark.createDataFrame([(f"{i}", j.features, -1 if j.fold is None else j.fold, float(j.ridge)) for i, j in enumerate(jobs)],
-                                      "combo_key string, combo array<string>, fold int, ridge double")
+        table = spark.createDataFrame([(f"{i}", j.features, 0, -1 if j.fold is None else j.fold, float(j.ridge)) for i, j in enumerate(jobs)],
+                                      "combo_key string, combo array<string>, column int, fold int, ridge double")
         for r in self.fit_table(table, tolerance).collect():
             j = jobs[int(r["combo_key"])]
             j.theta, j.converged, j.separated = self._unscaled(r["at"], np.array(r["theta"])), r["converged"], r["separated"]
@@ -360,7 +349,7 @@ def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str],
     """
     fitter = LogisticFitter(rows, features, target, kind)
     ridges = [0.0] if kind == "ordinal" else [0.0, 1.0]
-    jobs = combos.select("combo_key", "combo", F.lit(-1).alias("fold"), F.explode(F.array(*[F.lit(r) for r in ridges])).alias("ridge"))
+    jobs = combos.select("combo_key", "combo", F.lit(0).alias("column"), F.lit(-1).alias("fold"), F.explode(F.array(*[F.lit(r) for r in ridges])).alias("ridge"))
     found = cut_lineage(fitter.scored(fitter.fit_table(jobs)))
     plain = found.where("ridge = 0").select("combo_key", "mcfadden_r2", F.col("converged").alias("_plain"))
     soft = found.where(F.col("ridge") == ridges[-1]).drop("mcfadden_r2")
@@ -368,6 +357,18 @@ def fit_classifiers(rows: DataFrame, combos: DataFrame, features: Sequence[str],
         "combo_key", "combo", F.size("combo").alias("k"), *METRICS, (F.col("converged") & F.col("_plain")).alias("converged"))
 
 
+def _cross_validated(folded: DataFrame, combos: DataFrame, features: Sequence[str], target: str, folds: Sequence[str], kind: str) -> DataFrame:
+    """combo_key, column and the means over the folds of each fold column; all folds of all columns are fitted together."""
+    fitter = LogisticFitter(folded, features, target, kind, folds)
+    ridge = F.lit(0.0 if kind == "ordinal" else 1.0)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(f).alias("fold")) for c, f in fitter.fold_values()])
+    jobs = combos.select("combo_key", "combo", F.inline(each), ridge.alias("ridge"))
+    found = fitter.scored(fitter.fit_table(jobs))
+    return found.groupBy("combo_key", "column").agg(
+        F.avg("accuracy").alias("avg_accuracy"), F.avg("f1_score").alias("avg_f1_score"), F.avg("mcfadden_r2").alias("avg_mcfadden_r2"),
+        F.min("converged").alias("cv_converged"))
+
+
 def cross_validate_classifiers(
     folded: DataFrame, combos: DataFrame, features: Sequence[str], target: str, fold: str = "fold", kind: str = "logit"
 ) -> DataFrame:
@@ -375,13 +376,7 @@ def cross_validate_classifiers(
 
     Folds of one class have no R2. cv_converged is false where a fold's fit did not end.
     """
-    fitter = LogisticFitter(folded, features, target, kind, fold)
-    ridge = F.lit(0.0 if kind == "ordinal" else 1.0)
-    jobs = combos.select("combo_key", "combo", F.explode(F.array(*[F.lit(f) for f in fitter.folds()])).alias("fold"), ridge.alias("ridge"))
-    found = fitter.scored(fitter.fit_table(jobs))
-    return found.groupBy("combo_key").agg(
-        F.avg("accuracy").alias("avg_accuracy"), F.avg("f1_score").alias("avg_f1_score"), F.avg("mcfadden_r2").alias("avg_mcfadden_r2"),
-        F.min("converged").alias("cv_converged"))
+    return _cross_validated(folded, combos, features, target, [fold], kind).drop("column")
 
 
 def repeated_classifier_cv(
@@ -392,16 +387,14 @@ def repeated_classifier_cv(
 
     One row per repeat (random folds, seeded seed + repeat) and one with iteration NULL for the means over the repeats.
     """
-    from orbitable.operators.sampling import k_folds
-
-    parts = None
-    for run in range(runs):
-        part = cross_validate_classifiers(k_folds(rows, folds, key, seed + run), combos, features, target, kind=kind)
-        part = cut_lineage(part.withColumn("iteration", F.lit(run + 1)))
-        parts = part if parts is None else parts.unionByName(part)
-    names = ["avg_accuracy", "avg_f1_score", "avg_mcfadden_r2"]
-    overall = parts.groupBy("combo_key").agg(*[F.avg(c).alias(c) for c in names], F.min("cv_converged").alias("cv_converged"))
-    return parts.unionByName(overall.withColumn("iteration", F.lit(None).cast("int"))).select("combo_key", "iteration", *names, "cv_converged")
+    from orbitable.operators.sampling import repeated_folds
+
+    folded, names = repeated_folds(rows.select(key, *features, target), folds, runs, key, seed)
+    parts = cut_lineage(_cross_validated(folded, combos, features, target, names, kind))
+    means = ["avg_accuracy", "avg_f1_score", "avg_mcfadden_r2"]
+    overall = parts.groupBy("combo_key").agg(*[F.avg(c).alias(c) for c in means], F.min("cv_converged").alias("cv_converged"))
+    each = parts.select("combo_key", (F.col("column") + 1).alias("iteration"), *means, "cv_converged")
+    return each.unionByName(overall.select("combo_key", F.lit(None).cast("int").alias("iteration"), *means, "cv_converged"))
 
 
 def probability_table(rows: DataFrame, features: Sequence[str], target: str, key: str = "id", ridge: float = 1.0, kind: str = "logit") -> DataFrame:

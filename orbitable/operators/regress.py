@@ -22,7 +22,7 @@ from orbitable.functions.distributions import t_quantile, t_two_sided
 from orbitable.operators.blocks import matrix, meet
 from orbitable.operators.moments import Moments, complete_rows, moment_rows, moments, unpack
 from orbitable.operators.ranking import hash_buckets, hash_order, numbered, value_buckets
-from orbitable.operators.sampling import fold_count, k_folds
+from orbitable.operators.sampling import fold_count, k_folds, repeated_folds
 from orbitable.session import cut_lineage
 
 PASS_VALUES = 1 << 22  # numbers a task works on at once when many models meet a batch of rows
@@ -292,10 +292,7 @@ def cross_validate(
     base = complete_rows(rows, cols)
     k = fold_count(base.count(), k)
     repeats = 1 if seed is None else repeats
-    folded, names = base, [f"_fold{r}" for r in range(repeats)]
-    for r, name in enumerate(names):
-        folded = k_folds(folded, k, key, None if seed is None else seed + r, name)
-    folded = cut_lineage(folded.select(*cols, *names))
+    folded, names = repeated_folds(base.select(key, *[c for c in cols if c != key]), k, repeats, key, seed)
     table = _moments_by_split(folded, cols, names)
     total = _merge_moments([p for (column, _), p in table.items() if column == 0])
     splits = {f"{column}:{value}": (_rest(total, p), p) for (column, value), p in table.items()}
@@ -329,8 +326,7 @@ def repeated_holdout(
             ordered = flagged.withColumn("_h", hash_order(F.col(key), seed=seed + r))
             by, bucket = ["_h", key], hash_buckets(ordered, "_h")
         ranked = numbered(ordered, [], by, bucket, "_rank")
-        flagged = ranked.withColumn(name, (F.col("_rank") <= size).cast("int")).drop("_rank", "_h")
-    flagged = cut_lineage(flagged.select(*cols, *names))
+        flagged = cut_lineage(ranked.withColumn(name, (F.col("_rank") <= size).cast("int")).drop("_rank", "_h"))
     table = _moments_by_split(flagged, cols, names)
     if len(table) < 2 * repeats:
         raise ValueError("a holdout needs rows on both sides")

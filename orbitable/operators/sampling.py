@@ -28,6 +28,17 @@ def k_folds(df: DataFrame, k: int, key: str = "id", seed: int | None = 42, name:
     return out.withColumn(name, F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r", "_o")
 
 
+def repeated_folds(df: DataFrame, k: int, repeats: int, key: str = "id", seed: int | None = 42) -> tuple[DataFrame, list[str]]:
+    """One fold column per repeat, seeded seed + repeat, and their names.
+
+    Each step is stored: a fold needs its rows twice (bucket sizes and ranks), so a chain of steps would double the work each time.
+    """
+    names = [f"_fold{r}" for r in range(repeats)]
+    for r, name in enumerate(names):
+        df = cut_lineage(k_folds(df, k, key, None if seed is None else seed + r, name))
+    return df, names
+
+
 def fold_count(n_rows: int, k: int) -> int:
     """k, but at most half the rows and at least two."""
     return min(max(2, n_rows // 2), k)
