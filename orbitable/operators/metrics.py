@@ -75,8 +75,17 @@ def log_likelihood(df: DataFrame, probability: str) -> DataFrame:
     return df.agg(F.sum(F.log(p)).alias("ll"))
 
 
+def _finite(column: str):
+    """The column with NaN and infinities as NULL."""
+    return F.when(F.abs(F.col(column).cast("double")) < float("inf"), F.col(column).cast("double")).alias(column)
+
+
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Counts in equal bins from min to max, empty ones included; the last bin is closed: bin, low, high, n."""
+    """Counts in equal bins from min to max, empty ones included; the last bin is closed: bin, low, high, n.
+
+    NULL, NaN and infinities count as missing, here and in the two operators below.
+    """
+    df = df.select(_finite(column))
     low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
@@ -97,8 +106,8 @@ def ks_distance(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     Running counts over distinct values are made in buckets, not in one window.
     """
     both = (
-        before.select(F.col(column).alias("v"), F.lit(1).alias("b"), F.lit(0).alias("a"))
-        .unionByName(after.select(F.col(column).alias("v"), F.lit(0).alias("b"), F.lit(1).alias("a")))
+        before.select(_finite(column).alias("v"), F.lit(1).alias("b"), F.lit(0).alias("a"))
+        .unionByName(after.select(_finite(column).alias("v"), F.lit(0).alias("b"), F.lit(1).alias("a")))
         .where("v IS NOT NULL")
     )
     values = both.groupBy("v").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
@@ -109,8 +118,8 @@ def ks_distance(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
 
 def distribution_shift(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """Absolute change of mean and of population sd."""
-    m0, s0 = before.agg(F.avg(column), F.stddev_pop(column)).first()
-    return after.agg(
+    m0, s0 = before.select(_finite(column)).agg(F.avg(column), F.stddev_pop(column)).first()
+    return after.select(_finite(column)).agg(
         F.abs(F.avg(column) - m0).alias("mean_shift"), F.abs(F.stddev_pop(column) - s0).alias("sd_shift")
     )
 

@@ -75,20 +75,54 @@ def _solve(corr: np.ndarray, index: np.ndarray, target: int):
     return beta, np.einsum("ij,ij->i", beta, b), bad
 
 
-def fit_subsets(combos: DataFrame, m: Moments, target: str) -> DataFrame:
-    """Fit every combination from the moments (M3); coefficients are on the scale of the columns."""
+def lasso_solve(cross: np.ndarray, with_target: np.ndarray, n, alpha: float, tolerance: float = 1e-13, sweeps: int = 20_000) -> np.ndarray:
+    """Coefficients of many lasso models of one size (M12), by coordinate descent on centred cross products.
+
+    Minimises SSE / (2n) + alpha * |w|: cross is (models, k, k), with_target (models, k), n a number or one per model. Constant columns get 0.
+    """
+    n = np.broadcast_to(np.asarray(n, float), len(cross))
+    gram, c = cross / n[:, None, None], with_target / n[:, None]
+    diagonal = np.einsum("mjj->mj", gram)
+    usable = diagonal > 1e-12 * np.maximum(diagonal.max(axis=1, initial=0.0, keepdims=True), 1e-300)
+    beta, live = np.zeros_like(c), np.arange(len(c))
+    for _ in range(sweeps):
+        if not len(live):
+            break
+        g, b, moved = gram[live], beta[live], np.zeros(len(live))
+        for j in range(c.shape[1]):
+            pull = c[live, j] - np.einsum("mj,mj->m", g[:, j], b) + diagonal[live, j] * b[:, j]
+            new = np.sign(pull) * np.maximum(np.abs(pull) - alpha, 0.0)
+            new = np.where(usable[live, j], new / np.where(usable[live, j], diagonal[live, j], 1.0), 0.0)
+            moved = np.maximum(moved, np.abs(new - b[:, j]) * np.sqrt(diagonal[live, j]))
+            b[:, j] = new
+        beta[live] = b
+        size = (np.abs(b) * np.sqrt(diagonal[live])).max(axis=1, initial=0.0)
+        live = live[moved > tolerance * np.maximum(size, 1e-300)]
+    return beta
+
+
+def fit_subsets(combos: DataFrame, m: Moments, target: str, alpha: float | None = None) -> DataFrame:
+    """Fit every combination from the moments (M3); coefficients are on the scale of the columns.
+
+    With `alpha` the models are lasso models (M12).
+    """
     if len(m.names) > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} features: choose some first")
-    corr, sd = np.nan_to_num(m.correlation()), m.sd()
+    corr, sd, cross = np.nan_to_num(m.correlation()), m.sd(), m.cross
     where, mean, t = {c: i for i, c in enumerate(m.names)}, m.mean, m.at([target])[0]
 
     def fit(batches):
         for batch in batches:
             for _, part in batch.groupby("k", sort=False):
                 index = np.array([[where[c] for c in combo] for combo in part["combo"]], dtype=int)
-                beta, r2, bad = _solve(corr, index, t)
-                scale = np.where(sd[index] > 0, sd[index], 1.0)
-                coef = beta * sd[t] / scale
+                if alpha is None:
+                    beta, r2, bad = _solve(corr, index, t)
+                    coef = beta * sd[t] / np.where(sd[index] > 0, sd[index], 1.0)
+                else:
+                    block, own = cross[index[:, :, None], index[:, None, :]], cross[index, t]
+                    coef = lasso_solve(block, own, m.n, alpha)
+                    left = cross[t, t] - 2 * np.einsum("ij,ij->i", coef, own) + np.einsum("ij,ijk,ik->i", coef, block, coef)
+                    r2, bad = 1 - left / cross[t, t], np.zeros(len(coef), bool)
                 yield pd.DataFrame(
                     {
                         "combo_key": part["combo_key"],
@@ -104,6 +138,31 @@ def fit_subsets(combos: DataFrame, m: Moments, target: str) -> DataFrame:
     return combos.select("combo_key", "combo", "k").mapInPandas(fit, FIT_SCHEMA)
 
 
+class _LassoLeaveOneOut:
+    """As _LeaveOneOut for lasso models: every row's model is refitted from the cross products without that row."""
+
+    def __init__(self, models: pa.Table, mean: np.ndarray, n: int, alpha: float):
+        self.mean, self.n, self.alpha, self.keys = mean, n, alpha, models["combo_key"].to_pylist()
+        self.at, self.numbers = models["at"].to_pylist(), [np.array(v) for v in models["numbers"].to_pylist()]
+        self.sums = np.zeros((len(self.keys), 2))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        x, more = matrix(batch.column("x")) - self.mean, self.n / (self.n - 1)
+        for m, at in enumerate(self.at):
+            k = len(at)
+            with_target, cross = self.numbers[m][:k], self.numbers[m][k:].reshape(k, k)
+            for i in range(0, len(x), max(1, PASS_VALUES // (k * k))):
+                part = x[i: i + max(1, PASS_VALUES // (k * k))]
+                z, y = part[:, at], part[:, -1]
+                beta = lasso_solve(cross - more * z[:, :, None] * z[:, None, :], with_target - more * z * y[:, None], self.n - 1, self.alpha)
+                e = more * (y - (beta * z).sum(axis=1))
+                self.sums[m] += [e @ e, np.abs(e).sum()]
+
+    def result(self):
+        yield pa.RecordBatch.from_arrays([pa.array(self.keys, pa.string()), pa.array(self.sums[:, 0]), pa.array(self.sums[:, 1])],
+                                         names=["combo_key", "sq", "ab"])
+
+
 class _LeaveOneOut:
     """Sums of squared and absolute leave-one-out errors of a block of models; `at` is the place of the target."""
 
@@ -140,8 +199,8 @@ def row_vectors(rows: DataFrame, names: Sequence[str], splits: Sequence[str] = (
         F.array(*[F.col(c).cast("double") for c in names]).alias("x"), F.array(*[F.col(c).cast("int") for c in splits]).cast("array<int>").alias("s"))
 
 
-def leave_one_out(rows: DataFrame, models: DataFrame, m: Moments, target: str) -> DataFrame:
-    """combo_key, q2, mae, rmsd by leave-one-out (M5), exact: the held-out error is e / (1 - h).
+def leave_one_out(rows: DataFrame, models: DataFrame, m: Moments, target: str, alpha: float | None = None) -> DataFrame:
+    """combo_key, q2, mae, rmsd by leave-one-out (M5), exact: the held-out error is e / (1 - h); lasso models are refitted per row.
 
     One scan of the rows, whatever the number of models; neither rows nor models pass through the driver.
     """
@@ -155,15 +214,19 @@ def leave_one_out(rows: DataFrame, models: DataFrame, m: Moments, target: str) -
             at, numbers = [], []
             for combo in batch["combo"]:
                 i = [where[c] for c in combo]
-                inverse = np.linalg.pinv(cross[np.ix_(i, i)], rcond=1e-12, hermitian=True)
+                block, own = cross[np.ix_(i, i)], cross[i, t]
+                if alpha is None:
+                    block = np.linalg.pinv(block, rcond=1e-12, hermitian=True)
+                    own = block @ own
                 at.append([place[c] for c in combo])
-                numbers.append(np.concatenate([inverse @ cross[i, t], inverse.ravel()]))
+                numbers.append(np.concatenate([own, block.ravel()]))
             yield pd.DataFrame({"combo_key": batch["combo_key"], "at": at, "numbers": numbers})
 
     prepared = cut_lineage(models.select("combo_key", "combo").mapInPandas(solved, "combo_key string, at array<int>, numbers array<double>"))
     mean = np.append(m.mean[[where[c] for c in names]], m.mean[t])
     parts = meet(cut_lineage(row_vectors(rows, [*names, target])), n, len(mean), prepared, prepared.count(), F.col("combo_key"),
-                 lambda block: _LeaveOneOut(block, mean, n), "combo_key string, sq double, ab double")
+                 lambda block: _LeaveOneOut(block, mean, n) if alpha is None else _LassoLeaveOneOut(block, mean, n, alpha),
+                 "combo_key string, sq double, ab double")
     return parts.groupBy("combo_key").agg(
         (1 - F.sum("sq") / sst).alias("q2"), (F.sum("ab") / n).alias("mae"), F.sqrt(F.sum("sq") / n).alias("rmsd")
     )
@@ -178,8 +241,8 @@ def _rest(total: Moments, part: Moments) -> Moments:
     return Moments(total.names, n, mean, cross)
 
 
-def split_errors(models: DataFrame, splits: dict, target: str, y_total: tuple[int, float] | None = None) -> DataFrame:
-    """combo_key, split, sse, n from moments only: train on the rest, test on the part.
+def split_errors(models: DataFrame, splits: dict, target: str, alpha: float | None = None) -> DataFrame:
+    """combo_key, split, sse, n from moments only: train on the rest, test on the part. With `alpha` lasso models.
 
     splits: {label: (train moments, test moments)}.
     """
@@ -195,7 +258,10 @@ def split_errors(models: DataFrame, splits: dict, target: str, y_total: tuple[in
                 for label, (train, test) in splits.items():
                     a = train.cross[index[:, :, None], index[:, None, :]]
                     b = train.cross[index, t]
-                    beta = np.einsum("ijk,ik->ij", np.linalg.pinv(a, rcond=1e-12, hermitian=True), b)
+                    if alpha is None:
+                        beta = np.einsum("ijk,ik->ij", np.linalg.pinv(a, rcond=1e-12, hermitian=True), b)
+                    else:
+                        beta = lasso_solve(a, b, train.n, alpha)
                     inside = test.cross[t, t] - 2 * np.einsum("ij,ij->i", beta, test.cross[index, t])
                     inside += np.einsum("ij,ijk,ik->i", beta, test.cross[index[:, :, None], index[:, None, :]], beta)
                     shift = (test.mean[t] - train.mean[t]) - np.einsum("ij,ij->i", beta, test.mean[index] - train.mean[index])
@@ -281,7 +347,7 @@ def _placed(errors: DataFrame) -> DataFrame:
 
 def cross_validate(
     rows: DataFrame, models: DataFrame, features: Sequence[str], target: str, k: int = 5, repeats: int = 5,
-    key: str = "id", seed: int | None = 42,
+    key: str = "id", seed: int | None = 42, alpha: float | None = None,
 ) -> DataFrame:
     """combo_key, q2, mae, rmsd: pooled held-out errors per repeat, averaged over repeats (M6).
 
@@ -296,7 +362,7 @@ def cross_validate(
     table = _moments_by_split(folded, cols, names)
     total = _merge_moments([p for (column, _), p in table.items() if column == 0])
     splits = {f"{column}:{value}": (_rest(total, p), p) for (column, value), p in table.items()}
-    errors = cut_lineage(_placed(split_errors(models, splits, target)))
+    errors = cut_lineage(_placed(split_errors(models, splits, target, alpha)))
     t = total.at([target])[0]
     absolute = absolute_errors(row_vectors(folded, cols, names), total.n, errors, features)
     sst, n = float(total.cross[t, t]), total.n

@@ -67,7 +67,9 @@ def weighted_draw(df: DataFrame, n: int, weight: str | None = None, key: str = "
     """n rows without replacement, with probability proportional to `weight` (exponential keys)."""
     u = (F.pmod(hash_order(F.col(key), seed=seed), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     p = F.col(weight) if weight else F.lit(1.0)
-    return df.where(p > 0).withColumn("_k", F.try_divide(-F.log(u), p)).orderBy("_k", key).limit(n).drop("_k")
+    # Ranked in buckets of the key, so no task sorts or holds the draw.
+    keyed = df.where(p > 0).withColumn("_k", F.try_divide(-F.log(u), p))
+    return numbered(keyed, [], ["_k", key], value_buckets(keyed, "_k"), "_r").where(F.col("_r") <= n).drop("_k", "_r")
 
 
 def draw_with_replacement(df: DataFrame, n: int, key: str = "id", seed: int = 42) -> DataFrame:

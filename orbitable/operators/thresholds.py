@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orbitable.operators.ranking import running_sums
+from orbitable.operators.ranking import bucket_count, running_sums
 
 
 def _long(rows: DataFrame, features: Sequence[str], y) -> DataFrame:
@@ -94,14 +94,12 @@ def decision_stumps(rows: DataFrame, features: Sequence[str], target: str, cutof
     long = _long(rows, features, positive.cast("int"))
     values = long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     totals = values.groupBy("feature").agg(F.sum("n").alias("all"), F.sum("pos").alias("allpos"), F.count("*").alias("values"))
+    # Buckets of about equal size per feature; the quantiles travel with the rows, one array per feature.
+    n = bucket_count(rows)
     cuts = values.groupBy("feature").agg(
-        F.percentile_approx("x", F.array(*[F.lit(i / 32) for i in range(1, 32)]), F.lit(1000)).alias("cuts")
-    ).collect()  # 31 numbers per feature
-    bucket = F.lit(0)
-    for r in cuts:
-        inside = sum(((F.col("x") > c).cast("int") for c in sorted(set(r["cuts"]))), F.lit(0))
-        bucket = F.when(F.col("feature") == r["feature"], inside).otherwise(bucket)
-    run = running_sums(values, ["feature"], "x", bucket, {"ln": "n", "lp": "pos"}).where("next_x IS NOT NULL")
+        F.array_distinct(F.percentile_approx("x", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(1000))).alias("cuts"))
+    placed = values.join(cuts, "feature").withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    run = running_sums(placed, ["feature"], "x", F.col("b"), {"ln": "n", "lp": "pos"}).where("next_x IS NOT NULL")
     side = run.join(totals, "feature").where((F.col("allpos") > 0) & (F.col("allpos") < F.col("all")))
     # Balanced weights: each class weighs one half in total.
     wp, wn = 0.5 / F.col("allpos"), 0.5 / (F.col("all") - F.col("allpos"))

@@ -52,12 +52,13 @@ def top_models(results: DataFrame, n: int, at_least: int = 0, by: Sequence[str]
     return rank_models(results, by).limit(max(n, at_least))
 
 
-def evaluate(rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, threshold: float = 0.7) -> DataFrame:
-    """Fit all combinations; those above the R2 gate also get leave-one-out metrics (M3, M5)."""
+def evaluate(rows: DataFrame, combos: DataFrame, features: Sequence[str], target: str, threshold: float = 0.7,
+             alpha: float | None = None) -> DataFrame:
+    """Fit all combinations; those above the R2 gate also get leave-one-out metrics (M3, M5, with `alpha` M12)."""
     m = moments(rows, [*features, target])
-    fits = cut_lineage(rg.fit_subsets(combos, m, target))
+    fits = cut_lineage(rg.fit_subsets(combos, m, target, alpha))
     passed = fits.where(F.col("r2") > threshold)
-    loo = rg.leave_one_out(rows, passed, m, target)
+    loo = rg.leave_one_out(rows, passed, m, target, alpha)
     return fits.join(loo, "combo_key", "left").withColumn("threshold", F.lit(float(threshold))).select(
         *[c.split()[0] for c in REGRESSION_SCHEMA.split(", ")]
     )
@@ -78,8 +79,11 @@ def search_models(
     relax: bool = False,
     step: float = 0.05,
     lowest: float = 0.2,
+    alpha: float | None = None,
 ) -> DataFrame:
-    """Standardise, enumerate, fit, gate, cross-validate, store and rank (M4).
+    """Standardise, enumerate, fit, gate, cross-validate, store and rank (M4); with `alpha` lasso models.
+
+    A store holds models of one kind: use one per alpha.
 
     With `relax`, a gate nothing passes is lowered step by step; stored fits are filtered again,
     no subset is refitted.
@@ -89,28 +93,28 @@ def search_models(
     combos = rg.combinations(spark, features, smallest, largest, None if largest else rows.count())
     combos = clean.has_required(combos, required)
     old = load_results(spark, store) if store else None
-    results = evaluate(rows, skip_finished(combos, old), features, target, threshold)
+    results = evaluate(rows, skip_finished(combos, old), features, target, threshold, alpha)
     if store:
         append_results(results, store)
         results = spark.read.parquet(store)
-    passed = validated(results, rows, features, target, threshold)
+    passed = validated(results, rows, features, target, threshold, alpha)
     if relax:
         # The gate is lowered on the fits alone; models are validated once a gate lets one through.
         best = results.agg(F.max("r2")).first()[0]
         while rank_models(passed).isEmpty() and threshold - step >= lowest:
             threshold -= step
             if best is not None and best > threshold:
-                passed = validated(results, rows, features, target, threshold)
+                passed = validated(results, rows, features, target, threshold, alpha)
     return top_models(passed, top_n, at_least)
 
 
-def validated(results: DataFrame, rows: DataFrame, features: Sequence[str], target: str, threshold: float) -> DataFrame:
+def validated(results: DataFrame, rows: DataFrame, features: Sequence[str], target: str, threshold: float, alpha: float | None = None) -> DataFrame:
     """Results above the gate; those that were stored without leave-one-out metrics get them now."""
     passed = cut_lineage(results.where(F.col("r2") > threshold))
     lacking = passed.where("q2 IS NULL")
     if lacking.isEmpty():
         return passed
-    loo = rg.leave_one_out(rows, lacking, moments(rows, [*features, target]), target)
+    loo = rg.leave_one_out(rows, lacking, moments(rows, [*features, target]), target, alpha)
     added = lacking.drop("q2", "mae", "rmsd").join(loo, "combo_key").select(*passed.columns)
     return cut_lineage(passed.where("q2 IS NOT NULL").unionByName(added))
 

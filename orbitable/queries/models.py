@@ -144,6 +144,22 @@ def kfold_cross_validation(t):
         "combo_key", _r("q2"), _r("mae", 3), _r("rmsd", 3))
 
 
+# A lasso model of one feature has a closed form: the covariance moved towards 0 by alpha.
+@query("lasso_fits", oracle("WITH f AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS combo_key, covar_pop({c}, y) AS c, var_pop({c}) AS v, var_pop(y) AS w FROM samples_v" for c in FEATURES) + """),
+    b AS (SELECT *, sign(c) * greatest(abs(c) - 5000, 0) / v AS b FROM f)
+    SELECT combo_key, round(b, 4) AS slope, round(1 - (w - 2 * b * c + b * b * v) / w, 6) AS r2 FROM b""", "samples_v"))
+def lasso_fits(t):
+    fits = rg.fit_subsets(rg.combinations(t.spark, FEATURES, 1, 1), moments(t.samples, [*FEATURES, "y"]), "y", 5000.0)
+    return fits.select("combo_key", F.round(F.get("coefficients", F.lit(0)), 4).alias("slope"), _r("r2"))
+
+
+@query("lasso_search", None)
+def lasso_search(t):
+    return ps.search_models(t.samples, FEATURES, "y", largest=3, threshold=0.5, alpha=1000.0).select(
+        "combo_key", _r("r2"), _r("q2"), _r("mae", 3), _r("rmsd", 3))
+
+
 @query("repeated_kfold", None)
 def repeated_kfold(t):
     models = rg.combinations(t.spark, FEATURES, 1, 2)
