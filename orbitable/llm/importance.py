@@ -5,8 +5,8 @@ both sides, so a match is a whole word. Its payload is the word's CRC-32 and len
 follows from the payloads alone: appending n bytes to a text is a linear map of its CRC that depends on n only, so adjacent
 payloads are composed by table look-ups and no n-gram is ever spelled out.
 
-One pass counts buckets per task (at most BUCKETS numbers leave a task), a second one sums the gains of each document.
-Dictionaries live for one chunk of at most arrays.CHUNK_BYTES (or one longer text), so memory does not grow with the
+Texts are scanned once, and the buckets of each document are stored. One pass over them counts per task (at most BUCKETS numbers
+leave a task), a second one sums the gains of each document. Dictionaries live for one chunk of at most arrays.CHUNK_BYTES (or one longer text), so memory does not grow with the
 vocabulary, and nothing but the two bucket histograms passes through the driver.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.llm.arrays import chunks
+from orbitable.llm.arrays import binaries, chunks
 from orbitable.operators.ranking import numbered, value_buckets
 from orbitable.session import cut_lineage
 
@@ -118,17 +118,37 @@ def feature_buckets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners), counts
 
 
+def _hashed(batches):
+    for batch in chunks(batches):
+        bucket, text, words = feature_buckets(batch.column("text"))
+        order = np.argsort(text, kind="stable")
+        ends = np.cumsum(np.bincount(text, minlength=batch.num_rows))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), binaries(bucket[order].astype(np.uint16), np.append(0, ends))],
+                                         names=["doc_id", "n_words", "buckets"])
+
+
+def hashed_features(texts: DataFrame) -> DataFrame:
+    """(doc_id, n_words, buckets) of rows (doc_id, text), stored: texts are scanned once, 2 bytes a feature are read from then on."""
+    return cut_lineage(texts.mapInArrow(_hashed, "doc_id long, n_words long, buckets binary"))
+
+
+def _buckets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all rows one after another, bounds of the rows)."""
+    raw = batch.column("buckets").to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint16), np.append(0, np.cumsum([len(x) // 2 for x in raw], dtype=np.int64))
+
+
 def _histogram(batches):
     total = np.zeros(BUCKETS, np.int64)
-    for batch in chunks(batches):
-        total += np.bincount(feature_buckets(batch.column("text"))[0], minlength=BUCKETS)
+    for batch in batches:
+        total += np.bincount(_buckets(batch)[0], minlength=BUCKETS)
     hit = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
 
 
-def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """Features per bucket over all rows of `texts`: BUCKETS numbers, added up by Spark."""
-    found = texts.select("text").mapInArrow(_histogram, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def bucket_counts(hashed: DataFrame) -> np.ndarray:
+    """Features per bucket over all rows: BUCKETS numbers, added up by Spark."""
+    found = hashed.select("buckets").mapInArrow(_histogram, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for row in found.collect():  # at most BUCKETS rows
         out[row["bucket"]] = row["n"]
@@ -144,16 +164,10 @@ def bucket_gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _weigh(gains: np.ndarray):
     def run(batches):
-        for batch in chunks(batches):
-            bucket, text, words = feature_buckets(batch.column("text"))
-            n = batch.num_rows
-            weight = np.zeros(n, np.int64)
-            order = np.argsort(text, kind="stable")
-            upto = np.append(0, np.cumsum(gains[bucket[order]]))
-            features = np.bincount(text, minlength=n)
-            ends = np.cumsum(features)
-            weight = upto[ends] - upto[ends - features]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(features), pa.array(weight)],
+        for batch in batches:
+            buckets, bounds = _buckets(batch)
+            upto = np.append(0, np.cumsum(gains[buckets]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(np.diff(bounds)), pa.array(np.diff(upto[bounds]))],
                                              names=["doc_id", "n_words", "n_features", "weight"])
     return run
 
@@ -166,9 +180,9 @@ def resample(docs: DataFrame, target: DataFrame, seed: str = "42", percent: int
     repeated rows are weighed, scored and may be drawn each, in any order among themselves. An empty target leaves the
     smoothed uniform one; empty `docs` give no rows. Only `doc_id` and `text` are read.
     """
-    gains = bucket_gains(bucket_counts(docs), bucket_counts(target))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        _weigh(gains), "doc_id long, n_words long, n_features long, weight long")
+    ours = hashed_features(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
+    gains = bucket_gains(bucket_counts(ours), bucket_counts(hashed_features(target.select(F.lit(0).cast("long").alias("doc_id"), "text"))))
+    rows = ours.mapInArrow(_weigh(gains), "doc_id long, n_words long, n_features long, weight long")
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10)
     gumbel = F.floor(-1000 * F.log(-F.log((draw.cast("double") + 0.5) / F.lit(4294967296.0))))
     scored = cut_lineage(rows.withColumn("score", F.col("weight") + gumbel))
