@@ -57,6 +57,7 @@ def _pieces(path: str, limit: int):
                 [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
                  pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(nth)],
                 names=[c.split()[0] for c in PIECES.split(", ")])
+        encoder(path).forget()
     return run
 
 

@@ -30,6 +30,7 @@ GRAMS = (1, 2, 3, 4)
 WIDTH = 16
 EPOCHS = 8
 UNDETERMINED = "und"
+PREDICT_BYTES = 1 << 19  # text bytes that are scored together; some 80 bytes of arrays go with each
 LEVEL, MARGIN, PRIOR_GRAMS = 0.99, 0.25, 64
 
 
@@ -200,14 +201,15 @@ def _fitted(batches):
     for batch in chunks([pa.RecordBatch.from_pydict({"text": pa.array([r[3] for r in rows], pa.large_string())})]):
         owner, found, counts = gram_counts(batch.column("text"))
         bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-        data += [(rows[len(data) + k][2], found[x:y], counts[x:y].astype(np.float64)) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+        found, counts, start = found.astype(np.int32), counts.astype(np.int32), len(data)
+        data += [(rows[start + k][2], found[x:y], counts[x:y]) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
     model = fit(data, sorted({r[2] for r in rows}))
     yield pa.RecordBatch.from_arrays([pa.array([model.stored()], pa.binary())], names=["model"])
 
 
 def _predict(model: Model | None):
     def run(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, PREDICT_BYTES):
             data, offsets = text_buffer(batch.column("text"))
             label, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             rejected = np.ones(batch.num_rows, bool)

@@ -119,6 +119,7 @@ def _pack(path: str):
             if packer.tokens >= BLOCK_TOKENS:
                 packer.pack(last=False)
             yield rows()
+        encoder(path).forget()
         packer.pack(last=True)
         yield rows()
     return run

@@ -26,6 +26,7 @@ def _count(path: str, tokenizer: str):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([tokenizer] * len(counts)), pa.array(counts, pa.int64())],
                 names=["digest", "tokenizer", "n_tokens"])
+        encoder(path).forget()
     return run
 
 

@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 
 from orbitable.llm.arrays import text_buffer
 
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 #: Text bytes that are cut and looked up together: fewer repeated look-ups than in smaller chunks.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 MARKS = b".,!?;:"
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -79,7 +79,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.pieces = None
-        self._forget()
+        self.forget()
         if path.endswith(".model"):
             import sentencepiece
 
@@ -102,8 +102,8 @@ class Encoder:
         self.by_model = self.cuttable and spec["model"]["type"] == "BPE" and not any(_WORD.fullmatch(t["content"]) for t in added)
         self.model = self.tokenizer.model
 
-    def _forget(self) -> None:
-        """Start anew: `place` numbers the stretches, which lie at starts[place] in `ids`."""
+    def forget(self) -> None:
+        """Drop what is remembered; a task does so at its end, as its worker lives on. Start anew: `place` numbers the stretches, which lie at starts[place] in `ids`."""
         self.place: dict[bytes, int] = {}
         self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -129,7 +129,7 @@ class Encoder:
     def _places(self, stretches: list[bytes]) -> np.ndarray:
         """Numbers of distinct stretches; new ones are encoded."""
         if len(self.place) > REMEMBERED:
-            self._forget()
+            self.forget()
         new = [s for s in stretches if s not in self.place]
         if new:
             found = self._encoded(new)
