@@ -7,9 +7,10 @@ most t = sqrt(2 - 2 * threshold). Equal vectors are one class beforehand.
 but every class is put in its nearest list and coded, with its exact coding error.
 *Probes.* A vector in another list than a query lies beyond the plane halfway between the two centres, so a list is
 probed unless that plane is farther than t from the query. These probes are sufficient: no link is lost.
-*Search.* A task compares a block of one list with a bounded chunk of queries: table lookups give the distance to
-the coded vector; less the coding error it is a lower bound, and what it leaves is reranked by the
-exact cosine. Tasks emit link counts and a spanning star per connected piece, never all pairs.
+A list none of whose vectors reaches within t of the query is left out too.
+*Search.* A task holds a block of one list and streams the queries of that block past it: table lookups give the distance
+to the coded vector; less the coding error it is a lower bound, and what it leaves is reranked by the
+exact cosine in doubles. Tasks emit link counts and a spanning star per connected piece, never all pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ LIST_ROWS = 4096
 MOST_LISTS = 1024
 CODES = 64
 SUBSPACE = 8
-BLOCK_ROWS, QUERY_ROWS = 1024, 4096
+BLOCK_ROWS = 2048
+MOST_TASKS = 20_000
 SLACK = 1e-6
 
 
@@ -79,54 +81,58 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5) -> Index:
     return Index(centres, codes)
 
 
-def _units(raw: list[bytes], width: int) -> np.ndarray:
-    """Unit vectors from the bytes of float32 vectors, padded with zeros."""
+def _units(raw: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Unit vectors from the bytes of double vectors, padded with zeros."""
+    raw = raw.to_pylist()
+    flat = np.frombuffer(b"".join(raw), np.float64)
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+    row = np.repeat(np.arange(len(raw)), size)
     out = np.zeros((len(raw), width))
-    for i, x in enumerate(raw):
-        v = np.frombuffer(x, np.float32).astype(np.float64)
-        v = v / np.abs(v).max()
-        out[i, : len(v)] = v / np.sqrt(v @ v)
-    return out
+    out[row, np.arange(len(flat)) - (np.cumsum(size) - size)[row]] = flat
+    out /= np.abs(out).max(axis=1, initial=0, keepdims=True)
+    return out / np.sqrt((out ** 2).sum(axis=1, keepdims=True))
 
 
 def _pack(batches):
-    """Vectors as bytes, with whether they are usable."""
+    """Vectors as bytes of doubles, with whether they are usable."""
     for batch in batches:
-        raw, fine = [], []
-        for v in batch.column("embedding"):
-            values = np.zeros(0) if not v.is_valid else np.array([np.nan if x is None else x for x in v.as_py()], np.float64)
-            ok = len(values) > 0 and bool(np.isfinite(values).all()) and bool(values.any())
-            small = values.astype(np.float32) if ok else np.zeros(0, np.float32)
-            fine.append(ok and bool(np.isfinite(small).all()) and bool(small.any()))
-            raw.append((small + np.float32(0)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary()), pa.array(fine)],
+        vectors = batch.column("embedding")
+        size = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no null: NaN; no -0
+        ends = np.concatenate([[0], np.cumsum(size)])
+        among = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[ends])  # noqa: B023, E731
+        fine = (among(~np.isfinite(values)) == 0) & (among(values != 0) > 0)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), binaries(values, ends), pa.array(fine)],
                                          names=["vec_id", "label", "raw", "fine"])
 
 
 def _place(index: Index, reach: float):
-    """List, codes, coding error and the lists to probe of every class."""
+    """List, distance from its centre, codes, coding error and the lists to probe, with their distances, of every class."""
     def run(batches):
-        gaps = np.sqrt(((index.centres[:, None, :] - index.centres[None, :, :]) ** 2).sum(axis=2)) if len(index.centres) <= 64 else None
-        for batch in batches:
-            units = _units(batch.column("raw").to_pylist(), index.width)
-            home = _nearest(units, index.centres)
-            rest = units - index.centres[home]
-            codes, error = np.zeros((len(units), len(index.codes)), np.uint8), np.zeros(len(units))
-            for s, book in enumerate(index.codes):
-                part = rest[:, s * SUBSPACE: (s + 1) * SUBSPACE]
-                codes[:, s] = _nearest(part, book)
-                error += ((part - book[codes[:, s]]) ** 2).sum(axis=1)
-            away = (index.centres ** 2).sum(axis=1)[None, :] - 2 * units @ index.centres.T
-            away = away - away[np.arange(len(units)), home][:, None]
-            gap = gaps[home] if gaps is not None else np.sqrt(((index.centres[home][:, None, :] - index.centres[None, :, :]) ** 2).sum(axis=2))
-            probe = away <= 2 * gap * (reach + SLACK) + SLACK
-            rows, lists = np.nonzero(probe)
-            bounds = np.searchsorted(rows, np.arange(len(units) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("node", "label", "dim", "size", "raw")], pa.array(home, pa.int32()),
-                 binaries(codes.ravel(), np.arange(len(units) + 1) * codes.shape[1]), pa.array(np.sqrt(error)),
-                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(lists, pa.int32()))],
-                names=["node", "label", "dim", "size", "raw", "home", "codes", "error", "probes"])
+        square = (index.centres ** 2).sum(axis=1)
+        gaps = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * index.centres @ index.centres.T, 0))
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                batch = whole.slice(at, 2048)
+                units = _units(batch.column("raw"), index.width)
+                away = square[None, :] - 2 * units @ index.centres.T
+                home = away.argmin(axis=1)
+                rest = units - index.centres[home]
+                codes, error = np.zeros((len(units), len(index.codes)), np.uint8), np.zeros(len(units))
+                for s, book in enumerate(index.codes):
+                    part = rest[:, s * SUBSPACE: (s + 1) * SUBSPACE]
+                    codes[:, s] = _nearest(part, book)
+                    error += ((part - book[codes[:, s]]) ** 2).sum(axis=1)
+                beyond = away - away[np.arange(len(units)), home][:, None]
+                rows, lists = np.nonzero(beyond <= 2 * gaps[home] * (reach + SLACK) + SLACK)
+                bounds = pa.array(np.searchsorted(rows, np.arange(len(units) + 1)), pa.int32())
+                far = np.sqrt(np.maximum(away + 1, 0))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in ("node", "label", "dim", "size", "raw")], pa.array(home, pa.int32()),
+                     pa.array(far[np.arange(len(units)), home]),
+                     binaries(codes.ravel(), np.arange(len(units) + 1) * codes.shape[1]), pa.array(np.sqrt(error)),
+                     pa.ListArray.from_arrays(bounds, pa.array(lists, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(far[rows, lists]))],
+                    names=["node", "label", "dim", "size", "raw", "home", "own", "codes", "error", "probes", "far"])
     return run
 
 
@@ -144,41 +150,68 @@ def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _search(index: Index, threshold: float, reach: float):
-    def run(table: pa.Table) -> pa.Table:
-        side = table["part"].to_numpy()
-        ids, sizes = table["node"].to_numpy(), table["size"].to_numpy()
-        member, query = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        raw = table["raw"].to_pylist()
-        units = _units(raw, index.width)
-        home = table["home"].to_numpy()[0]
-        codes = np.frombuffer(b"".join(table["codes"].take(member).to_pylist()), np.uint8).reshape(len(member), -1)
-        error = table["error"].to_numpy()[member]
-        pairs = []
-        for at in range(0, len(query), 512):
-            part = query[at: at + 512]
-            rest = units[part] - index.centres[home]
-            square = np.zeros((len(part), len(member)))
-            for s, book in enumerate(index.codes):
+class _Block:
+    """The members of a block of one list, past which queries stream."""
+
+    def __init__(self, members: pa.Table, index: Index, threshold: float, reach: float):
+        self.index, self.threshold, self.reach = index, threshold, reach
+        self.ids, self.sizes = members["node"].to_numpy(), members["size"].to_numpy()
+        self.units = _units(members["raw"], index.width)
+        self.codes = np.frombuffer(b"".join(members["codes"].to_pylist()), np.uint8).reshape(len(members), -1)
+        self.error = members["error"].to_numpy()
+        self.centre = index.centres[members["home"][0].as_py()]
+
+    def near(self, ids: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (of queries, of members) of the links to members of a larger id."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        for at in range(0, len(ids), 512):
+            rest = units[at: at + 512] - self.centre
+            square = np.zeros((len(rest), len(self.ids)))
+            for s, book in enumerate(self.index.codes):
                 q = rest[:, s * SUBSPACE: (s + 1) * SUBSPACE]
                 lookup = (q ** 2).sum(axis=1)[:, None] - 2 * q @ book.T + (book ** 2).sum(axis=1)[None, :]
-                square += lookup[:, codes[:, s]]
-            near = np.sqrt(np.maximum(square, 0)) - error[None, :] <= reach + SLACK
-            near &= ids[part][:, None] < ids[member][None, :]
+                square += lookup[:, self.codes[:, s]]
+            near = np.sqrt(np.maximum(square, 0)) - self.error[None, :] <= self.reach + SLACK
+            near &= ids[at: at + 512, None] < self.ids[None, :]
             i, j = np.nonzero(near)
             for lo in range(0, len(i), 65536):
-                x, y = part[i[lo: lo + 65536]], member[j[lo: lo + 65536]]
-                hit = np.einsum("ij,ij->i", units[x], units[y]) >= threshold
-                pairs.append((x[hit], y[hit]))
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-        links = np.zeros(len(ids), np.int64)
-        np.add.at(links, a, sizes[b])
-        np.add.at(links, b, sizes[a])
-        # A class is in the table as member and as query; both places stand for the first.
-        _, first, back = np.unique(ids, return_index=True, return_inverse=True)
-        root = first[_stars(back[a], back[b], len(first))][back]
-        out = np.flatnonzero(links > 0)
-        return pa.table({"node": pa.array(ids[out]), "links": pa.array(links[out]), "root": pa.array(ids[root[out]])})
+                x, y = i[lo: lo + 65536] + at, j[lo: lo + 65536]
+                hit = np.einsum("ij,ij->i", units[x], self.units[y]) >= self.threshold
+                found.append((x[hit], y[hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def ask(self, queries: pa.RecordBatch):
+        """Link counts of queries and members from one batch of queries, and a star per connected piece."""
+        ids, sizes = queries.column("node").to_numpy(), queries.column("size").to_numpy()
+        a, b = self.near(ids, _units(queries.column("raw"), self.index.width))
+        if not len(a):
+            return
+        # A class can be member and query; both places stand for one.
+        nodes, place = np.unique(np.concatenate([ids[a], self.ids[b]]), return_inverse=True)
+        x, y = place[: len(a)], place[len(a):]
+        links = np.zeros(len(nodes), np.int64)
+        np.add.at(links, x, self.sizes[b])
+        np.add.at(links, y, sizes[a])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[_stars(x, y, len(nodes))])], names=["node", "links", "root"])
+
+
+def _search(index: Index, threshold: float, reach: float):
+    """Rows come sorted by cell, the members of a cell before its queries."""
+    def run(batches):
+        cell, parts, block = None, [], None
+        for batch in batches:
+            at, kind = batch.column("cell").to_numpy(), batch.column("part").to_numpy()
+            edges = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])))
+            for start, stop in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
+                rows = batch.slice(start, stop - start)
+                if at[start] != cell:
+                    cell, parts, block = at[start], [], None
+                if kind[start] == 0:
+                    parts.append(rows)
+                elif parts or block:
+                    if block is None:
+                        block, parts = _Block(pa.Table.from_batches(parts), index, threshold, reach), []
+                    yield from block.ask(rows)
     return run
 
 
@@ -190,34 +223,38 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     not count as links of each other); a null vec_id has no component and is kept.
     """
     reach = float(np.sqrt(2 - 2 * threshold))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
+                             F.col("embedding").cast("array<double>").alias("embedding"))
     packed = cut_lineage(rows.mapInArrow(_pack, "vec_id long, label string, raw binary, fine boolean"))
     real = packed.filter("fine and label is not null and vec_id is not null").select("vec_id", "label", "raw").distinct()
     classes = real.groupBy("label", "raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
-    classes = cut_lineage(classes.withColumn("dim", (F.octet_length("raw") / 4).cast("int")))
+    classes = cut_lineage(classes.withColumn("dim", (F.octet_length("raw") / 8).cast("int")))
     stats = classes.agg(F.count("*"), F.max("dim")).first()
     everyone = packed.select("vec_id").withColumn("row_links", F.lit(0))
     if not stats[0]:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = -(-stats[1] // SUBSPACE) * SUBSPACE
-    sample = classes.orderBy(F.xxhash64("node", "label"), "node").limit(SAMPLE).select("raw").toArrow()["raw"].to_pylist()
+    sample = classes.orderBy(F.xxhash64("node", "label"), "node").limit(SAMPLE).select("raw").toArrow()["raw"]
     index = fit(_units(sample, width), int(min(MOST_LISTS, max(1, stats[0] // LIST_ROWS))))
 
     placed = cut_lineage(classes.select("node", "label", "dim", "size", "raw").mapInArrow(
-        _place(index, reach), "node long, label string, dim int, size long, raw binary, home int, codes binary, error double, probes array<int>"))
-    lists = placed.groupBy("label", "dim", "home").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    groups = placed.groupBy("label", "dim").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
+        _place(index, reach), "node long, label string, dim int, size long, raw binary, home int, own double, codes binary, error double, "
+        "probes array<int>, far array<double>"))
+    # A cell is a block of a list's vectors of one label. Members go to one cell; queries to the blocks of the lists that they probe
+    # and whose vectors reach near enough to them.
     keys = ["label", "dim", "home"]
-    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    members = placed.join(lists, keys).join(groups, ["label", "dim"]).select(
-        *keys, (spread % F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"),
-        "node", "size", "raw", "codes", "error", F.lit(0).alias("part"))
-    asked = placed.join(groups, ["label", "dim"]).select(
-        "label", "dim", F.explode("probes").alias("home"), (F.floor(spread / 7).cast("int") % F.col("parts")).alias("chunk"), "node", "size", "raw")
-    queries = asked.join(lists, keys).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", "node", "size", "raw",
-        F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(1).alias("part"))
-    met = members.unionByName(queries).groupBy(*keys, "block", "chunk").applyInArrow(
+    lists = placed.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"), F.max("own").alias("radius"))
+    lists = cut_lineage(lists)
+    cells = lists.agg(F.sum("blocks")).first()[0]
+    cell = F.xxhash64(*keys, "block").alias("cell")
+    members = placed.join(lists, keys).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select(
+        cell, F.lit(0).alias("part"), "node", "size", "raw", "home", "codes", "error")
+    asked = placed.select("label", "dim", F.explode(F.arrays_zip("probes", "far")).alias("p"), "node", "size", "raw").select(
+        "label", "dim", F.col("p.probes").alias("home"), F.col("p.far").alias("far"), "node", "size", "raw")
+    asked = asked.join(lists, keys).filter(F.col("far") <= F.col("radius") + reach + 2 * SLACK)
+    queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        cell, F.lit(1).alias("part"), "node", "size", "raw", "home", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+    met = members.unionByName(queries).repartition(int(min(cells, MOST_TASKS)), "cell").sortWithinPartitions("cell", "part").mapInArrow(
         _search(index, threshold, reach), "node long, links long, root long")
     met = cut_lineage(met)
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))

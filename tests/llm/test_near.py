@@ -221,7 +221,7 @@ def plain_vectors(rows, threshold=0.93):
 def test_vectors_against_plain(spark, monkeypatch, small):
     rng = np.random.default_rng(3)
     if small:  # several lists, blocks and chunks
-        for name, value in (("LIST_ROWS", 40), ("BLOCK_ROWS", 16), ("QUERY_ROWS", 48), ("SAMPLE", 150)):
+        for name, value in (("LIST_ROWS", 40), ("BLOCK_ROWS", 16), ("SAMPLE", 150)):
             monkeypatch.setattr(embedding_dedup, name, value)
     centres, rows = rng.normal(size=(12, 20)), []
     for i in range(300):
@@ -235,3 +235,22 @@ def test_vectors_against_plain(spark, monkeypatch, small):
     want = plain_vectors([(i, v, c) for i, v, c in rows])
     assert got == want
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
+
+
+def test_double_vectors_keep_their_precision(spark, monkeypatch):
+    """Sizes beyond single precision, and pairs that single precision would put on the other side of the threshold; over 64 lists."""
+    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 2)
+    rng, rows = np.random.default_rng(8), []
+    for i in range(100):
+        a = rng.normal(size=16)
+        b = rng.normal(size=16)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cosine = 0.93 + (1e-9 if i % 2 else -1e-9)
+        near = cosine * a + np.sqrt(1 - cosine ** 2) * b
+        scale = (1.0, 1e200, 1e-200)[i % 3]
+        rows += [(2 * i, (a * scale).tolist(), i), (2 * i + 1, near.tolist(), i)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {v: (v // 2) % 2 for v in range(200)}
