@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orbitable.functions import elements as el
@@ -18,7 +20,7 @@ from orbitable.functions import vectors as v
 from orbitable.operators import bonds as ob
 from orbitable.operators import graph as og
 from orbitable.operators.frames import frames_from_points, into_frame
-from orbitable.session import cut_lineage
+from orbitable.session import broadcast_checked, cut_lineage
 
 STEP = 2 * math.pi / 99  # 100 samples from 0 to a full turn, both ends included
 COARSE = 18
@@ -143,6 +145,45 @@ def sterimol(
     return extents(substituent_atoms(atoms, bonds, bases, radii, whole))
 
 
+def _mean_points(atoms: DataFrame, numbers: Sequence[int], name: str) -> DataFrame:
+    """Mean position of the named atoms, in molecules that have all of them: mol_id, <name> (struct x, y, z)."""
+    numbers = sorted(set(numbers))
+    found = atoms.where(F.col("atom_idx").isin(*numbers)).groupBy("mol_id").agg(
+        F.count("*").alias("n"), F.struct(*[F.avg(c).alias(c) for c in "xyz"]).alias(name))
+    return found.where(F.col("n") == len(numbers)).drop("n")
+
+
+def _around_centres(atoms: DataFrame, centres: Sequence[int], z_axis: Sequence[int], xz_plane: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(origins, atoms seen from each origin): mol_id, centre and mol_id, centre, atom_idx, element, x, y, z."""
+    place = F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"])
+    origins = atoms.where(F.col("atom_idx").isin(*centres)).select("mol_id", F.col("atom_idx").alias("centre"), place.alias("origin"))
+    if z_axis:
+        origins = origins.join(_mean_points(atoms, z_axis, "py"), "mol_id")
+        origins = origins.join(_mean_points(atoms, xz_plane, "pp"), "mol_id") if xz_plane else origins.withColumn("pp", F.col("py"))
+        origins = frames_from_points(origins).select("mol_id", "centre", "origin", "ex", "ey", "ez")
+    origins = cut_lineage(origins)
+    seen = atoms.select("mol_id", "atom_idx", "element", "x", "y", "z").join(broadcast_checked(origins), "mol_id")
+    if z_axis:
+        seen = into_frame(seen, digits=None).withColumns({"y": F.col("z"), "z": -F.col("y")})
+    else:
+        seen = seen.withColumns({c: F.col(c) - F.col(f"origin.{c}") for c in "xyz"})
+    return origins.select("mol_id", "centre"), seen.select("mol_id", "centre", "atom_idx", "element", "x", "y", "z")
+
+
+def _column_range(square: Column, middle: Column, limit: Column, step: float) -> tuple[Column, Column]:
+    """First and last lattice index k with square + ((k + 0.5) * step - middle)^2 <= limit; last < first where there is none.
+
+    The root gives the ends to within one index; the neighbours are then tried by the inequality itself.
+    """
+    half = F.sqrt(F.greatest(limit - square, F.lit(0.0)))
+    fits = lambda k: square + ((k + 0.5) * step - middle) * ((k + 0.5) * step - middle) <= limit
+    low = F.ceil((middle - half) / step - 0.5)
+    high = F.floor((middle + half) / step - 0.5)
+    low = F.when(fits(low - 1), low - 1).when(fits(low), low).otherwise(low + 1)
+    high = F.when(fits(high + 1), high + 1).when(fits(high), high).otherwise(high - 1)
+    return low.cast("int"), high.cast("int")
+
+
 def buried_volume(
     atoms: DataFrame,
     centres: Sequence[int],
@@ -150,55 +191,87 @@ def buried_volume(
     step: float = 0.1,
     scale: float = 1.17,
     with_hydrogen: bool = False,
+    excluded: Sequence[int] = (),
+    z_axis: Sequence[int] = (),
+    xz_plane: Sequence[int] = (),
 ) -> DataFrame:
     """Share of a sphere round each centre atom inside any other atom sphere, per octant.
 
-    Lattice points of spacing `step` come from Spark sequences and are tested only against atoms
-    of the cell they are in, with a semi-join, so no point-atom pair is emitted.
-    mol_id, centre, octant (sign bits of x, y, z), points, buried, percent.
-    """
-    from orbitable.operators.neighbours import _cell, _with_cells
+    mol_id, centre, octant (sign bits of x, y, z), points, buried, percent. Points are those of a lattice of spacing `step`, half a
+    step off the axes so that none falls between octants. They are never made: an atom sphere meets the lattice columns
+    (ix, iy) in index intervals, and the union of a column's intervals is counted by its length with a running maximum.
 
-    n = int(radius / step)
-    axis = F.sequence(F.lit(-n), F.lit(n))
-    origins = atoms.where(F.col("atom_idx").isin(*centres)).select(
-        "mol_id", F.col("atom_idx").alias("centre"), *[F.col(c).alias(f"{c}0") for c in "xyz"]
-    )
-    lattice = origins
-    for c in "xyz":
-        lattice = lattice.withColumn(f"i{c}", F.explode(axis))
-    # Points sit half a step off the axes, so that none falls between octants.
-    off = {c: (F.col(f"i{c}") + 0.5) * step for c in "xyz"}
-    lattice = lattice.where(off["x"] * off["x"] + off["y"] * off["y"] + off["z"] * off["z"] <= radius * radius)
-    octant = sum(F.when(F.col(f"i{c}") >= 0, 1 << b).otherwise(0) for b, c in enumerate("xyz"))
-    points = lattice.select(
-        "mol_id", "centre", octant.alias("octant"), "ix", "iy", "iz", *[(F.col(f"{c}0") + off[c]).alias(c) for c in "xyz"]
-    )
-    edge = 4.0
-    reach = max(el.BONDI_RADIUS.values()) * scale
-    spheres = atoms.withColumn("r", el.lookup(el.BONDI_RADIUS, F.col("element")) * scale).where("r IS NOT NULL")
+    `excluded` atoms have no sphere. `z_axis` and `xz_plane` name atoms that turn the octants: the mean of the first lies on the
+    negative z axis, that of the second in the half plane x > 0 of the xz plane (without them, a fixed axis decides). Molecules
+    that lack one of the named atoms, or whose z axis has no length, drop out. Atoms without a known radius have no sphere.
+    """
+    origins, seen = _around_centres(atoms, centres, z_axis, xz_plane)
+    spheres = seen.withColumn("r", el.lookup(el.BONDI_RADIUS, F.col("element")) * scale).where(
+        (F.col("atom_idx") != F.col("centre")) & F.col("r").isNotNull())
     if not with_hydrogen:
         spheres = spheres.where(F.col("element") != "H")
-    spheres = _with_cells(spheres, reach, edge).select(
-        "mol_id", "cx", "cy", "cz", "atom_idx", "r", *[F.col(c).alias(f"{c}1") for c in "xyz"]
-    )
-    points = points.withColumns({f"c{c}": _cell(F.col(c), edge) for c in "xyz"})
-    square = sum((F.col(c) - F.col(f"{c}1")) * (F.col(c) - F.col(f"{c}1")) for c in "xyz")
-    on = F.lit(True)
-    for c in ("mol_id", "cx", "cy", "cz"):
-        on = on & (points[c] == spheres[c])
-    on = on & (F.col("atom_idx") != F.col("centre")) & (square <= F.col("r") * F.col("r"))
-    keys = ["mol_id", "centre", "octant"]
-    inside = points.join(spheres, on, "left_semi").groupBy(*keys).agg(F.count("*").alias("buried"))
-    total = points.groupBy(*keys).agg(F.count("*").alias("points"))
-    return total.join(inside, keys, "left").select(
-        *keys,
-        "points",
+    if excluded:
+        spheres = spheres.where(~F.col("atom_idx").isin(*excluded))
+    far = F.lit(float(radius)) + F.col("r")
+    spheres = spheres.where(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") <= far * far * (1 + 1e-9))
+
+    n, limit = math.ceil(radius / step), F.lit(float(radius) ** 2)
+    at = lambda c: (F.col(f"i{c}") + 0.5) * step
+    columns = spheres
+    for c in "xy":
+        low, high = (F.floor((F.col(c) + side * F.col("r")) / step - 0.5) for side in (-1, 1))
+        low, high = F.greatest(low, F.lit(-n - 1)).cast("int"), F.least(high + 1, F.lit(n)).cast("int")
+        columns = columns.where(low <= high).withColumn(f"i{c}", F.explode(F.sequence(low, high)))
+    off = {c: at(c) - F.col(c) for c in "xy"}
+    columns = columns.withColumns({
+        "d2": off["x"] * off["x"] + off["y"] * off["y"], "e2": at("x") * at("x") + at("y") * at("y"), "r2": F.col("r") * F.col("r"),
+    }).where((F.col("d2") <= F.col("r2")) & (F.col("e2") <= limit))
+    inner = _column_range(F.col("d2"), F.col("z"), F.col("r2"), step)
+    outer = _column_range(F.col("e2"), F.lit(0.0), limit, step)
+    spans = columns.select(
+        "mol_id", "centre", "ix", "iy", F.greatest(inner[0], outer[0]).alias("low"), F.least(inner[1], outer[1]).alias("high"))
+    halves = F.array(F.struct(F.col("low"), F.least("high", F.lit(-1)).alias("high")), F.struct(F.greatest("low", F.lit(0)).alias("low"), F.col("high")))
+    spans = spans.select("mol_id", "centre", "ix", "iy", F.explode(halves).alias("s")).select(
+        "mol_id", "centre", "ix", "iy", "s.low", "s.high", (F.col("s.low") >= 0).alias("up")).where("low <= high")
+    before = W.partitionBy("mol_id", "centre", "ix", "iy", "up").orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1)
+    fresh = F.col("high") - F.greatest(F.col("low") - 1, F.coalesce(F.max("high").over(before), F.col("low") - 1))
+    sign = lambda c: F.when(F.col(f"i{c}") >= 0, 1).otherwise(0)
+    octant = sign("x") + 2 * sign("y") + 4 * F.col("up").cast("int")
+    inside = spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("mol_id", "centre", octant.alias("octant")).agg(
+        F.sum("fresh").alias("buried"))
+
+    # All octants hold as many lattice points, as the lattice is its own mirror image.
+    squares = ((np.arange(n + 1) + 0.5) * step) ** 2
+    plane = squares[:, None] + squares[None, :]
+    points = sum(int((plane + z <= float(radius) ** 2).sum()) for z in squares)
+    total = origins.withColumn("octant", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("points", F.lit(points).cast("long"))
+    return total.join(inside, ["mol_id", "centre", "octant"], "left").select(
+        "mol_id", "centre", "octant", "points",
         F.coalesce("buried", F.lit(0)).alias("buried"),
         (100 * F.coalesce("buried", F.lit(0)) / F.col("points")).alias("percent"),
     )
 
 
+def buried_shells(atoms: DataFrame, centres: Sequence[int], radii: Sequence[float] = (3.5, 5.5), step: float = 0.1, **options) -> DataFrame:
+    """Buried and free volume per sphere, whole and by quadrant (J22): mol_id, centre, radius, quadrant, percent, buried_volume, free_volume.
+
+    `quadrant` has the sign bits of x and y; NULL is the whole sphere. Volumes are lattice points times step^3 (cubic A).
+    `options` are those of `buried_volume`.
+    """
+    parts = None
+    for radius in radii:
+        one = buried_volume(atoms, centres, radius, step, **options).withColumn("radius", F.lit(float(radius)))
+        parts = one if parts is None else parts.unionByName(one)
+    parts = parts.select("mol_id", "centre", "radius", F.expr("octant & 3").alias("quadrant"), "points", "buried")
+    sums = [F.sum(c).alias(c) for c in ("points", "buried")]
+    quarters = cut_lineage(parts.groupBy("mol_id", "centre", "radius", "quadrant").agg(*sums))
+    whole = quarters.groupBy("mol_id", "centre", "radius").agg(*sums).withColumn("quadrant", F.lit(None).cast("int"))
+    cube = float(step) ** 3
+    return quarters.unionByName(whole).select(
+        "mol_id", "centre", "radius", "quadrant", (100 * F.col("buried") / F.col("points")).alias("percent"),
+        (F.col("buried") * cube).alias("buried_volume"), ((F.col("points") - F.col("buried")) * cube).alias("free_volume"))
+
+
 def cube_sterimol(
     grid_points: DataFrame, atoms: DataFrame, bonds: DataFrame, bases: Sequence[Sequence[int]], reach: float = 4.0
 ) -> DataFrame:

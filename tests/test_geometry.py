@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orbitable.functions import vectors as v
@@ -205,3 +206,45 @@ def test_large_molecule_diameter_without_all_pairs(spark):
     got = og.graph_diameters(b, a).first()
     assert got["diameter"] == max(far(s) for s in near)
     assert far(got["first"]) == far(got["last"]) == got["diameter"]
+
+
+def points_inside(spheres, radius, step, turn=lambda p: p):
+    """Lattice points and how many lie in a sphere, per octant; `turn` maps lattice to molecule coordinates."""
+    n, want = math.ceil(radius / step) + 1, {}
+    for p in itertools.product([(i + 0.5) * step for i in range(-n, n)], repeat=3):
+        if sum(c * c for c in p) <= radius * radius:
+            o = sum((1 << b) for b, c in enumerate(p) if c > 0)
+            k, hit = want.get(o, (0, 0))
+            want[o] = (k + 1, hit + any(math.dist(turn(p), c) <= r for c, r in spheres))
+    return want
+
+
+@pytest.mark.parametrize(("radius", "step"), [(3.5, 0.1), (5.5, 0.37), (1.0, 0.25), (2.0, 0.5)])
+def test_buried_volume_counts_intervals(spark, radius, step):
+    rng = np.random.default_rng(3)
+    rows = [("C", (0.3, -0.2, 0.1))] + [(e, tuple(rng.normal(scale=2.2, size=3).round(3).tolist())) for e in "NOCNOCH"] + [("Xx", (0.5, 0, 0))]
+    rows.append(("O", (0.3 + radius + 0.9, -0.2, 0.1)))  # reaches in from outside
+    m = atoms(spark, "m", rows)
+    bondi = {"C": 1.70, "N": 1.55, "O": 1.52}
+    spheres = [(tuple(np.subtract(p, rows[0][1])), bondi[e] * 1.17) for i, (e, p) in enumerate(rows, 1) if e in bondi and i not in (1, 4)]
+    got = {r["octant"]: (r["points"], r["buried"]) for r in ost.buried_volume(m, [1], radius, step, excluded=[4]).collect()}
+    assert got == points_inside(spheres, radius, step)
+
+
+def test_buried_volume_turned_by_named_atoms(spark):
+    rows = [("C", (1, 1, 1)), ("N", (1, 1, 3.0)), ("O", (2.5, 1.0, 1.5)), ("N", (0.2, 2.5, 0.4))]
+    m = atoms(spark, "m", rows)
+    bondi = {"N": 1.55, "O": 1.52}
+    # Atom 2 is on -z, atom 3 at x > 0: the axes are x, -y and -z of the molecule.
+    spheres = [(tuple(np.subtract(p, rows[0][1])), bondi[e] * 1.17) for e, p in rows[1:]]
+    got = {r["octant"]: (r["points"], r["buried"]) for r in ost.buried_volume(m, [1], 3.5, 0.25, z_axis=[2], xz_plane=[3]).collect()}
+    want = points_inside(spheres, 3.5, 0.25, lambda p: (p[0], -p[1], -p[2]))
+    assert got == want
+    shells = {(r["radius"], r["quadrant"]): r for r in ost.buried_shells(m, [1], (3.5, 5.5), 0.25, z_axis=[2], xz_plane=[3]).collect()}
+    assert len(shells) == 10
+    buried = sum(k for _, k in want.values())
+    assert math.isclose(shells[3.5, None]["buried_volume"], buried * 0.25**3)
+    assert math.isclose(shells[3.5, 1]["percent"], 100 * (want[1][1] + want[5][1]) / (want[1][0] + want[5][0]))
+    assert shells[5.5, None]["buried_volume"] > shells[3.5, None]["buried_volume"]
+    assert ost.buried_volume(m, [1], z_axis=[9]).count() == 0  # no such atom
+    assert ost.buried_volume(m.limit(0), [1]).count() == 0
