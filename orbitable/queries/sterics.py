@@ -98,6 +98,47 @@ def buried_volume(t):
         "mol_id", "octant", "points", "buried", _r("percent"))
 
 
+def _interval_twin(radii, step: float, final: str) -> str:
+    """Lattice columns met by the spheres, z intervals of either side, and what each adds to the union of those before it."""
+    n = int(max(radii) / step) + 2
+    return oracle(f"""
+    WITH ax AS (SELECT i, (CAST(i AS DOUBLE) + 0.5) * {step} AS v FROM range(-{n}, {n}) r(i)),
+    ball AS (SELECT CAST(radius AS DOUBLE) AS radius FROM (VALUES {", ".join(f"({float(r)})" for r in radii)}) t(radius)),
+    grid AS (SELECT radius, a.i AS ix, b.i AS iy, a.v AS px, b.v AS py, sqrt(radius * radius - a.v * a.v - b.v * b.v) AS reach
+             FROM ball, ax a, ax b WHERE a.v * a.v + b.v * b.v <= radius * radius),
+    total AS (SELECT radius, CAST(sum(CAST(floor(reach / {step} - 0.5) AS BIGINT) + 1) AS BIGINT) // 4 AS points FROM grid GROUP BY radius),
+    o AS (SELECT mol_id, x AS x0, y AS y0, z AS z0 FROM atoms_v WHERE atom_idx = 1),
+    s AS (SELECT mol_id, atom_idx, x - x0 AS x, y - y0 AS y, z - z0 AS z, r * CAST(1.17 AS DOUBLE) AS r FROM atoms_v JOIN o USING (mol_id)
+          JOIN (SELECT e, CAST(r AS DOUBLE) AS r FROM (VALUES ('C', 1.70), ('N', 1.55), ('O', 1.52), ('Cl', 1.75)) v(e, r)) ON e = element WHERE atom_idx <> 1),
+    c AS (SELECT mol_id, radius, ix, iy, z, reach, sqrt(r * r - (px - x) * (px - x) - (py - y) * (py - y)) AS half
+          FROM s, grid WHERE (px - x) * (px - x) + (py - y) * (py - y) <= r * r),
+    i AS (SELECT mol_id, radius, ix, iy, CAST(ceil(greatest(z - half, -reach) / {step} - 0.5) AS BIGINT) AS low,
+                 CAST(floor(least(z + half, reach) / {step} - 0.5) AS BIGINT) AS high FROM c),
+    side AS (SELECT mol_id, radius, ix, iy, 0 AS up, low, least(high, -1) AS high FROM i WHERE low <= least(high, -1)
+             UNION ALL SELECT mol_id, radius, ix, iy, 1, greatest(low, 0), high FROM i WHERE greatest(low, 0) <= high),
+    u AS (SELECT *, max(high) OVER (PARTITION BY mol_id, radius, ix, iy, up ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM side),
+    k AS (SELECT mol_id, radius, CASE WHEN ix >= 0 THEN 1 ELSE 0 END + CASE WHEN iy >= 0 THEN 2 ELSE 0 END AS quadrant, up,
+                 sum(greatest(high - greatest(low - 1, coalesce(before, low - 1)), 0)) AS buried FROM u GROUP BY ALL),
+    q AS (SELECT mol_id, radius, quadrant, up, coalesce(CAST(buried AS BIGINT), 0) AS buried, points
+          FROM o JOIN total ON true JOIN (SELECT j % 4 AS quadrant, j // 4 AS up FROM range(8) t(j)) ON true LEFT JOIN k USING (mol_id, radius, quadrant, up))
+    {final}""", "atoms_v")
+
+
+@query("buried_volume_fine", _interval_twin([3.5], 0.1, """
+    SELECT mol_id, CAST(quadrant + 4 * up AS INT) AS octant, points, buried, round(100 * buried / points, 4) + 0.0 AS percent FROM q"""))
+def buried_volume_fine(t):
+    return ost.buried_volume(t.atoms, [1], radius=3.5, step=0.1).select("mol_id", "octant", "points", "buried", _r("percent"))
+
+
+@query("buried_shells", _interval_twin([3.5, 5.5], 0.25, """
+    SELECT mol_id, radius, CAST(quadrant AS INT) AS quadrant, round(100 * sum(buried) / sum(points), 4) + 0.0 AS percent,
+           round(sum(buried) * 0.015625, 4) + 0.0 AS buried_volume, round(sum(points - buried) * 0.015625, 4) + 0.0 AS free_volume
+    FROM q GROUP BY GROUPING SETS ((mol_id, radius, quadrant), (mol_id, radius))"""))
+def buried_shells(t):
+    return ost.buried_shells(t.atoms, [1], (3.5, 5.5), 0.25).select(
+        "mol_id", "radius", "quadrant", _r("percent"), _r("buried_volume"), _r("free_volume"))
+
+
 @query("contact_score", oracle("""
     WITH r(e, r) AS (VALUES ('H', 0.31), ('C', 0.76), ('N', 0.71), ('O', 0.66), ('Cl', 1.02), ('Pd', 1.39)),
     p AS (SELECT q.mol_id, q.atom_idx AS candidate_id,
