@@ -29,21 +29,32 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(words_column: str) -> Column:
-    """64-bit hashes of the runs of five words; one of the whole where there are fewer, none of nothing."""
+    """64-bit hashes of an item's runs of five words; one of the whole where there are fewer, none of nothing."""
     w = F.col(words_column)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE),
-                       lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
     whole = F.array(F.xxhash64(F.concat_ws(" ", w), F.size(w)))
-    return F.when(F.size(w) >= SHINGLE, runs).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(w) >= SHINGLE, _runs(w, SHINGLE)).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def _runs(w: Column, length: int) -> Column:
+    """Hashes of all runs of `length` words; those under SHINGLE words are hashed as a short item is."""
+    if length == SHINGLE:
+        one = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])
+    else:
+        one = lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, length)), F.lit(length))
+    found = F.transform(F.sequence(F.lit(0), F.size(w) - length), one)
+    return F.when(F.size(w) >= length, found).otherwise(F.array().cast("array<bigint>"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) where the document holds at least `threshold` of the item.
 
     Rows that share a doc_id (or an item_id) count as one document (item) with all their shingles. Null
-    ids, null or empty texts and empty tables give no row.
+    ids, null or empty texts and empty tables give no row. An item of under five words is its whole sequence, found in
+    documents of any length that hold these words in a row. Ids may be of any type that can be grouped.
     """
     parts = items.filter("item_id is not null").select("item_id", words(F.col("text")).alias("w"))
+    short = parts.filter(F.size("w").between(1, SHINGLE - 1)).select(F.size("w").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in short.collect())  # at most four numbers
     parts = parts.select("item_id", F.explode(shingle_hashes("w")).alias("s")).distinct()
     sized = parts.join(parts.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id")
     upper = F.pow(F.lit(float(SIZE_STEP)), F.ceil(F.log(float(SIZE_STEP), F.col("n_item"))))
@@ -58,7 +69,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
         "item_id", "s", "n_item", F.coalesce("leads", F.lit(False)).alias("leads")))
 
     probe = docs.filter("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
-    probe = probe.select("doc_id", F.explode(shingle_hashes("w")).alias("s"))
+    found = [_runs(F.col("w"), n) for n in [SHINGLE, *lengths]]
+    probe = probe.select("doc_id", F.explode(F.concat(*found) if lengths else found[0]).alias("s"))
     hits = probe.join(broadcast_checked(index.select("s").distinct()), "s", "left_semi").distinct()
     hits = cut_lineage(hits)
     found = hits.join(broadcast_checked(index.filter("leads").select("item_id", "s")), "s").select("doc_id", "item_id").distinct()
@@ -70,9 +82,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75)
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(doc_id, n_items, worst_item, worst_share) of the documents that hold an item; ties go to the smaller id."""
     share = F.col("n_shared") / F.col("n_item")
-    worst = F.max(F.struct(share.alias("share"), (-F.col("item_id")).alias("item"))).alias("worst")
+    worst = F.min(F.struct((-share).alias("less"), "item_id")).alias("worst")
     out = contained_items(docs, items, threshold).groupBy("doc_id").agg(F.count("*").alias("n_items"), worst)
-    return out.select("doc_id", "n_items", (-F.col("worst.item")).alias("worst_item"), F.col("worst.share").alias("worst_share"))
+    return out.select("doc_id", "n_items", F.col("worst.item_id").alias("worst_item"), (-F.col("worst.less")).alias("worst_share"))
 
 
 ORACLE = """
@@ -86,9 +98,8 @@ b AS (
         lambda x: x <> '') AS w FROM benchmark),
 ds AS (
     SELECT DISTINCT doc_id, s FROM (
-        SELECT doc_id, unnest(CASE WHEN len(w) >= 5
-            THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
+        SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+        FROM d JOIN (SELECT DISTINCT least(len(w), 5) AS n FROM b WHERE len(w) > 0) lengths ON len(w) >= n)),
 bs AS (
     SELECT DISTINCT item_id, s FROM (
         SELECT item_id, unnest(CASE WHEN len(w) >= 5

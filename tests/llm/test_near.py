@@ -192,7 +192,8 @@ def test_decontamination_against_plain(spark):
             held.setdefault(i, set()).update(shingle_set(t))
     for d, t in rows:
         if d is not None:
-            sets.setdefault(d, set()).update(shingle_set(t))
+            for size in range(1, 6):  # an item of under five words is looked for as a run of its own length
+                sets.setdefault(d, set()).update(x for x in shingle_set(t, size) if len(x) == size)
     for d, s in sets.items():
         for i, q in held.items():
             if q and len(q & s) >= 0.75 * len(q):
@@ -254,3 +255,15 @@ def test_double_vectors_keep_their_precision(spark, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(
         spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {v: (v // 2) % 2 for v in range(200)}
+
+
+def test_short_items_and_named_ids(spark):
+    """Items under five words are found as runs in longer documents; ids may be text; ties go to the smaller id."""
+    docs = spark.createDataFrame([("a", "x the Cat sat down on it now y"), ("b", "the cat"), ("c", "thecat sat"), ("d", "Yes"), ("e", None), ("f", "")],
+                                 "doc_id string, text string")
+    items = spark.createDataFrame([("two", "THE cat"), ("four", "cat sat down on"), ("one", "yes"), ("five", "the cat sat down on"), ("none", ""),
+                                   ("copy", "the cat")], "item_id string, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect())
+    assert got == [("a", "copy"), ("a", "five"), ("a", "four"), ("a", "two"), ("b", "copy"), ("b", "two"), ("d", "one")]
+    worst = {r.doc_id: (r.n_items, r.worst_item, r.worst_share) for r in decontaminate.contaminated(docs, items).collect()}
+    assert worst == {"a": (4, "copy", 1.0), "b": (2, "copy", 1.0), "d": (1, "one", 1.0)}
