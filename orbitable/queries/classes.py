@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbitable.operators import classify as oc
 from orbitable.operators import clean
+from orbitable.operators import factors as ofa
 from orbitable.operators import metrics as om
 from orbitable.operators import regress as rg
 from orbitable.operators import sampling as osm
@@ -186,3 +187,18 @@ def classified_left_out(t):
 def repeated_classifier_cv(t):
     rows = clean.standardise(t.classes, NAMES)
     return oc.repeated_classifier_cv(rows, rg.combinations(t.spark, NAMES, 1, 2), NAMES, "y")
+
+
+# Without numeric columns the fit without penalty gives the class shares of every level.
+@query("mcfadden_levels", """
+    WITH c AS (SELECT l_suppkey AS g, l_returnflag AS y, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_suppkey) AS ng,
+               sum(count(*)) OVER (PARTITION BY l_returnflag) AS ny, sum(count(*)) OVER () AS nn FROM lineitem GROUP BY 1, 2)
+    SELECT round(1 - sum(n * ln(n / ng)) / sum(n * ln(ny / nn)), 5) AS mcfadden_r2 FROM c""")
+def mcfadden_levels(t):
+    fit = ofa.factor_classifier(t.table("lineitem"), [], ["l_suppkey"], "l_returnflag")
+    return t.spark.createDataFrame([(fit.figures["mcfadden_r2"],)], "mcfadden_r2 double").select(_r("mcfadden_r2", 5))
+
+
+@query("factor_classifier", None)
+def factor_classifier(t):
+    return ofa.factor_classifier(t.table("lineitem"), ["l_quantity", "l_discount"], ["l_suppkey", "l_linestatus"], "l_returnflag").terms

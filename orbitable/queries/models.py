@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitable.operators import clean
+from orbitable.operators import factors as ofa
 from orbitable.operators import regress as rg
 from orbitable.operators.moments import moments
 from orbitable.plans import search as ps
@@ -283,3 +284,18 @@ def y_randomisation(t):
 @query("y_randomisation_cv", None)
 def y_randomisation_cv(t):
     return rg.y_randomisation_cv(t.samples, PAIR, "y", 5)
+
+
+# One slope beside the levels of a factor: deviations from the level means give the slope, what is left of the means the levels.
+@query("factor_regression", """
+    WITH v AS (SELECT l_partkey AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+    m AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM v GROUP BY g),
+    b AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS b FROM v JOIN m USING (g)),
+    a AS (SELECT g, my - b * mx AS a FROM m, b),
+    f AS (SELECT min_by(a, g) AS first, min(g) AS g0 FROM a)
+    SELECT 'intercept' AS term, NULL AS level, round(first, 4) AS estimate FROM f
+    UNION ALL SELECT 'l_quantity', NULL, round(b, 4) FROM b
+    UNION ALL SELECT 'l_partkey', CAST(g AS VARCHAR), round(a - first, 4) + 0.0 FROM a, f WHERE g > g0""")
+def factor_regression(t):
+    return ofa.factor_regression(t.table("lineitem"), ["l_quantity"], ["l_partkey"], "l_extendedprice").terms.select(
+        "term", "level", _r("estimate", 4))
