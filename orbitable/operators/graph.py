@@ -1,6 +1,7 @@
 """Walks over bonds: reachability, shortest and longest paths, six-rings, motifs.
 
-The frontier loops advance all molecules together, one shuffle join per step. In an undirected
+Components and reachability contract whole blocks of bonds, so their rounds do not grow with the length of a walk.
+The frontier loops, for hop counts, advance all molecules together, one shuffle join per step. In an undirected
 graph the neighbours of level t lie in levels t-1, t, t+1, so a step only has to be compared with
 the last two levels, not with everything visited. Each level is checkpointed: lineage stays short
 and a lost executor costs one step.
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitable.operators.bonds import base_roles, both_ways
 from orbitable.session import broadcast_rows, cut_lineage
 
-
+BLOCK = 1 << 12  # atom numbers whose bonds meet in one task
 SMALL = 64  # atoms; walks from all of them stay a bounded amount of work per molecule
 
 
@@ -28,21 +30,110 @@ def _unseen(reached: DataFrame, seen: Sequence[DataFrame], key: Sequence[str]) -
     return rows.groupBy(*key).agg(F.max("_old").alias("_old")).where("_old = 0").drop("_old")
 
 
-def reachable(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
-    """Atoms on simple paths source -> direction -> ...: mol_id, spec_id, atom_idx, depth.
-
-    This is the source plus the component of the direction atom in the graph without the source.
-    The pair (source, direction) need not be bonded. Molecules without both atoms drop out.
-    `bases` is a list of (source, direction) or a table mol_id, spec_id, origin, direction.
+def _forest(keys: Sequence[str]):
+    """Edges (keys, a, b) as stars (keys, a = lowest atom, b) of the components that the edges of an Arrow batch form."""
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            change = np.zeros(len(batch), bool)
+            change[0] = True
+            for k in keys:
+                v = batch[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            group = np.cumsum(change) - 1
+            ends = np.concatenate([batch["a"].to_numpy(), batch["b"].to_numpy()])
+            nodes, at = np.unique(np.stack([np.tile(group, 2), ends]), axis=1, return_inverse=True)
+            u, v = at.ravel()[: len(batch)], at.ravel()[len(batch):]
+            label = np.arange(nodes.shape[1])
+            while True:
+                low = np.minimum(label[u], label[v])
+                if (label[u] == label[v]).all():
+                    break
+                np.minimum.at(label, label[u], low)
+                np.minimum.at(label, label[v], low)
+                while (label[label] != label).any():
+                    label = label[label]
+            child = np.flatnonzero(label != np.arange(len(label)))
+            found = batch[list(keys)].iloc[np.flatnonzero(change)[nodes[0, child]]]
+            yield found.assign(a=nodes[1, label[child]], b=nodes[1, child])
+    return run
+
+
+def _unsettled(stars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that hold an atom below two roots, or a root that hangs below another."""
+    children = stars.groupBy(*keys, F.col("b").alias("atom")).agg(F.count("*").alias("n"))
+    roots = stars.select(*keys, F.col("a").alias("atom"), F.lit(1).cast("long").alias("n")).distinct()
+    twice = children.unionByName(roots).groupBy(*keys, "atom").agg(F.sum("n").alias("n")).where("n > 1")
+    return twice.select(*keys).distinct()
+
+
+def components(edges: DataFrame, keys: Sequence[str] = ("mol_id",), block: int = BLOCK) -> DataFrame:
+    """Connected components of bonded atoms: keys, atom_idx, component (its lowest atom). `edges` has the keys, a and b.
+
+    Edges meet in blocks of atom numbers, and every block is replaced by one star per component, which settles molecules
+    of up to `block` atoms in one shuffle. What spans blocks is contracted further: every atom passes its higher
+    neighbours on to its lowest one, then its lower ones, so the number of rounds grows with the logarithm of the size.
     """
+    keys = list(keys)
+    ends = [*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    near = F.floor(F.col("a") / block)
+    dealt = edges.select(*ends).where("a < b").withColumn("_blk", near).repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk")
+    plain = dealt.drop("_blk")
+    stars = cut_lineage(plain.mapInPandas(_forest(keys), plain.schema))
+    settled = None
+    while True:
+        open_keys = cut_lineage(_unsettled(stars, keys))
+        if open_keys.isEmpty():
+            break
+        done = stars.join(open_keys, keys, "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        stars = stars.join(open_keys, keys, "left_semi")
+        turn = F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+        both = stars.select(*keys, turn)
+        lowest = both.groupBy(*keys, "u").agg(F.min(F.least("u", "v")).alias("m"))
+        stars = cut_lineage(both.join(lowest, [*keys, "u"]).where("v > u").select(*keys, F.col("m").alias("a"), F.col("v").alias("b")).distinct())
+        lowest = stars.groupBy(*keys, "b").agg(F.min("a").alias("m"))
+        passed = stars.join(lowest, [*keys, "b"]).where("a <> m").select(*keys, F.col("m").alias("a"), F.col("a").alias("b"))
+        stars = cut_lineage(passed.unionByName(lowest.select(*keys, F.col("m").alias("a"), "b")).distinct())
+    stars = stars if settled is None else settled.unionByName(stars)
+    roots = stars.select(*keys, F.col("a").alias("atom_idx"), F.col("a").alias("component")).distinct()
+    return stars.select(*keys, F.col("b").alias("atom_idx"), F.col("a").alias("component")).unionByName(roots)
+
+
+def _based(atoms: DataFrame, bases) -> DataFrame:
+    """Molecules that have both atoms of a base: mol_id, spec_id, source, direction."""
     roles, on = base_roles(atoms.sparkSession, bases)
-    start = (
+    return (
         atoms.select("mol_id", "atom_idx")
         .join(roles, on)
         .groupBy("mol_id", "spec_id", F.col("origin").alias("source"), "direction")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") == 2)
+        .drop("n")
     )
+
+
+def reachable(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
+    """Atoms on simple paths source -> direction -> ...: mol_id, spec_id, atom_idx.
+
+    This is the source plus the component of the direction atom in the graph without the source.
+    The pair (source, direction) need not be bonded. Molecules without both atoms drop out.
+    `bases` is a list of (source, direction) or a table mol_id, spec_id, origin, direction.
+    """
+    keys = ["mol_id", "spec_id"]
+    start = cut_lineage(_based(atoms, bases))
+    edges = bonds.select("mol_id", "a", "b").join(start.drop("direction"), "mol_id").where("a <> source AND b <> source")
+    found = components(edges.select(*keys, "a", "b"), keys)
+    named = found.join(start.select(*keys, F.col("direction").alias("atom_idx")), [*keys, "atom_idx"], "left_semi")
+    inside = found.join(named.select(*keys, "component"), [*keys, "component"], "left_semi").select(*keys, "atom_idx")
+    ends = start.select(*keys, F.explode(F.array("source", "direction")).alias("atom_idx"))
+    return inside.unionByName(ends).distinct()
+
+
+def reachable_depths(atoms: DataFrame, bonds: DataFrame, bases) -> DataFrame:
+    """As `reachable`, with the number of bonds from the source: mol_id, spec_id, atom_idx, depth. One round per bond."""
+    start = _based(atoms, bases)
     keys = ["mol_id", "spec_id", "source"]
     zero = start.select(*keys, F.col("source").alias("atom_idx"), F.lit(0).alias("depth"))
     first = start.select(*keys, F.col("direction").alias("atom_idx"), F.lit(1).alias("depth"))
@@ -92,27 +183,6 @@ def hop_distances(steps: DataFrame, sources: DataFrame) -> DataFrame:
     return out
 
 
-def components(steps: DataFrame) -> DataFrame:
-    """Connected components of bonded atoms: mol_id, atom_idx, component (its lowest atom).
-
-    Only atoms whose label changed send it on.
-    """
-    state = cut_lineage(steps.select("mol_id", "atom_idx").distinct().withColumn("component", F.col("atom_idx")))
-    changed = state
-    while True:
-        sent = changed.join(steps, ["mol_id", "atom_idx"]).select(
-            "mol_id", F.col("partner").alias("atom_idx"), "component", F.lit(None).cast("int").alias("own")
-        )
-        state = cut_lineage(
-            state.select("mol_id", "atom_idx", "component", F.col("component").cast("int").alias("own")).unionByName(sent)
-            .groupBy("mol_id", "atom_idx").agg(F.min("component").alias("component"), F.max("own").alias("own"))
-        )
-        changed = state.where(F.col("component") < F.col("own")).drop("own")
-        state = state.drop("own")
-        if changed.isEmpty():
-            return state
-
-
 def _far_sources(steps: DataFrame) -> DataFrame:
     """Atoms one of which ends every longest shortest path of each component: mol_id, source.
 
@@ -125,7 +195,7 @@ def _far_sources(steps: DataFrame) -> DataFrame:
         return hops.groupBy("mol_id", "source").agg(best.alias("b")).select(
             "mol_id", "source", F.col("b.end").alias("end"), (-F.col("b.d")).alias("length"))
 
-    first = cut_lineage(ends(hop_distances(steps, components(steps).select("mol_id", F.col("component").alias("source")).distinct())))
+    first = cut_lineage(ends(hop_distances(steps, components(steps.select("mol_id", F.col("atom_idx").alias("a"), F.col("partner").alias("b"))).select("mol_id", F.col("component").alias("source")).distinct())))
     from_a = hop_distances(steps, first.select("mol_id", F.col("end").alias("source")))
     second = cut_lineage(ends(from_a))
     from_b = hop_distances(steps, second.select("mol_id", F.col("end").alias("source")))
