@@ -205,20 +205,58 @@ def nearest_within(points: DataFrame, atoms: DataFrame, cutoff: float, mismatch:
     )
 
 
-def nearest_atom(points: DataFrame, atoms: DataFrame, first_reach: float = 4.0, rounds: int = 12) -> DataFrame:
-    """Nearest atom without a distance limit: the reach doubles for points still unmatched."""
+def _finite(df: DataFrame) -> DataFrame:
+    return df.where(" AND ".join(f"abs({c}) < double('Infinity')" for c in "xyz"))
+
+
+def nearest_atom(points: DataFrame, atoms: DataFrame, leaf: float = 4.0) -> DataFrame:
+    """Nearest atom of the same molecule at any distance: mol_id, point_id, atom_idx, dist.
+
+    The box of a molecule is halved into cells down to an edge of `leaf`. Points descend from the box to the cells that may
+    hold their nearest atom: a cell stays while its atoms' box begins no further away than the nearest box ends. So
+    the number of rounds follows from the size of the largest molecule, however far the points are, and no point meets
+    all atoms. Ties go to the lowest atom number. Positions that are not finite count as missing; molecules without atoms drop out.
+    """
     from orbitable.session import cut_lineage
 
-    waiting, found, reach = points, None, first_reach
-    for _ in range(rounds):
-        hit = cut_lineage(nearest_within(waiting, atoms, reach))
-        found = hit if found is None else found.unionByName(hit)
-        waiting = cut_lineage(waiting.join(hit.select("mol_id", "point_id"), ["mol_id", "point_id"], "left_anti"))
-        waiting = waiting.join(atoms.select("mol_id").distinct(), "mol_id", "left_semi")
-        if waiting.isEmpty():
-            return found
-        reach *= 2
-    raise RuntimeError(f"points further than {reach / 2} from every atom of their molecule")
+    corner = [F.min(c).alias(f"{c}0") for c in "xyz"]
+    edge = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("edge")
+    known = _finite(atoms.select("mol_id", "atom_idx", "x", "y", "z"))
+    depth = F.greatest(F.lit(0), F.least(F.lit(60), F.ceil(F.log2(F.col("edge") / leaf)))).cast("int")
+    box = cut_lineage(known.groupBy("mol_id").agg(*corner, edge).withColumn("depth", F.when(F.col("edge") > leaf, depth).otherwise(0)))
+    deepest = box.agg(F.max("depth")).first()[0] or 0
+    parts = F.pow(F.lit(2.0), F.col("depth"))
+    place = {f"i{c}": F.when(F.col("depth") > 0, F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("edge") * parts), parts - 1)).otherwise(0).cast("long")
+             for c in "xyz"}
+    cell = ["ix", "iy", "iz"]
+    own = cut_lineage(known.join(box, "mol_id").withColumns(place).select("mol_id", "depth", *cell, "atom_idx", *[F.col(c).alias(f"{c}_atom") for c in "xyz"]))
+    # Cells of one height above the leaves, with the box of their atoms, from the cells one below.
+    tight = lambda low, high: [f(F.col(v.format(c))).alias(n.format(c)) for c in "xyz" for f, v, n in ((F.min, low, "{}_lo"), (F.max, high, "{}_hi"))]
+    heights = []
+    for h in range(deepest):
+        below = own.where("depth > 0") if h == 0 else heights[-1].where(f"depth > {h}").withColumns({c: F.shiftright(c, 1) for c in cell})
+        names = ("{}_atom", "{}_atom") if h == 0 else ("{}_lo", "{}_hi")
+        heights.append(cut_lineage(below.groupBy("mol_id", "depth", *cell).agg(*tight(*names))))
+    waiting = _finite(points.select("mol_id", "point_id", "x", "y", "z")).join(box.select("mol_id", "depth"), "mol_id")
+    at_root = waiting.withColumns({c: F.lit(0).cast("long") for c in cell})
+    here = at_root.where(F.col("depth") == deepest)
+    for h in range(deepest - 1, -1, -1):
+        children = heights[h].select("mol_id", *[F.shiftright(c, 1).alias(f"p{c}") for c in cell], *[F.col(c).alias(f"n{c}") for c in cell],
+                                     *[f"{c}_{e}" for c in "xyz" for e in ("lo", "hi")])
+        met = here.withColumnsRenamed({c: f"p{c}" for c in cell}).join(children, ["mol_id", *[f"p{c}" for c in cell]])
+        gap = sum(F.pow(F.greatest(F.col(f"{c}_lo") - F.col(c), F.col(c) - F.col(f"{c}_hi"), F.lit(0.0)), F.lit(2.0)) for c in "xyz")
+        end = sum(F.pow(F.greatest(F.abs(F.col(c) - F.col(f"{c}_lo")), F.abs(F.col(c) - F.col(f"{c}_hi"))), F.lit(2.0)) for c in "xyz")
+        bound = F.min(F.sqrt(end)).over(W.partitionBy("mol_id", "point_id"))
+        kept = met.withColumn("_bound", bound).where(F.sqrt(gap) <= F.col("_bound") * (1 + 1e-12) + 1e-8)
+        down = kept.select("mol_id", "point_id", "x", "y", "z", "depth", *[F.col(f"n{c}").alias(c) for c in cell])
+        here = cut_lineage(down.unionByName(at_root.where(F.col("depth") == h)))
+    gap = sum((F.col(c) - F.col(f"{c}_atom")) * (F.col(c) - F.col(f"{c}_atom")) for c in "xyz")
+    return (
+        here.drop("depth").join(own.drop("depth"), ["mol_id", *cell])
+        .groupBy("mol_id", "point_id")
+        .agg(F.min(F.struct(F.round(F.sqrt(gap), 9).alias("dist"), F.col("atom_idx"))).alias("best"))
+        .select("mol_id", "point_id", "best.atom_idx", "best.dist")
+    )
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, cutoff: float, mismatch: float = 0.0) -> DataFrame:

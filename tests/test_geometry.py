@@ -91,6 +91,25 @@ def test_nearest_atom_equals_brute_force(spark):
     assert got == {i: min(range(60), key=lambda k: math.dist(p, host[k][1])) + 1 for i, p in enumerate(pts)}
 
 
+def test_nearest_atom_far_away_and_in_long_molecules(spark):
+    rng = random.Random(4)
+    hosts = {
+        "wide": [("C", [rng.uniform(-400, 400), rng.uniform(-3, 3), rng.uniform(-60, 60)]) for _ in range(300)],
+        "one": [("C", (1.0, 2.0, 3.0))],
+        "pair": [("C", (0.0, 0.0, 0.0)), ("C", (0.0, 0.0, 0.0)), ("C", (9.0, 0.0, 0.0)), ("C", (float("nan"), 0.0, 0.0))],
+    }
+    pts = [[rng.uniform(-500, 500), rng.uniform(-9, 9), rng.uniform(-90, 90)] for _ in range(60)]
+    pts += [[1e6, 0.0, 0.0], [-3e6, 2e6, 5.0], [0.0, 1e6, 1e6], [4.5, 0.0, 0.0]]
+    rows = [(m, i, *p) for m in [*hosts, "empty"] for i, p in enumerate(pts)] + [("one", 999, float("inf"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "mol_id string, point_id int, x double, y double, z double")
+    host = None
+    for m, held in hosts.items():
+        host = atoms(spark, m, held) if host is None else host.unionByName(atoms(spark, m, held))
+    got = {(r["mol_id"], r["point_id"]): r["atom_idx"] for r in on.nearest_atom(points, host).collect()}
+    near = lambda p, held: min((round(math.dist(p, q), 9), k) for k, (_, q) in enumerate(held, 1) if not math.isnan(q[0]))[1]
+    assert got == {(m, i): near(p, held) for m, held in hosts.items() for i, p in enumerate(pts)}
+
+
 def chain(spark, edges):
     bonds = spark.createDataFrame([("m", a, b, 1.0) for a, b in edges], "mol_id string, a int, b int, dist double")
     n = max(max(e) for e in edges)
