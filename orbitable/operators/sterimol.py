@@ -11,8 +11,9 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orbitable.functions import elements as el
@@ -170,18 +171,108 @@ def _around_centres(atoms: DataFrame, centres: Sequence[int], z_axis: Sequence[i
     return origins.select("mol_id", "centre"), seen.select("mol_id", "centre", "atom_idx", "element", "x", "y", "z")
 
 
-def _column_range(square: Column, middle: Column, limit: Column, step: float) -> tuple[Column, Column]:
+WORD = 64
+CHUNK = 1 << 15  # lattice columns worked on at once
+
+
+def _ranges(square: np.ndarray, middle, limit, step: float) -> tuple[np.ndarray, np.ndarray]:
     """First and last lattice index k with square + ((k + 0.5) * step - middle)^2 <= limit; last < first where there is none.
 
-    The root gives the ends to within one index; the neighbours are then tried by the inequality itself.
+    The root gives the ends; where one is so near to a lattice point that rounding may decide, its neighbours are
+    tried by the inequality itself.
     """
-    half = F.sqrt(F.greatest(limit - square, F.lit(0.0)))
-    fits = lambda k: square + ((k + 0.5) * step - middle) * ((k + 0.5) * step - middle) <= limit
-    low = F.ceil((middle - half) / step - 0.5)
-    high = F.floor((middle + half) / step - 0.5)
-    low = F.when(fits(low - 1), low - 1).when(fits(low), low).otherwise(low + 1)
-    high = F.when(fits(high + 1), high + 1).when(fits(high), high).otherwise(high - 1)
-    return low.cast("int"), high.cast("int")
+    half = np.sqrt(np.maximum(limit - square, 0.0))
+    first, last = (middle - half) / step - 0.5, (middle + half) / step - 0.5
+    low, high = np.ceil(first), np.floor(last)
+    near = 1e-6 * max(1.0, float(np.max(limit))) / step
+    close = np.nonzero((np.abs(first - np.rint(first)) < near) | (np.abs(last - np.rint(last)) < near))
+    if len(close[0]):
+        square, middle, limit = (np.broadcast_to(v, low.shape)[close] for v in (square, middle, limit))
+        fits = lambda k: square + ((k + 0.5) * step - middle) * ((k + 0.5) * step - middle) <= limit
+        at, to = low[close], high[close]
+        low[close] = np.where(fits(at - 1), at - 1, np.where(fits(at), at, at + 1))
+        high[close] = np.where(fits(to + 1), to + 1, np.where(fits(to), to, to - 1))
+    return low, high
+
+
+def _buried(radius: float, step: float):
+    """Lattice points inside a sphere round the origin and inside any of its atom spheres, per octant.
+
+    Rows (mol_id, centre, x, y, z, r) come sorted by mol_id and centre. A centre is held as one bit a lattice point, a
+    word for every WORD points of a lattice column (ix, iy), however many atoms it has. An atom sphere sets an interval
+    of every column that it meets.
+    """
+    n = math.ceil(radius / step) + 1
+    spot = (np.arange(-n, n) + 0.5) * step
+    below = np.append((np.uint64(1) << np.arange(WORD, dtype=np.uint64)) - np.uint64(1), ~np.uint64(0))
+    starts = range(-n, n, WORD)
+
+    def bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(rows, words, 2n, 2n) from the index intervals (rows, 2n, 2n)."""
+        ends = [np.clip(v[:, None] - np.array(starts)[None, :, None, None], 0, WORD).astype(np.int64) for v in (low, high + 1)]
+        return below[np.maximum(*ends)] ^ below[ends[0]]
+
+    plane = (spot * spot)[None, :, None] + (spot * spot)[None, None, :]
+    limit = float(radius) ** 2
+    low, high = _ranges(plane, 0.0, limit, step)
+    high = np.where(plane > limit, -n - 1, high)
+    halves = [bits(low, np.minimum(high, -1)), bits(np.maximum(low, 0), high)]
+
+    def spheres(x: np.ndarray, y: np.ndarray, z: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """(rows, words, 2n, 2n); only the box round each sphere is worked on."""
+        m = min(2 * n, math.ceil(2 * r.max() / step) + 3)
+        at = [np.clip(np.floor((c - r) / step - 0.5).astype(np.int64) + n, 0, 2 * n - m) for c in (x, y)]
+        off = [(spot[s[:, None] + np.arange(m)] - c[:, None]) ** 2 for s, c in zip(at, (x, y), strict=True)]
+        square, limit = off[0][:, :, None] + off[1][:, None, :], (r * r)[:, None, None]
+        low, high = _ranges(square, z[:, None, None], limit, step)
+        found = bits(low, np.where(square > limit, -n - 1, high))
+        if m == 2 * n:
+            return found
+        whole = np.zeros((len(x), len(starts), 2 * n, 2 * n), np.uint64)
+        for k, (i, j) in enumerate(zip(*(s.tolist() for s in at), strict=True)):
+            whole[k, :, i: i + m, j: j + m] = found[k]
+        return whole
+
+    def count(hits: np.ndarray) -> np.ndarray:
+        found = [np.bitwise_count(hits & half).sum(axis=1, dtype=np.int64).reshape(-1, 2, n, 2, n).sum(axis=(2, 4)) for half in halves]
+        return np.stack(found, axis=1).transpose(0, 1, 3, 2).reshape(-1, 8)
+
+    def run(batches):
+        rows = max(1, CHUNK // plane.size)
+        key, last = None, np.zeros((0, *halves[0].shape[1:]), np.uint64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, centres, *place = batch.columns
+            place = [c.to_numpy() for c in place]
+            change = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(centres[1:], centres[:-1])).to_numpy(zero_copy_only=False)
+            fresh = np.append(key != (ids[0], centres[0]), change)
+            counts = []
+            for at in range(0, len(fresh), rows):
+                begun = fresh[at: at + rows]
+                heads = np.flatnonzero(begun)
+                groups = np.bitwise_or.reduceat(spheres(*[c[at: at + rows] for c in place]), heads if begun[0] else np.append(0, heads), axis=0)
+                if begun[0]:
+                    groups = np.concatenate([last, groups])
+                else:
+                    groups[0] |= last[0]
+                counts.append(count(groups[:-1]))
+                last = groups[-1:]
+            heads = np.flatnonzero(fresh)
+            names = [([key[k]] if key else []) + c.take(pa.array(heads)).to_pylist() for k, c in enumerate((ids, centres))]
+            schema = batch.schema
+            yield _counted([n[:-1] for n in names], np.concatenate(counts), schema)
+            key = (ids[len(ids) - 1], centres[len(ids) - 1])
+        if key:
+            yield _counted([[k] for k in key], count(last), schema)
+
+    return run
+
+
+def _counted(names: list[list], counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    names = [pa.array([getattr(v, "as_py", lambda v=v: v)() for v in n], schema.field(k).type) for k, n in enumerate(names)]
+    counts = pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * 8, counts.ravel())
+    return pa.RecordBatch.from_arrays([*names, counts], names=["mol_id", "centre", "counts"])
 
 
 def buried_volume(
@@ -198,8 +289,8 @@ def buried_volume(
     """Share of a sphere round each centre atom inside any other atom sphere, per octant.
 
     mol_id, centre, octant (sign bits of x, y, z), points, buried, percent. Points are those of a lattice of spacing `step`, half a
-    step off the axes so that none falls between octants. They are never made: an atom sphere meets the lattice columns
-    (ix, iy) in index intervals, and the union of a column's intervals is counted by its length with a running maximum.
+    step off the axes so that none falls between octants. Only atom spheres are shuffled: those of a
+    centre meet in one task, which sets their intervals of the lattice columns (ix, iy) in a bit lattice of fixed size.
 
     `excluded` atoms have no sphere. `z_axis` and `xz_plane` name atoms that turn the octants: the mean of the first lies on the
     negative z axis, that of the second in the half plane x > 0 of the xz plane (without them, a fixed axis decides). Molecules
@@ -215,41 +306,20 @@ def buried_volume(
     far = F.lit(float(radius)) + F.col("r")
     spheres = spheres.where(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") <= far * far * (1 + 1e-9))
 
-    n, limit = math.ceil(radius / step), F.lit(float(radius) ** 2)
-    at = lambda c: (F.col(f"i{c}") + 0.5) * step
-    columns = spheres
-    for c in "xy":
-        low, high = (F.floor((F.col(c) + side * F.col("r")) / step - 0.5) for side in (-1, 1))
-        low, high = F.greatest(low, F.lit(-n - 1)).cast("int"), F.least(high + 1, F.lit(n)).cast("int")
-        columns = columns.where(low <= high).withColumn(f"i{c}", F.explode(F.sequence(low, high)))
-    off = {c: at(c) - F.col(c) for c in "xy"}
-    columns = columns.withColumns({
-        "d2": off["x"] * off["x"] + off["y"] * off["y"], "e2": at("x") * at("x") + at("y") * at("y"), "r2": F.col("r") * F.col("r"),
-    }).where((F.col("d2") <= F.col("r2")) & (F.col("e2") <= limit))
-    inner = _column_range(F.col("d2"), F.col("z"), F.col("r2"), step)
-    outer = _column_range(F.col("e2"), F.lit(0.0), limit, step)
-    spans = columns.select(
-        "mol_id", "centre", "ix", "iy", F.greatest(inner[0], outer[0]).alias("low"), F.least(inner[1], outer[1]).alias("high"))
-    halves = F.array(F.struct(F.col("low"), F.least("high", F.lit(-1)).alias("high")), F.struct(F.greatest("low", F.lit(0)).alias("low"), F.col("high")))
-    spans = spans.select("mol_id", "centre", "ix", "iy", F.explode(halves).alias("s")).select(
-        "mol_id", "centre", "ix", "iy", "s.low", "s.high", (F.col("s.low") >= 0).alias("up")).where("low <= high")
-    before = W.partitionBy("mol_id", "centre", "ix", "iy", "up").orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1)
-    fresh = F.col("high") - F.greatest(F.col("low") - 1, F.coalesce(F.max("high").over(before), F.col("low") - 1))
-    sign = lambda c: F.when(F.col(f"i{c}") >= 0, 1).otherwise(0)
-    octant = sign("x") + 2 * sign("y") + 4 * F.col("up").cast("int")
-    inside = spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("mol_id", "centre", octant.alias("octant")).agg(
-        F.sum("fresh").alias("buried"))
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "r")]
+    dealt = spheres.select("mol_id", "centre", *numbers).repartition("mol_id", "centre").sortWithinPartitions("mol_id", "centre")
+    types = dict(dealt.dtypes)
+    inside = dealt.mapInArrow(_buried(radius, step), f"mol_id {types['mol_id']}, centre {types['centre']}, counts array<long>")
 
     # All octants hold as many lattice points, as the lattice is its own mirror image.
-    squares = ((np.arange(n + 1) + 0.5) * step) ** 2
+    squares = ((np.arange(math.ceil(radius / step) + 1) + 0.5) * step) ** 2
     plane = squares[:, None] + squares[None, :]
     points = sum(int((plane + z <= float(radius) ** 2).sum()) for z in squares)
-    total = origins.withColumn("octant", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("points", F.lit(points).cast("long"))
-    return total.join(inside, ["mol_id", "centre", "octant"], "left").select(
-        "mol_id", "centre", "octant", "points",
-        F.coalesce("buried", F.lit(0)).alias("buried"),
-        (100 * F.coalesce("buried", F.lit(0)) / F.col("points")).alias("percent"),
-    )
+    none = F.array(*[F.lit(0).cast("long")] * 8)
+    total = origins.join(inside, ["mol_id", "centre"], "left").select("mol_id", "centre", F.posexplode(F.coalesce("counts", none)).alias("octant", "buried"))
+    return total.select(
+        "mol_id", "centre", "octant", F.lit(points).cast("long").alias("points"), "buried",
+        (100 * F.col("buried") / F.lit(points).cast("long")).alias("percent"))
 
 
 def buried_shells(atoms: DataFrame, centres: Sequence[int], radii: Sequence[float] = (3.5, 5.5), step: float = 0.1, **options) -> DataFrame:

@@ -267,3 +267,32 @@ def test_buried_volume_turned_by_named_atoms(spark):
     assert shells[5.5, None]["buried_volume"] > shells[3.5, None]["buried_volume"]
     assert ost.buried_volume(m, [1], z_axis=[9]).count() == 0  # no such atom
     assert ost.buried_volume(m.limit(0), [1]).count() == 0
+
+
+def test_buried_volume_shuffles_atoms_not_lattice_columns(spark):
+    rng = random.Random(8)
+    rows = [(m, i, "C" if i > 1 else "N", *(rng.randint(-12, 12) / 4 for _ in range(3))) for m in range(9) for i in range(1, 2 + 5 * m)]
+    rows += [(20, 1, "N", 0.0, 0.0, 0.0), (21, 2, "C", 0.0, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "mol_id long, atom_idx int, element string, x double, y double, z double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # molecules span batches
+    try:
+        df = ost.buried_volume(atoms, [1], 2.0, 0.25)
+        got = {(r["mol_id"], r["octant"]): r["buried"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    axis = (np.arange(-8, 8) + 0.5) * 0.25
+    x, y, z = np.meshgrid(axis, axis, axis, indexing="ij")
+    want = {}
+    for m in [*range(9), 20]:
+        place = {r[1]: np.array(r[3:]) for r in rows if r[0] == m}
+        hit = np.zeros(x.shape, bool)
+        for i in place:
+            if i > 1:
+                a, b, c = place[i] - place[1]
+                hit |= (x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 <= (1.70 * 1.17) ** 2
+        hit &= x * x + y * y + z * z <= 4.0
+        for o in range(8):
+            want[m, o] = int((hit & ((x > 0) + 2 * (y > 0) + 4 * (z > 0) == o)).sum())
+    assert got == want
+    assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
