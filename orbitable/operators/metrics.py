@@ -131,7 +131,7 @@ def cosine_matrix_gap(df: DataFrame, left: list[str], right: list[str], key: str
     row pair is ever emitted.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     ranked = df.select(key, F.array(*[F.col(c).cast("double") for c in left]).alias("l"),
                        F.array(*[F.col(c).cast("double") for c in right]).alias("r"))
@@ -140,29 +140,34 @@ def cosine_matrix_gap(df: DataFrame, left: list[str], right: list[str], key: str
     packed = (
         ranked.withColumn("blk", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
         .groupBy("blk").agg(F.collect_list(F.struct("l", "r")).alias("rows"))
+        .select("blk", F.struct(F.flatten("rows.l").alias("l"), F.flatten("rows.r").alias("r")).alias("rows"))
     )
     # Every unordered pair of blocks is an equi-join on its own key.
     one = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
     copies = packed.select("blk", "rows", one)
     first = copies.where("blk <= other").select(F.col("blk").alias("i"), F.col("other").alias("j"), F.col("rows").alias("a"))
     second = copies.where("other <= blk").select(F.col("other").alias("i"), F.col("blk").alias("j"), F.col("rows").alias("b"))
+    widths = {"l": len(left), "r": len(right)}
+
+    def units(blocks: pa.StructArray, at: int, side: str) -> np.ndarray:
+        # The numbers of one block are read where Arrow keeps them; a batch never turns into Python objects.
+        flat = blocks.field(side)[at].values.to_numpy(zero_copy_only=False).astype(float)  # null: NaN
+        rows = flat.reshape(-1, widths[side])
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
     def gaps(batches):
         for batch in batches:
-            out = []
-            for i, j, a, b in zip(batch["i"], batch["j"], batch["a"], batch["b"]):
-                total = 0.0
-                mats = []
-                for side in ("l", "r"):
-                    u = np.array([x[side] for x in a], dtype=float)
-                    w = np.array([x[side] for x in b], dtype=float)
-                    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
-                    w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
-                    mats.append(u @ w.T)
-                total = np.abs(mats[0] - mats[1]).sum()
-                out.append((total if i == j else 2 * total, ))
-            yield pd.DataFrame(out, columns=["total"])
-
-    return first.join(second, ["i", "j"]).mapInPandas(gaps, "total double").agg(
+            a, b, out = batch.column("a"), batch.column("b"), []
+            same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+            for k in range(len(batch)):
+                total, w = 0.0, {side: units(b, k, side) for side in widths}
+                u = {side: units(a, k, side) for side in widths}
+                for at in range(0, len(u["l"]), 1024):
+                    total += np.abs(u["l"][at: at + 1024] @ w["l"].T - u["r"][at: at + 1024] @ w["r"].T).sum()
+                out.append(total if same[k] else 2 * total)
+            # The sum leaves out blocks with a missing value.
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64(), from_pandas=True)], names=["total"])
+
+    return first.join(second, ["i", "j"]).mapInArrow(gaps, "total double").agg(
         (F.sum("total") / float(n) ** 2).alias("mean_gap")
     )

@@ -5,8 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbitable.operators import blocks
+from orbitable.operators import metrics as om
 from orbitable.operators import moments as mo
 from orbitable.operators import regress as rg
 from orbitable.operators import sampling as osm
@@ -106,3 +108,17 @@ def test_no_models(spark, rows):
     m = mo.moments(rows, [*NAMES, "y"])
     assert rg.leave_one_out(rows, none, m, "y").count() == 0
     assert rg.cross_validate(rows, none, NAMES, "y", 3, 2).count() == 0
+
+
+def test_cosine_matrix_gap_reads_arrow_blocks(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(70, 5))
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(values)], "id long, a double, b double, c double, d double, e double")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    u, w = unit(values[:, :2]), unit(values[:, 2:])
+    out = om.cosine_matrix_gap(df, ["a", "b"], ["c", "d", "e"], block=9)
+    assert abs(out.first()["mean_gap"] - np.abs(u @ u.T - w @ w.T).mean()) < 1e-12
+    holed = om.cosine_matrix_gap(df.withColumn("a", F.lit(None).cast("double")), ["a", "b"], ["c", "d", "e"], block=9)
+    assert holed.first()["mean_gap"] is None
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan  # rows of blocks never become Python objects
