@@ -85,3 +85,18 @@ def test_matrix_order(spark, tmp_path):
     files = sorted((tmp_path / "m").glob("part-*.csv"))
     names = [line.split(",")[0] for f in files for line in f.read_text().splitlines()[1:]]
     assert names == ["m2", "m10", "x"]
+
+
+def test_xyz_text_reads_the_atoms_once(spark):
+    rows = [(m, i, "C", float(i), 0.5, -1.0) for m in (1, 2, 3) for i in range(1, 4)]
+    atoms = spark.createDataFrame(rows, "mol_id long, atom_idx int, element string, x double, y double, z double")
+    texts = xyz.xyz_text(atoms, "note")
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    found = {r["mol_id"]: r["text"] for r in texts.collect()}
+    assert found[2] == "3\nnote\nC 1.000000 0.500000 -1.000000\nC 2.000000 0.500000 -1.000000\nC 3.000000 0.500000 -1.000000"
+    # Texts of one molecule are counted together; a bad number rejects.
+    table = spark.createDataFrame([(1, found[1]), (1, found[1]), (2, found[2]), (3, found[3].replace("0.5", "x")), (4, None)], "mol_id long, text string")
+    good, bad = xyz.parse_xyz(table)
+    assert {r["mol_id"] for r in good.collect()} == {2} and good.count() == 3
+    assert sorted((r["mol_id"], r["error"]) for r in bad.collect()) == [
+        (1, "atom count differs"), (1, "atom count differs"), (3, "bad coordinate"), (4, "no atom count")]
