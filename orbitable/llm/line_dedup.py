@@ -16,13 +16,18 @@ shorter one. Such a text has few lines, however many begin or end alike.
 
 *Filters inside the join*: lengths, and the counts of ten letters, of which an edit changes two by one.
 
+*Crowded keys.* Classes need no list of all pairs of a group of near copies. First every line meets the HUBS least lines of its keys only,
+which are all lines of most keys; that gives pieces. The other lines of a key with more of them are compared where their pieces differ, and
+the distance is part of that join, so what it gives are links, never candidates. The comparisons themselves still grow with the
+square of the lines of a key that are in no common piece.
+
 *Verification.* Common ends are cut off, the rest goes through a banded bit-parallel edit distance: one
 number holds the vertical differences of a diagonal band of 2 * EDITS + 1 cells and is updated per character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitable.llm.components import components
@@ -35,6 +40,8 @@ ANY_LENGTH = 1
 BAND = 8
 LETTERS = "etanirsohl"
 HOT_COPIES, HOT_LINES = 64, 100_000
+HUBS = 16
+SPLIT_ROWS, MOST_SPLITS = 64, 16
 
 
 def _let(value: Column, use) -> Column:
@@ -122,7 +129,8 @@ def _keys(edits: int, indexed: bool) -> Column:
         for i, at in places:
             at = at if isinstance(at, Column) else F.lit(at)
             found.append(F.when(fresh & (size > 0) & (at >= 0) & (n >= MIN_CHARS), F.xxhash64(F.lit(i), band, F.substring(line, at + 1, size))))
-    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    # Unlike a filter with a lambda, this is compiled together with the keys; it drops repeats as well.
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("long")))
 
 
 def _cut_keys(indexed: bool) -> Column:
@@ -173,45 +181,124 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")))
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, lines: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of digests of different lines within `edits` edits of each other, or one if the shorter has under MIN_CHARS characters.
+def _keyed(long_lines: DataFrame, lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(h1, h2, shape, k_s, k_l): keys and filters of every line, made once and written.
 
     Of a line with many copies only the first place is keyed. A line counts as such from HOT_LINES-th of all
     occurrences on, so there are at most HOT_LINES of them and they can be broadcast; copies of other
     lines meet and merge in the task of their key.
     """
-    lines = distinct_lines(stored_lines(docs, min_chars)) if lines is None else lines
-    long_lines = _lines(docs).filter(F.col("len") >= max(min_chars, NEAR_CHARS))
     total = lines.agg(F.sum("n")).first()[0] or 0
     hot = lines.filter(F.col("n") >= max(HOT_COPIES, total / HOT_LINES)).select("h1", "h2", "first")
     once = long_lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(
         F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "th", "pos")))
-    # Keys and filters of a line are made once and written; both sides of the join read them.
     keys = {tag: _keys(edits, indexed) if min_chars >= MIN_CHARS else F.concat(_keys(edits, indexed), _cut_keys(indexed))
             for tag, indexed in (("s", True), ("l", False))}
-    keyed = cut_lineage(once.select("h1", _shape().alias("shape"), *[k.alias(f"k_{tag}") for tag, k in keys.items()]))
+    return cut_lineage(once.select("h1", "h2", _shape().alias("shape"), *[k.alias(f"k_{tag}") for tag, k in keys.items()]))
+
+
+def _side(keyed: DataFrame, tag: str) -> DataFrame:
+    rows = keyed.select(F.explode(f"k_{tag}").alias("key"), F.col("h1").alias(f"h1_{tag}"), F.col("shape").alias(f"shape_{tag}"))
+    return rows.repartition("key").distinct()
 
-    def side(indexed: bool) -> DataFrame:
-        tag = "s" if indexed else "l"
-        rows = keyed.select(F.explode(f"k_{tag}").alias("key"), F.col("h1").alias(f"h1_{tag}"), F.col("shape").alias(f"shape_{tag}"))
-        return rows.repartition("key").distinct()
 
+def _fit(edits: int) -> Column:
     # Of two lines of one length either may probe the other; one does.
-    fit = _shapes_fit("shape_l", "shape_s", edits) & (F.col("h1_l") != F.col("h1_s")) & (
+    return _shapes_fit("shape_l", "shape_s", edits) & (F.col("h1_l") != F.col("h1_s")) & (
         (F.col("h1_l") > F.col("h1_s")) | (F.shiftrightunsigned("shape_l", 4 * len(LETTERS)) != F.shiftrightunsigned("shape_s", 4 * len(LETTERS))))
-    pairs = cut_lineage(side(True).join(side(False), "key").filter(fit).select("h1_s", "h1_l").distinct())
+
+
+def _close(edits: int) -> Column:
+    """Whether `line_l` and `line_s` are within the edits allowed for the shorter one."""
+    allowed = F.when(F.char_length("line_s") < MIN_CHARS, min(1, edits)).otherwise(edits)
+    near = F.abs(F.char_length("line_l") - F.char_length("line_s")) <= edits
+    return near & (edit_distance(F.col("line_l"), F.col("line_s"), edits) <= allowed)
+
+
+def _name() -> Column:
+    return F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
+
+
+def _verified(pairs: DataFrame, long_lines: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) among the candidate pairs (h1_s, h1_l)."""
     ids = cut_lineage(pairs.select(F.explode(F.array("h1_s", "h1_l")).alias("h1")).distinct())
     # Digests only name candidates here; should two lines share h1, both are verified.
     texts = long_lines.select("h1", "h2", "line").join(broadcast_checked(ids), "h1", "left_semi")
-    name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
-    texts = cut_lineage(texts.dropDuplicates(["h1", "h2"]).select("h1", "line", name.alias("id")))
+    texts = cut_lineage(texts.dropDuplicates(["h1", "h2"]).select("h1", "line", _name().alias("id")))
     for tag in ("s", "l"):
         named = texts.select(F.col("h1").alias(f"h1_{tag}"), F.col("line").alias(f"line_{tag}"), F.col("id").alias(f"id_{tag}"))
         pairs = pairs.join(named, f"h1_{tag}")
-    pairs = pairs.filter(F.abs(F.char_length("line_l") - F.char_length("line_s")) <= edits)
-    allowed = F.when(F.char_length("line_s") < MIN_CHARS, min(1, edits)).otherwise(edits)
-    close = pairs.filter(edit_distance(F.col("line_l"), F.col("line_s"), edits) <= allowed)
-    return cut_lineage(close.select(F.col("id_s").alias("a"), F.col("id_l").alias("b")))
+    return cut_lineage(pairs.filter(_close(edits)).select(F.col("id_s").alias("a"), F.col("id_l").alias("b")))
+
+
+def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    return _lines(docs).filter(F.col("len") >= max(min_chars, NEAR_CHARS))
+
+
+def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, lines: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of digests of different lines within `edits` edits of each other, or one if the shorter has under MIN_CHARS characters.
+
+    All pairs: their number grows with the square of a group of near copies. `line_classes` needs fewer.
+    """
+    lines = distinct_lines(stored_lines(docs, min_chars)) if lines is None else lines
+    long_lines = _long_lines(docs, min_chars)
+    keyed = _keyed(long_lines, lines, edits, min_chars)
+    pairs = cut_lineage(_side(keyed, "s").join(_side(keyed, "l"), "key").filter(_fit(edits)).select("h1_s", "h1_l").distinct())
+    return _verified(pairs, long_lines, edits)
+
+
+def _across(keyed: DataFrame, crowded: DataFrame, pieces: DataFrame, long_lines: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) between lines of different pieces that share a crowded key."""
+    crowded = broadcast_checked(crowded)
+    rows = [keyed.select(F.explode(f"k_{tag}").alias("key"), F.lit(tag).alias("tag"), "h1", "h2", "shape").join(crowded, "key", "left_semi")
+            for tag in ("s", "l")]
+    rows = cut_lineage(rows[0].unionByName(rows[1]).distinct())
+    ids = cut_lineage(rows.select("h1", "h2").distinct())
+    texts = long_lines.select("h1", "h2", "line").join(broadcast_checked(ids), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    named = texts.withColumn("id", _name()).join(pieces.withColumnRenamed("node", "id"), "id", "left")
+    named = cut_lineage(named.select("h1", "h2", "line", "id", F.coalesce("component", "id").alias("piece")))
+    rows = cut_lineage(rows.join(named, ["h1", "h2"]).drop("h2"))
+    # Lines of a key's largest piece are not compared with each other; keys of one piece not at all.
+    sizes = rows.groupBy("key", "piece").agg(F.count("*").alias("n"), F.count(F.when(F.col("tag") == "s", 1)).alias("n_s"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "piece"))["piece"].alias("main"), F.count("*").alias("pieces"), F.sum("n_s").alias("n_s"))
+    keys = keys.filter("pieces > 1").withColumn("blocks", F.least(F.ceil(F.col("n_s") / SPLIT_ROWS), F.lit(MOST_SPLITS)).cast("int"))
+    rows = rows.join(cut_lineage(keys), "key").withColumn("rest", F.col("piece") != F.col("main"))
+
+    def side(tag: str, block: Column) -> DataFrame:
+        return rows.filter(F.col("tag") == tag).select(
+            block.alias(f"block_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in ("key", "h1", "shape", "line", "id", "piece", "rest")])
+
+    short = side("s", F.pmod(F.xxhash64("h1"), F.greatest("blocks", F.lit(1))).cast("int"))
+    long = side("l", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    apart = (F.col("rest_s") | F.col("rest_l")) & (F.col("piece_s") != F.col("piece_l"))
+    met = (F.col("key_s") == F.col("key_l")) & (F.col("block_s") == F.col("block_l")) & apart & _fit(edits) & _close(edits)
+    found = [s.join(ll, met).select(F.col("id_s").alias("a"), F.col("id_l").alias("b"))
+             for s, ll in ((short.filter("rest_s"), long), (short.filter("not rest_s"), long.filter("rest_l")))]
+    return cut_lineage(found[0].unionByName(found[1]).distinct())
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, lines: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the digests of all lines that have a link: the components of `line_links`, without listing all links."""
+    lines = distinct_lines(stored_lines(docs, min_chars)) if lines is None else lines
+    long_lines = _long_lines(docs, min_chars)
+    keyed = _keyed(long_lines, lines, edits, min_chars)
+    # The least digests are the hubs, so that any other line of their length is the one that probes.
+    ranked = _side(keyed, "s").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("h1_s")))
+    # Where a key has more lines than hubs, the last hub or the line after it meets itself and marks the key: a line has each key of its
+    # own on both sides, but for the one of a short line's whole text.
+    marks = F.col("h1_l") == F.col("h1_s")
+    met = ranked.filter(F.col("rank") <= HUBS + 1).join(_side(keyed, "l"), "key").filter(
+        ((F.col("rank") <= HUBS) & _fit(edits)) | ((F.col("rank") >= HUBS) & marks))
+    met = cut_lineage(met.select(F.when(marks, F.col("key")).alias("crowded"), F.when(~marks, F.col("h1_s")).alias("h1_s"),
+                                 F.when(~marks, F.col("h1_l")).alias("h1_l")).distinct())
+    links = _verified(met.filter("crowded is null").select("h1_s", "h1_l"), long_lines, edits)
+    crowded = met.filter("crowded is not null").select(F.col("crowded").alias("key"))
+    pieces = components(links)
+    if crowded.isEmpty():
+        return pieces
+    pieces = cut_lineage(pieces)
+    more = _across(keyed, crowded, pieces, long_lines, edits)
+    return components(pieces.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -223,9 +310,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     """
     rows = stored_lines(docs, min_chars)
     lines = distinct_lines(rows)
-    comps = components(line_links(docs, edits, min_chars, lines))
-    name = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
-    classed = lines.withColumn("node", name).join(comps, "node", "left")
+    comps = line_classes(docs, edits, min_chars, lines)
+    classed = lines.withColumn("node", _name()).join(comps, "node", "left")
     alone = classed.filter("component is null and n > 1").select("h1", "h2", "first", F.col("first").alias("head"))
     linked = classed.filter("component is not null")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))

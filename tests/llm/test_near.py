@@ -169,6 +169,46 @@ def test_lines_of_any_length(spark, tmp_path):
     assert kept == {d: "\n".join(s for p, s in enumerate(t.split("\n")) if p not in gone.get(d, [])) for d, t in rows}
 
 
+def test_line_classes_are_components_of_all_links(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    sentence = prose(rng, 9).replace("\n", " ")
+    for i in range(60):
+        s = sentence if i % 3 else f"abcdefgh{rng.choice(['', 'ij', 'mnopq'])}"
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            at = rng.randrange(len(s))
+            s = s[:at] + rng.choice(["", "z", "qq"]) + s[at + rng.randrange(2):]
+        rows.append((i, s))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(line_dedup.components(line_dedup.line_links(docs, min_chars=line_dedup.ANY_LENGTH)).collect())
+    monkeypatch.setattr(line_dedup, "HUBS", 1)
+    monkeypatch.setattr(line_dedup, "SPLIT_ROWS", 3)
+    got = line_dedup.line_classes(docs, min_chars=line_dedup.ANY_LENGTH).collect()
+    assert len(got) == len(want) > 20 and set(got) == want and len({r.component for r in got}) > 2
+
+
+def test_near_copies_are_not_listed_in_pairs(spark, monkeypatch):
+    """Lines that each have another word of one sentence in place are candidates of each other, but hardly any is a link."""
+    rng, rows = random.Random(3), []
+    words = prose(rng, 16).replace("\n", " ").split()
+    for i in range(160):
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join([*words[:at], "".join(rng.choice("aehinorst") for _ in range(6)), *words[at + 1:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = line_dedup.components(line_dedup.line_links(docs)).collect()
+    sizes, cut = [], line_dedup.cut_lineage
+
+    def counted(df):
+        sizes.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut_lineage", counted)
+    monkeypatch.setattr(line_dedup, "HUBS", 4, raising=False)
+    report = line_dedup.line_report(docs).collect()
+    copies = len(rows) - len({s for _, s in rows})
+    assert sum(r.n_removed for r in report) == copies + len(want) - len({r.component for r in want})
+    assert max(sizes) <= 10 * len(rows)
+
+
 def test_lines_of_messy_and_empty(spark):
     assert line_dedup.line_report(messy(spark)).count() == len(messy_texts())
     assert line_dedup.line_report(nothing(spark)).count() == 0
