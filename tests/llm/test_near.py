@@ -1,6 +1,7 @@
 """Near-duplicate documents, lines and vectors, and decontamination, against plain versions."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -279,6 +280,44 @@ def test_vectors_against_plain(spark, monkeypatch, small):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("single", [True, False])
+def test_vectors_over_many_cells(spark, monkeypatch, single):
+    """Cells of 16 vectors: lists that span cells, cells of several lists, several turns and one label of one cell."""
+    for name, value in (("LIST_ROWS", 30), ("BLOCK_ROWS", 16), ("CELL_BYTES", 1), ("TURN_CELLS", 4), ("SAMPLE", 100)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(12)
+    centres, rows = rng.normal(size=(9, 12)), []
+    for i in range(420):
+        v = (centres[i % 9] + rng.normal(size=12) * rng.choice([0.05, 0.2, 0.4, 1])).astype(np.float32)
+        rows.append((i, [float(x) for x in v], 5 if i < 10 else 0 if i < 300 else 1))
+    rows += [(500 + i, rows[40][1], 0) for i in range(30)]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{'float' if single else 'double'}>, label int")
+    assert sorted(map(tuple, embedding_dedup.near_vectors(table).collect())) == plain_vectors(rows)
+
+
+def test_vectors_are_sent_to_cells_not_to_lists(spark, monkeypatch, tmp_path):
+    """A label that fits one cell is sent once, however many lists it has; bytes are those of single precision."""
+    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16).astype(np.float32)], i % 2) for i in range(400)]
+    whole = embedding_dedup._search
+
+    def counted(*args):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    (tmp_path / uuid.uuid4().hex).write_text(f"{len(batch)} {max(map(len, batch.column('raw').to_pylist()), default=0)}")
+                    yield batch
+            yield from whole(*args)(seen())
+        return run
+
+    monkeypatch.setattr(embedding_dedup, "_search", counted)
+    embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    found = [list(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert sum(n for n, _ in found) == 400 and max(size for _, size in found) == 64
+
+
 def test_double_vectors_keep_their_precision(spark, monkeypatch):
     """Sizes beyond single precision, and pairs that single precision would put on the other side of the threshold; over 64 lists."""
     monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 2)
