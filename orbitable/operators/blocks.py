@@ -21,6 +21,8 @@ from pyspark.sql.types import DataType
 
 MODEL_BLOCK = 1 << 16  # models a task holds
 GROUP_VALUES = 1 << 27  # numbers in the rows of one group: 1 GB
+PACK_BYTES = 1 << 12  # rows are stored and shuffled some at a time, so a record does not cost more than its numbers
+ROWS_AT_ONCE = 8192  # rows a kernel is given
 
 
 def row_groups(rows: int, width: int, partitions: int) -> int:
@@ -34,6 +36,31 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), dtype)
 
 
+def packed(rows: DataFrame, width: int) -> DataFrame:
+    """Rows x (array<double>), s (array<int>) as packs of some rows: x and s as bytes, and n, the number of rows."""
+    size = max(1, min(PACK_BYTES // (8 * max(width, 1)), GROUP_VALUES // (2 * max(width, 1))))
+
+    def run(batches):
+        for batch in batches:
+            x, s = matrix(batch.column("x")), matrix(batch.column("s"), np.int64).astype(np.int32)
+            cuts = [slice(at, min(at + size, len(batch))) for at in range(0, len(batch), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c].tobytes() for c in cuts], pa.binary()), pa.array([s[c].tobytes() for c in cuts], pa.binary()),
+                                              pa.array([c.stop - c.start for c in cuts], pa.int32())], names=["x", "s", "n"])
+    return rows.select("x", "s").mapInArrow(run, "x binary, s binary, n int")
+
+
+def unpacked(packs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Batches of rows x, s (lists) from packs."""
+    n = int(np.sum(packs.column("n").to_numpy()))
+    lists = []
+    for column, kind in (("x", np.float64), ("s", np.int32)):
+        flat = np.frombuffer(b"".join(packs.column(column).to_pylist()), kind)
+        lists.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (len(flat) // max(n, 1)), pa.int32()), pa.array(flat)))
+    whole = pa.RecordBatch.from_arrays(lists, names=["x", "s"])
+    for at in range(0, n, ROWS_AT_ONCE):
+        yield whole.slice(at, ROWS_AT_ONCE)
+
+
 def _cells(kernel: Callable[[pa.Table], object], names: list[str]) -> Callable[[Iterator], Iterator]:
     """Feed the rows of each cell to kernel(models).add(rows) and yield its result()."""
     def run(batches):
@@ -54,7 +81,8 @@ def _cells(kernel: Callable[[pa.Table], object], names: list[str]) -> Callable[[
                     if active is None:
                         models = pa.chunked_array(parts).combine_chunks()
                         active, parts = kernel(pa.Table.from_arrays(models.flatten(), names=names)), []
-                    active.add(part)
+                    for some in unpacked(part):
+                        active.add(some)
         if active is not None:
             yield from active.result()
     return run
@@ -64,21 +92,21 @@ def meet(rows: DataFrame, n_rows: int, width: int, models: DataFrame, n_models:
          kernel: Callable[[pa.Table], object], schema: str, block: int | None = None) -> DataFrame:
     """What kernel(models).result() yields for every cell, as rows of `schema`.
 
-    `rows` has columns x (array<double>) and s (array<int>), `width` numbers each. `kernel` is built in the task from
-    the models of a block and gets the rows in Arrow batches. Rows are dealt by their place, so `rows` must read a stored
+    `rows` are packs (see packed) of x and s, `width` numbers each. `kernel` is built in the task from
+    the models of a block and gets the rows in Arrow batches. Packs are dealt by their place, so `rows` must read a stored
     table: a task that runs again then deals them the same way. `block` is a smaller number of models per block for large ones.
     """
     blocks = max(1, math.ceil(n_models / min(MODEL_BLOCK, block or MODEL_BLOCK)))
     groups = row_groups(n_rows, width, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     model_type = models.schema.simpleString()
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = rows.select("x", "s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("_g"))
-    left = dealt.select("x", "s", "_g", spread(blocks).alias("_b")).select(
-        (F.col("_g") * blocks + F.col("_b")).alias("_cell"), F.lit(1).alias("_kind"), "x", "s", F.lit(None).cast(model_type).alias("_model"))
+    dealt = rows.select("x", "s", "n", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("_g"))
+    left = dealt.select("x", "s", "n", "_g", spread(blocks).alias("_b")).select(
+        (F.col("_g") * blocks + F.col("_b")).alias("_cell"), F.lit(1).alias("_kind"), "x", "s", "n", F.lit(None).cast(model_type).alias("_model"))
     kept = models.select(F.struct(*models.columns).alias("_model"), F.pmod(F.xxhash64(block_key), F.lit(blocks)).alias("_b"))
     right = kept.select("_model", "_b", spread(groups).alias("_g")).select(
-        (F.col("_g") * blocks + F.col("_b")).alias("_cell"), F.lit(0).alias("_kind"), F.lit(None).cast("array<double>").alias("x"),
-        F.lit(None).cast("array<int>").alias("s"), "_model")
+        (F.col("_g") * blocks + F.col("_b")).alias("_cell"), F.lit(0).alias("_kind"), F.lit(None).cast("binary").alias("x"),
+        F.lit(None).cast("binary").alias("s"), F.lit(0).alias("n"), "_model")
     met = left.unionByName(right).repartition(groups * blocks, "_cell").sortWithinPartitions("_cell", "_kind")
     return met.mapInArrow(_cells(kernel, models.columns), schema)
 

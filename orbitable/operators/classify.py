@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.operators.blocks import matrix, meet, summed_into
+from orbitable.operators.blocks import matrix, meet, packed, summed_into, unpacked
 from orbitable.operators.moments import complete_rows, independent, moments
 from orbitable.session import cut_lineage
 
@@ -170,6 +170,8 @@ class LogisticFitter:
     def __init__(self, rows: DataFrame, features: Sequence[str], target: str, kind: str = "logit", folds: Sequence[str] = ()):
         self.features, self.target, self.kind = list(features), target, kind
         good = complete_rows(rows, self.features).where(F.col(target).isNotNull())
+        # Read for the labels, the moments and the vectors.
+        good = cut_lineage(good.select(*dict.fromkeys([*self.features, target, *folds])))
         self.labels = class_labels(good, target)
         if len(self.labels) < 2:
             raise ValueError("fewer than two classes")
@@ -181,7 +183,8 @@ class LogisticFitter:
         self.n, self.center, self.scale, self.corr = m.n, m.mean, np.where(sd > 0, sd, 1.0), m.correlation()
         scaled = [(F.col(c).cast("double") - float(mu)) / float(s) for c, mu, s in zip(self.features, self.center, self.scale)]
         uses = [code.cast("int"), *[F.col(c).cast("int") for c in folds]]
-        self.rows = cut_lineage(good.select(F.array(*scaled).alias("x"), F.array(*uses).alias("s")))
+        vectors = good.select(F.array(*scaled).alias("x"), F.array(*uses).alias("s"))
+        self.rows = cut_lineage(packed(vectors, len(self.features) + 2))
 
     def __getstate__(self):
         """What tasks need: no table."""
@@ -193,7 +196,14 @@ class LogisticFitter:
 
     def fold_values(self) -> list[tuple[int, int]]:
         """(fold column, value) of every fold."""
-        each = self.rows.select(F.posexplode(F.slice("s", 2, 1 << 20)).alias("column", "fold")).distinct()
+        def seen(batches):
+            for packs in batches:
+                for rows in unpacked(packs):
+                    uses = matrix(rows.column("s"), np.int32)[:, 1:]
+                    found = [(i, int(f)) for i in range(uses.shape[1]) for f in np.unique(uses[:, i])]
+                    yield pa.RecordBatch.from_pylist([{"column": i, "fold": f} for i, f in found], schema=pa.schema([("column", pa.int32()), ("fold", pa.int32())]))
+
+        each = self.rows.mapInArrow(seen, "column int, fold int").distinct()
         return [tuple(r) for r in each.orderBy("column", "fold").collect()]
 
     def _start(self, ridge: float, d: int) -> np.ndarray:

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitable.functions.distributions import t_quantile, t_two_sided
-from orbitable.operators.blocks import matrix, meet
+from orbitable.operators.blocks import matrix, meet, packed
 from orbitable.operators.moments import Moments, complete_rows, moment_rows, moments, unpack
 from orbitable.operators.ranking import hash_buckets, hash_order, numbered, value_buckets
-from orbitable.operators.sampling import fold_count, k_folds, repeated_folds
+from orbitable.operators.sampling import fold_count, folds_of_ranks, k_folds, repeated_ranks
 from orbitable.session import cut_lineage
 
 PASS_VALUES = 1 << 22  # numbers a task works on at once when many models meet a batch of rows
@@ -224,7 +224,7 @@ def leave_one_out(rows: DataFrame, models: DataFrame, m: Moments, target: str, a
 
     prepared = cut_lineage(models.select("combo_key", "combo").mapInPandas(solved, "combo_key string, at array<int>, numbers array<double>"))
     mean = np.append(m.mean[[where[c] for c in names]], m.mean[t])
-    parts = meet(cut_lineage(row_vectors(rows, [*names, target])), n, len(mean), prepared, prepared.count(), F.col("combo_key"),
+    parts = meet(cut_lineage(packed(row_vectors(rows, [*names, target]), len(mean))), n, len(mean), prepared, prepared.count(), F.col("combo_key"),
                  lambda block: _LeaveOneOut(block, mean, n) if alpha is None else _LassoLeaveOneOut(block, mean, n, alpha),
                  "combo_key string, sq double, ab double")
     return parts.groupBy("combo_key").agg(
@@ -329,7 +329,7 @@ def absolute_errors(vectors: DataFrame, n_rows: int, fits: DataFrame, features:
         "combo_key", F.transform("combo", lambda c: (F.array_position(listed, c) - 1).cast("int")).alias("at"), "column", "value", "intercept",
         F.col("coefficients").alias("slopes"))
     width = len(features) + 1
-    parts = meet(vectors, n_rows, width, models, fits.count(), F.col("combo_key"), lambda block: _Absolute(block, width), "combo_key string, ab double")
+    parts = meet(packed(vectors, width), n_rows, width, models, fits.count(), F.col("combo_key"), lambda block: _Absolute(block, width), "combo_key string, ab double")
     return parts.groupBy("combo_key").agg(F.sum("ab").alias("ab"))
 
 
@@ -345,20 +345,26 @@ def _placed(errors: DataFrame) -> DataFrame:
     return errors.withColumn("column", F.get(part, F.lit(0)).cast("int")).withColumn("value", F.get(part, F.lit(1)).cast("int"))
 
 
+def _ranked_rows(rows: DataFrame, cols: Sequence[str], repeats: int, key: str, seed: int | None) -> DataFrame:
+    """Complete rows with their ranks in the order of every repeat, stored."""
+    base = complete_rows(rows, cols).select(key, *[c for c in cols if c != key])
+    return repeated_ranks(base, 1 if seed is None else repeats, key, seed)
+
+
 def cross_validate(
     rows: DataFrame, models: DataFrame, features: Sequence[str], target: str, k: int = 5, repeats: int = 5,
-    key: str = "id", seed: int | None = 42, alpha: float | None = None,
+    key: str = "id", seed: int | None = 42, alpha: float | None = None, ranked: DataFrame | None = None,
 ) -> DataFrame:
     """combo_key, q2, mae, rmsd: pooled held-out errors per repeat, averaged over repeats (M6).
 
     seed None orders by the key itself (one repeat), otherwise by hashes seeded seed + repeat. Moments of all folds of all repeats come
-    from one scan, absolute errors from another one.
+    from one scan, absolute errors from another one. `ranked` are the rows of _ranked_rows, where several numbers of folds share them.
     """
     cols = [*features, target]
-    base = complete_rows(rows, cols)
-    k = fold_count(base.count(), k)
     repeats = 1 if seed is None else repeats
-    folded, names = repeated_folds(base.select(key, *[c for c in cols if c != key]), k, repeats, key, seed)
+    ranked = _ranked_rows(rows, cols, repeats, key, seed) if ranked is None else ranked
+    k = fold_count(ranked.count(), k)
+    folded, names = folds_of_ranks(ranked, k, repeats)
     table = _moments_by_split(folded, cols, names)
     total = _merge_moments([p for (column, _), p in table.items() if column == 0])
     splits = {f"{column}:{value}": (_rest(total, p), p) for (column, value), p in table.items()}
@@ -418,8 +424,10 @@ def _merge_moments(parts: list[Moments]) -> Moments:
 def cv_summary(rows: DataFrame, models: DataFrame, features: Sequence[str], target: str, key: str = "id", seed: int | None = 42, repeats: int = 5) -> DataFrame:
     """Nine metrics per model: 3-fold, 5-fold and leave-one-out (M8)."""
     named = lambda df, tag: df.select("combo_key", *[F.col(c).alias(f"{c}_{tag}") for c in ("q2", "mae", "rmsd")])
-    three = named(cross_validate(rows, models, features, target, 3, repeats, key, seed), "3fold")
-    five = named(cross_validate(rows, models, features, target, 5, repeats, key, seed), "5fold")
+    # Every pass reads the stored rows, and both numbers of folds their ranks.
+    rows = _ranked_rows(rows, [*features, target], repeats, key, seed)
+    three = named(cross_validate(rows, models, features, target, 3, repeats, key, seed, ranked=rows), "3fold")
+    five = named(cross_validate(rows, models, features, target, 5, repeats, key, seed, ranked=rows), "5fold")
     loo = named(leave_one_out(rows, models, moments(rows, [*features, target]), target), "loo")
     return three.join(five, "combo_key").join(loo, "combo_key")
 

@@ -33,10 +33,22 @@ def repeated_folds(df: DataFrame, k: int, repeats: int, key: str = "id", seed: i
 
     Each step is stored: a fold needs its rows twice (bucket sizes and ranks), so a chain of steps would double the work each time.
     """
+    return folds_of_ranks(repeated_ranks(df, repeats, key, seed), k, repeats)
+
+
+def repeated_ranks(df: DataFrame, repeats: int, key: str = "id", seed: int | None = 42) -> DataFrame:
+    """Rows with _rank<r>, their place from 1 in the order of repeat r, stored step by step."""
+    for r in range(repeats):
+        rows, order, bucket = _order(df, key, None if seed is None else seed + r)
+        df = cut_lineage(numbered(rows, [], order, bucket, f"_rank{r}").drop("_o"))
+    return df
+
+
+def folds_of_ranks(ranked: DataFrame, k: int, repeats: int) -> tuple[DataFrame, list[str]]:
+    """Rows of repeated_ranks with a fold column per repeat instead of the ranks, and their names."""
     names = [f"_fold{r}" for r in range(repeats)]
-    for r, name in enumerate(names):
-        df = cut_lineage(k_folds(df, k, key, None if seed is None else seed + r, name))
-    return df, names
+    folds = [F.pmod(F.col(f"_rank{r}") - 1, F.lit(k)).cast("int").alias(name) for r, name in enumerate(names)]
+    return ranked.select(*[c for c in ranked.columns if c not in {f"_rank{r}" for r in range(repeats)}], *folds), names
 
 
 def fold_count(n_rows: int, k: int) -> int:

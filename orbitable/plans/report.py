@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from orbitable.functions.energy import equation_text
 from orbitable.operators import regress as rg
 from orbitable.operators.moments import moments, vif_values
+from orbitable.session import cut_lineage
 
 
 def model_report(rows: DataFrame, features: Sequence[str], target: str, left_out: DataFrame | None = None, key: str = "id", seed: int | None = 42) -> DataFrame:
     """section, name, item, value: coefficients, VIF, cross-validation, left-out errors, equation."""
     spark, features = rows.sparkSession, list(features)
+    rows = cut_lineage(rows.select(*dict.fromkeys([key, *features, target])))  # read for the moments, the folds and the left-out rows
     m = moments(rows, [*features, target])
     model = rg.FittedLine(m, features, target)
     table = rg.coefficient_table(spark, model)
