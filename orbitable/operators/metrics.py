@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitable.operators.ranking import running_sums, value_buckets
+from orbitable.session import cut_lineage
 
 
 def confusion_counts(df: DataFrame, actual: str = "y", predicted: str = "predicted") -> DataFrame:
@@ -110,8 +111,8 @@ def ks_distance(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
         .unionByName(after.select(_finite(column).alias("v"), F.lit(0).alias("b"), F.lit(1).alias("a")))
         .where("v IS NOT NULL")
     )
-    values = both.groupBy("v").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    nb, na = both.agg(F.sum("b"), F.sum("a")).first()
+    values = cut_lineage(both.groupBy("v").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))  # read for totals, buckets and sums
+    nb, na = values.agg(F.sum("b"), F.sum("a")).first()
     run = running_sums(values, [], "v", value_buckets(values, "v"), {"cb": "b", "ca": "a"})
     return run.agg(F.max(F.abs(F.col("cb") / nb - F.col("ca") / na)).alias("ks"))
 
