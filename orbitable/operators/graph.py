@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from orbitable.session import broadcast_rows, cut_lineage
 
 BLOCK = 1 << 12  # atom numbers whose bonds meet in one task
 SMALL = 64  # atoms; walks from all of them stay a bounded amount of work per molecule
+WALK_CELLS = 1 << 20  # numbers in the distance tables of the molecules that are walked at once
 
 
 def _unseen(reached: DataFrame, seen: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
@@ -30,15 +32,18 @@ def _unseen(reached: DataFrame, seen: Sequence[DataFrame], key: Sequence[str]) -
     return rows.groupBy(*key).agg(F.max("_old").alias("_old")).where("_old = 0").drop("_old")
 
 
-def _forest(keys: Sequence[str]):
-    """Edges (keys, a, b) as stars (keys, a = lowest atom, b) of the components that the edges of an Arrow batch form."""
+def _forest(keys: Sequence[str], block: int):
+    """Edges (keys, _blk, a, b) as stars (keys, a = lowest atom, b) of the components that the edges of an Arrow batch form.
+
+    `_open` marks what may go on elsewhere: the first and last group of a batch, and groups that reach beyond the first block.
+    """
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             change = np.zeros(len(batch), bool)
             change[0] = True
-            for k in keys:
+            for k in [*keys, "_blk"]:
                 v = batch[k].to_numpy()
                 change[1:] |= v[1:] != v[:-1]
             group = np.cumsum(change) - 1
@@ -56,7 +61,10 @@ def _forest(keys: Sequence[str]):
                     label = label[label]
             child = np.flatnonzero(label != np.arange(len(label)))
             found = batch[list(keys)].iloc[np.flatnonzero(change)[nodes[0, child]]]
-            yield found.assign(a=nodes[1, label[child]], b=nodes[1, child])
+            beyond = np.zeros(group[-1] + 1, bool)
+            beyond[[0, -1]] = True
+            np.logical_or.at(beyond, group, (batch["_blk"].to_numpy() != 0) | (batch["b"].to_numpy() >= block))
+            yield found.assign(a=nodes[1, label[child]], b=nodes[1, child], _open=beyond[nodes[0, child]])
     return run
 
 
@@ -72,18 +80,19 @@ def components(edges: DataFrame, keys: Sequence[str] = ("mol_id",), block: int =
     """Connected components of bonded atoms: keys, atom_idx, component (its lowest atom). `edges` has the keys, a and b.
 
     Edges meet in blocks of atom numbers, and every block is replaced by one star per component, which settles molecules
-    of up to `block` atoms in one shuffle. What spans blocks is contracted further: every atom passes its higher
+    of up to `block` atoms in one shuffle. What spans blocks or Arrow batches is contracted further: every atom passes its higher
     neighbours on to its lowest one, then its lower ones, so the number of rounds grows with the logarithm of the size.
     """
     keys = list(keys)
     ends = [*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    near = F.floor(F.col("a") / block)
+    near = F.greatest(F.floor(F.col("a") / block), F.lit(0).cast("long"))
     dealt = edges.select(*ends).where("a < b").withColumn("_blk", near).repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk")
-    plain = dealt.drop("_blk")
-    stars = cut_lineage(plain.mapInPandas(_forest(keys), plain.schema))
-    settled = None
+    types = dict(dealt.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "a", "b"])
+    first = cut_lineage(dealt.mapInPandas(_forest(keys, block), f"{schema}, _open boolean"))
+    stars, settled = first.drop("_open"), None
     while True:
-        open_keys = cut_lineage(_unsettled(stars, keys))
+        open_keys = cut_lineage(_unsettled(first.where("_open") if settled is None else stars, keys))
         if open_keys.isEmpty():
             break
         done = stars.join(open_keys, keys, "left_anti")
@@ -213,9 +222,81 @@ def _far_sources(steps: DataFrame) -> DataFrame:
 def graph_diameters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     """Longest shortest path per molecule: mol_id, diameter and an end pair.
 
-    Walks start at every atom of molecules of at most SMALL atoms, and in larger ones only at the
-    atoms one of which ends every longest path, so all of them are met either way. The lowest end pair is reported.
+    In molecules of at most SMALL atoms walks start at every atom, all of them in the task that gathers the molecule; in larger ones
+    they start only at the atoms one of which ends every longest path, so all of them are met either way. The lowest end pair is reported.
     """
+    # Atoms count as ends (i, i); `loose` says that an atom has no number.
+    marks = atoms.select("mol_id", F.lit(1).alias("atoms"), F.lit(0).alias("bonds"), F.col("atom_idx").isNull().alias("loose")).unionByName(
+        bonds.select("mol_id", F.lit(0).alias("atoms"), F.lit(1).alias("bonds"), F.lit(False).alias("loose")))
+    sizes = marks.where("mol_id IS NOT NULL").groupBy("mol_id").agg(F.sum("atoms").alias("atoms"), F.sum("bonds").alias("bonds"), F.max("loose").alias("loose"))
+    large = cut_lineage(sizes.where((F.col("atoms") > SMALL) | (F.col("bonds") > SMALL * SMALL) | F.col("loose")).select("mol_id"))
+    if large.isEmpty():
+        return _small_diameters(bonds, atoms)
+    small = _small_diameters(bonds.join(large, "mol_id", "left_anti"), atoms.join(large, "mol_id", "left_anti"))
+    big = _large_diameters(bonds.join(large, "mol_id", "left_semi"), atoms.join(large, "mol_id", "left_semi"))
+    return small.unionByName(big.select(*[F.col(c).cast(t).alias(c) for c, t in small.dtypes]))
+
+
+def _longest(batches):
+    """Diameter and lowest end pair of molecules, from their bonds and atoms (i, i); molecules of like size are walked together."""
+    for batch in batches:
+        ends = batch.column("ends")
+        a, b = (c.to_numpy(zero_copy_only=False) for c in ends.flatten().flatten())
+        row = np.repeat(np.arange(len(batch)), ends.value_lengths().to_numpy(zero_copy_only=False))
+        # Number the atoms of every molecule in order.
+        rows, ids = np.tile(row, 2), np.concatenate([a, b])
+        order = np.lexsort((ids, rows))
+        rows, ids = rows[order], ids[order]
+        new = np.append(True, (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        rows, ids = rows[new], ids[new]
+        count = np.bincount(rows, minlength=len(batch))
+        start = np.cumsum(count) - count
+        u, v = place[: len(a)] - start[row], place[len(a):] - start[row]
+        found = {c: np.zeros(len(batch), np.int64) for c in ("diameter", "first", "last")}
+        size = 1 << np.ceil(np.log2(np.maximum(count, 1))).astype(int)
+        for n in np.unique(size).tolist():
+            here = np.flatnonzero(size == n)
+            step = max(1, WALK_CELLS // (n * n))
+            for at in range(0, len(here), step):
+                some = here[at: at + step]
+                slot = np.full(len(batch), -1)
+                slot[some] = np.arange(len(some))
+                mine = slot[row] >= 0
+                s, x, y = slot[row[mine]], u[mine], v[mine]
+                near = np.zeros((len(some), n, n), np.float32)
+                near[s, x, y] = near[s, y, x] = 1
+                front = np.zeros((len(some), n, n), bool)  # from the atoms of the molecule; bonds may name others
+                own = x == y
+                front[s[own], x[own], x[own]] = True
+                depth, level = np.where(front, 0, -1), 0
+                while front.any():
+                    level += 1
+                    front = (np.matmul(front.astype(np.float32), near) > 0) & (depth < 0)
+                    depth[front] = level
+                best = depth.max(axis=(1, 2))
+                top = depth == best[:, None, None]
+                flat = np.triu(top | top.transpose(0, 2, 1)).reshape(len(some), -1).argmax(axis=1)
+                found["diameter"][some] = best
+                found["first"][some], found["last"][some] = ids[start[some] + flat // n], ids[start[some] + flat % n]
+        yield pa.RecordBatch.from_arrays([batch.column("mol_id"), *[pa.array(found[c]) for c in found]], names=["mol_id", *found])
+
+
+def _small_diameters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Diameters of molecules that a task can gather."""
+    number = atoms.select("atom_idx").union(bonds.select("a")).union(bonds.select("b")).dtypes[0][1]
+    end = lambda p, q: F.struct(F.col(p).cast("long").alias("a"), F.col(q).cast("long").alias("b")).alias("end")
+    ends = atoms.select("mol_id", end("atom_idx", "atom_idx")).unionByName(bonds.where("a <> b").select("mol_id", end("a", "b")))
+    # A molecule needs an atom; bonds alone give no row.
+    whole = ends.where("mol_id IS NOT NULL").groupBy("mol_id").agg(F.collect_set("end").alias("ends")).where(F.exists("ends", lambda e: e["a"] == e["b"]))
+    kind = dict(whole.dtypes)["mol_id"]
+    walked = whole.mapInArrow(_longest, f"mol_id {kind}, diameter long, first long, last long")
+    return walked.select("mol_id", F.col("diameter").cast("int").alias("diameter"), F.col("first").cast(number).alias("first"), F.col("last").cast(number).alias("last"))
+
+
+def _large_diameters(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Diameters of molecules of any size, all walks advancing together."""
     steps = cut_lineage(both_ways(bonds))
     sizes = cut_lineage(atoms.groupBy("mol_id").agg(F.count("*").alias("n")))
     small, large = sizes.where(F.col("n") <= SMALL), sizes.where(F.col("n") > SMALL)
