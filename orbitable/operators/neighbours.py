@@ -1,7 +1,7 @@
 """Atom pairs within a cutoff, bonds, clashes and nearest points.
 
-No operator here forms all pairs of a molecule. Space is cut into cubic cells and an atom is
-copied to each cell its half-cutoff ball overlaps (mostly one). Two atoms closer than the cutoff
+Only molecules of at most WHOLE atoms form all their pairs, in the task that holds the molecule. In larger ones space is cut
+into cubic cells and an atom is copied to each cell its half-cutoff ball overlaps (mostly one). Two atoms closer than the cutoff
 both reach the cell that holds their midpoint, so an equi-join on (molecule, cell) finds every
 pair, and keeping a pair only in its midpoint cell yields it once. A molecule that holds a large
 share of all atoms is spread over its cells, hence over many tasks.
@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orbitable.functions import elements as el
+from orbitable.session import cut_lineage
 
+WHOLE = 64  # atoms
 CELL_EDGE = 8.0  # angstrom; at the density of solids about 50 atoms
 
 
@@ -36,18 +38,28 @@ def _with_cells(points: DataFrame, reach: float, edge: float) -> DataFrame:
 def pairs_within(atoms: DataFrame, cutoff: float, keys=("mol_id",), edge: float = CELL_EDGE) -> DataFrame:
     """All atom pairs a < b of a molecule with distance <= cutoff.
 
-    Returns keys, a, b, element_a, element_b, dist.
+    Returns keys, a, b, element_a, element_b, dist. Atoms of molecules of at most WHOLE atoms meet by molecule, so where `atoms` is
+    partitioned by molecule, so are its pairs; those of larger molecules meet by cell.
     """
+    keys = list(keys)
+    atoms = atoms.select(*keys, "atom_idx", "element", "x", "y", "z")
+    large = cut_lineage(atoms.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).select(*keys))
+    if large.isEmpty():
+        return _meet(atoms, keys, cutoff)
     edge = max(edge, cutoff)
-    reach = cutoff / 2 * (1 + 1e-9) + 1e-9
-    copies = _with_cells(atoms.select(*keys, "atom_idx", "element", "x", "y", "z"), reach, edge)
-    on = [*keys, "cx", "cy", "cz"]
+    copies = _with_cells(atoms.join(large, keys, "left_semi"), cutoff / 2 * (1 + 1e-9) + 1e-9, edge)
+    return _meet(atoms.join(large, keys, "left_anti"), keys, cutoff).unionByName(_meet(copies, keys, cutoff, edge))
+
+
+def _meet(copies: DataFrame, keys: list[str], cutoff: float, edge: float | None = None) -> DataFrame:
+    """Pairs within the cutoff of atoms with equal keys and, with an edge, in one cell of that edge."""
+    on = [*keys, "cx", "cy", "cz"] if edge else keys
     left = copies.select(*on, *[F.col(c).alias(f"{c}_a") for c in ("atom_idx", "element", "x", "y", "z")])
     right = copies.select(*on, *[F.col(c).alias(f"{c}_b") for c in ("atom_idx", "element", "x", "y", "z")])
     delta = [F.col(f"{c}_a") - F.col(f"{c}_b") for c in "xyz"]
     square = delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2]
     same_cell = F.lit(True)
-    for c in "xyz":
+    for c in "xyz" if edge else "":
         same_cell = same_cell & (_cell((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2, edge) == F.col(f"c{c}"))
     return (
         left.join(right, on)
@@ -217,8 +229,6 @@ def nearest_atom(points: DataFrame, atoms: DataFrame, leaf: float = 4.0) -> Data
     the number of rounds follows from the size of the largest molecule, however far the points are, and no point meets
     all atoms. Ties go to the lowest atom number. Positions that are not finite count as missing; molecules without atoms drop out.
     """
-    from orbitable.session import cut_lineage
-
     corner = [F.min(c).alias(f"{c}0") for c in "xyz"]
     edge = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("edge")
     known = _finite(atoms.select("mol_id", "atom_idx", "x", "y", "z"))
