@@ -1,7 +1,8 @@
 """Text extraction from quantum-chemistry logs.
 
 Every reader takes rows (mol_id, text) and is a projection of string functions followed by an
-explode; a block that is absent simply gives no rows.
+explode; a block that is absent simply gives no rows. What an explode reads several times, such as the numbers of a text, is a column
+of its own before: inside a lambda it would be read anew for every row.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def population_charges(texts: DataFrame) -> DataFrame:
 def hirshfeld_charges(texts: DataFrame) -> DataFrame:
     """Hirshfeld (column 1) and CM5 (column 6) charges."""
     body = before_last(F.col("text"), HIRSHFELD_END)
-    values = numbers(after_last(body, HIRSHFELD_START), DECIMAL)
-    table = texts.select("mol_id", F.posexplode(rows_of(values, 6)).alias("i", "r"))
+    values = texts.select("mol_id", numbers(after_last(body, HIRSHFELD_START), DECIMAL).alias("v"))
+    table = values.select("mol_id", F.posexplode(rows_of(F.col("v"), 6)).alias("i", "r"))
     pair = F.array(
         F.struct(F.lit("hirshfeld").alias("scheme"), F.get("r", F.lit(0)).alias("charge")),
         F.struct(F.lit("cm5").alias("scheme"), F.get("r", F.lit(5)).alias("charge")),
@@ -80,7 +81,8 @@ def geometry(texts: DataFrame) -> DataFrame:
     """Atoms of the last orientation table; rows of number, atomic number, type, x, y, z."""
     body = F.get(F.split(after_last(F.col("text"), ORIENTATION_START), r"-{69}"), F.lit(2))
     symbol = el.lookup({n: s for n, s in enumerate(el.SYMBOLS, 1)}, F.get("r", F.lit(1)).cast("int"))
-    return texts.select("mol_id", F.posexplode(rows_of(numbers(body), 6)).alias("i", "r")).select(
+    values = texts.select("mol_id", numbers(body).alias("v"))
+    return values.select("mol_id", F.posexplode(rows_of(F.col("v"), 6)).alias("i", "r")).select(
         "mol_id", (F.col("i") + 1).alias("atom_idx"), symbol.alias("element"),
         *[F.get("r", F.lit(k)).alias(c) for k, c in ((3, "x"), (4, "y"), (5, "z"))],
     )
@@ -97,9 +99,9 @@ def polarizabilities(texts: DataFrame) -> DataFrame:
 
 def _mode_blocks(texts: DataFrame) -> DataFrame:
     section = F.regexp_extract("text", FREQUENCY_START + r"([\s\S]*?)" + FREQUENCY_END, 1)
-    blocks = F.split(section, FREQUENCY_LINE)
-    own = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b: F.substring_index(b, "-" * 19, 1))
-    return texts.select("mol_id", F.posexplode(own).alias("block", "body")).select("mol_id", "block", numbers(F.col("body")).alias("v"))
+    cut = texts.select("mol_id", F.split(section, FREQUENCY_LINE).alias("blocks"))
+    own = F.transform(F.slice("blocks", 2, F.greatest(F.size("blocks") - 1, F.lit(0))), lambda b: F.substring_index(b, "-" * 19, 1))
+    return cut.select("mol_id", F.posexplode(own).alias("block", "body")).select("mol_id", "block", numbers(F.col("body")).alias("v"))
 
 
 def modes(texts: DataFrame) -> DataFrame:
@@ -115,7 +117,8 @@ def modes(texts: DataFrame) -> DataFrame:
 def displacements(texts: DataFrame) -> DataFrame:
     """mol_id, mode_idx, atom_idx, dx, dy, dz: after 12 numbers, rows of atom, Z, 3 x (x, y, z)."""
     body = F.slice("v", 13, F.greatest(F.size("v") - 12, F.lit(0)))
-    rows = _mode_blocks(texts).select("mol_id", "block", F.explode(rows_of(body, 11)).alias("r"))
+    rows = _mode_blocks(texts).select("mol_id", "block", body.alias("v"))
+    rows = rows.select("mol_id", "block", F.explode(rows_of(F.col("v"), 11)).alias("r"))
     three = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(
         i.alias("i"), F.get("r", i * 3 + 2).alias("dx"), F.get("r", i * 3 + 3).alias("dy"), F.get("r", i * 3 + 4).alias("dz")))
     return rows.select("mol_id", "block", F.get("r", F.lit(0)).cast("int").alias("atom_idx"), F.inline(three)).select(
@@ -155,17 +158,21 @@ def bond_orders(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = numbers(F.substring("line", F.locate("LP", F.col("line")), F.length("line")), r"[-+]?\d*\.\d+|\d+")
     tagged = tagged.withColumn("v", F.when(F.col("tag") == "BD", v).otherwise(w))
     item = lambda i: F.get("v", F.lit(i)).cast("int")
-    orders = (
-        tagged.where((F.col("tag") == "BD") & (F.size("v") >= 3))
-        .select("mol_id", "no", item(1).alias("a"), item(2).alias("b"), item(0).alias("bond_order"))
-        .groupBy("mol_id", "a", "b")
-        .agg(F.max_by("bond_order", "no").alias("bond_order"))
+    bond = F.col("tag") == "BD"
+    # The last line of a bond or lone pair holds; one pass over the lines serves both tables, and no step leaves the molecule.
+    kept = (
+        tagged.where(F.size("v") >= F.when(bond, 3).otherwise(2))
+        .select("mol_id", "tag", "no", item(1).alias("a"), F.when(bond, item(2)).alias("b"), item(0).alias("n"))
+        .groupBy("mol_id", "tag", "a", "b")
+        .agg(F.max_by("n", "no").alias("n"))
+    )
+    orders = kept.where(bond).select("mol_id", "a", "b", F.col("n").alias("bond_order"))
+    ends = kept.select("mol_id", "tag", "n", F.explode(F.when(bond, F.array("a", "b")).otherwise(F.array("a"))).alias("atom_idx"))
+    atoms = (
+        ends.groupBy("mol_id", "atom_idx")
+        .agg(F.sum(F.when(bond, F.col("n"))).alias("total_order"), F.max(F.when(~bond & F.col("mol_id").isNotNull(), F.col("n"))).alias("lone_pairs"), F.max(bond).alias("bonded"))
+        .where("bonded").select("mol_id", "atom_idx", "total_order", F.coalesce("lone_pairs", F.lit(0)).alias("lone_pairs"))
     )
-    ends = orders.select("mol_id", "bond_order", F.explode(F.array("a", "b")).alias("atom_idx"))
-    total = ends.groupBy("mol_id", "atom_idx").agg(F.sum("bond_order").alias("total_order"))
-    pairs = tagged.where((F.col("tag") == "LP") & (F.size("v") >= 2)).select("mol_id", item(1).alias("atom_idx"), item(0).alias("n"), "no")
-    lone = pairs.groupBy("mol_id", "atom_idx").agg(F.max_by("n", "no").alias("lone_pairs"))
-    atoms = total.join(lone, ["mol_id", "atom_idx"], "left").fillna(0, ["lone_pairs"])
     return orders, atoms
 
 
