@@ -79,12 +79,10 @@ def complete_map(atoms: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def is_permutation(mapping: DataFrame) -> DataFrame:
     """mol_id, bijective: sources and targets are the same set, each once."""
-    return mapping.groupBy("mol_id").agg(
-        (
-            (F.count("*") == F.count_distinct("old")) & (F.count("*") == F.count_distinct("new"))
-            & (F.sum(F.xxhash64(F.col("old").cast("long")).cast("decimal(38,0)")) == F.sum(F.xxhash64(F.col("new").cast("long")).cast("decimal(38,0)")))
-        ).alias("bijective")
-    )
+    side = lambda c, old: F.struct(F.col(c).alias("atom"), F.lit(old).alias("old"))
+    ends = mapping.select("mol_id", F.inline(F.array(side("old", 1), side("new", 0))))
+    atoms = ends.groupBy("mol_id", "atom").agg(F.sum("old").alias("old"), F.count("*").alias("n"))
+    return atoms.groupBy("mol_id").agg(F.min(F.col("atom").isNotNull() & (F.col("old") == 1) & (F.col("n") == 2)).alias("bijective"))
 
 
 def check_renumbering(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orbitable.session import cut_lineage
 
@@ -123,20 +124,34 @@ def oracle(body: str, *views: str, recursive: bool = False) -> str:
 
 
 class Inputs:
-    """Lazy DataFrames over one data folder."""
+    """Lazy DataFrames over one data folder.
+
+    The view that numbers the lines of an order takes `lineitem` in partitions of at most TASK_ROWS rows on average once it has more than
+    FEW_ROWS: left to merge small partitions, Spark would give every core one, as large as the table asks for.
+    """
+
+    FEW_ROWS, TASK_ROWS = 2_000_000, 500_000
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._bonds = spark, folder, None
+        self.spark, self.folder, self._bonds, self._parts = spark, folder, None, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _lines(self) -> DataFrame:
+        """lineitem, partitioned by order where it is large."""
+        lines = self.table("lineitem")
+        if self._parts is None:
+            rows = lines.count()
+            self._parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // self.TASK_ROWS)) if rows > self.FEW_ROWS else 0
+        return lines.repartition(self._parts, F.col("l_orderkey")) if self._parts else lines
+
     def view(self, name: str) -> DataFrame:
         text, frames = VIEWS[name], {}
         for need in ("lineitem", "orders", "labels", "documents"):
             for lead in ("FROM ", "JOIN "):
                 if lead + need in text:
-                    frames[need] = self.table(need)
+                    frames[need] = self._lines() if need == "lineitem" and name == "atoms_v" else self.table(need)
                     text = text.replace(lead + need, lead + "{" + need + "}")
         for need in NEEDS.get(name, []):
             frames[need] = self.view(need)
