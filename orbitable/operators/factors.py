@@ -3,7 +3,8 @@
 The levels of the largest factor never become columns. They are rows of a level table, and the normal equations of every
 step are solved by elimination: a level only meets its own rows, so its block of the Hessian is small and is inverted in
 the task that adds up its sums, and what is left is a system over the other columns. Only that small system reaches the driver; the number of
-levels is not limited, and rows of a frequent level are added up batch by batch before they are shuffled.
+levels is not limited. Rows are stored once, in packs of one level each, so a step joins packs to levels and sends one sum per level and batch.
+Without numeric columns, rows that agree in everything are one row with a weight.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitable.operators.blocks import matrix, summed_into
+from orbitable.operators.blocks import PACK_BYTES, matrix, summed_into
 from orbitable.operators.classify import FALLBACK_RIDGE, METRICS, PASS_LIMIT, class_labels, scores
 from orbitable.operators.clean import categorical_columns, one_hot
 from orbitable.operators.moments import complete_rows, independent, moment_rows, moments, unpack
-from orbitable.session import cut_lineage
+from orbitable.session import broadcast_rows, cut_lineage
 
 PIECE_VALUES = 1 << 22  # numbers a task works on at once
 
@@ -108,12 +109,39 @@ def _probabilities(z: np.ndarray, own: np.ndarray, theta: np.ndarray, full: bool
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _read(batch: pa.RecordBatch, theta: np.ndarray, share: float, full: bool):
-    """Design, class numbers and probabilities of a batch of rows beside the state of their levels."""
-    x = matrix(batch.column("x"))
-    z = np.hstack([np.ones((len(batch), 1)), x.reshape(len(batch), -1)])
-    own = matrix(batch.column("best")) + share * matrix(batch.column("step"))
-    return z, batch.column("code").to_numpy(), _probabilities(z, own, theta, full)
+def _pack_rows(batches):
+    """Rows (key, level, x, code, n) as packs of rows of one level: `rows` holds class numbers, weights and columns one after the other."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        flat = np.column_stack([batch.column("code").to_numpy(), batch.column("n").to_numpy(), matrix(batch.column("x"))])
+        size = max(1, PACK_BYTES // (8 * flat.shape[1]))
+        edges = np.append(np.flatnonzero(np.diff(batch.column("key").dictionary_encode().indices.to_numpy(), prepend=-1)), len(batch)).tolist()
+        cuts = [(at, min(at + size, stop)) for start, stop in zip(edges, edges[1:]) for at in range(start, stop, size)]
+        heads = pa.array([at for at, _ in cuts])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key").take(heads), batch.column("level").take(heads), pa.array([flat[at:to].T.tobytes() for at, to in cuts], pa.binary()),
+             pa.array([to - at for at, to in cuts], pa.int32()), pa.array(np.add.reduceat(flat[:, 1], heads.to_numpy()))], names=["key", "level", "rows", "size", "n"])
+
+
+PACKS = "key string, level string, rows binary, size int, n double"
+
+
+def _pieces(batch: pa.RecordBatch, most: int):
+    """Slices of a batch of packs with about `most` rows each, at least one pack."""
+    sizes = np.cumsum(batch.column("size").to_numpy(), dtype=np.int64)
+    edges = np.append(np.flatnonzero(np.diff((sizes - 1) // most, prepend=-1)), len(batch)).tolist()
+    for at, to in zip(edges, edges[1:]):
+        yield batch.slice(at, to - at)
+
+
+def _read(batch: pa.RecordBatch, width: int, theta: np.ndarray, share: float, full: bool):
+    """Design, class numbers, weights and probabilities of the rows of packs beside the state of their levels, and the row each pack begins with."""
+    flat = np.concatenate([np.frombuffer(raw).reshape(width + 2, -1) for raw in batch.column("rows").to_pylist()], axis=1)
+    size = batch.column("size").to_numpy()
+    z = np.vstack([np.ones((1, flat.shape[1])), flat[2:]]).T
+    own = np.repeat(matrix(batch.column("best")) + share * matrix(batch.column("step")), size, axis=0)
+    return z, flat[0].astype(int), flat[1], _probabilities(z, own, theta, full), np.cumsum(size) - size
 
 
 def _packed(dense: np.ndarray) -> list[tuple]:
@@ -133,23 +161,22 @@ def _row_sums(theta: np.ndarray, share: float, full: bool):
     def run(batches):
         dense = np.zeros((d + 1, d + 1))
         for whole in batches:
-            for at in range(0, len(whole), max(1, PIECE_VALUES // (k * d))):
-                batch = whole.slice(at, max(1, PIECE_VALUES // (k * d)))
-                z, code, p = _read(batch, theta, share, full)
+            for batch in _pieces(whole, max(1, PIECE_VALUES // (k * d))):
+                z, code, weight, p, starts = _read(batch, q - 1, theta, share, full)
                 n = len(code)
-                dense[d, 0] += np.log(np.clip(p[np.arange(n), code], 1e-300, None)).sum()
+                dense[d, 0] += weight @ np.log(np.clip(p[np.arange(n), code], 1e-300, None))
                 pull = -p
                 pull[np.arange(n), code] += 1.0
-                pull, p = pull[:, p.shape[1] - k:], p[:, p.shape[1] - k:]
-                w = p[:, :, None] * (np.eye(k)[None] - p[:, None, :])
-                cross = (w[:, :, :, None] * z[:, None, None, :]).reshape(n, k, d)
+                pull, p = weight[:, None] * pull[:, p.shape[1] - k:], p[:, p.shape[1] - k:]
+                w = (weight[:, None] * p)[:, :, None] * (np.eye(k)[None] - p[:, None, :])
+                cross = (w[:, :, :, None] * z[:, None, None, :]).reshape(n, k * d)
                 dense[:d, d] += (pull.T @ z).ravel()
-                dense[:d, :d] += np.einsum("nad,nj->ajd", cross, z).reshape(d, d)
+                dense[:d, :d] += (cross.T @ z).reshape(k, d, q).transpose(0, 2, 1).reshape(d, d)
                 keys = batch.column("key").dictionary_encode()
                 number = keys.indices.to_numpy()
                 order = np.argsort(number, kind="stable")
-                flat = np.hstack([pull, w.reshape(n, -1), cross.reshape(n, -1)])[order]
-                sums = np.add.reduceat(flat, np.flatnonzero(np.diff(number[order], prepend=-1)))
+                sums = np.add.reduceat(np.hstack([pull, w.reshape(n, -1), cross]), starts)[order]
+                sums = np.add.reduceat(sums, np.flatnonzero(np.diff(number[order], prepend=-1)))
                 yield _parts([(name, None, v.tobytes()) for name, v in zip(keys.dictionary.to_pylist(), sums, strict=True)])
         yield _parts(_packed(dense))
     return run
@@ -188,13 +215,22 @@ class _Classifier:
             m = moments(good, self.columns)
             self.center, self.scale = m.mean, np.where(m.sd() > 0, m.sd(), 1.0)
         scaled = [(F.col(c).cast("double") - float(mu)) / float(s) for c, mu, s in zip(self.columns, self.center, self.scale)]
-        x = F.array(*scaled) if scaled else F.array().cast("array<double>")
         key = F.coalesce(F.concat(F.lit("="), level), F.lit(""))
-        self.rows = cut_lineage(good.select(key.alias("key"), level.alias("level"), x.alias("x"), code.cast("int").alias("code")))
-        self.counts = {r["code"]: r["n"] for r in self.rows.groupBy("code").agg(F.count("*").alias("n")).collect()}
+        names = [f"x{i}" for i in range(len(scaled))]
+        good = good.select(key.alias("key"), level.alias("level"), code.cast("int").alias("code"), *[c.alias(x) for c, x in zip(scaled, names)])
+        if features:
+            good = good.withColumn("n", F.lit(1.0))
+        else:  # indicators only: rows of the same levels and class are the same row
+            good = good.groupBy("key", "level", "code", *names).agg(F.count("*").cast("double").alias("n"))
+        x = F.array(*names) if names else F.array().cast("array<double>")
+        # Dealt by level, and a level with too many rows for a task to several; a pack holds rows of one level either way.
+        dealt = good.select("key", "level", x.alias("x"), "code", "n").hint("rebalance", "key").sortWithinPartitions("key")
+        self.rows = cut_lineage(dealt.mapInArrow(_pack_rows, PACKS))
+        self.n = int(self.rows.agg(F.sum("n")).first()[0])
+        self.n_levels = self.rows.select("key").distinct().count()
 
     def _beside(self, levels: DataFrame) -> DataFrame:
-        return self.rows.select("key", "x", "code").join(levels.select("key", "best", "step"), "key")
+        return self.rows.select("key", "rows", "size").join(broadcast_rows(levels.select("key", "best", "step"), self.n_levels), "key")
 
     def fit(self, ridge: float, tolerance: float = 1e-8):
         """(theta, levels, log-likelihood less penalty, converged); theta is on the standardised columns."""
@@ -245,15 +281,16 @@ class _Classifier:
 
     def scored(self, theta: np.ndarray, levels: DataFrame) -> dict:
         """Class scores of a fitted model on its rows."""
-        n, full = len(self.labels), self.full
+        n, full, width = len(self.labels), self.full, len(self.columns)
+        most = max(1, PIECE_VALUES // (n + width))
 
         def count(batches):
             cells, logs = np.zeros(n * n), np.zeros(n * n)
-            for batch in batches:
-                _, code, p = _read(batch, theta, 0.0, full)
+            for batch in (piece for whole in batches for piece in _pieces(whole, most)):
+                _, code, weight, p, _ = _read(batch, width, theta, 0.0, full)
                 cell = code * n + p.argmax(axis=1)
-                cells += np.bincount(cell, minlength=n * n)
-                logs += np.bincount(cell, weights=np.log(np.clip(p[np.arange(len(code)), code], 1e-15, None)), minlength=n * n)
+                cells += np.bincount(cell, weights=weight, minlength=n * n)
+                logs += np.bincount(cell, weights=weight * np.log(np.clip(p[np.arange(len(code)), code], 1e-15, None)), minlength=n * n)
             yield pa.RecordBatch.from_arrays([pa.array(range(n * n), pa.int32()), pa.array(cells), pa.array(logs)], names=["cell", "n", "ll"])
 
         found = self._beside(levels).mapInArrow(count, "cell int, n double, ll double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ll").alias("ll"))
@@ -285,7 +322,7 @@ def factor_classifier(rows: DataFrame, features: Sequence[str], factors: Sequenc
     figures = model.scored(theta, levels)
     plain, own, _, also = model.fit(FALLBACK_RIDGE)
     figures["mcfadden_r2"] = model.scored(plain, own)["mcfadden_r2"]
-    return FactorFit(model.terms(theta, levels), sum(model.counts.values()), {c: figures[c] for c in METRICS}, done and also)
+    return FactorFit(model.terms(theta, levels), model.n, {c: figures[c] for c in METRICS}, done and also)
 
 
 def fit_columns(rows: DataFrame, columns: Sequence[str], target: str, classes: bool = False) -> FactorFit | None:

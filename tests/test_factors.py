@@ -109,3 +109,30 @@ def test_whole_number_columns_enter_as_factors(spark):
     rows = table(spark, a=RNG.normal(size=50), b=RNG.integers(0, 4, 50).astype(float), y=RNG.normal(size=50))
     fit = fa.fit_columns(rows, ["a", "b"], "y")
     assert {r["term"] for r in fit.terms.collect()} == {"intercept", "a", "b"} and fa.fit_columns(rows, ["a"], "y") is None
+
+
+def test_a_step_sends_one_sum_per_level(spark, monkeypatch):
+    n, g = 20_000, 50
+    level, x = np.arange(n) % g, RNG.normal(size=n)
+    rows = table(spark, x=x, level=level, y=(x + RNG.normal(size=n) > 0).astype(int))
+    whole, sent = fa.summed_into, []
+    monkeypatch.setattr(fa, "summed_into", lambda models, parts, key, *rest: (key == "key" and sent.append(parts.count())) or whole(models, parts, key, *rest))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        fit = fa.factor_classifier(rows, ["x"], ["level"], "y")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert fit.converged and fit.n == n and max(sent) <= 2 * g
+
+
+def test_equal_rows_of_indicators_are_one(spark):
+    n, g = 6000, 20
+    level, kind = RNG.integers(0, g, n), RNG.integers(0, 2, n)
+    code = (RNG.random(n) < (level + 1) / (g + 2)).astype(int) + kind * (RNG.random(n) < 0.2)
+    rows = table(spark, level=level, kind=kind, y=code)
+    model = fa._Classifier(rows, [], ["level", "kind"], "y")
+    assert model.rows.agg({"size": "sum"}).first()[0] <= g * 2 * 3 and model.n == n
+    plain = fa.factor_classifier(rows, [], ["level"], "y")
+    counts = np.array([np.bincount(code[level == i], minlength=3) for i in range(g)])
+    part = lambda c: (c[c > 0] * np.log(np.broadcast_to(c.sum(-1, keepdims=True), c.shape)[c > 0] / c[c > 0])).sum()
+    assert plain.n == n and math.isclose(plain.figures["mcfadden_r2"], 1 - part(counts) / part(counts.sum(axis=0)), abs_tol=1e-6)
