@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -84,57 +85,146 @@ def substituent_atoms(
     return placed.select("mol_id", "spec_id", "atom_idx", "x", "y", "z", "radius").where("radius IS NOT NULL")
 
 
-def _scan(points: DataFrame, keys: list[str]) -> DataFrame:
-    """B1 and the angle of its arrow per key and degree; points carry x, z, radius, degree."""
-    turn = F.radians(F.col("degree"))
+def half_up(values: np.ndarray, digits: int = 4) -> np.ndarray:
+    """Rounding as Spark's round: half away from zero, of the decimal number that a double prints as."""
+    size = np.abs(values) * 10.0**digits
+    with np.errstate(invalid="ignore"):
+        near = np.isfinite(values) & ((np.abs(size - np.floor(size) - 0.5) < 1e-6) | (size > 1e9))
+    out = np.copysign(np.floor(size + 0.5) / 10.0**digits, values)
+    unit = Decimal(1).scaleb(-digits)
+    out[near] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) if abs(v) < 1e15 else v for v in values[near].tolist()]
+    return out
+
+
+def _directions(spark, degrees: Sequence[int]) -> np.ndarray:
+    """What outline_reach multiplies u, w and the radius by, for each side (+x, -x, +y, -y) and degree of turn: (3, 4, degrees)."""
+    turn = F.radians(F.lit(degrees[0]) + F.col("id"))
     quarter = math.pi / 2
-    reach = {
-        name: F.max(outline_reach(F.col("x"), F.col("z"), F.col("radius"), F.lit(axis) - turn)).alias(name)
-        for name, axis in (("px", 0.0), ("py", quarter), ("nx", math.pi), ("ny", 3 * quarter))
-    }
-    extents = points.groupBy(*keys, "degree").agg(*reach.values())
-    size = {n: F.abs(F.round(F.col(n), 4)) for n in ("px", "nx", "py", "ny")}
-    smallest = F.least(*size.values())
-    # Arrow of the smallest extent: +x, -x, +y, -y in this order of preference.
-    sign = lambda n, straight, turned: F.when(F.col(n) >= 0, straight).otherwise(turned)
-    arrow = (
-        F.when(size["px"] == smallest, sign("px", 0.0, 180.0))
-        .when(size["nx"] == smallest, sign("nx", 180.0, 0.0))
-        .when(size["py"] == smallest, sign("py", 90.0, 270.0))
-        .otherwise(sign("ny", 270.0, 90.0))
-    )
-    return extents.select(*keys, "degree", smallest.alias("b1"), arrow.alias("arrow"))
+    ways = [F.lit(axis) - turn for axis in (0.0, math.pi, quarter, 3 * quarter)]
+    parts = (F.cos, F.sin, lambda way: F.cos(sample_gap(way)))
+    rows = spark.range(0, len(degrees), 1, 1).select("id", F.array(*[part(way) for part in parts for way in ways]).alias("v")).collect()
+    return np.array([r["v"] for r in sorted(rows)]).T.reshape(3, 4, len(degrees))
+
+
+def _largest(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The largest row (v, i, t) of each group 0, 1, 2, ..."""
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0], group))
+    return rows[order[np.append(np.flatnonzero(np.diff(group[order])), len(order) - 1)]]
+
+
+POINTS_AT_ONCE = 1 << 10
+SCANNED = ["b1", "degree", "arrow", "top", "far", "tip", "wide"]
+
+
+def _scanned(keys: int, table: np.ndarray, degrees: Sequence[int], coarse: Sequence[int]):
+    """SCANNED of each key, from rows sorted by key: keys, x, z, radius, top and two triples (v, i, t).
+
+    b1 is the smallest side over the degrees, arrow the way of that side, top the largest top; far and tip are v and t of the largest first triple,
+    wide is t of the largest second one. With `coarse`, only degrees at most COARSE from the best of these count. What is kept of an open key
+    is its reach per side and degree and its largest triples, however many points it has. NULLs count as less than anything.
+    """
+    c, s, g = table.reshape(3, -1)
+    around = np.arange(-COARSE, COARSE + 1)
+
+    def narrowest(reach: np.ndarray) -> list[np.ndarray]:
+        reach = reach.reshape(len(reach), 4, -1)
+        size, every = np.abs(reach), np.arange(len(reach))
+        least = np.fmin.reduce(size, axis=1)
+        lowest = lambda v: np.where(np.isnan(v), np.inf, v).argmin(axis=1)
+        at = np.broadcast_to(np.arange(len(degrees)), least.shape)
+        if coarse:
+            start = np.array(coarse) - degrees[0]
+            at = start[lowest(half_up(least[:, start]))][:, None] + around
+        b1 = half_up(np.take_along_axis(least, at, axis=1))
+        k = lowest(b1)
+        b1, at = b1[every, k], at[every, k]
+        # Arrow of the smallest extent: +x, -x, +y, -y in this order of preference.
+        ahead = reach[every, :, at]
+        side = ((half_up(np.abs(ahead)) == b1[:, None]) | np.isnan(b1)[:, None]).argmax(axis=1)
+        arrow = np.where((ahead >= 0) | np.isnan(ahead), [0.0, 180.0, 90.0, 270.0], [180.0, 0.0, 270.0, 90.0])[every, side]
+        unseen = np.isneginf(reach).all(axis=(1, 2))
+        return [np.where(unseen, -np.inf, v) for v in (b1, at + degrees[0], arrow)]
+
+    def result(names: list[pa.Array], values: list[np.ndarray], fields: list[str]) -> pa.RecordBatch:
+        columns = [pa.array(v, pa.float64(), mask=np.isneginf(v)) for v in (values[i] for i in (0, 1, 2, 3, 4, 6, 9))]
+        return pa.RecordBatch.from_arrays([*names, *columns], names=[*fields, *SCANNED])
+
+    def run(batches):
+        name, reached, best, fields, types = None, None, None, [], []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, (x, z, radius), rest = batch.columns[:keys], batch.columns[keys: keys + 3], batch.columns[keys + 3:]
+            fields, types = batch.schema.names[:keys], [k.type for k in ids]
+            fresh = np.zeros(len(batch), bool)
+            fresh[0] = name != [k[0].as_py() for k in ids]
+            for k in ids:
+                fresh[1:] |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+            missing = np.any([v.is_null().to_numpy(zero_copy_only=False) for v in (x, z, radius)], axis=0)
+            x, z, radius = (v.fill_null(0.0).to_numpy() for v in (x, z, radius))
+            rest = np.column_stack([v.fill_null(-np.inf).to_numpy() for v in rest])
+            done = []
+            for at in range(0, len(fresh), POINTS_AT_ONCE):
+                some = slice(at, at + POINTS_AT_ONCE)
+                begun, mine = fresh[some], rest[some]
+                reach = x[some, None] * c + z[some, None] * s + radius[some, None] * g
+                reach[missing[some]] = -np.inf
+                starts, group = np.flatnonzero(begun), np.cumsum(begun) - 1
+                if not begun[0]:  # goes on with the open key
+                    reach[0] = np.maximum(reach[0], reached[0])
+                    starts, group, mine = np.append(0, starts), np.append(0, group + 1), np.concatenate([best, mine])
+                elif reached is not None:
+                    done.append([*narrowest(reached), *best.T])
+                firsts = np.flatnonzero(np.diff(group, prepend=-1))
+                sides = np.maximum.reduceat(reach, starts, axis=0)
+                found = np.column_stack([np.maximum.reduceat(mine[:, 0], firsts), _largest(group, mine[:, 1:4]), _largest(group, mine[:, 4:7])])
+                if len(sides) > 1:
+                    done.append([*narrowest(sides[:-1]), *found[:-1].T])
+                reached, best = sides[-1:], found[-1:]
+            heads = np.flatnonzero(fresh)
+            if done:
+                begun = [k.take(pa.array(heads[:-1])) for k in ids]
+                names = begun if name is None else [pa.concat_arrays([pa.array([n], k.type), k]) for n, k in zip(name, begun)]
+                yield result(names, [np.concatenate(v) for v in zip(*done)], fields)
+            if len(heads):
+                name = [k[int(heads[-1])].as_py() for k in ids]
+        if name is not None:
+            yield result([pa.array([n], t) for n, t in zip(name, types)], [*narrowest(reached), *best.T], fields)
+
+    return run
+
+
+def _scan(points: DataFrame, keys: list[str], top: Column, far: Sequence[Column], wide: Sequence[Column], degrees: Sequence[int],
+          coarse: Sequence[int] = ()) -> DataFrame:
+    """keys and SCANNED from points with x, z, radius: they are shuffled and sorted once and stream past the maxima of their key."""
+    raw = points.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys)
+    numbers = [F.col("x"), F.col("z"), F.col("radius"), top, *far, *wide]
+    types = dict(raw.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{c} double" for c in SCANNED])
+    rows = raw.select(*keys, *[c.cast("double").alias(f"_{i}") for i, c in enumerate(numbers)])
+    return rows.mapInArrow(_scanned(len(keys), _directions(points.sparkSession, degrees), list(degrees), list(coarse)), schema)
 
 
 def extents(points: DataFrame, keys: Sequence[str] = ("mol_id", "spec_id"), digits: int = 4) -> DataFrame:
     """B1, B5, L, loc_B5, B1_B5_angle per key from placed atoms with radius."""
     keys = list(keys)
-    points = cut_lineage(points)  # read by the size, coarse and fine scans
+    points = points.select(*keys, "atom_idx", "x", "y", "z", "radius")
     reach = F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")) + F.col("radius")
     far = outline_norm(F.col("x"), F.col("z"), F.col("radius"))
     ray = F.round(F.atan2(F.col("z"), F.col("x")) / STEP) * STEP
     tip = F.degrees(
         F.atan2(F.col("z") + F.col("radius") * F.sin(ray), F.col("x") + F.col("radius") * F.cos(ray))
     )
-    size = points.groupBy(*keys).agg(
-        F.max(F.struct(F.round(far, 9).alias("v"), (-F.col("atom_idx")).alias("i"), tip.alias("tip"))).alias("b5"),
-        F.max(F.col("y") + F.col("radius")).alias("L"),
-        F.max(F.struct(F.round(reach, 9).alias("v"), (-F.col("atom_idx")).alias("i"), F.col("y").alias("y"))).alias("loc"),
-    )
-    flat = points.select(*keys, "x", "z", "radius")
-    coarse = _scan(flat.withColumn("degree", F.explode(F.sequence(F.lit(COARSE), F.lit(90), F.lit(COARSE)))), keys)
-    start = coarse.groupBy(*keys).agg(F.min(F.struct("b1", "degree")).alias("s")).select(*keys, F.col("s.degree").alias("at"))
-    fine = flat.join(start, keys).withColumn(
-        "degree", F.explode(F.sequence(F.col("at") - COARSE, F.col("at") + COARSE))
-    )
-    best = _scan(fine, keys).groupBy(*keys).agg(F.min(F.struct("b1", "degree", "arrow")).alias("s"))
-    gap = F.abs(F.pmod(F.col("b5.tip") + F.col("s.degree"), F.lit(360.0)) - F.col("s.arrow"))
-    return best.join(size, keys).select(
+    first = -F.col("atom_idx")
+    best = _scan(points, keys, F.col("y") + F.col("radius"), (F.round(far, 9), first, tip), (F.round(reach, 9), first, F.col("y")),
+                 range(0, 91 + COARSE), range(COARSE, 91, COARSE))
+    gap = F.abs(F.pmod(F.col("tip") + F.col("degree"), F.lit(360.0)) - F.col("arrow"))
+    return best.select(
         *keys,
-        F.round("s.b1", 4).alias("B1"),
-        F.round("b5.v", digits).alias("B5"),
-        F.round("L", digits).alias("L"),
-        F.round("loc.y", digits).alias("loc_B5"),
+        F.round("b1", 4).alias("B1"),
+        F.round("far", digits).alias("B5"),
+        F.round("top", digits).alias("L"),
+        F.round("wide", digits).alias("loc_B5"),
         F.round(F.when(gap > 180, 360 - gap).otherwise(gap), 4).alias("B1_B5_angle"),
     )
 
@@ -352,6 +442,7 @@ def cube_sterimol(
     """
     from orbitable.operators.neighbours import nearest_atom
 
+    grid_points = cut_lineage(grid_points)  # read by the search and by the points it places
     owner = nearest_atom(grid_points, atoms, reach).select("mol_id", "point_id", "atom_idx")
     inside = og.reachable(atoms, bonds, bases).select("mol_id", "spec_id", "atom_idx")
     frame = ob.direction_atoms(bonds, bases)
@@ -370,14 +461,10 @@ def cube_sterimol(
         .join(inside, ["mol_id", "atom_idx"])
         .join(basis, ["mol_id", "spec_id"])
     )
-    points = placed.select("mol_id", "spec_id", F.col("point_id").alias("atom_idx"), "x", "y", "z", F.lit(0.0).alias("radius"))
+    points = placed.select("mol_id", "spec_id", "x", "y", "z", F.lit(0.0).alias("radius"))
     keys = ["mol_id", "spec_id"]
-    size = points.groupBy(*keys).agg(
-        F.max(F.struct(v.norm((F.col("x"), F.lit(0.0), F.col("z"))).alias("v"), F.col("y").alias("y"))).alias("b5"),
-        F.max("y").alias("L"),
-    )
-    scan = _scan(points.withColumn("degree", F.explode(F.sequence(F.lit(1), F.lit(90)))), keys)
-    return scan.groupBy(*keys).agg(F.min("b1").alias("B1")).join(size, keys).select(
-        *keys, F.round("B1", 4).alias("B1"), F.round("b5.v", 4).alias("B5"), F.round("L", 4).alias("L"),
-        F.round("b5.y", 4).alias("loc_B5"),
+    far = (v.norm((F.col("x"), F.lit(0.0), F.col("z"))), F.lit(0.0), F.col("y"))
+    best = _scan(points, keys, F.col("y"), far, far, range(1, 91))
+    return best.select(
+        *keys, F.round("b1", 4).alias("B1"), F.round("far", 4).alias("B5"), F.round("top", 4).alias("L"), F.round("tip", 4).alias("loc_B5"),
     )

@@ -12,6 +12,7 @@ from orbitable.operators import frames as of
 from orbitable.operators import graph as og
 from orbitable.operators import sterimol as ost
 from orbitable.operators import vibrations as ov
+from orbitable.session import cut_lineage
 from orbitable.sources.tables import parse_spec
 
 WIDE_LIMIT = 5000  # beyond this many features the result stays long
@@ -151,7 +152,7 @@ def quality_report(matrix: DataFrame, names: Sequence[str], threshold: float = 0
 def molecule_summary(tables: dict[str, DataFrame], radii: str = "CPK") -> DataFrame:
     """Gap, dipole and the extents seen from the central atom, sorted by gap."""
     atoms, bonds = tables["atoms"], tables["bonds"]
-    bases = ob.centre_atoms(atoms, bonds).where("partner IS NOT NULL").select(
-        "mol_id", F.lit(1).alias("spec_id"), F.col("centre").alias("origin"), F.col("partner").alias("direction"))
+    bases = cut_lineage(ob.centre_atoms(atoms, bonds).where("partner IS NOT NULL").select(
+        "mol_id", F.lit(1).alias("spec_id"), F.col("centre").alias("origin"), F.col("partner").alias("direction")))
     extents = ost.sterimol(atoms, bonds, bases, radii).drop("spec_id")
     return tables["mol_scalars"].join(extents, "mol_id", "left").orderBy("homo_lumo_gap_ev", "mol_id")

@@ -140,6 +140,7 @@ SPEC = {"npa": [[1, 2, 3]], "dipole": [[1, 2, 3]], "charges": [[1, 2]], "charge_
 
 
 def _tables(t):
+    t.stored("atoms_v", "modes_v")
     return {"atoms": t.atoms, "bonds": t.bonds, "charges": t.charges, "mol_scalars": t.scalars, "modes": t.modes, "displacements": t.displacements}
 
 

@@ -133,7 +133,14 @@ class Inputs:
     FEW_ROWS, TASK_ROWS = 2_000_000, 500_000
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._bonds, self._parts = spark, folder, None, None
+        self.spark, self.folder, self._bonds, self._parts, self._stored = spark, folder, None, None, {}
+
+    def stored(self, *views: str) -> Inputs:
+        """These inputs with some views stored once, for queries that read them several times; views on top of them read the stored ones."""
+        for name in views:
+            if name not in self._stored:
+                self._stored[name] = cut_lineage(self.view(name))
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -147,6 +154,8 @@ class Inputs:
         return lines.repartition(self._parts, F.col("l_orderkey")) if self._parts else lines
 
     def view(self, name: str) -> DataFrame:
+        if name in self._stored:
+            return self._stored[name]
         text, frames = VIEWS[name], {}
         for need in ("lineitem", "orders", "labels", "documents"):
             for lead in ("FROM ", "JOIN "):

@@ -71,6 +71,7 @@ _SCAN = """,
 
 @query("steric_extents", oracle(_BODY + _WALK + _SCAN, "ends_v", recursive=True))
 def steric_extents(t):
+    t.stored("atoms_v")
     placed = ost.substituent_atoms(t.atoms, t.bonds, [(1, 2)], digits=None)
     return ost.extents(placed, digits=9).select("mol_id", _r("B1", 2), _r("B5", 3), _r("L", 3))
 
@@ -187,5 +188,6 @@ def cube_extents(t):
     from orbitable.queries.texts import _cube_text
     from orbitable.sources import grid as sg
 
+    t.stored("atoms_v")
     points = sg.surface_points(sg.cube_grid(_cube_text(t)), 0.0031)
     return ost.cube_sterimol(points, t.atoms, t.bonds, [(1, 2)])

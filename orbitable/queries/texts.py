@@ -183,10 +183,11 @@ def _cube_text(t):
     """A 3 x 2 x 2 grid per molecule whose densities follow from the molecule number."""
     dens = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.format_string("%.5f", F.pmod(F.col("mol_id") + i.cast("long"), F.lit(5)) * 0.0011)), " ")
     z = el.lookup({s: n for n, s in enumerate(el.SYMBOLS, 1)}, F.col("element")).cast("string")
-    body = _block(t.atoms, _gap(z, "0.0", _num("x"), _num("y"), _num("z")))
-    n = t.atoms.groupBy("mol_id").agg(F.count("*").cast("string").alias("n"))
-    return body.join(n, "mol_id").select("mol_id", F.concat(
-        F.lit("title\ncomment\n"), "n", F.lit(" -1.0 -2.0 -3.0\n3 0.5 0.0 0.0\n2 0.0 0.25 0.0\n2 0.0 0.0 0.125\n"), "body", F.lit("\n"), dens).alias("text"))
+    lines = F.sort_array(F.collect_list(F.struct(F.col("atom_idx").alias("o"), _gap(z, "0.0", _num("x"), _num("y"), _num("z")).alias("l"))))
+    whole = t.atoms.where("mol_id IS NOT NULL").groupBy("mol_id").agg(F.count("*").cast("string").alias("n"), lines.alias("lines"))
+    body = F.array_join(F.transform("lines", lambda s: s["l"]), "\n")
+    return whole.select("mol_id", F.concat(
+        F.lit("title\ncomment\n"), "n", F.lit(" -1.0 -2.0 -3.0\n3 0.5 0.0 0.0\n2 0.0 0.25 0.0\n2 0.0 0.0 0.125\n"), body, F.lit("\n"), dens).alias("text"))
 
 
 @query("cube_surface", oracle("""

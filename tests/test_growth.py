@@ -1,5 +1,6 @@
 """What large tables rest on: steps that stay inside a molecule, packs of rows, partitions of bounded size."""
 
+import math
 import random
 
 import numpy as np
@@ -13,6 +14,7 @@ from orbitable.operators import metrics as om
 from orbitable.operators import neighbours as on
 from orbitable.operators import regress as rg
 from orbitable.operators import renumber as orn
+from orbitable.operators import sterimol as ost
 from orbitable.queries.registry import Inputs
 from orbitable.sources import logs as sl
 from tests.test_graph import atom_rows, bond_rows, search
@@ -161,3 +163,61 @@ def test_lines_are_cut_by_rows_where_there_are_many(spark, tmp_path, monkeypatch
     monkeypatch.setattr(Inputs, "TASK_ROWS", 50)
     cut = Inputs(spark, str(tmp_path)).atoms
     assert sorted(map(tuple, cut.collect())) == plain and cut.rdd.getNumPartitions() == 18
+
+
+def sides(points, degree):
+    """Smallest side of the outlines of points (x, z, radius) turned by a degree, rounded, by the outline formula."""
+    turn, reach = math.radians(degree), []
+    for axis in (0.0, math.pi, math.pi / 2, 3 * math.pi / 2):
+        way = axis - turn
+        gap = abs(way / ost.STEP - round(way / ost.STEP)) * ost.STEP
+        reach.append(max(x * math.cos(way) + z * math.sin(way) + r * math.cos(gap) for x, z, r in points))
+    return min(round(abs(v), 4) for v in reach)
+
+
+@pytest.mark.parametrize("batch,at_once", [(10_000, 1 << 10), (7, 5)])
+def test_extents_stream_points_past_their_key(spark, monkeypatch, batch, at_once):
+    """No row per point and degree; keys go on over Arrow batches and pieces of them."""
+    rng = random.Random(8)
+    rows = [(m, 1, i, *[rng.uniform(-3, 3) for _ in range(3)], rng.choice([1.0, 1.7])) for m in range(40) for i in range(1, rng.choice([2, 3, 30]))]
+    points = spark.createDataFrame(rows, "mol_id long, spec_id int, atom_idx int, x double, y double, z double, radius double").repartition(5)
+    monkeypatch.setattr(ost, "POINTS_AT_ONCE", at_once)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = ost.extents(points)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and exchanges(found) == 1
+        got = {r["mol_id"]: r for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {r[0] for r in rows}
+    for m, r in got.items():
+        mine = [p for p in rows if p[0] == m]
+        flat = [(p[3], p[5], p[6]) for p in mine]
+        start = min(range(18, 91, 18), key=lambda d: (sides(flat, d), d))
+        assert math.isclose(r["B1"], min(sides(flat, d) for d in range(start - 18, start + 19)), abs_tol=1e-9)
+        assert math.isclose(r["L"], max(p[4] + p[6] for p in mine), abs_tol=1e-4)
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(1)
+    values = [0.12345, -0.12345, 2.00005, 1e-5, 5e-5, -5e-5, 0.0, 123456789.00005, 1e12 + 0.5, float("inf"), float("nan"), *[rng.uniform(-9, 9) for _ in range(500)],
+              *[rng.randint(-99999, 99999) / 1e5 for _ in range(500)]]
+    want = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", F.round("v", 4).alias("r")).collect()
+    assert np.array_equal(ost.half_up(np.array(values)), [r["r"] for r in sorted(want)], equal_nan=True)
+
+
+def test_cube_points_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+    atoms = spark.createDataFrame([(1, 1, "C", 0.0, 0.0, 0.0), (1, 2, "C", 0.0, 1.5, 0.0), (1, 3, "C", 1.4, 2.0, 0.0)],
+                                  "mol_id long, atom_idx int, element string, x double, y double, z double")
+    bonds = spark.createDataFrame([(1, 1, 2, 1.5), (1, 2, 3, 1.48)], "mol_id long, a int, b int, dist double")
+    table = spark.createDataFrame([(1, f"p{i}", 0.5 * i, 2.0 - 0.25 * i, 0.75) for i in range(4)], "mol_id long, point_id string, x double, y double, z double")
+    found = ost.cube_sterimol(table.mapInArrow(count, table.schema), atoms, bonds, [(1, 2)]).collect()
+    assert seen.value == 4 and [tuple(r)[:2] for r in found] == [(1, 1)] and found[0]["L"] == 2.0
+    assert math.isclose(found[0]["B5"], math.hypot(1.5, 0.75), abs_tol=1e-4)
