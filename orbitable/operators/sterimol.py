@@ -262,7 +262,7 @@ def _around_centres(atoms: DataFrame, centres: Sequence[int], z_axis: Sequence[i
 
 
 WORD = 64
-CHUNK = 1 << 15  # lattice columns worked on at once
+CHUNK = 1 << 17  # lattice columns worked on at once
 
 
 def _ranges(square: np.ndarray, middle, limit, step: float) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +274,8 @@ def _ranges(square: np.ndarray, middle, limit, step: float) -> tuple[np.ndarray,
     half = np.sqrt(np.maximum(limit - square, 0.0))
     first, last = (middle - half) / step - 0.5, (middle + half) / step - 0.5
     low, high = np.ceil(first), np.floor(last)
-    near = 1e-6 * max(1.0, float(np.max(limit))) / step
-    close = np.nonzero((np.abs(first - np.rint(first)) < near) | (np.abs(last - np.rint(last)) < near))
+    near = 0.5 - 1e-6 * max(1.0, float(np.max(limit, initial=0.0))) / step
+    close = np.nonzero(np.maximum(np.abs(low - first - 0.5), np.abs(last - high - 0.5)) > near)
     if len(close[0]):
         square, middle, limit = (np.broadcast_to(v, low.shape)[close] for v in (square, middle, limit))
         fits = lambda k: square + ((k + 0.5) * step - middle) * ((k + 0.5) * step - middle) <= limit
@@ -289,47 +289,41 @@ def _buried(radius: float, step: float):
     """Lattice points inside a sphere round the origin and inside any of its atom spheres, per octant.
 
     Rows (mol_id, centre, x, y, z, r) come sorted by mol_id and centre. A centre is held as one bit a lattice point, a
-    word for every WORD points of a lattice column (ix, iy), however many atoms it has. An atom sphere sets an interval
-    of every column that it meets.
+    word for every WORD points of a lattice column (ix, iy), however many atoms it has. Words end at z = 0. An atom sphere sets an interval
+    of every column that it meets, in the box of columns round it.
     """
     n = math.ceil(radius / step) + 1
     spot = (np.arange(-n, n) + 0.5) * step
-    below = np.append((np.uint64(1) << np.arange(WORD, dtype=np.uint64)) - np.uint64(1), ~np.uint64(0))
-    starts = range(-n, n, WORD)
-
-    def bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """(rows, words, 2n, 2n) from the index intervals (rows, 2n, 2n)."""
-        ends = [np.clip(v[:, None] - np.array(starts)[None, :, None, None], 0, WORD).astype(np.int64) for v in (low, high + 1)]
-        return below[np.maximum(*ends)] ^ below[ends[0]]
+    side = math.ceil(n / WORD)  # words on either side of z = 0
+    # For every word and lattice index from -n - 1 to n + 1, the bits below it and the others.
+    ends = np.clip(np.arange(-n - 1, n + 2)[None, :] - (np.arange(-side, side) * WORD)[:, None], 0, WORD)
+    below = np.append((np.uint64(1) << np.arange(WORD, dtype=np.uint64)) - np.uint64(1), ~np.uint64(0))[ends]
+    above = ~below
+
+    def bits(square: np.ndarray, middle, limit) -> np.ndarray:
+        """(rows, words, columns, columns): the interval that a sphere sets of each column."""
+        met = np.flatnonzero(square <= limit)
+        middle, limit = (np.broadcast_to(v, square.shape).reshape(-1)[met] if np.ndim(v) else v for v in (middle, limit))
+        low, high = _ranges(square.reshape(-1)[met], middle, limit, step)
+        first, last = low.astype(np.int64) + n + 1, high.astype(np.int64) + n + 2
+        out = np.zeros((len(square), 2 * side, square[0].size), np.uint64)
+        at = met + met // square[0].size * (square[0].size * (2 * side - 1))
+        flat = out.reshape(-1)
+        for k in range(2 * side):
+            flat[at + k * square[0].size] = below[k].take(last, mode="clip") & above[k].take(first, mode="clip")
+        return out.reshape(len(square), 2 * side, *square.shape[1:])
 
     plane = (spot * spot)[None, :, None] + (spot * spot)[None, None, :]
-    limit = float(radius) ** 2
-    low, high = _ranges(plane, 0.0, limit, step)
-    high = np.where(plane > limit, -n - 1, high)
-    halves = [bits(low, np.minimum(high, -1)), bits(np.maximum(low, 0), high)]
-
-    def spheres(x: np.ndarray, y: np.ndarray, z: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """(rows, words, 2n, 2n); only the box round each sphere is worked on."""
-        m = min(2 * n, math.ceil(2 * r.max() / step) + 3)
-        at = [np.clip(np.floor((c - r) / step - 0.5).astype(np.int64) + n, 0, 2 * n - m) for c in (x, y)]
-        off = [(spot[s[:, None] + np.arange(m)] - c[:, None]) ** 2 for s, c in zip(at, (x, y), strict=True)]
-        square, limit = off[0][:, :, None] + off[1][:, None, :], (r * r)[:, None, None]
-        low, high = _ranges(square, z[:, None, None], limit, step)
-        found = bits(low, np.where(square > limit, -n - 1, high))
-        if m == 2 * n:
-            return found
-        whole = np.zeros((len(x), len(starts), 2 * n, 2 * n), np.uint64)
-        for k, (i, j) in enumerate(zip(*(s.tolist() for s in at), strict=True)):
-            whole[k, :, i: i + m, j: j + m] = found[k]
-        return whole
+    ball = bits(plane, 0.0, float(radius) ** 2)
+    empty = np.zeros(ball.shape[1:], np.uint64)
 
     def count(hits: np.ndarray) -> np.ndarray:
-        found = [np.bitwise_count(hits & half).sum(axis=1, dtype=np.int64).reshape(-1, 2, n, 2, n).sum(axis=(2, 4)) for half in halves]
-        return np.stack(found, axis=1).transpose(0, 1, 3, 2).reshape(-1, 8)
+        found = np.bitwise_count(hits & ball).reshape(-1, 2, side, 2, n, 2 * n).sum(axis=4, dtype=np.uint32)
+        return found.reshape(-1, 2, side, 2, 2, n).sum(axis=(2, 5), dtype=np.int64).transpose(0, 1, 3, 2).reshape(-1, 8)
 
     def run(batches):
         rows = max(1, CHUNK // plane.size)
-        key, last = None, np.zeros((0, *halves[0].shape[1:]), np.uint64)
+        key, last = None, np.zeros((0, *empty.shape), np.uint64)
         for batch in batches:
             if not len(batch):
                 continue
@@ -340,12 +334,16 @@ def _buried(radius: float, step: float):
             counts = []
             for at in range(0, len(fresh), rows):
                 begun = fresh[at: at + rows]
-                heads = np.flatnonzero(begun)
-                groups = np.bitwise_or.reduceat(spheres(*[c[at: at + rows] for c in place]), heads if begun[0] else np.append(0, heads), axis=0)
-                if begun[0]:
-                    groups = np.concatenate([last, groups])
-                else:
-                    groups[0] |= last[0]
+                x, y, z, r = (c[at: at + rows] for c in place)
+                m = min(2 * n, math.ceil(2 * r.max() / step) + 3)
+                box = [np.clip(np.floor((c - r) / step - 0.5).astype(np.int64) + n, 0, 2 * n - m) for c in (x, y)]
+                off = [(spot[s[:, None] + np.arange(m)] - c[:, None]) ** 2 for s, c in zip(box, (x, y), strict=True)]
+                found = bits(off[0][:, :, None] + off[1][:, None, :], z[:, None, None], (r * r)[:, None, None])
+                group = np.cumsum(begun) - 1 + len(last)
+                groups = np.zeros((int(group[-1]) + 1, *empty.shape), np.uint64)
+                groups[: len(last)] = last
+                for k, (g, i, j) in enumerate(zip(group.tolist(), *(s.tolist() for s in box), strict=True)):
+                    groups[g, :, i: i + m, j: j + m] |= found[k]
                 counts.append(count(groups[:-1]))
                 last = groups[-1:]
             heads = np.flatnonzero(fresh)
