@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from orbitable.operators import neighbours as on
 from orbitable.operators import regress as rg
 from orbitable.operators import renumber as orn
 from orbitable.operators import sterimol as ost
+from orbitable.plans import extraction as pe
+from orbitable.queries import checks
 from orbitable.queries.registry import Inputs
 from orbitable.sources import logs as sl
 from tests.test_graph import atom_rows, bond_rows, search
@@ -221,3 +224,44 @@ def test_cube_points_are_read_once(spark):
     found = ost.cube_sterimol(table.mapInArrow(count, table.schema), atoms, bonds, [(1, 2)]).collect()
     assert seen.value == 4 and [tuple(r)[:2] for r in found] == [(1, 1)] and found[0]["L"] == 2.0
     assert math.isclose(found[0]["B5"], math.hypot(1.5, 0.75), abs_tol=1e-4)
+
+
+def test_buried_volume_works_on_the_columns_that_a_sphere_meets(monkeypatch):
+    whole, inside = ost._ranges, []
+    monkeypatch.setattr(ost, "_ranges", lambda square, middle, limit, step: inside.append(bool((square <= limit).all())) or whole(square, middle, limit, step))
+    spheres = [(1, 0.4, -0.3, 1.1, 1.9), (1, 2.9, 1.0, 0.0, 1.7), (2, -1.0, -1.25, -3.0, 2.0)]
+    ids, *place = zip(*spheres)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([1] * 3), *map(pa.array, place)], names=["mol_id", "centre", "x", "y", "z", "r"])
+    got = {m: c for out in ost._buried(3.5, 0.1)(iter([batch])) for m, _, c in zip(*(v.to_pylist() for v in out.columns))}
+    assert inside and all(inside)
+    spot = (np.arange(-36, 36) + 0.5) * 0.1
+    x, y, z = np.meshgrid(spot, spot, spot, indexing="ij")
+    for m in (1, 2):
+        hit = np.any([(x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 <= r * r for i, a, b, c, r in spheres if i == m], axis=0) & (x * x + y * y + z * z <= 3.5**2)
+        assert got[m] == np.bincount(((x > 0) + 2 * (y > 0) + 4 * (z > 0))[hit], minlength=8).tolist()
+
+
+def test_stored_views_are_numbered_once(spark, tmp_path):
+    lines = spark.range(40).selectExpr("id % 9 as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 7 as int) as l_linenumber",
+                                       "cast(id % 11 as double) as l_quantity", "1d as l_extendedprice", "0d as l_discount", "0d as l_tax", "timestamp'2020-01-01' as l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(9).selectExpr("id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus", "1d as o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    plain = Inputs(spark, str(tmp_path))
+    tables = checks._tables(Inputs(spark, str(tmp_path)))
+    for name in ("atoms", "charges", "displacements", "modes"):
+        plan = tables[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "lineitem.parquet" not in plan
+        assert sorted(map(tuple, tables[name].collect())) == sorted(map(tuple, getattr(plain, name).collect()))
+
+
+def test_centres_of_a_summary_are_found_once(spark, monkeypatch):
+    atoms = spark.createDataFrame([(1, 1, "C", 0.0, 0.0, 0.0), (1, 2, "C", 0.0, 1.5, 0.0), (1, 3, "C", 1.4, 2.0, 0.0)],
+                                  "mol_id long, atom_idx int, element string, x double, y double, z double")
+    bonds = spark.createDataFrame([(1, 1, 2, 1.5), (1, 2, 3, 1.48)], "mol_id long, a int, b int, dist double")
+    scalars = spark.createDataFrame([(1, 0.5), (2, 0.25)], "mol_id long, homo_lumo_gap_ev double")
+    whole, plans = ost.sterimol, []
+    monkeypatch.setattr(ost, "sterimol", lambda a, b, bases, radii: plans.append(bases._jdf.queryExecution().executedPlan().toString()) or whole(a, b, bases, radii))
+    rows = pe.molecule_summary({"atoms": atoms, "bonds": bonds, "mol_scalars": scalars}).collect()
+    assert [r["mol_id"] for r in rows] == [2, 1] and rows[0]["L"] is None and rows[1]["L"] > 1.5
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
