@@ -71,7 +71,8 @@ def long_features(
     """mol_id, feature, value for everything the spec asks for; missing values give no row.
 
     The tables are read once per kind of feature, so they should be stored tables (see
-    `sources.records`), not views with a long plan behind them.
+    `sources.records`), not views with a long plan behind them. Features that take many shuffles are stored as they are found, so
+    the shuffles of one end before those of the next begin.
     """
     spec = spec if all(isinstance(v, list) for v in spec.values()) else parse_spec(spec)
     first = lambda key, default: float(spec[key][0][0]) if spec.get(key) else default
@@ -86,10 +87,10 @@ def long_features(
         position = F.create_map(*[F.lit(x) for i, s in enumerate(seeds, 1) for x in (s, i)])
         parts.append(_long(rows.withColumn("spec_id", position[F.col("seed")]), [str(s) for s in seeds], RING))
     if spec.get("stretching"):
-        rows = ov.stretches(atoms, bonds, tables["modes"], tables["displacements"], spec["stretching"], stretch, upper_stretch)
+        rows = cut_lineage(ov.stretches(atoms, bonds, tables["modes"], tables["displacements"], spec["stretching"], stretch, upper_stretch))
         parts.append(_long(rows, [_tag(g) for g in spec["stretching"]], STRETCH))
     if spec.get("bending"):
-        rows = ov.bends(bonds, tables["modes"], tables["displacements"], spec["bending"], bend)
+        rows = cut_lineage(ov.bends(bonds, tables["modes"], tables["displacements"], spec["bending"], bend))
         parts.append(_long(rows, [_tag(g) for g in spec["bending"]], BEND))
     if spec.get("npa"):
         rows = of.charge_dipoles(atoms, tables["charges"], [frame_of(g) for g in spec["npa"]], "nbo", sub)
@@ -107,7 +108,7 @@ def long_features(
         if dropped:
             a, b = ob.drop_atoms(atoms, bonds, dropped)
             bases = [[i - sum(d < i for d in dropped) for i in g] for g in bases]
-        parts.append(_long(ost.sterimol(a, b, bases, radii), [_tag(g) for g in spec["sterimol"]], STERIMOL))
+        parts.append(_long(cut_lineage(ost.sterimol(a, b, bases, radii)), [_tag(g) for g in spec["sterimol"]], STERIMOL))
     if spec.get("bond_angle"):
         parts.append(of.angles(atoms, spec["bond_angle"]))
     if spec.get("bond_length"):

@@ -265,3 +265,13 @@ def test_centres_of_a_summary_are_found_once(spark, monkeypatch):
     rows = pe.molecule_summary({"atoms": atoms, "bonds": bonds, "mol_scalars": scalars}).collect()
     assert [r["mol_id"] for r in rows] == [2, 1] and rows[0]["L"] is None and rows[1]["L"] > 1.5
     assert len(plans) == 1 and "Aggregate" not in plans[0]
+
+
+def test_features_of_many_shuffles_are_stored_as_found(spark):
+    atoms = spark.createDataFrame([(1, 1, "C", 0.0, 0.0, 0.0), (1, 2, "C", 0.0, 1.5, 0.0), (1, 3, "C", 1.4, 2.0, 0.0)],
+                                  "mol_id long, atom_idx int, element string, x double, y double, z double")
+    bonds = spark.createDataFrame([(1, 1, 2, 1.5), (1, 2, 3, 1.48)], "mol_id long, a int, b int, dist double")
+    scalars = spark.createDataFrame([(1, 0.5)], "mol_id long, homo_lumo_gap_ev double")
+    rows = pe.long_features({"atoms": atoms, "bonds": bonds, "mol_scalars": scalars}, {"sterimol": [[1, 2]]})
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r["feature"] for r in rows.collect()} == {"B1_1-2", "B5_1-2", "L_1-2", "loc_B5_1-2", "B1_B5_angle_1-2", "homo_lumo_gap_ev"}
